@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from codeaudit import fixed
 
 # What counts as a line break and as white space in text.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-SPACE = "[\\s\x1c-\x1f\x85\xa0  -     　]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 FENCE_OPEN = "^```(json)?"
 FENCE_CLOSE = "```$"
 
@@ -20,7 +20,7 @@ def decode(raw: Column) -> Column:
     """UTF-8 text of a binary column without its invalid bytes, line breaks as `\\n`."""
     text = raw.cast("string")
     valid = F.when(F.is_valid_utf8(text), text).otherwise(
-        F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
+        F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
     )
     return unify_newlines(valid)
 
