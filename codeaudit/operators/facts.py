@@ -15,28 +15,32 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from codeaudit import fixed
 from codeaudit.functions.paths import in_skipped_dir, is_python
 
 # seq numbers the nodes of a file breadth first. `kinds` counts decision points of a
 # function with those of functions inside it; `nesting` is its own deepest nesting.
-FACTS = StructType.fromDDL("""
-    repo STRING, path STRING,
-    error STRUCT<kind: STRING, line: INT, message: STRING>,
-    has_doc BOOLEAN,
-    handlers ARRAY<STRUCT<seq: INT, line: INT, bare: BOOLEAN>>,
-    functions ARRAY<STRUCT<
-        seq: INT, name: STRING, line: INT, end_line: INT,
-        params ARRAY<STRING>, star_params: INT, nesting: INT,
-        kinds ARRAY<STRUCT<kind: STRING, n: INT, extra: INT>>,
-        defaults ARRAY<STRUCT<line: INT, shape: STRING>>>>,
-    defs ARRAY<STRUCT<
-        seq: INT, name: STRING, line: INT, kind: STRING, has_doc: BOOLEAN, top: BOOLEAN>>
-""".replace("params ARRAY", "params: ARRAY").replace("kinds ARRAY", "kinds: ARRAY")
-   .replace("defaults ARRAY", "defaults: ARRAY"))
+def _rows(**fields: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct(fields.items()))
+
+
+_INT, _TEXT, _BOOL = pa.int32(), pa.string(), pa.bool_()
+FACTS = pa.schema({
+    "repo": _TEXT,
+    "path": _TEXT,
+    "error": pa.struct({"kind": _TEXT, "line": _INT, "message": _TEXT}.items()),
+    "has_doc": _BOOL,
+    "handlers": _rows(seq=_INT, line=_INT, bare=_BOOL),
+    "functions": _rows(
+        seq=_INT, name=_TEXT, line=_INT, end_line=_INT,
+        params=pa.list_(_TEXT), star_params=_INT, nesting=_INT,
+        kinds=_rows(kind=_TEXT, n=_INT, extra=_INT),
+        defaults=_rows(line=_INT, shape=_TEXT),
+    ),
+    "defs": _rows(seq=_INT, name=_TEXT, line=_INT, kind=_TEXT, has_doc=_BOOL, top=_BOOL),
+})
 
 OUTPUT_ROWS = 512
 
@@ -44,7 +48,7 @@ OUTPUT_ROWS = 512
 def python_facts(files: DataFrame) -> DataFrame:
     """Facts of every Python file outside skipped folders. Narrow: no shuffle."""
     sources = files.filter(is_python(F.col("path")) & ~in_skipped_dir(F.col("path")))
-    return sources.select("repo", "path", "content").mapInArrow(_parse_batches, FACTS)
+    return sources.select("repo", "path", "content").mapInArrow(_parse_batches, from_arrow_schema(FACTS))
 
 
 def parse_failures(facts: DataFrame) -> DataFrame:
@@ -55,12 +59,11 @@ def parse_failures(facts: DataFrame) -> DataFrame:
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(FACTS)
     warnings.simplefilter("ignore")
     for batch in batches:
         for start in range(0, batch.num_rows, OUTPUT_ROWS):
             rows = batch.slice(start, OUTPUT_ROWS).to_pylist()
-            yield pa.RecordBatch.from_pylist([file_facts(**row) for row in rows], schema)
+            yield pa.RecordBatch.from_pylist([file_facts(**row) for row in rows], FACTS)
 
 
 def file_facts(repo: str, path: str, content: str | None) -> dict:

@@ -145,10 +145,14 @@ def vector_topk(index: DataFrame, queries: DataFrame, k: int = fixed.TOP_K) -> D
             "distance": np.take_along_axis(distance, best, axis=1).ravel(),
         })
 
+    # New names keep the sides apart when index and queries come from one table.
+    index_side = copies.select(
+        F.col("repo").alias("_repo"), F.col("_block").alias("_copy"),
+        F.col("ord").alias("ord"), F.col("vector").alias("vector"),
+    )
     return (
         spread.select("repo", "_block", "query_id", "vector").groupBy("repo", "_block")
-        .cogroup(copies.select("repo", "_block", "ord", "vector").groupBy("repo", "_block"))
-        .applyInPandas(nearest, schema)
+        .cogroup(index_side.groupBy("_repo", "_copy")).applyInPandas(nearest, schema)
     )
 
 

@@ -52,23 +52,23 @@ def secret_findings(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULE
         .select("repo", F.col("path").alias("file"), F.posexplode(split_lines(content)))
         .withColumnRenamed("col", "text")
     )
-    per_rule = [
-        F.transform(
-            F.regexp_extract_all("text", F.lit(rule.pattern), 1),
-            lambda value, n, rule=rule, at=at: F.struct(
-                F.lit(rule.rule).alias("rule"),
-                F.lit(rule.severity).alias("severity"),
-                F.lit(rule.title).alias("title"),
-                F.format_string(
-                    "Value of %d characters starting `%s`; rotate it and load it at run time.",
-                    F.length(value), F.substring(value, 1, 4),
-                ).alias("detail"),
-                (F.lit(SEQ_BASE + at * 1000) + n).alias("seq"),
-            ),
-        )
-        for at, rule in enumerate(rules)
-    ]
-    found = lines.select(
-        "repo", "file", (F.col("pos") + 1).alias("line"), F.inline(F.concat(*per_rule))
-    )
+    hits = F.concat(*[_hits(rule, SEQ_BASE + at * 1000) for at, rule in enumerate(rules)])
+    found = lines.select("repo", "file", (F.col("pos") + 1).alias("line"), F.inline(hits))
     return as_findings(found, "security")
+
+
+def _hits(rule: SecretRule, base: int) -> Column:
+    """Matches of one rule in the column `text`."""
+
+    def hit(value: Column, n: Column) -> Column:
+        detail = F.format_string(
+            "Value of %d characters starting `%s`; rotate it and load it at run time.",
+            F.length(value), F.substring(value, 1, 4),
+        )
+        return F.struct(
+            F.lit(rule.rule).alias("rule"), F.lit(rule.severity).alias("severity"),
+            F.lit(rule.title).alias("title"), detail.alias("detail"),
+            (F.lit(base) + n).alias("seq"),
+        )
+
+    return F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), 1), hit)
