@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.text import hmac_sha256
 from codeaudit.operators.enrich import PROMPT_FINDINGS
-from codeaudit.sources.corpus import read_table
+from codeaudit.sources.corpus import read_table, spread
 
 SECRET = "fixture-secret"
 STANDARDS = (
@@ -132,8 +132,13 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """The table for work that is heavy per row."""
+        return spread(self.table(name))
+
     def _sql(self, text: str, table: str) -> DataFrame:
-        return self.spark.sql(text, **{table: self.table(table)})
+        scan = self.spread(table) if table in ("documents", "events") else self.table(table)
+        return self.spark.sql(text, **{table: scan})
 
     def files(self) -> DataFrame:
         return self._sql(FILES_SQL, "documents")
@@ -188,7 +193,7 @@ class Views:
             F.when(k % 5 == 0, F.lit("    k = 1\n" * 50)),
             F.lit("    return 0\n"),
         )
-        return self.table("part").select(
+        return self.spread("part").select(
             F.concat(F.lit("pkg-"), k % 50).alias("repo"),
             F.concat(F.lit("src/f"), k, F.lit(".py")).alias("path"),
             content.alias("content"),
@@ -200,7 +205,7 @@ class Views:
         body = F.format_string(
             '"""Checks f_%d."""\n\n\ndef test_it():\n    assert f_%d\n', k, k
         )
-        return self.table("part").filter((k % 3 != 0) & (k % 50 >= 5)).select(
+        return self.spread("part").filter((k % 3 != 0) & (k % 50 >= 5)).select(
             F.concat(F.lit("pkg-"), k % 50).alias("repo"),
             F.concat(F.lit("tests/test_m"), k, F.lit(".py")).alias("path"),
             body.alias("content"),
@@ -209,7 +214,7 @@ class Views:
     def py_readmes(self) -> DataFrame:
         """A README in packages with an odd number."""
         k = F.col("p_partkey")
-        return self.table("part").filter((k < 50) & (k % 2 == 1)).select(
+        return self.spread("part").filter((k < 50) & (k % 2 == 1)).select(
             F.concat(F.lit("pkg-"), k).alias("repo"), F.lit("README.md").alias("path"),
             F.concat(F.lit("# Package "), k, F.lit("\n")).alias("content"),
         )
@@ -247,7 +252,7 @@ class Views:
         )
         text = F.to_json(F.struct(results.alias("results")))
         broken = F.when(order % 50 == 0, "  \n").when(order % 50 == 1, F.substring(text, 1, 60))
-        return self.table("lineitem").select(
+        return self.spread("lineitem").select(
             F.concat(F.lit("pkg-"), order % 50).alias("repo"),
             F.coalesce(broken, text).alias("json"),
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -16,7 +17,7 @@ def base_name(path: Column) -> Column:
 
 def suffix(path: Column) -> Column:
     """Last dotted suffix with its dot; empty for none, a leading dot or a trailing dot."""
-    return F.regexp_extract(base_name(path), r"(?s)^.+(\.[^.]+)$", 1)
+    return F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
 
 
 def suffix_or_none(path: Column) -> Column:
@@ -29,26 +30,31 @@ def stem(path: Column) -> Column:
     return F.substring(name, F.lit(1), F.length(name) - F.length(suffix(path)))
 
 
-def has_part(path: Column, names: Sequence[str]) -> Column:
-    """True when any component of the path is one of `names`."""
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(n) for n in names]))
+def _part_pattern(names: Sequence[str]) -> str:
+    return "(^|/)(" + "|".join(re.escape(n) for n in names) + ")(/|$)"
 
 
 def in_skipped_dir(path: Column, names: Sequence[str] = fixed.SKIP_DIRS) -> Column:
-    return has_part(path, names)
+    """True when any component of the path, the name included, is one of `names`."""
+    return path.rlike(_part_pattern(names))
+
+
+# A name that starts `test_`, or whose part before the suffix ends `_test`.
+_TEST_NAME = r"(^|/)(test_[^/]*|\.?[^./]*_test)$|_test\.[^./]+$"
 
 
 def has_test_name(path: Column) -> Column:
-    return base_name(path).startswith("test_") | stem(path).endswith("_test")
+    return path.rlike(_TEST_NAME)
 
 
 def is_test_file(path: Column) -> Column:
     """By name, or by lying in a test folder."""
-    return has_test_name(path) | has_part(path, fixed.TEST_DIRS)
+    return path.rlike(f"{_TEST_NAME}|{_part_pattern(fixed.TEST_DIRS)}")
 
 
 def is_python(path: Column) -> Column:
-    return suffix(path) == ".py"
+    """Suffix `.py`; a file that is only called `.py` has no suffix."""
+    return path.endswith(".py") & ~path.endswith("/.py") & (path != ".py")
 
 
 def path_order(path: Column) -> Column:

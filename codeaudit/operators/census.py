@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeaudit import fixed
 from codeaudit.functions.paths import in_skipped_dir, suffix_or_none
+from codeaudit.functions.rows import inline_rows
 from codeaudit.schemas import agent_position
 
 
@@ -47,7 +48,7 @@ def route_agents(
         for name, suffixes in rules.items()
     ])
     needed = F.filter(wanted, lambda agent: agent.isNotNull())
-    return census.select("repo", F.inline(needed)).distinct()
+    return inline_rows(census, ["repo"], needed, "agent").distinct()
 
 
 def routed_repos(routes: DataFrame, agent: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeaudit import fixed
 from codeaudit.functions.paths import base_name, has_test_name, path_order
+from codeaudit.functions.rows import inline_rows
 from codeaudit.operators.ranking import first_rows
 from codeaudit.schemas import as_findings, message
 
@@ -45,10 +46,9 @@ def undocumented(facts: DataFrame) -> DataFrame:
         F.array(row("DOC_NO_MODULE_DOC", module_title, F.lit(1), module_detail, F.lit(0))),
     ).otherwise(F.array())
     bare = F.filter("defs", lambda d: ~d["has_doc"] & ~d["name"].startswith("_"))
-    return parsed.select(
-        "repo", F.col("path").alias("file"),
-        F.inline(F.concat(module, F.transform(bare, definition))),
-    ).withColumn("severity", F.lit(fixed.INFO))
+    found = F.concat(module, F.transform(bare, definition))
+    rows = inline_rows(parsed, ["repo", F.col("path").alias("file")], found, "rule")
+    return rows.withColumn("severity", F.lit(fixed.INFO))
 
 
 def cut(candidates: DataFrame, limit: int = fixed.DOC_FINDINGS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeaudit import fixed
 from codeaudit.functions.paths import path_order
+from codeaudit.functions.rows import posexplode_rows
 from codeaudit.functions.text import strip_fence
 from codeaudit.operators.ranking import number_rows
 from codeaudit.schemas import FIX_REPLY, TRIAGE_REPLY, severity_value
@@ -85,12 +86,10 @@ def reply_items(replies: DataFrame, schema: str) -> DataFrame:
 
     A reply that does not parse, or has an item without an index, gives no items.
     """
-    items = F.from_json(strip_fence(F.col("reply")), schema)
+    rest = [c for c in replies.columns if c != "reply"]
+    parsed = replies.select(*rest, F.from_json(strip_fence(F.col("reply")), schema).alias("_items"))
     complete = F.forall("_items", lambda item: item["i"].isNotNull())
-    parsed = replies.withColumn("_items", items).filter(complete)
-    return parsed.select(
-        *[c for c in replies.columns if c != "reply"], F.posexplode("_items").alias("pos", "item")
-    )
+    return posexplode_rows(parsed, rest, F.when(complete, F.col("_items")), "pos", "item")
 
 
 def merge_triage(indexed: DataFrame, replies: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -124,7 +123,7 @@ def fix_items(replies: DataFrame) -> DataFrame:
     """Proposed changes of replies: `(…, pos, i, original, fixed, note)`."""
     items = F.from_json(strip_fence(F.col("reply")), FIX_REPLY)
     rest = [c for c in replies.columns if c != "reply"]
-    return replies.select(*rest, F.posexplode(items).alias("pos", "item")).select(
+    return posexplode_rows(replies, rest, items, "pos", "item").select(
         *rest, "pos", "item.i", "item.original", "item.fixed",
         F.coalesce("item.note", F.lit("")).alias("note"),
     )

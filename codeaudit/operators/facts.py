@@ -113,7 +113,7 @@ def _collect(module: ast.Module, row: dict) -> None:
             for function in around:
                 n, more = function["kinds"].get(kind, (0, 0))
                 function["kinds"][kind] = (n + 1, more + extra)
-        queue.extend((child, around, depth, node) for child in ast.iter_child_nodes(node))
+        queue.extend([(child, around, depth, node) for child in _inner_nodes(node)])
         seq += 1
     for function in row["functions"]:
         function["kinds"] = [
@@ -121,6 +121,25 @@ def _collect(module: ast.Module, row: dict) -> None:
         ]
 
 
+# Nodes that hold no fact and have nothing below them; most nodes of a tree.
+_PLAIN = (
+    ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue,
+    ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop,
+)
+
+
+def _inner_nodes(node: ast.AST) -> list[ast.AST]:
+    """Children of a node without the plain ones."""
+    found = []
+    for name in node._fields:
+        value = getattr(node, name, None)
+        if value.__class__ is list:
+            found += [v for v in value if isinstance(v, ast.AST) and not isinstance(v, _PLAIN)]
+        elif isinstance(value, ast.AST) and not isinstance(value, _PLAIN):
+            found.append(value)
+    return found
+
+
 def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, seq: int) -> dict:
     spec = node.args
     given = [*spec.defaults, *filter(None, spec.kw_defaults)]

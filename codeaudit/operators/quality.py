@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit import fixed
+from codeaudit.functions.rows import inline_rows
 from codeaudit.schemas import as_findings, message
 
 # Rules of one function keep this order among each other; defaults are numbered after it.
@@ -76,7 +77,7 @@ def function_findings(facts: DataFrame) -> DataFrame:
         lambda hit: hit.isNotNull(),
     )
     found = F.concat(F.filter(F.array(*hits), lambda hit: hit.isNotNull()), mutable)
-    return functions(facts).select("repo", F.col("path").alias("file"), F.inline(found))
+    return inline_rows(functions(facts), ["repo", F.col("path").alias("file")], found, "rule")
 
 
 def handler_findings(facts: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def handler_findings(facts: DataFrame) -> DataFrame:
             "QUAL_BARE_EXCEPT", fixed.LOW, h["line"], h["seq"].cast("long") * _NODE_STEP
         ),
     )
-    return facts.select("repo", F.col("path").alias("file"), F.inline(found))
+    return inline_rows(facts, ["repo", F.col("path").alias("file")], found, "rule")
 
 
 def syntax_findings(facts: DataFrame) -> DataFrame:

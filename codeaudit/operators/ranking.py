@@ -26,16 +26,19 @@ def number_rows(
     split by range over the full sort key, so no task ever holds such a group; see
     `_number_by_range`. `order` should be total up to rows that are equal everywhere.
 
-    Deciding this reads `by` and counts; pass a table, not an expensive derivation.
+    Deciding this counts rows, and groups only if all rows together are more than a task
+    should hold; pass a table, not an expensive derivation.
     """
+    plain = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    if df.count() <= one_task_rows:
+        return df.withColumn(name, plain)
     sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"))
     large = sizes.filter(F.col("_rows") > one_task_rows)
-    biggest = large.agg(F.sum("_rows")).first()[0]
-    plain = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
-    if not biggest:
+    total = large.agg(F.sum("_rows")).first()[0]
+    if not total:
         return df.withColumn(name, plain)
 
-    pieces = 1 + 2 * biggest // one_task_rows
+    pieces = 1 + 2 * total // one_task_rows
     if not by:
         return _number_by_range(df, by, order, name, pieces)
     marks = large.select(*[F.col(c).alias(f"_large_{c}") for c in by], F.lit(True).alias("_large"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeaudit import fixed
 from codeaudit.functions.paths import in_skipped_dir, path_order, suffix
+from codeaudit.functions.rows import explode_rows, inline_rows
 from codeaudit.functions.text import split_lines, strip, unify_newlines, words
 from codeaudit.operators.ranking import first_rows
 
@@ -50,7 +51,7 @@ def chunk_lines(files: DataFrame, size: int = fixed.CHUNK_LINES) -> DataFrame:
         ),
     )
     kept = F.filter(chunks, lambda c: c["text"] != "")
-    return lines.select(*[c for c in files.columns if c != "content"], F.inline(kept))
+    return inline_rows(lines, [c for c in files.columns if c != "content"], kept, "text")
 
 
 def chunk_index(
@@ -88,10 +89,14 @@ def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int = fixed.TOP_K) ->
     index is capped per repository, so a query meets a bounded number of chunks. Word
     counts are taken before the join, and only words that the repository's queries use are joined.
     """
-    asked = queries.select("query_id", "repo", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
+    asked = explode_rows(
+        queries, ["query_id", "repo"], F.array_distinct(words(F.col("query"))), "word"
+    )
     worded = chunks.select("repo", "ord", "source", words(F.col("text")).alias("_words"))
     counted = (
-        worded.select("repo", "ord", "source", F.size("_words").alias("n_words"), F.explode("_words").alias("word"))
+        explode_rows(
+            worded, ["repo", "ord", "source", F.size("_words").alias("n_words")], F.col("_words"), "word"
+        )
         .groupBy("repo", "ord", "source", "n_words", "word").agg(F.count("*").alias("_times"))
     )
     scored = (

@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from codeaudit import fixed
 from codeaudit.functions.paths import is_test_file, relative_to
+from codeaudit.functions.rows import posexplode_rows
 from codeaudit.schemas import SAST_REPORT, as_findings
 
 
 def sast_results(reports: DataFrame) -> DataFrame:
     """Explode reports `(repo, json)` into raw results; blank or broken ones give no rows."""
-    parsed = reports.withColumn("_report", F.from_json("json", SAST_REPORT))
-    return parsed.select(
-        *[c for c in reports.columns if c != "json"],
-        F.posexplode("_report.results").alias("pos", "result"),
-    )
+    results = F.from_json("json", SAST_REPORT)["results"]
+    return posexplode_rows(reports, [c for c in reports.columns if c != "json"], results, "pos", "result")
 
 
 def sast_findings(reports: DataFrame, root: Column | None = None) -> DataFrame:

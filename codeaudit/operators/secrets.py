@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeaudit import fixed
 from codeaudit.functions.paths import in_skipped_dir
+from codeaudit.functions.rows import inline_rows, posexplode_rows
 from codeaudit.functions.text import split_lines
 from codeaudit.schemas import as_findings
 
@@ -47,13 +48,12 @@ def secret_findings(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULE
     """
     content = F.col("content")
     hit_any = reduce(Column.__or__, [content.rlike(rule.pattern) for rule in rules])
-    lines = (
-        files.filter(~in_skipped_dir(F.col("path")) & hit_any)
-        .select("repo", F.col("path").alias("file"), F.posexplode(split_lines(content)))
-        .withColumnRenamed("col", "text")
+    suspects = files.filter(~in_skipped_dir(F.col("path")) & hit_any)
+    lines = posexplode_rows(
+        suspects, ["repo", F.col("path").alias("file")], split_lines(content), "pos", "text"
     )
     hits = F.concat(*[_hits(rule, SEQ_BASE + at * 1000) for at, rule in enumerate(rules)])
-    found = lines.select("repo", "file", (F.col("pos") + 1).alias("line"), F.inline(hits))
+    found = inline_rows(lines, ["repo", "file", (F.col("pos") + 1).alias("line")], hits, "rule")
     return as_findings(found, "security")
 
 

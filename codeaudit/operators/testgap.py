@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeaudit import fixed
 from codeaudit.functions.paths import in_skipped_dir, is_python, is_test_file, path_order
+from codeaudit.functions.rows import explode_rows
 from codeaudit.functions.text import identifiers
 from codeaudit.operators.ranking import first_rows
 from codeaudit.schemas import as_findings, message
@@ -32,7 +33,7 @@ def test_identifiers(files: DataFrame) -> DataFrame:
     """
     tests = python_files(files).filter(is_test_file(F.col("path")))
     found = F.array_distinct(identifiers(F.col("content")))
-    return tests.select("repo", F.explode(found).alias("name")).distinct()
+    return explode_rows(tests, ["repo"], found, "name").distinct()
 
 
 def public_api(facts: DataFrame) -> DataFrame:

@@ -420,7 +420,8 @@ def _deliveries_stream(v):
 
 
 def _accepted(v):
-    return accepted_deliveries(classify_deliveries(v.deliveries(), fixtures.SECRET))
+    deliveries = materialize(v.deliveries(), "deliveries")
+    return accepted_deliveries(classify_deliveries(deliveries, fixtures.SECRET))
 
 
 @_query("pr_snapshot")

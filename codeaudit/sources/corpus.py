@@ -13,11 +13,21 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
     Jobs that do not look into files never read the content column.
     """
-    files = spark.read.parquet(path)
+    files = spread(spark.read.parquet(path))
     if dict(files.dtypes)["content"] == "binary":
         return files.withColumn("content", decode(F.col("content")))
     return files.withColumn("content", unify_newlines(F.col("content")))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Share a scan with fewer splits than cores out over all cores; leave others alone.
+
+    For inputs of work that is heavy per row, such as parsing. A large table has splits
+    enough, so nothing is shuffled for it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
