@@ -25,7 +25,7 @@ class HeadReviews:
     review: Review
 
     def _with_head(self) -> DataFrame:
-        return self.accepted.withColumn("_head", _head_id())
+        return self.accepted.withColumn("_head", _head_id()).drop("event", "body", "signature")
 
     def _per_head(self, table: DataFrame) -> DataFrame:
         return table.withColumnRenamed("repo", "_head")
