@@ -59,15 +59,19 @@ def is_python(path: Column) -> Column:
 
 def path_order(path: Column) -> Column:
     """A string that sorts paths component by component (`a/b` before `a-b`)."""
-    return F.translate(path, "/", "\x01")
+    return F.replace(path, F.lit("/"), F.lit("\x01"))
+
+
+def _slashed(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
 def relative_to(path: Column, root: Column | None = None) -> Column:
     """Forward slashes, without `./` and without the root prefix where it is there."""
-    slashed = F.regexp_replace(F.translate(path, "\\", "/"), r"^(\./)+", "")
+    slashed = F.regexp_replace(_slashed(path), r"^(\./)+", "")
     if root is None:
         return slashed
-    prefix = F.concat(F.rtrim(F.translate(root, "\\", "/"), F.lit("/")), F.lit("/"))
+    prefix = F.concat(F.rtrim(_slashed(root), F.lit("/")), F.lit("/"))
     return F.when(
         F.startswith(slashed, prefix), F.substring(slashed, F.length(prefix) + 1, F.length(slashed))
     ).otherwise(slashed)

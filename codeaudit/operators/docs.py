@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeaudit import fixed
 from codeaudit.functions.paths import base_name, has_test_name, path_order
 from codeaudit.functions.rows import inline_rows
-from codeaudit.operators.ranking import first_rows
+from codeaudit.operators.ranking import SHARES, first_rows
 from codeaudit.schemas import as_findings, message
 
 _MISSING = "DOC_MISSING_DOCSTRING"
@@ -60,7 +60,8 @@ def cut(candidates: DataFrame, limit: int = fixed.DOC_FINDINGS) -> DataFrame:
     """
     place = F.struct(F.when(F.col("file") == ".", "").otherwise(path_order(F.col("file"))), "seq")
     placed = candidates.withColumn("_place", place)
-    head = first_rows(placed.select("repo", "_place"), ["repo"], [F.col("_place")], limit, "_n")
+    places = placed.select("repo", "_place")
+    head = first_rows(places, ["repo"], [F.col("_place")], limit, "_n", SHARES)
     full = head.filter(F.col("_n") == limit).select("repo", F.col("_place").alias("_limit"))
     stops = (
         placed.filter(F.col("rule") == _MISSING).select("repo", "_place")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from codeaudit.storage import materialize
 
+# Shares of groups that may be most of the data, see `first_rows`.
+SHARES = 32
 # A group up to this size is sorted within one task.
 ONE_TASK_ROWS = 4_000_000
 
@@ -89,12 +91,27 @@ def _number_by_range(
 
 
 def first_rows(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, name: str
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    n: int,
+    name: str,
+    shares: int = 1,
 ) -> DataFrame:
     """The first `n` rows of each group, numbered from 1.
 
     Spark limits every group on the map side before the shuffle, so a group costs at most
-    `n` rows per map task whatever its size.
+    `n` rows per map task whatever its size. With very many map tasks that is still a lot for one
+    task to merge: `shares` above 1 first limits hashed shares of each group on their own, so the last
+    step sees `n` rows per share. Worth it where groups are few and large, such as repositories.
     """
-    position = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn(name, position).filter(F.col(name) <= n)
+    position = F.row_number()
+    if shares > 1:
+        share = F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(shares))
+        within = Window.partitionBy(*by, "_share").orderBy(*order)
+        df = (
+            df.withColumn("_share", share).withColumn(name, position.over(within))
+            .filter(F.col(name) <= n).drop("_share", name)
+        )
+    ranked = df.withColumn(name, position.over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.filter(F.col(name) <= n)

@@ -13,7 +13,7 @@ from codeaudit import fixed
 from codeaudit.functions.paths import in_skipped_dir, path_order, suffix
 from codeaudit.functions.rows import explode_rows, inline_rows
 from codeaudit.functions.text import split_lines, strip, unify_newlines, words
-from codeaudit.operators.ranking import first_rows
+from codeaudit.operators.ranking import SHARES, first_rows
 
 # Query rows that share one copy of a repository's vectors in a task.
 QUERY_BLOCK = 4096
@@ -30,9 +30,8 @@ def indexed_files(files: DataFrame, max_files: int = fixed.INDEX_FILES) -> DataF
         suffix(path).isin(*fixed.INDEX_SUFFIXES) & ~in_skipped_dir(path, fixed.INDEX_SKIP_DIRS)
     )
     place = path_order(path)
-    head = first_rows(
-        eligible.select("repo", place.alias("_place")), ["repo"], [F.col("_place")], max_files, "_n"
-    )
+    places = eligible.select("repo", place.alias("_place"))
+    head = first_rows(places, ["repo"], [F.col("_place")], max_files, "_n", SHARES)
     last = head.groupBy("repo").agg(F.max("_place").alias("_last"))
     return eligible.join(last, "repo").filter(place <= F.col("_last")).drop("_last")
 
@@ -163,7 +162,7 @@ def vector_topk(index: DataFrame, queries: DataFrame, k: int = fixed.TOP_K) -> D
 
 def vector_index(vectors: DataFrame, order: Sequence[str], max_chunks: int = fixed.INDEX_CHUNKS) -> DataFrame:
     """The first vectors `(repo, …, vector)` of each repository, as many as an index holds."""
-    kept = first_rows(vectors, ["repo"], [F.col(c) for c in order], max_chunks, "_n")
+    kept = first_rows(vectors, ["repo"], [F.col(c) for c in order], max_chunks, "_n", SHARES)
     return kept.withColumn("ord", (F.col("_n") - 1).cast("long")).drop("_n")
 
 

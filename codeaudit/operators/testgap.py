@@ -9,7 +9,7 @@ from codeaudit import fixed
 from codeaudit.functions.paths import in_skipped_dir, is_python, is_test_file, path_order
 from codeaudit.functions.rows import explode_rows
 from codeaudit.functions.text import identifiers
-from codeaudit.operators.ranking import first_rows
+from codeaudit.operators.ranking import SHARES, first_rows
 from codeaudit.schemas import as_findings, message
 
 
@@ -71,7 +71,9 @@ def no_tests(files: DataFrame) -> DataFrame:
 def gaps(facts: DataFrame, files: DataFrame) -> DataFrame:
     """The first gaps of each repository in path and definition order."""
     order = [path_order(F.col("path")), F.col("seq")]
-    kept = first_rows(untested(facts, files), ["repo"], order, fixed.TEST_GAP_FINDINGS, "_n")
+    kept = first_rows(
+        untested(facts, files), ["repo"], order, fixed.TEST_GAP_FINDINGS, "_n", SHARES
+    )
     title, detail = message("TEST_GAP", F.col("kind"), F.col("name"))
     return kept.select(
         "repo",

@@ -19,6 +19,7 @@ from codeaudit.operators.sast import sast_findings
 from codeaudit.operators.secrets import secret_findings
 from codeaudit.plans.review import run_review
 from codeaudit.plans.webhook import review_heads
+from codeaudit.sources.corpus import spread
 from codeaudit.sources.tree import scan_tree, write_tree
 from codeaudit.storage import materialize, scratch_path
 from codeaudit.streaming.deliveries import (
@@ -110,7 +111,7 @@ def _secret_scan(v):
 
 @_query("sast_ingest")
 def _sast_ingest(v):
-    return sast_findings(v.sast_reports()).select(*FINDING_COLUMNS)
+    return sast_findings(materialize(v.sast_reports(), "reports")).select(*FINDING_COLUMNS)
 
 
 @_query("py_facts")
@@ -431,14 +432,21 @@ def _pr_snapshot(v):
 
 @_query("webhook_reviews")
 def _webhook_reviews(v):
-    return review_heads(materialize(_accepted(v), "accepted"), v.snapshot_corpus()).results()
+    corpus = _corpus(v.snapshot_corpus())
+    return review_heads(materialize(_accepted(v), "accepted"), corpus).results()
 
 
 # Full review
 
 
 def _review(v):
-    return run_review(v.review_files(), v.sast_reports())
+    return run_review(_corpus(v.review_files()), materialize(v.sast_reports(), "reports"))
+
+
+def _corpus(files):
+    """A written corpus, as reviews read one in production; files of all kinds in every split."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return spread(materialize(files.repartition(cores), "corpus"))
 
 
 @_query("review_all")

@@ -141,3 +141,9 @@ def test_large_reports_come_in_parts_that_join_to_the_same_text(spark, finding_r
         joined.setdefault(row["review_id"], []).append(row["body"])
     assert {k: "\n".join(v) for k, v in joined.items()} == whole
     assert len(joined["big"]) == (1 if part_rows >= 20 else 2 * -(-20 // part_rows))
+
+
+def test_first_rows_in_shares_are_the_same(skewed):
+    order = [F.desc("v"), F.asc("n")]
+    plain = {tuple(r) for r in first_rows(skewed, ["g"], order, 30, "at").collect()}
+    assert {tuple(r) for r in first_rows(skewed, ["g"], order, 30, "at", shares=8).collect()} == plain
