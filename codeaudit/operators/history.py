@@ -46,7 +46,7 @@ def append_history(rows: DataFrame, path: str, run: str, key: Sequence[str] = KE
     last = 0
     known = read_history(spark, path)
     if known is not None:
-        if not known.filter(F.col("run") == run).isEmpty():
+        if not known.filter(F.col("run").cast("string") == run).isEmpty():
             return
         last = known.agg(F.max("id")).first()[0] or 0
     numbered = assign_ids(rows, last, key).withColumn("run", F.lit(run))

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,25 +124,25 @@ def fix_candidates(findings: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return kept.withColumn("i", F.col("_n") - 1).drop("_n")
 
 
-def _table_row(field: Callable[[str], Column]) -> Column:
-    level = field("severity")
-    place = F.concat_ws(":", field("file"), field("line").cast("string"))
+def _table_row() -> Column:
+    level = F.col("severity")
+    place = F.concat_ws(":", F.col("file"), F.col("line").cast("string"))
     return F.concat(
         F.lit("| "), severity_value(level, "emoji"), F.lit(" "), severity_value(level, "label"),
-        F.lit(" | "), field("title"), F.lit(" | `"),
-        F.when(field("line") != 0, place).otherwise(field("file")),
-        F.lit("` | `"), field("rule"), F.lit("` |"),
+        F.lit(" | "), F.col("title"), F.lit(" | `"),
+        F.when(F.col("line") != 0, place).otherwise(F.col("file")),
+        F.lit("` | `"), F.col("rule"), F.lit("` |"),
     )
 
 
-def _details(field: Callable[[str], Column]) -> Column:
+def _details() -> Column:
     def optional(lead: str, name: str) -> Column:
-        return F.when(field(name) != "", F.concat(F.lit(lead), field(name)))
+        return F.when(F.col(name) != "", F.concat(F.lit(lead), F.col(name)))
 
     head = F.concat(
-        F.lit("\n**"), severity_value(field("severity"), "emoji"), F.lit(" "), field("title"),
-        F.lit("** (`"), field("file"), F.lit(":"), field("line").cast("string"),
-        F.lit("`, `"), field("rule"), F.lit("`)"),
+        F.lit("\n**"), severity_value(F.col("severity"), "emoji"), F.lit(" "), F.col("title"),
+        F.lit("** (`"), F.col("file"), F.lit(":"), F.col("line").cast("string"),
+        F.lit("`, `"), F.col("rule"), F.lit("`)"),
     )
     return F.concat_ws(
         "\n", head, optional("- ", "detail"), optional("- _Risk:_ ", "explanation"),
@@ -203,7 +203,7 @@ def report_lines(heads: DataFrame, findings: DataFrame, key: Sequence[str] = KEY
     shown = F.filter(fixed_blocks, lambda b: (b["block"] == 0) | (F.col("total") > 0))
     ranked = ranked_findings(_with_prose(findings), key)
     at = F.col("rank")
-    body = F.array(block(1, _table_row(F.col), at), block(3, _details(F.col), at))
+    body = F.array(block(1, _table_row(), at), block(3, _details(), at))
     return heads.select(*key, F.inline(shown)).unionByName(ranked.select(*key, F.inline(body)))
 
 
@@ -240,23 +240,18 @@ def markdown_report(
 
 
 def _whole_reports(heads: DataFrame, findings: DataFrame, key: list[str]) -> DataFrame:
-    worst_first = (-F.col("severity")).alias("_worst")
+    """Lines are written after findings are placed by review, so only their fields are moved."""
     row = F.struct(
-        worst_first, "file", "line", "agent_ord", "seq", "rule", "title", "detail",
-        "severity", "explanation", "fix_hint",
+        (-F.col("severity")).alias("worst"), "file", "line", "agent_ord", "seq", "rule", "title",
+        "detail", _table_row().alias("row"), _details().alias("details"),
     )
-    lists = _with_prose(findings).groupBy(*key).agg(
-        F.array_sort(F.collect_list(row)).alias("_found")
-    )
-
-    def texts(render: Callable[[Callable[[str], Column]], Column]) -> Column:
-        return F.array_join(F.transform("_found", lambda f: render(lambda name: f[name])), "\n")
-
+    placed = _with_prose(findings).repartition(*key).select(*key, row.alias("_line"))
+    lists = placed.groupBy(*key).agg(F.array_sort(F.collect_list("_line")).alias("_found"))
     body = F.when(
         F.col("total") > 0,
         F.concat_ws(
-            "\n", "head", texts(_table_row), F.lit(_DETAILS_OPEN), texts(_details),
-            F.lit(_DETAILS_CLOSE),
+            "\n", "head", F.array_join("_found.row", "\n"), F.lit(_DETAILS_OPEN),
+            F.array_join("_found.details", "\n"), F.lit(_DETAILS_CLOSE),
         ),
     ).otherwise(F.col("head"))
     joined = heads.join(lists, key, "left")

@@ -22,8 +22,8 @@ QUERY_BLOCK = 4096
 def indexed_files(files: DataFrame, max_files: int = fixed.INDEX_FILES) -> DataFrame:
     """Indexable files among the first `max_files` of each repository in path order.
 
-    The limit is found on paths alone: the last admitted path per repository is joined
-    back, so contents are neither sorted nor shuffled for it.
+    The limit is found on paths alone. Only repositories that reach it are joined back,
+    with their last admitted path, so contents are not sorted and this join stays small.
     """
     path = F.col("path")
     eligible = files.filter(
@@ -32,8 +32,9 @@ def indexed_files(files: DataFrame, max_files: int = fixed.INDEX_FILES) -> DataF
     place = path_order(path)
     places = eligible.select("repo", place.alias("_place"))
     head = first_rows(places, ["repo"], [F.col("_place")], max_files, "_n", SHARES)
-    last = head.groupBy("repo").agg(F.max("_place").alias("_last"))
-    return eligible.join(last, "repo").filter(place <= F.col("_last")).drop("_last")
+    last = head.filter(F.col("_n") == max_files).select("repo", F.col("_place").alias("_last"))
+    admitted = F.col("_last").isNull() | (place <= F.col("_last"))
+    return eligible.join(last, "repo", "left").filter(admitted).drop("_last")
 
 
 def chunk_lines(files: DataFrame, size: int = fixed.CHUNK_LINES) -> DataFrame:
