@@ -466,8 +466,7 @@ d AS (
  SELECT q.vec_id AS query_id, x.vec_id,
   round(list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda p: power(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))), 6) AS distance
  FROM v q JOIN v x ON q.label = x.label AND x.ord <= 800)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id,
- round(distance, 4) AS distance
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance
 FROM d QUALIFY rank <= 4""",
     "context_block": f"""WITH {_FILES}, {_CHUNKS}, {_CHUNK_QUERIES}, {_TOPK}
 SELECT query_id, string_agg('[' || b.source || ']' || {_NL} || text, {_NL} || {_NL} ORDER BY rank) AS context

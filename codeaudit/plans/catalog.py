@@ -337,7 +337,7 @@ def _vector_topk(v):
     queries = vectors.withColumnRenamed("vec_id", "query_id")
     best = retrieval.vector_topk(index, queries)
     named = best.join(index.select("repo", "ord", "vec_id"), ["repo", "ord"])
-    return named.select("query_id", "rank", "vec_id", F.round("distance", 4).alias("distance"))
+    return named.select("query_id", "rank", "vec_id", "distance")
 
 
 @_query("context_block")
