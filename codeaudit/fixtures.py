@@ -86,22 +86,22 @@ SELECT source AS review_id, source AS repo, 'quality' AS agent, 1 AS agent_ord,
  concat('R_', doc_id % 9) AS rule, CAST(doc_id % 5 AS INT) AS severity,
  concat('title ', doc_id) AS title, path AS file,
  CAST(doc_id % 29 AS INT) AS line, '' AS detail, doc_id AS seq
-FROM (SELECT d.*, concat(CASE WHEN doc_id % 41 = 0 THEN '../' ELSE 'src/' END, 'm', doc_id, '.txt') AS path
+FROM (SELECT d.*, concat('d', doc_id, CASE WHEN doc_id % 41 = 0 THEN '/../../m.txt' ELSE '/m.txt' END) AS path
       FROM {documents} d) f
 """
 
 # Files those findings are about.
 FLAT_FILES_SQL = """
-SELECT source AS repo, concat('src/m', doc_id, '.txt') AS path, text AS content, doc_id
+SELECT source AS repo, concat('d', doc_id, '/m.txt') AS path, text AS content, doc_id
 FROM {documents}
 """
 
 PATHS_SQL = """
 SELECT source AS repo, doc_id,
- CASE doc_id % 6 WHEN 0 THEN concat('../src/m', doc_id, '.txt')
-   WHEN 1 THEN concat('src/../src/./m', doc_id, '.txt') WHEN 2 THEN concat('/src/m', doc_id, '.txt')
-   WHEN 3 THEN concat('src/m', doc_id, '.txt') WHEN 4 THEN concat('src/missing', doc_id, '.txt')
-   ELSE concat('a/b/../../src//m', doc_id, '.txt') END AS path
+ CASE doc_id % 6 WHEN 0 THEN concat('../d', doc_id, '/m.txt')
+   WHEN 1 THEN concat('src/../d', doc_id, '/./m.txt') WHEN 2 THEN concat('/d', doc_id, '/m.txt')
+   WHEN 3 THEN concat('d', doc_id, '/m.txt') WHEN 4 THEN concat('d', doc_id, '/missing.txt')
+   ELSE concat('a/b/../../d', doc_id, '//m.txt') END AS path
 FROM {documents}
 """
 

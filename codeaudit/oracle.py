@@ -389,7 +389,7 @@ ORACLE: dict[str, str] = {
     "skip_dir_filter": f"WITH {_FILES} SELECT repo, path FROM files WHERE NOT ({_SKIPPED})",
     "test_file_split": f"WITH {_FILES} SELECT repo, path, {_IS_TEST} AS is_test, {_BY_NAME} AS by_name FROM files",
     "safe_path": f"""WITH {_PATHS}
-SELECT repo, doc_id, path, concat('src/m', doc_id, '.txt') AS safe_path FROM paths WHERE doc_id % 6 IN (1, 3, 5)""",
+SELECT repo, doc_id, path, concat('d', doc_id, '/m.txt') AS safe_path FROM paths WHERE doc_id % 6 IN (1, 3, 5)""",
     "tokenize": f"""WITH {_FILES}, w AS (
  SELECT repo, path, list_transform(regexp_extract_all(content, '{fixed.WORD}'), lambda w: lower(w)) AS ws FROM files)
 SELECT repo, path, CAST(len(ws) AS INT) AS n_words, array_to_string(ws, ' ') AS words FROM w""",
