@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import quality
+from codeaudit.llm import jaccard, quality
 from codeaudit.llm.tables import table
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and component of every document."""
+    return jaccard.near_components(table(spark, folder, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality.judge(table(spark, folder, "documents")).select(
@@ -15,5 +20,6 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
 }
