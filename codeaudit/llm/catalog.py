@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import jaccard, quality
+from codeaudit.llm import jaccard, linededup, quality
 from codeaudit.llm.tables import table
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: lines, later copies, near copies of earlier lines, and the numbers of dropped lines."""
+    return linededup.drops(table(spark, folder, "documents")).drop("row_key")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Set size and component of every document."""
     return jaccard.near_components(table(spark, folder, "documents"))
@@ -20,6 +25,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
 }

@@ -51,12 +51,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of any spans of one byte buffer."""
+    """Hashes of any spans of one byte buffer, or of an array of 64-bit values."""
 
     def __init__(self, buf: np.ndarray):
         power, self._inverse = _powers(len(buf) + 1)
         self._prefix = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTES[buf] * power[: len(buf)], out=self._prefix[1:])
+        values = _BYTES[buf] if buf.dtype == np.uint8 else buf
+        np.cumsum(values * power[: len(buf)], out=self._prefix[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._prefix[ends] - self._prefix[starts]) * self._inverse[starts])
@@ -71,9 +72,9 @@ class Chunk:
     buf: np.ndarray
     offsets: np.ndarray
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of all words, in order."""
-        word = ~SPACE[self.buf]
+    def spans(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of all runs of bytes that are not `space`, in order."""
+        word = ~space[self.buf]
         start, end = word.copy(), word.copy()
         start[1:] &= ~word[:-1]
         end[:-1] &= ~word[1:]
