@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import jaccard, linededup, quality
+from codeaudit.llm import decontaminate, jaccard, linededup, quality
 from codeaudit.llm.tables import table
 
 
@@ -13,6 +13,11 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.drops(table(spark, folder, "documents")).drop("row_key")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    return decontaminate.passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Set size and component of every document."""
     return jaccard.near_components(table(spark, folder, "documents"))
@@ -26,6 +31,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
 }
