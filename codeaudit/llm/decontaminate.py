@@ -7,7 +7,7 @@ within `RATE` of m word edits of it.
 A CGK walk reads a window from its start; at every step a random bit of (walk, step, word) says
 whether it moves on, so two windows a few edits apart soon walk in step again and edit distance
 becomes Hamming distance of the words read. A table of the LSH is the words read at a few random
-steps of one of the walks. The windows' size follows the item's: the largest power of two up to
+steps, spread over one of the walks. The windows' size follows the item's: the largest power of two up to
 two thirds of it. All starts of an item are embedded, and every `STRIDE`-th start of each
 document, so a passage meets its item at many aligned places, and each has all tables to hit; an
 unaltered passage always does. Hits are verified by edit distance against the whole item.
@@ -34,7 +34,7 @@ from codeaudit.llm.words import BASE, LOWER, Hasher, mix, texts
 
 RATE = 0.2  # word edits for each word of the item
 STRIDE = 4
-WALKS, TABLES, SYMBOLS = 4, 12, 3
+WALKS, TABLES, SYMBOLS = 4, 12, 4
 BLOCK_CHARS = 4_000_000
 SCREEN_BITS = 22
 HITS = "doc_id long, item_id long, start long, n_words long, distance long"
@@ -74,7 +74,9 @@ class Walks:
         for c, size in enumerate(classes):
             rng = np.random.default_rng([7, size])
             for t in range(TABLES):
-                for step in rng.choice(2 * size, min(SYMBOLS, 2 * size), replace=False):
+                # One step from each part of the walk, so that the words read differ.
+                part = max(2 * size // SYMBOLS, 1)
+                for step in np.arange(0, 2 * size, part) + rng.integers(0, part, -(-2 * size // part)):
                     self.plan[t % WALKS].setdefault(int(step), []).append((c, t))
 
     def keys(self, h: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
