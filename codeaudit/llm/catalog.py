@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import decontaminate, jaccard, linededup, quality
+from codeaudit.llm import decontaminate, jaccard, linededup, pieces, quality
 from codeaudit.llm.tables import table
 
 
@@ -29,9 +29,15 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece ids of every document, with length and checksum of the text that they decode to."""
+    return pieces.round_trip(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
+    "op10_sentencepiece": op10_sentencepiece,
 }
