@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from codeaudit.oracle import ORACLE
+from codeaudit.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -21,13 +22,13 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    result = queries()[name](spark, FOLDER)
-    expected = duck.execute(oracle_sql()[name])
+    result = QUERIES[name](spark, FOLDER)
+    expected = duck.execute(ORACLE[name])
     columns = [c[0] for c in expected.description]
     assert sorted(result.columns) == sorted(columns)
     got = sorted((tuple(r) for r in result.select(*columns).collect()), key=str)
