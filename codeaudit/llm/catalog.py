@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import decontaminate, jaccard, linededup, pieces, quality
+from codeaudit.llm import decontaminate, jaccard, linededup, pieces, quality, urlfilter
 from codeaudit.llm.tables import table
 
 
@@ -23,6 +23,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_components(table(spark, folder, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return urlfilter.judge(table(spark, folder, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality.judge(table(spark, folder, "documents")).select(
@@ -38,6 +43,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_url_filters": op6_url_filters,
     "op8_quality_rules": op8_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
