@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import decontaminate, jaccard, linededup, pieces, quality, urlfilter
+from codeaudit.llm import decontaminate, jaccard, linededup, pieces, quality, tokenfile, urlfilter
 from codeaudit.llm.tables import table
 
 
@@ -28,6 +28,11 @@ def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judge(table(spark, folder, "pages"))
 
 
+def op7_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the written files."""
+    return tokenfile.round_trip(table(spark, folder, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality.judge(table(spark, folder, "documents")).select(
@@ -44,6 +49,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_url_filters": op6_url_filters,
+    "op7_token_id_output": op7_token_id_output,
     "op8_quality_rules": op8_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
