@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import decontaminate, jaccard, linededup, pieces, quality, tokenfile, urlfilter
+from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, tokencounts, tokenfile, urlfilter
 from codeaudit.llm.tables import table
 
 
@@ -13,11 +13,21 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.drops(table(spark, folder, "documents")).drop("row_key")
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after loads, deletes, revisions and replays."""
+    return tokencounts.rollup(spark, folder)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     return decontaminate.passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(table(spark, folder, "pages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Set size and component of every document."""
     return jaccard.near_components(table(spark, folder, "documents"))
@@ -39,6 +49,12 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Losses of every document under both models, and their difference."""
+    docs = table(spark, folder, "documents")
+    return lmscore.score(docs, lmscore.good_documents(docs, table(spark, folder, "labels")))
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Piece ids of every document, with length and checksum of the text that they decode to."""
     return pieces.round_trip(table(spark, folder, "documents"))
@@ -46,10 +62,13 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_url_filters": op6_url_filters,
     "op7_token_id_output": op7_token_id_output,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_sentencepiece": op10_sentencepiece,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from codeaudit.llm.quality import BITS, MIN_GROUP, MIN_WORDS, RATES
+from codeaudit.llm.tokencounts import TOKENIZERS
 
 
 def _quality(docs: str = "documents") -> str:
@@ -36,6 +37,17 @@ judged AS (SELECT c.doc_id, any_value(c.n_words) AS n_words, any_value(c.word_ch
   FROM counts c LEFT JOIN fences f USING (lang, source) GROUP BY c.doc_id)"""
 
 
+def _token_counts() -> str:
+    """Totals of kept documents, counted over the distinct lines of their text."""
+    each = " UNION ALL ".join(
+        f"SELECT source, lang, '{v}' AS tokenizer, len(regexp_extract_all(once, '{pattern}')) AS n FROM kept" for v, pattern in TOKENIZERS.items())
+    return f"""WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+once AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS once FROM (SELECT doc_id, line, min(i) AS i FROM lines GROUP BY doc_id, line) GROUP BY doc_id),
+kept AS (SELECT source, lang, once FROM documents JOIN once USING (doc_id) QUALIFY doc_id = min(doc_id) OVER (PARTITION BY text))
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM ({each}) GROUP BY ALL"""
+
+
 ORACLE = {
+    "op2_token_counts": _token_counts(),
     "op8_quality_rules": f"WITH {_quality()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
 }
