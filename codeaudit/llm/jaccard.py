@@ -65,8 +65,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_out, ids, bits, hashes, known = [], [], [], [], set()
+            known = set()
             for chunk in texts(batch):
+                n_out, ids, bits, hashes = [], [], [], []
                 starts, ends = chunk.spans()
                 h = Hasher(LOWER[chunk.buf])(starts, ends)
                 bounds, grams = chunk.per_row(starts), windows(h, WORDS)
@@ -89,20 +90,28 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                         known.add(ids[-1])
                         bits.append(bitmap(found))
                         hashes.append(pack(found))
-            yield record({"doc_id": batch.column("doc_id"), "n": n_out, "set_id": ids, "bits": bits, "hashes": hashes}, SETS)
+                rows = batch.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo)
+                yield record({"doc_id": rows, "n": n_out, "set_id": ids, "bits": bits, "hashes": hashes}, SETS)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces that are small when unpacked."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _frequent(sets: DataFrame) -> np.ndarray:
     """Shingles that stand in many sets, at most `HOT_LIST`, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [unpack(x) for x in batch.column("hashes").to_pylist() if x]
+        for part in _slices(batches):
+            parts = [unpack(x) for x in part.column("hashes").to_pylist() if x]
             if parts:
                 values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                often = counts >= max(2, len(parts) // 2500)
+                often = counts >= 2
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["h", "k"])
 
     counts = sets.select("hashes").mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
@@ -123,8 +132,8 @@ def _first_shingles(sets: DataFrame, hot: np.ndarray) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, lists = (batch.column(c).to_pylist() for c in ("set_id", "n", "hashes"))
+        for part in _slices(batches):
+            ids, sizes, lists = (part.column(c).to_pylist() for c in ("set_id", "n", "hashes"))
             out, counts, kept = [], [], []
             for k, data in enumerate(lists):
                 if data:
@@ -183,15 +192,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {k: batch.column(k).to_pylist() for k in batch.schema.names}
+        for part in _slices(batches):
+            c = {k: part.column(k).to_pylist() for k in part.schema.names}
             good = []
-            for k in range(batch.num_rows):
+            for k in range(part.num_rows):
                 size = min(len(c["bits_a"][k]), len(c["bits_b"][k]))
                 differ = int(np.bitwise_count(_fold(c["bits_a"][k], size) ^ _fold(c["bits_b"][k], size)).sum())
                 na, nb = c["n_a"][k], c["n_b"][k]
                 good.append(bool(possible(na, nb, differ)) and linked(c["hashes_a"][k], c["hashes_b"][k], na, nb))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
