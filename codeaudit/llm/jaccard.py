@@ -20,7 +20,7 @@ without a doc_id have no component; an empty table gives no row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from codeaudit.storage import materialize
 
 WORDS = 5
 NUM, DEN = 3, 4  # similarity of 3/4
+BYTES = 5  # of each hash that are stored; two sets of 1,000 have one false match in a million such pairs
 TILE = 512
 HOT_SETS = 100  # a shingle of so many sets is looked at last; this orders shingles and decides nothing
 HOT_LIST = 65_536  # the most frequent of these that are sent to the tasks (8 bytes each)
@@ -44,13 +45,13 @@ SETS = StructType().add("doc_id", "long").add("n", "integer").add("set_id", "lon
 
 
 def pack(h: np.ndarray) -> bytes:
-    """The high 48 bits of each hash."""
-    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The high `BYTES` bytes of each hash."""
+    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(data) // BYTES, 8), np.uint8)
+    wide[:, 8 - BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
     return wide.reshape(-1).view(">u8").astype(np.uint64)
 
 
@@ -180,31 +181,36 @@ def linked(a: bytes, b: bytes, na: int, nb: int) -> bool:
     return (NUM + DEN) * shared >= NUM * (na + nb)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs `(a, b)` whose sets reach the similarity."""
-    pairs = materialize(pairs, "jaccard-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = materialize(ids, "jaccard-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    some = materialize(sets.select("doc_id", "n", "bits", "hashes").join(ids, "doc_id", "left_semi"), "jaccard-some")
-    side = lambda x: some.select(*[F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in some.columns])
+def open_pair(a: bytes, b: bytes, na: int, nb: int) -> bool:
+    """Whether the bitmaps leave it open that two sets reach the similarity."""
+    size = min(len(a), len(b))
+    return bool(possible(na, nb, int(np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum())))
+
+
+def _tested(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[bytes, bytes, int, int], bool]) -> DataFrame:
+    """The pairs whose `column` values and sizes pass `test`."""
+    side = lambda x: sets.select(*[F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in ("doc_id", "n", column)])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            c = {k: part.column(k).to_pylist() for k in part.schema.names}
-            good = []
-            for k in range(part.num_rows):
-                size = min(len(c["bits_a"][k]), len(c["bits_b"][k]))
-                differ = int(np.bitwise_count(_fold(c["bits_a"][k], size) ^ _fold(c["bits_b"][k], size)).sum())
-                na, nb = c["n_a"][k], c["n_b"][k]
-                good.append(bool(possible(na, nb, differ)) and linked(c["hashes_a"][k], c["hashes_b"][k], na, nb))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            values = zip(*(part.column(f"{c}_{x}").to_pylist() for c in (column, "n") for x in "ab"))
+            good = pa.array([test(*v) for v in values], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(good)
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs `(a, b)` whose sets reach the similarity: bitmaps first, then only the sets that these leave."""
+    pairs = materialize(_tested(pairs, sets, "bits", open_pair), "jaccard-pairs")
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    some = materialize(sets.select("doc_id", "n", "hashes").join(ids, "doc_id", "left_semi"), "jaccard-some")
+    return _tested(pairs, some, "hashes", linked)
+
+
 def _tile_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of different components that no bitmap rules out.
 
