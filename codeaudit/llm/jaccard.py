@@ -4,7 +4,7 @@ Texts become sets of 64-bit hashes of five-word shingles. Two sets that reach th
 share a shingle among the first quarter (plus one) of both, in any order that all sets agree
 on; here shingles in few documents come first. Sets that share such a shingle meet:
 
-1. each set with the smallest set of one of its meetings: one pair per set, so groups of
+1. `STARS` times, each set with one leader of another component: one pair per set, so groups of
    copies fall together at a cost that is linear in their number;
 2. what still is in different components meets in tiles: at most `TILE` sets of one shingle,
    ordered by size, against a tile whose sizes are within the ratio. A set's parity bitmap
@@ -37,7 +37,8 @@ BYTES = 5  # of each hash that are stored; two sets of 1,000 have one false matc
 TILE = 512
 HOT_SETS = 100  # a shingle of so many sets is looked at last; this orders shingles and decides nothing
 HOT_LIST = 65_536  # the most frequent of these that are sent to the tasks (8 bytes each)
-MAX_BITS = 8192
+STARS = 3
+MAX_BITS = 1 << 17
 BROADCAST_IDS = 2_000_000
 
 _U = np.uint64
@@ -154,15 +155,36 @@ def _first_shingles(sets: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _meetings(first: DataFrame) -> DataFrame:
-    """`(h, set_id, n, leader)` of shingles that two different sets have; leader is the smallest of them."""
+    """`(h, set_id, n)` of shingles that two different sets have, each set once."""
     group = Window.partitionBy("h")
-    ordered = group.orderBy("n", "set_id")
     return (
         first.withColumns({
             "lo": F.min("set_id").over(group), "hi": F.max("set_id").over(group),
-            "prev": F.lag("set_id").over(ordered), "leader": F.first("set_id").over(ordered)})
+            "prev": F.lag("set_id").over(group.orderBy("set_id"))})
         .where((F.col("lo") != F.col("hi")) & (F.col("prev").isNull() | (F.col("prev") != F.col("set_id"))))
-        .select("h", "set_id", "n", "leader"))
+        .select("h", "set_id", "n"))
+
+
+def _stars(met: DataFrame, turn: int) -> DataFrame:
+    """One pair `(a, b)` for each set: with the leader of another component that it meets most often.
+
+    A shingle's leader is the set that comes first in a random order, the same for all
+    shingles, so that a group of copies has few leaders.
+    """
+    order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("place"), "rep", "component")
+    leader = met.groupBy("h").agg(F.min(order).alias("l"))
+    pairs = met.join(leader, "h").where("component <> l.component").groupBy("rep", F.col("l.rep").alias("leader")).agg(F.count("*").alias("k"))
+    best = pairs.groupBy("rep").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
+    return best.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
+
+
+def _unsettled(met: DataFrame, links: DataFrame) -> DataFrame:
+    """`(h, rep, n, component)` of the shingles under which different components meet."""
+    joined = components(links).select(F.col("id").alias("rep"), "component")
+    known = met.select("h", "rep", "n").join(joined, "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    group = Window.partitionBy("h")
+    rest = known.withColumns({"least": F.min("component").over(group), "most": F.max("component").over(group)})
+    return materialize(rest.where("least <> most").drop("least", "most"), "jaccard-unsettled")
 
 
 def possible(na: np.ndarray, nb: np.ndarray, differ: np.ndarray) -> np.ndarray:
@@ -295,18 +317,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     one = sets.where("doc_id IS NOT NULL AND hashes IS NOT NULL")
     classes = materialize(one.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     first = _first_shingles(sets.where("hashes IS NOT NULL"), _frequent(sets.where("hashes IS NOT NULL")))
-    named = classes.withColumnRenamed("rep", "leader_rep").withColumnRenamed("set_id", "leader")
-    met = _meetings(first).join(classes, "set_id").join(named, "leader")
-    met = materialize(met.select("h", "n", "rep", F.col("leader_rep").alias("leader")), "jaccard-met")
-
-    star = met.where("rep <> leader").groupBy("rep").agg(F.min("leader").alias("leader"))
-    links = materialize(_verified(star.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), one), "jaccard-links")
-    joined = components(links)
-    known = met.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "h", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    group = Window.partitionBy("h")
-    rest = known.where(F.col("rep").isNotNull()).withColumns({
-        "least": F.min("component").over(group), "most": F.max("component").over(group)}).where("least <> most").drop("least", "most")
+    met = _meetings(first).join(classes, "set_id").select("h", "n", "rep", F.col("rep").alias("component"))
+    rest = materialize(met, "jaccard-met")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(STARS):
+        links = materialize(links.unionAll(_verified(_stars(rest, turn), one)), "jaccard-links")
+        rest = _unsettled(rest, links)
     # Pairs that shared a tile under several shingles are tested once.
     more = _verified(_tile_pairs(_tiles(rest, one)).distinct(), one)
     final = components(links.unionAll(more))
