@@ -135,7 +135,7 @@ def base_failed(n_words: Column, repeats: Column) -> Column:
 def with_rates(counts: DataFrame) -> DataFrame:
     """The counts with the base verdict, the rates and the group columns."""
     rates = {
-        name: F.expr(f"coalesce(({scale} * {top}) div {below}, 0L)") for name, (top, below, scale, _) in RATES.items()}
+        name: F.expr(f"coalesce(({scale} * {top}) div nullif({below}, 0), 0L)") for name, (top, below, scale, _) in RATES.items()}
     return counts.withColumns(rates | {
         "base_failed": base_failed(F.col("n_words"), F.col("n_repeat_words")),
         "group_lang": F.coalesce("lang", F.lit("")), "group_source": F.coalesce("source", F.lit("")),

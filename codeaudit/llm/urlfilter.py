@@ -92,7 +92,7 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     # Both models fall back to the same share for a character that neither has seen.
     current = asked.withColumns({"allow": F.lit(1 / 256), "block": F.lit(1 / 256)})
     for order in range(ORDER + 1):
-        short = F.expr(f"if(length(context) >= {order}, right(context, {order}), null)") if order else F.lit("")
+        short = F.expr(f"if(length(context) >= {order}, right(context, {order}), null)")
         seen = counts.where(F.length("context") == order).select(F.col("context").alias("short"), F.col("next"), "n_allow", "n_block")
         known = mass.where(F.length("context") == order).withColumnRenamed("context", "short")
         current = current.withColumn("short", short).join(known, "short", "left").join(seen, ["short", "next"], "left")
