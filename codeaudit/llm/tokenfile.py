@@ -19,8 +19,10 @@ document longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from codeaudit.storage import materialize, scratch_path
 LIMIT = 20
 LANE = 256
 BLOCK = 1 << 20
-CACHE = 300_000  # distinct words whose ids a task keeps
+CACHE = 600_000  # distinct words whose ids a worker keeps
 END_ID = 1
 RAW = "part int, seq int, doc_ids array<long>, counts array<long>, ids binary"
 BLOCKS = "part int, seq int, first_token long, doc_ids array<long>, counts array<long>, payload binary, checkpoints array<long>"
@@ -48,9 +50,19 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """Ids of texts; the tokenizer never looks across a space or a line break, so words are encoded once."""
+    """Ids of texts; the tokenizer never looks across a space or a line break, so words are encoded once.
+
+    A worker process keeps one for all its tasks.
+    """
+
+    @classmethod
+    @cache
+    def load(cls, path: str) -> WordEncoder:
+        return cls(path)
 
     def __init__(self, path: str):
+        # Spark runs a task per core; threads within one would only add to it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,7 +74,7 @@ class WordEncoder:
         if len(self.known) > CACHE:
             self.known = {"": b""}
         new = list(set().union(*lists) - self.known.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.known[word] = np.array(found.ids, "<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in lists]
@@ -74,7 +86,7 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = WordEncoder.load(path), TaskContext.get().partitionId(), 0
         ids, doc_ids, counts, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
