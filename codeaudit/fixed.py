@@ -27,10 +27,10 @@ AGENT_SUFFIXES = {
     "documentation": (".py", ".md"),
 }
 AGENT_ROLES = {
-    "security": "senior security reviewer",
-    "quality": "senior code quality reviewer",
-    "test-gap": "senior test engineer",
-    "documentation": "technical documentation reviewer",
+    "security": "person who triages scanner alerts",
+    "quality": "maintainer who has to live with this code",
+    "test-gap": "developer who plans the next tests",
+    "documentation": "newcomer who reads the docs first",
 }
 
 # Folders that no detector looks into.

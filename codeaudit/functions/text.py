@@ -47,6 +47,16 @@ def strip_fence(reply: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(reply), FENCE_OPEN, ""), FENCE_CLOSE, "")
 
 
+def strict_json(text: Column, schema: str) -> Column:
+    """A JSON text as `schema`; NULL unless it is one value of the schema's kind and nothing else.
+
+    The text is read as the only element of an array, so anything after the value breaks it.
+    """
+    opening = "[" if schema.upper().startswith("ARRAY") else "{"
+    one = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"ARRAY<{schema}>", {"allowSingleQuotes": "false"})
+    return F.when((F.size(one) == 1) & F.startswith(strip(text), F.lit(opening)), one[0])
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of three or more ASCII letters, in order, with repeats."""
     runs = F.regexp_extract_all(text, F.lit(f"({fixed.WORD})"), 1)

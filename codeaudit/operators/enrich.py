@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeaudit import fixed
 from codeaudit.functions.paths import path_order
 from codeaudit.functions.rows import posexplode_rows
-from codeaudit.functions.text import strip_fence
+from codeaudit.functions.text import strict_json, strip_fence
 from codeaudit.operators.ranking import number_rows
 from codeaudit.schemas import FIX_REPLY, TRIAGE_REPLY, severity_value
 
@@ -18,15 +18,16 @@ KEY = ("review_id", "agent")
 # Findings per prompt. Indices run on over the prompts of a detector.
 PROMPT_FINDINGS = 2_000
 
+# Each task states the schema of the reply that `reply_items` and `fix_items` read.
 TRIAGE_TASK = (
-    "explain the risk of each finding in one plain sentence and name one concrete fix in "
-    "another. Add no findings of your own. Answer with a JSON array and nothing else, items like "
-    '{"i": int, "explanation": str, "fix": str}.'
+    "below is a table of findings as JSON, numbered by i. For every i that you can judge, reply with an object of "
+    "three keys: i (the same number), explanation (what can go wrong, one sentence) and fix (what to change, one "
+    "sentence). The whole reply is one JSON array of such objects, without numbers that are not in the table."
 )
 FIX_TASK = (
-    "Suggest the smallest safe change for each finding. Answer with a JSON array and "
-    'nothing else, items like {"i": int, "original": str, "fixed": str, "note": str}. Copy "original" '
-    "character by character from the snippet; leave out findings without a safe, small fix."
+    "Each numbered finding comes with the lines around it. For those with an obvious local repair, reply with an object "
+    "of four keys: i (the number), original (lines as they stand, unchanged down to the spaces), fixed (the lines that "
+    "replace them) and note (a few words). The whole reply is one JSON array of such objects; it may be empty."
 )
 
 
@@ -73,7 +74,7 @@ def triage_prompts(
         prompts = prompts.join(contexts, list(key), "left")
         context = F.when(
             F.col("context") != "",
-            F.concat(F.lit("Excerpts from the code and its standards:\n"), "context", F.lit("\n\n")),
+            F.concat(F.lit("From the same repository:\n"), "context", F.lit("\n\n")),
         ).otherwise("")
     text = F.concat(
         F.lit("As a "), role, F.lit(f", {TRIAGE_TASK}\n\n"), context, F.lit("Findings:\n"), "payload"
@@ -87,7 +88,7 @@ def reply_items(replies: DataFrame, schema: str) -> DataFrame:
     A reply that does not parse, or has an item without an index, gives no items.
     """
     rest = [c for c in replies.columns if c != "reply"]
-    parsed = replies.select(*rest, F.from_json(strip_fence(F.col("reply")), schema).alias("_items"))
+    parsed = replies.select(*rest, strict_json(strip_fence(F.col("reply")), schema).alias("_items"))
     complete = F.forall("_items", lambda item: item["i"].isNotNull())
     return posexplode_rows(parsed, rest, F.when(complete, F.col("_items")), "pos", "item")
 
@@ -121,7 +122,7 @@ def fix_prompts(snippets: DataFrame, key: Sequence[str] = ("review_id",)) -> Dat
 
 def fix_items(replies: DataFrame) -> DataFrame:
     """Proposed changes of replies: `(…, pos, i, original, fixed, note)`."""
-    items = F.from_json(strip_fence(F.col("reply")), FIX_REPLY)
+    items = strict_json(strip_fence(F.col("reply")), FIX_REPLY)
     rest = [c for c in replies.columns if c != "reply"]
     return posexplode_rows(replies, rest, items, "pos", "item").select(
         *rest, "pos", "item.i", "item.original", "item.fixed",

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from codeaudit import fixed
 from codeaudit.functions.paths import is_test_file, relative_to
 from codeaudit.functions.rows import posexplode_rows
+from codeaudit.functions.text import strict_json
 from codeaudit.schemas import SAST_REPORT, as_findings
 
 
 def sast_results(reports: DataFrame) -> DataFrame:
     """Explode reports `(repo, json)` into raw results; blank or broken ones give no rows."""
-    results = F.from_json("json", SAST_REPORT)["results"]
+    results = strict_json(F.col("json"), f"STRUCT<{SAST_REPORT}>")["results"]
     return posexplode_rows(reports, [c for c in reports.columns if c != "json"], results, "pos", "result")
 
 

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codeaudit import fixed
 from codeaudit.operators import enrich, retrieval
+from codeaudit.schemas import TRIAGE_REPLY
 
 
 def test_chunks(spark, tree):
@@ -105,7 +107,7 @@ def test_prompts(spark, finding_rows, per_prompt):
         enumerate(["Info", "Low", "Medium", "High", "Critical"])
     )
     assert len(rows) == (3 if per_prompt == 2 else 1)
-    assert "senior code quality reviewer" in rows[0]["prompt"] and "[a:1]\ntext" in rows[0]["prompt"]
+    assert fixed.AGENT_ROLES["quality"] in rows[0]["prompt"] and "[a:1]\ntext" in rows[0]["prompt"]
 
 
 def test_list_order_puts_reports_first_and_paths_by_component(finding_rows):
@@ -115,3 +117,11 @@ def test_list_order_puts_reports_first_and_paths_by_component(finding_rows):
     ])
     rows = enrich.indexed_findings(found).orderBy("agent", "i").collect()
     assert [r["file"] for r in rows] == [".", "a/b.py", "a-b.py", "z.py", "a.py"]
+
+
+@pytest.mark.parametrize("reply", [
+    '[{"i": 0, "explanation": "x", "fix": "y"}] Hope this helps!', "[{'i': 0, 'explanation': 'x', 'fix': 'y'}]", '{"i": 0, "explanation": "x", "fix": "y"}',
+    '[{"i": 0, "explanation": "x", "fix": "y"}], [1]'])
+def test_reply_that_is_not_one_array_changes_nothing(spark, reply):
+    replies = spark.createDataFrame([("r", "quality", reply)], "review_id string, agent string, reply string")
+    assert enrich.reply_items(replies, TRIAGE_REPLY).count() == 0
