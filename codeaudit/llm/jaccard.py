@@ -38,6 +38,7 @@ TILE = 512
 HOT_SETS = 100  # a shingle of so many sets is looked at last; this orders shingles and decides nothing
 HOT_LIST = 65_536  # the most frequent of these that are sent to the tasks (8 bytes each)
 STARS = 3
+PAIR_BYTES = 8 << 20  # of bitmaps that are compared in one step
 MAX_BITS = 1 << 17
 BROADCAST_IDS = 2_000_000
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # texts are worked on in chunks of about this size; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 19  # texts are worked on in chunks of about this size; a longer text is a chunk of its own
 
 _U = np.uint64
 BASE = 0x9E3779B97F4A7C15
