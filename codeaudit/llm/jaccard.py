@@ -2,7 +2,8 @@
 
 Texts become sets of 64-bit hashes of five-word shingles. Two sets that reach the similarity
 share a shingle among the first quarter (plus one) of both, in any order that all sets agree
-on; here shingles in few documents come first. Sets that share such a shingle meet:
+on; here shingles in few documents come first. Sets that share such a shingle meet
+(of shingles that stand in the very same sets, under one of them):
 
 1. `STARS` times, each set with one leader of another component: one pair per set, so groups of
    copies fall together at a cost that is linear in their number;
@@ -166,6 +167,17 @@ def _meetings(first: DataFrame) -> DataFrame:
         .select("h", "set_id", "n"))
 
 
+def _distinct_groups(met: DataFrame) -> DataFrame:
+    """`(h, set_id, n, w)`: of the shingles that stand in the same sets one, with their number `w`.
+
+    Sets that share a passage meet under each of its shingles; one such meeting is enough.
+    """
+    sums = [F.bit_xor(F.xxhash64("set_id", F.lit(seed))).alias(f"x{seed}") for seed in (0, 1)]
+    groups = met.groupBy("h").agg(F.count("*").alias("k"), *sums)
+    one = groups.groupBy("k", "x0", "x1").agg(F.min("h").alias("h"), F.count("*").alias("w")).select("h", "w")
+    return met.join(one, "h")
+
+
 def _stars(met: DataFrame, turn: int) -> DataFrame:
     """One pair `(a, b)` for each set: with the leader of another component that it meets most often.
 
@@ -174,7 +186,7 @@ def _stars(met: DataFrame, turn: int) -> DataFrame:
     """
     order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("place"), "rep", "component")
     leader = met.groupBy("h").agg(F.min(order).alias("l"))
-    pairs = met.join(leader, "h").where("component <> l.component").groupBy("rep", F.col("l.rep").alias("leader")).agg(F.count("*").alias("k"))
+    pairs = met.join(leader, "h").where("component <> l.component").groupBy("rep", F.col("l.rep").alias("leader")).agg(F.sum("w").alias("k"))
     best = pairs.groupBy("rep").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
     return best.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
 
@@ -182,7 +194,7 @@ def _stars(met: DataFrame, turn: int) -> DataFrame:
 def _unsettled(met: DataFrame, links: DataFrame) -> DataFrame:
     """`(h, rep, n, component)` of the shingles under which different components meet."""
     joined = components(links).select(F.col("id").alias("rep"), "component")
-    known = met.select("h", "rep", "n").join(joined, "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    known = met.select("h", "rep", "n", "w").join(joined, "rep", "left").select("h", "rep", "n", "w", F.coalesce("component", "rep").alias("component"))
     group = Window.partitionBy("h")
     rest = known.withColumns({"least": F.min("component").over(group), "most": F.max("component").over(group)})
     return materialize(rest.where("least <> most").drop("least", "most"), "jaccard-unsettled")
@@ -298,7 +310,7 @@ def _tile_pairs(rows: DataFrame) -> DataFrame:
 def _tiles(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows of every tile: `rest(h, rep, n, component)` cut by size, with the tiles within the ratio."""
     order = Window.partitionBy("h").orderBy("n", "rep")
-    cut = materialize(rest.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / TILE).cast("int")), "jaccard-cut")
+    cut = materialize(rest.drop("w").withColumn("chunk", F.floor((F.row_number().over(order) - 1) / TILE).cast("int")), "jaccard-cut")
     span = cut.groupBy("h", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = span.alias("x"), span.alias("y")
     pairs = x.join(y, F.expr(f"x.h = y.h AND x.chunk <= y.chunk AND {DEN} * x.hi >= {NUM} * y.lo")).select(
@@ -318,7 +330,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     one = sets.where("doc_id IS NOT NULL AND hashes IS NOT NULL")
     classes = materialize(one.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     first = _first_shingles(sets.where("hashes IS NOT NULL"), _frequent(sets.where("hashes IS NOT NULL")))
-    met = _meetings(first).join(classes, "set_id").select("h", "n", "rep", F.col("rep").alias("component"))
+    met = _distinct_groups(materialize(_meetings(first), "jaccard-meetings")).join(classes, "set_id")
+    met = met.select("h", "n", "w", "rep", F.col("rep").alias("component"))
     rest = materialize(met, "jaccard-met")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     for turn in range(STARS):
