@@ -20,6 +20,7 @@ document longer than a block is a block of its own.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -36,6 +37,7 @@ LIMIT = 20
 LANE = 256
 BLOCK = 1 << 20
 CACHE = 600_000  # distinct words whose ids a worker keeps
+TAIL = "".join(set(string.punctuation) - {"'"})  # an apostrophe may begin a contraction
 END_ID = 1
 RAW = "part int, seq int, doc_ids array<long>, counts array<long>, ids binary"
 BLOCKS = "part int, seq int, first_token long, doc_ids array<long>, counts array<long>, payload binary, checkpoints array<long>"
@@ -50,9 +52,12 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """Ids of texts; the tokenizer never looks across a space or a line break, so words are encoded once.
+    """Ids of texts under the default tokenizer, each distinct word encoded once.
 
-    A worker process keeps one for all its tasks.
+    It never looks across a space or a line break, lower-cases, splits runs of letters from
+    punctuation and marks the last piece of a run. So a word is its head and a tail of
+    punctuation, and the heads that are all letters are encoded in one call and told apart
+    by their marks. A worker process keeps one encoder for all its tasks.
     """
 
     @classmethod
@@ -66,20 +71,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def _learn(self, words: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.known.update((word, np.array(x.ids, "<u4").tobytes()) for word, x in zip(words, found))
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """As `_learn`, for words of letters alone."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * np.flatnonzero(self.last[ids]) + 4
+        if len(ends) != len(words):  # a letter that lower-cases to more than letters
+            return self._learn(words)
+        data, ends = ids.tobytes(), ends.tolist()
+        self.known.update((word, data[a:z]) for word, a, z in zip(words, [0, *ends], ends))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         lists = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known = {"": b""}
-        new = list(set().union(*lists) - self.known.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        new = [(word, *split_tail(word)) for word in set().union(*lists) - self.known.keys()]
+        parts = {part for _, *both in new for part in both} - self.known.keys()
+        letters = [part for part in parts if part.isalpha()]
+        if letters:
+            self._learn_letters(letters)
+        self._learn([part for part in parts if not part.isalpha()])
         get = self.known.__getitem__
+        self.known.update([(word, get(head) + get(tail)) for word, head, tail in new])
         return [b"".join(map(get, words)) for words in lists]
 
 
+def split_tail(word: str) -> tuple[str, str]:
+    """Head and tail, whose ids together are those of the word."""
+    head = word.rstrip(TAIL)
+    if "<|" in word or not head[-1:].lower().isalpha():  # special tokens; punctuation that the tail would join
+        return word, ""
+    return head.lower() if head.isascii() else head, word[len(head) :]
+
+
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Blocks of ids in ascending doc_id order, as `RAW`."""
     path = path or default_path()

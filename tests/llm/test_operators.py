@@ -230,6 +230,16 @@ def test_token_files(spark, awkward, nothing):
     assert tokenfile.round_trip(nothing).count() == 0
 
 
+def test_word_encoder():
+    """Words cut into letters and punctuation have the ids of their whole text."""
+    encoder = tokenfile.WordEncoder(tokenfile.default_path())
+    draw = np.random.default_rng(7)
+    odd = ["a.<|endoftext|>b", "<|ENDOFTEXT|>", "İstanbul. x", "don't. can't's. a'.b. 'S 'Tx.", "H\u0331. KK, \u0338= é.", "٢a. ²a²..", "", " \n"]
+    odd += ["".join(draw.choice(list("aB'.<|> \nİé\u0301sS9\xa0,\t!"), 40)) for _ in range(1000)]
+    want = encoder.tokenizer.encode_batch(odd, add_special_tokens=False)
+    assert encoder.encode(odd) == [np.array(x.ids, "<u4").tobytes() for x in want]
+
+
 def test_code_lengths():
     rng = np.random.default_rng(2)
     counts = (rng.pareto(0.6, 500) * 10 + 1).astype(np.int64)
