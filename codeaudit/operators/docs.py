@@ -73,7 +73,9 @@ def cut(candidates: DataFrame, limit: int = fixed.DOC_FINDINGS) -> DataFrame:
     return placed.join(stops, "repo", "left").filter(inside).drop("_place", "_stop")
 
 
-def docs_findings(facts: DataFrame, files: DataFrame, repos: DataFrame) -> DataFrame:
-    """`repos` are the repositories routed to this detector."""
+def docs_findings(
+    facts: DataFrame, files: DataFrame, repos: DataFrame, limit: int | None = None
+) -> DataFrame:
+    """`repos` are the repositories routed to this detector; `limit` is the one of `cut`, None for all rows."""
     candidates = no_readme(files, repos).unionByName(undocumented(facts))
-    return as_findings(cut(candidates), "documentation")
+    return as_findings(candidates if limit is None else cut(candidates, limit), "documentation")

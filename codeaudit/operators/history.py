@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from codeaudit import fixed
 from codeaudit.operators.ranking import number_rows
 from codeaudit.operators.report import KEY, agent_counts, severity_pivot
 from codeaudit.schemas import AGENT_COUNTS
+from codeaudit.storage import any_path
 
 
 def review_rows(
@@ -46,7 +47,7 @@ def append_history(rows: DataFrame, path: str, run: str, key: Sequence[str] = KE
     last = 0
     known = read_history(spark, path)
     if known is not None:
-        if not known.filter(F.col("run").cast("string") == run).isEmpty():
+        if not known.filter(F.col("run") == run).isEmpty():
             return
         last = known.agg(F.max("id")).first()[0] or 0
     numbered = assign_ids(rows, last, key).withColumn("run", F.lit(run))
@@ -57,11 +58,12 @@ def append_history(rows: DataFrame, path: str, run: str, key: Sequence[str] = KE
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame | None:
-    """The history table, or None when nothing was written yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The history table, or None when nothing was written yet. Runs are text, as they were given."""
+    if not any_path(spark, f"{path}/run=*"):
         return None
+    found = spark.read.parquet(path).schema
+    typed = [StructField("run", StringType()) if f.name == "run" else f for f in found]
+    return spark.read.schema(StructType(typed)).parquet(path)
 
 
 def history_recent(history: DataFrame, limit: int = fixed.HISTORY_LIMIT) -> DataFrame:

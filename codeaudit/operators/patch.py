@@ -72,9 +72,11 @@ def apply_patches(
     """Patched files `(repo, path, new_content, n_applied)` for `patches(repo, path, ord, original, fixed)`.
 
     Patches of a file apply in order, each only if its original occurs exactly once in the
-    text as patched so far. Inputs stay as they are. A file with more than `per_pass` patches
+    text as patched so far. Inputs stay as they are. Spellings of one path are one file;
+    `refused_patches` has the patches that name none. A file with more than `per_pass` patches
     goes through several passes, so no row carries more than that many.
     """
+    patches = patches.withColumn("path", contained(F.col("path"))).filter("path IS NOT NULL")
     order = [F.col("ord"), F.col("original"), F.col("fixed")]
     numbered = number_rows(patches, list(FILE), order, "_n")
     batches = numbered.groupBy(*FILE, F.floor((F.col("_n") - 1) / per_pass).alias("_pass")).agg(
@@ -94,6 +96,14 @@ def apply_patches(
     )
 
 
+def refused_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patches that no file takes, with the `reason`: outside the repository, or no such file."""
+    inside = patches.withColumn("_inside", contained(F.col("path")))
+    known = files.select("repo", F.col("path").alias("_inside"))
+    reason = F.when(F.col("_inside").isNull(), "outside").otherwise("no file").alias("reason")
+    return inside.join(known, ["repo", "_inside"], "left_anti").select(*patches.columns, reason)
+
+
 def _applied() -> Column:
     def step(done: Column, patch: Column) -> Column:
         fits = occurrences(done["text"], patch["original"]) == 1

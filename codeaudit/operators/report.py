@@ -117,10 +117,15 @@ def agent_status(
     return status.select(*on, "error", F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
 
 
-def fix_candidates(findings: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """The first ten ranked findings that have a line and are LOW or worse, indexed from 0."""
+def fix_candidates(
+    findings: DataFrame, key: Sequence[str] = KEY, limit: int | None = None
+) -> DataFrame:
+    """Ranked findings that have a line and are LOW or worse, indexed from 0; the first `limit` if given."""
     fixable = findings.filter((F.col("severity") >= fixed.LOW) & (F.col("line") > 0))
-    kept = first_rows(fixable, list(key), rank_order(), fixed.FIX_CANDIDATES, "_n")
+    if limit is None:
+        kept = number_rows(fixable, list(key), rank_order(), "_n")
+    else:
+        kept = first_rows(fixable, list(key), rank_order(), limit, "_n")
     return kept.withColumn("i", F.col("_n") - 1).drop("_n")
 
 

@@ -68,12 +68,12 @@ def no_tests(files: DataFrame) -> DataFrame:
     )
 
 
-def gaps(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """The first gaps of each repository in path and definition order."""
-    order = [path_order(F.col("path")), F.col("seq")]
-    kept = first_rows(
-        untested(facts, files), ["repo"], order, fixed.TEST_GAP_FINDINGS, "_n", SHARES
-    )
+def gaps(facts: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+    """The gaps of each repository, or its first `limit` in path and definition order."""
+    kept = untested(facts, files)
+    if limit is not None:
+        order = [path_order(F.col("path")), F.col("seq")]
+        kept = first_rows(kept, ["repo"], order, limit, "_n", SHARES)
     title, detail = message("TEST_GAP", F.col("kind"), F.col("name"))
     return kept.select(
         "repo",
@@ -83,8 +83,8 @@ def gaps(facts: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def test_gap_findings(facts: DataFrame, files: DataFrame) -> DataFrame:
-    return as_findings(no_tests(files).unionByName(gaps(facts, files)), "test-gap")
+def test_gap_findings(facts: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+    return as_findings(no_tests(files).unionByName(gaps(facts, files, limit)), "test-gap")
 
 
 # Names of this module start like tests; keep pytest from collecting them.

@@ -119,7 +119,9 @@ gaps AS (
  UNION ALL
  SELECT repo, 'test-gap', 2, 'TEST_GAP', 1, printf('No test references %s `%s`', kind, name), path, line,
   'Nothing in the test suite mentions this name; it has no direct test.', 0
- FROM untested
+ FROM untested"""
+_GAPS_ALL = _GAPS + ")"
+_GAPS += """
  QUALIFY row_number() OVER (PARTITION BY repo ORDER BY replace(path, '/', chr(1))) <= 15)"""
 
 # Documentation findings of the generated packages and, with `prose`, of the document repositories.
@@ -136,6 +138,12 @@ doc_rows AS (
  SELECT repo, 'DOC_MISSING_DOCSTRING', 0, printf('Public function `%s` has no docstring', name), path, head,
   'Describe behavior and edge cases — especially what happens on failure.', replace(path, '/', chr(1)), 1
  FROM mods WHERE NOT broken AND doc = 0 AND k % 10 <> 0),
+"""
+_DOCS_ALL = _DOCS + """
+docs AS (
+ SELECT repo, 'documentation' AS agent, 3 AS agent_ord, rule, severity, title, file, CAST(line AS INT) AS line, detail, seq
+ FROM doc_rows)"""
+_DOCS += """
 numbered_docs AS (
  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY place, seq) AS rn FROM doc_rows),
 docs AS (
@@ -291,12 +299,12 @@ indexed AS (
  SELECT *, CAST(row_number() OVER (PARTITION BY review_id, agent ORDER BY {_LIST_ORDER}) - 1 AS INT) AS i FROM findings)"""
 
 
-def _candidates(table: str) -> str:
+def _candidates(table: str, limit: str = "QUALIFY i < 10") -> str:
     return f"""
 candidates AS (
  SELECT *, CAST(row_number() OVER (PARTITION BY review_id ORDER BY {_RANK_ORDER}) - 1 AS INT) AS i
  FROM {table} WHERE severity >= 1 AND line > 0
- QUALIFY i < 10)"""
+ {limit})"""
 
 
 _PROPOSALS = f"""{_candidates('file_findings')},
@@ -375,12 +383,21 @@ prose_found AS (
  SELECT * FROM secrets WHERE repo IN (SELECT repo FROM prose_kept WHERE suffix IN ('.js', '.ts'))
  UNION ALL SELECT * FROM prose_docs)"""
 
-_REVIEW = (
-    f"WITH {_PROSE}, {_MODULES}, {_QUALITY}, {_GAPS}, {_DOCS}, {_SAST}, {_secrets('prose')}, {_PROSE_FINDINGS}, "
-    """found AS (
+
+def _review(gaps: str, docs: str) -> str:
+    return (
+        f"WITH {_PROSE}, {_MODULES}, {_QUALITY}, {gaps}, {docs}, {_SAST}, {_secrets('prose')}, {_PROSE_FINDINGS}, "
+        """found AS (
  SELECT * FROM sast WHERE repo IN (SELECT repo FROM mods)
  UNION ALL SELECT * FROM quality UNION ALL SELECT * FROM gaps UNION ALL SELECT * FROM docs
  UNION ALL SELECT * FROM prose_found)"""
+    )
+
+
+_REVIEW = _review(_GAPS_ALL, _DOCS_ALL)
+_RANKED = (
+    f"SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY {_RANK_ORDER}) AS rank, agent, rule, severity, "
+    "title, file, line, detail FROM found"
 )
 
 ORACLE: dict[str, str] = {
@@ -429,6 +446,7 @@ FROM files WHERE {_SUFFIX} = '.py' AND NOT ({_SKIPPED}) AND {_IS_TEST}""",
 SELECT DISTINCT repo, 'DOC_NO_README' AS rule, 1 AS severity, 'Repository has no README' AS title
 FROM (SELECT repo FROM prose UNION ALL SELECT repo FROM mods WHERE k % 50 % 2 = 0) r""",
     "docs_findings": f"WITH {_MODULES}, {_DOCS} SELECT {_SHOWN} FROM docs",
+    "docs_findings_all": f"WITH {_MODULES}, {_DOCS_ALL} SELECT {_SHOWN} FROM docs",
     "ranked_findings": f"""WITH {_FINDINGS}
 SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY {_RANK_ORDER}) AS rank FROM findings""",
     "health_score": f"WITH {_FINDINGS}, {_REVIEWS}, {_wide()} SELECT review_id, repo, health_score FROM wide",
@@ -439,6 +457,8 @@ SELECT review_id, {_SUMMARY} AS summary
 FROM (SELECT review_id, severity, count(*) AS n FROM findings GROUP BY ALL) s GROUP BY review_id""",
     "agent_counts": f"WITH {_FINDINGS}, {_AGENTS} SELECT review_id, agents_json FROM agents",
     "fix_candidates": f"""WITH {_FINDINGS}, {_candidates('findings')}
+SELECT review_id, i, severity, file, line, rule, title, detail FROM candidates""",
+    "fix_candidates_all": f"""WITH {_FINDINGS}, {_candidates('findings', '')}
 SELECT review_id, i, severity, file, line, rule, title, detail FROM candidates""",
     "markdown_report": f"""WITH {_FINDINGS}, {_REVIEWS}, {_FAILURES}, {_wide()}, {_markdown(True)}
 SELECT review_id, part, body FROM documents_md""",
@@ -506,7 +526,7 @@ SELECT repo, path, CASE WHEN a3 THEN left(t2, p3 - 1) || 'E' || substr(t2, p3 +
     "deliveries_classified": f"WITH {_DELIVERIES}, {_CLASSIFIED} SELECT * FROM classified",
     "deliveries_stream": f"WITH {_DELIVERIES}, {_CLASSIFIED} SELECT * FROM classified",
     "pr_snapshot": f"""WITH {_DELIVERIES}, {_CLASSIFIED}, {_PROSE}, {_CORPUS}
-SELECT event_id, c.repo, c.sha, path FROM classified c LEFT JOIN corpus USING (repo, sha) WHERE disposition = 'accepted'""",
+SELECT repo, sha, path FROM (SELECT DISTINCT repo, sha FROM classified WHERE disposition = 'accepted') LEFT JOIN corpus USING (repo, sha)""",
     "webhook_reviews": f"""WITH {_DELIVERIES}, {_CLASSIFIED}, {_PROSE}, {_CORPUS}, {_secrets('prose')}, {_PROSE_FINDINGS},
 heads AS (
  SELECT h.repo, count(p.rule) AS findings, CAST(greatest(0, 100 - coalesce(sum({_PENALTY}), 0)) AS INT) AS health_score
@@ -514,8 +534,8 @@ heads AS (
  GROUP BY h.repo)
 SELECT event_id, c.repo, pr_number AS pr, findings, health_score, false AS comment_posted
 FROM classified c LEFT JOIN heads USING (repo) WHERE disposition = 'accepted'""",
-    "review_all": f"""{_REVIEW}
-SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY {_RANK_ORDER}) AS rank, agent, rule, severity, title, file, line, detail FROM found""",
+    "review_all": f"{_REVIEW} {_RANKED}",
+    "review_capped": f"{_review(_GAPS, _DOCS)} {_RANKED}",
     "review_scores": f"""{_REVIEW}
 SELECT repo, count(rule) AS total, count(*) FILTER (severity = 4) AS critical, count(*) FILTER (severity = 3) AS high,
  count(*) FILTER (severity = 2) AS medium, count(*) FILTER (severity = 1) AS low, count(*) FILTER (severity = 0) AS info,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeaudit import fixtures
+from codeaudit import fixed, fixtures
 from codeaudit.fixtures import Views
 from codeaudit.functions.paths import has_test_name, is_test_file
 from codeaudit.functions.text import words
@@ -195,7 +195,7 @@ def _test_gap(v):
 @_query("test_gap_capped")
 def _test_gap_capped(v):
     files = v.py_files()
-    return testgap.test_gap_findings(python_facts(files), files).select(*FINDING_COLUMNS)
+    return testgap.test_gap_findings(python_facts(files), files, fixed.TEST_GAP_FINDINGS).select(*FINDING_COLUMNS)
 
 
 @_query("no_readme")
@@ -205,11 +205,16 @@ def _readme(v):
 
 
 @_query("docs_findings")
-def _docs(v):
+def _docs(v, limit=fixed.DOC_FINDINGS):
     files = v.py_files()
     facts = materialize(python_facts(files), "facts")
     routed = route_agents(file_census(files)).filter(F.col("agent") == "documentation")
-    return docs_findings(facts, files, routed).select(*FINDING_COLUMNS)
+    return docs_findings(facts, files, routed, limit).select(*FINDING_COLUMNS)
+
+
+@_query("docs_findings_all")
+def _docs_all(v):
+    return _docs(v, None)
 
 
 # Reports over findings
@@ -242,12 +247,17 @@ def _agent_counts(v):
 
 
 @_query("fix_candidates")
-def _fix_candidates(v):
-    return report.fix_candidates(v.findings()).select(
+def _fix_candidates(v, limit=fixed.FIX_CANDIDATES):
+    return report.fix_candidates(v.findings(), limit=limit).select(
         "review_id", "i", "severity", "file", "line", "rule", "title", "detail"
     )
 
 
+@_query("fix_candidates_all")
+def _fix_candidates_all(v):
+    return _fix_candidates(v, None)
+
+
 @_query("markdown_report")
 def _markdown_report(v):
     status = v.failures()
@@ -370,12 +380,12 @@ def _triage_enrich(v):
 
 @_query("fix_snippets")
 def _fix_snippets(v):
-    candidates = report.fix_candidates(v.file_findings())
+    candidates = report.fix_candidates(v.file_findings(), limit=fixed.FIX_CANDIDATES)
     return patch.fix_snippets(candidates, v.flat_files()).select("review_id", "i", "file", "line", "snippet")
 
 
 def _proposals(v):
-    candidates = materialize(report.fix_candidates(v.file_findings()), "candidates")
+    candidates = materialize(report.fix_candidates(v.file_findings(), limit=fixed.FIX_CANDIDATES), "candidates")
     items = enrich.fix_items(v.fix_replies(candidates))
     return patch.validate_patches(items, candidates, v.flat_files())
 
@@ -427,7 +437,7 @@ def _accepted(v):
 
 @_query("pr_snapshot")
 def _pr_snapshot(v):
-    return pr_snapshots(_accepted(v), v.snapshot_corpus()).select("event_id", "repo", "sha", "path")
+    return pr_snapshots(_accepted(v), v.snapshot_corpus()).select("repo", "sha", "path")
 
 
 @_query("webhook_reviews")
@@ -439,8 +449,8 @@ def _webhook_reviews(v):
 # Full review
 
 
-def _review(v):
-    return run_review(_corpus(v.review_files()), materialize(v.sast_reports(), "reports"))
+def _review(v, **limits):
+    return run_review(_corpus(v.review_files()), materialize(v.sast_reports(), "reports"), **limits)
 
 
 def _corpus(files):
@@ -450,12 +460,17 @@ def _corpus(files):
 
 
 @_query("review_all")
-def _review_all(v):
-    return _review(v).ranked().select(
+def _review_all(v, **limits):
+    return _review(v, **limits).ranked().select(
         "repo", "rank", "agent", "rule", "severity", "title", "file", "line", "detail"
     )
 
 
+@_query("review_capped")
+def _review_capped(v):
+    return _review_all(v, gap_limit=fixed.TEST_GAP_FINDINGS, doc_limit=fixed.DOC_FINDINGS)
+
+
 @_query("review_scores")
 def _review_scores(v):
     return _review(v).scores()

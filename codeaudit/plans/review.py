@@ -6,6 +6,11 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import (
+    ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException,
+    PythonException, SparkRuntimeException, UnknownException,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ class ReviewInput:
     routes: DataFrame
     sast_reports: DataFrame | None = None
     secret_rules: Sequence[SecretRule] = DEFAULT_RULES
+    gap_limit: int | None = None
+    doc_limit: int | None = None
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -64,14 +71,20 @@ def _security(given: ReviewInput) -> DataFrame:
 _FINDERS = {
     "security": _security,
     "quality": lambda given: quality_findings(given.facts),
-    "test-gap": lambda given: test_gap_findings(given.facts, given.files),
+    "test-gap": lambda given: test_gap_findings(given.facts, given.files, given.gap_limit),
     "documentation": lambda given: docs_findings(
-        given.facts, given.files, given.repos("documentation")
+        given.facts, given.files, given.repos("documentation"), given.doc_limit
     ),
 }
 BUILT_IN = tuple(
     Detector(name, fixed.AGENT_SUFFIXES[name], _FINDERS[name]) for name in fixed.AGENT_ORDER
 )
+# What a detector's expressions and functions raise on data, and what a failed job raises otherwise.
+DATA_ERRORS = (
+    PythonException, SparkRuntimeException, ArithmeticException, NumberFormatException,
+    DateTimeException, ArrayIndexOutOfBoundsException,
+)
+JOB_ERRORS = (Py4JError, UnknownException)
 _registry: dict[str, Detector] = {d.name: d for d in BUILT_IN}
 
 
@@ -120,23 +133,29 @@ def run_review(
     sast_reports: DataFrame | None = None,
     secret_rules: Sequence[SecretRule] = DEFAULT_RULES,
     detectors: Sequence[Detector] | None = None,
+    gap_limit: int | None = None,
+    doc_limit: int | None = None,
 ) -> Review:
     """Review every repository of `files`.
 
+    `gap_limit` and `doc_limit` cut the test gaps and documentation findings of a repository.
+    A detector whose own code fails on the data shows in the status and costs its own findings;
+    lost executors, full disks and the like fail the review.
+
     Each Python file is parsed once; the facts, routes and findings are written tables, as
     several branches read them.
     """
     chosen = list(_registry.values()) if detectors is None else list(detectors)
     rules = {d.name: d.suffixes for d in chosen}
     routes = materialize(route_agents(file_census(files), rules), "routes")
-    given = ReviewInput(files, routes, sast_reports, secret_rules)
+    given = ReviewInput(files, routes, sast_reports, secret_rules, gap_limit, doc_limit)
 
     found, failed = _find(chosen, given)
     routed = found.join(routes.select("repo", "agent"), ["repo", "agent"], "left_semi")
     try:
         findings = materialize(routed, "findings")
-    except Exception:
-        # Some detector fails while running: run them one by one to keep the others.
+    except DATA_ERRORS:
+        # Some detector fails on the data: run them one by one to keep the others.
         found, more = _find(chosen, given, run=True)
         failed = {**failed, **more}
         findings = materialize(
@@ -153,8 +172,14 @@ def _find(
     for detector in detectors:
         try:
             found = as_findings(detector.find(given), detector.name)
-            parts.append(materialize(found, "found") if run else found)
         except Exception as exc:
+            if isinstance(exc, JOB_ERRORS):
+                raise
+            failed[detector.name] = str(exc).strip().splitlines()[0] if str(exc) else repr(exc)
+            continue
+        try:
+            parts.append(materialize(found, "found") if run else found)
+        except DATA_ERRORS as exc:
             failed[detector.name] = str(exc).strip().splitlines()[0] if str(exc) else repr(exc)
     empty = given.files.sparkSession.createDataFrame([], FINDINGS)
     return reduce(DataFrame.unionByName, parts, empty), failed

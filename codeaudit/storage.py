@@ -40,6 +40,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
+def any_path(spark: SparkSession, pattern: str) -> bool:
+    """Whether some file or folder matches the pattern, in whatever store it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once and return a scan of the written table."""
     spark = df.sparkSession

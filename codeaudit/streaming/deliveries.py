@@ -54,8 +54,10 @@ def accepted_deliveries(classified: DataFrame) -> DataFrame:
 
 
 def pr_snapshots(accepted: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Accepted deliveries with the file paths at their head; without a snapshot, one row with NULL.
+    """`(repo, sha, path)` of the heads that deliveries name; without a snapshot, one row with NULL.
 
-    `snapshots` is `(repo, sha, path)`.
+    Each head stands once, however many deliveries name it: `accepted` itself has the head of
+    each delivery. `snapshots` is `(repo, sha, path)`.
     """
-    return accepted.join(snapshots.select("repo", "sha", "path"), ["repo", "sha"], "left")
+    heads = accepted.select("repo", "sha").distinct()
+    return heads.join(snapshots.select("repo", "sha", "path"), ["repo", "sha"], "left")

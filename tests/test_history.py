@@ -47,7 +47,7 @@ def test_append_twice_adds_once(spark, finding_rows, tmp_path):
     path = str(tmp_path / "history")
     assert history.read_history(spark, path) is None
     rows = history.review_rows(review_table(spark, 3), finding_rows([("v1", "quality", 2, "a", 1)]).drop("repo"))
-    for run in ("one", "one", "two"):
+    for run in ("007", "007", "2024-01-3"):
         history.append_history(rows, path, run)
     stored = history.read_history(spark, path)
     assert sorted(r["id"] for r in stored.select("id").collect()) == [1, 2, 3, 4, 5, 6]

@@ -57,6 +57,18 @@ def test_apply_in_passes_equals_one_after_the_other(spark, tree, per_pass):
     assert apply(spark, tree, text, pairs, per_pass=per_pass) == (expected, n)
 
 
+def test_spellings_of_a_path_are_one_file_and_refused_patches_show(spark, tree):
+    files = tree(r={"a/b.py": "one"})
+    patches = spark.createDataFrame(
+        [("r", "a/./b.py", 0, "one", "two"), ("r", "a/x/../b.py", 1, "two", "six"), ("r", "../b.py", 2, "a", "b"),
+         ("r", "c.py", 3, "a", "b")],
+        "repo string, path string, ord int, original string, fixed string",
+    )
+    assert [tuple(r) for r in patch.apply_patches(files, patches).collect()] == [("r", "a/b.py", "six", 2)]
+    refused = patch.refused_patches(files, patches).select("path", "reason").collect()
+    assert {tuple(r) for r in refused} == {("../b.py", "outside"), ("c.py", "no file")}
+
+
 def test_validate_and_report(spark, tree, finding_rows):
     files = tree(r={"m.py": "one\ntwo\ntwo\nlast\n", "n.py": "solo"})
     candidates = finding_rows([

@@ -79,7 +79,8 @@ def test_counts_and_summary(spark, finding_rows):
 
 def test_fix_candidates_take_ten_with_a_line(finding_rows):
     rows = [("r", "quality", 1, f"f{n:02}.py", n) for n in range(15)] + [("r", "quality", 0, "a.py", 3)]
-    got = report.fix_candidates(finding_rows(rows)).orderBy("i").collect()
+    assert report.fix_candidates(finding_rows(rows)).count() == 14
+    got = report.fix_candidates(finding_rows(rows), limit=10).orderBy("i").collect()
     assert [(r["i"], r["line"]) for r in got] == [(n, n + 1) for n in range(10)]
 
 
