@@ -36,7 +36,7 @@ from codeaudit.storage import materialize, scratch_path
 LIMIT = 20
 LANE = 256
 BLOCK = 1 << 20
-CACHE = 600_000  # distinct words whose ids a worker keeps
+CACHE = 600_000  # distinct words and parts whose ids a worker keeps
 TAIL = "".join(set(string.punctuation) - {"'"})  # an apostrophe may begin a contraction
 END_ID = 1
 RAW = "part int, seq int, doc_ids array<long>, counts array<long>, ids binary"
@@ -75,6 +75,7 @@ class WordEncoder:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -89,13 +90,20 @@ class WordEncoder:
         data, ends = ids.tobytes(), ends.tolist()
         self.known.update((word, data[a:z]) for word, a, z in zip(words, [0, *ends], ends))
 
+    def _recall(self, words: set[str]) -> set[str]:
+        """The words that are not known; those known before the last change are taken over."""
+        missing = words - self.known.keys()
+        again = missing & self.older.keys()
+        self.known.update([(word, self.older[word]) for word in again])
+        return missing - again
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         lists = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        new = [(word, *split_tail(word)) for word in set().union(*lists) - self.known.keys()]
-        parts = {part for _, *both in new for part in both} - self.known.keys()
+        if len(self.known) > CACHE // 2:  # what is not met again goes with the next change
+            self.older, self.known = self.known, {"": b""}
+        new = [(word, *split_tail(word)) for word in self._recall(set().union(*lists))]
+        parts = self._recall({part for _, *both in new for part in both})
         letters = [part for part in parts if part.isalpha()]
         if letters:
             self._learn_letters(letters)
