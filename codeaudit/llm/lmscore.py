@@ -1,11 +1,15 @@
 """LM scoring: cross-entropy difference of a target and a background n-gram model.
 
-Both models are interpolated bigram models over one vocabulary, the `VOCABULARY` most frequent
-words of the corpus, counted over all its documents; other words are one unknown word. The
-background is counted over all documents, the target over those that `labels` calls good. The
-background's counts are scaled to the target's total, so both are smoothed alike: unigrams by one
-count each, bigrams by `PRIOR` counts of the unigram estimate. Bigram counts are kept in
-`BUCKETS` hashed buckets, which bounds what tasks hold whatever the corpus.
+Both models are interpolated bigram models over the words of the corpus; no word and no bigram
+is left out or shares a count. The background is counted over all documents, the target over
+those that `labels` calls good. The background's counts are scaled to the target's total, so both
+are smoothed alike: unigrams by one count each, bigrams by `PRIOR` counts of the unigram estimate.
+
+Bigrams are summed up in the tasks and then by hash. Words and contexts are sums of bigrams, and
+joining them back gives each bigram's two losses as whole billionths of a nat, in a written
+table. A text's bigrams, each once with its count, are joined to it and summed up by text, so sums
+have no order. Everything grows with the corpus in tables only; results are exact up to equality
+of 64-bit hashes.
 
 A document's score is the mean over its words of background loss minus target loss (nats):
 the higher, the more it is like the target.
@@ -18,143 +22,124 @@ repeated rows count as often as they stand and score alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codeaudit.llm.words import BASE, LOWER, Hasher, mix, texts
+from codeaudit.storage import materialize
 
-VOCABULARY = 65_536
-BUCKETS = 1 << 20
 PRIOR = 50.0
-SCREEN_BITS = 22
+UNIT = 1e9  # losses are stored in whole parts of a nat
+HELD_WORDS = 2_000_000  # words whose bigrams a task sums up before it sends them
 
 _U = np.uint64
-SCORES = "doc_id long, n_words long, loss_target double, loss_background double, score double"
+START = _U(0x5EED)  # stands before a text's first word
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, hashes of the words before them, word bounds of rows) of each chunk."""
     for chunk in texts(batch):
         starts, ends = chunk.spans()
-        yield chunk.lo, Hasher(LOWER[chunk.buf])(starts, ends), chunk.per_row(starts)
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the most frequent words; equal counts by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [h for _, h, _ in _words(batch)]
-            if parts:
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+        h, bounds = Hasher(LOWER[chunk.buf])(starts, ends), chunk.per_row(starts)
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[bounds[:-1][np.diff(bounds) > 0]] = START
+        yield chunk.lo, h, before, bounds
 
-    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(size).select("h").collect()
-    return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
 
+def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * _U(BASE) + word)
 
-class Lookup:
-    """Word hashes to ids; the unknown word comes after the vocabulary, then the start of a text."""
 
-    def __init__(self, known: np.ndarray):
-        self.known = known
-        self.screen = np.zeros(1 << SCREEN_BITS, bool)
-        self.screen[(known >> _U(64 - SCREEN_BITS)).astype(np.int64)] = True
+def bigrams(docs: DataFrame) -> DataFrame:
+    """`(pair, before, word, n)`, summed up by task only."""
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), len(self.known), np.int64)
-        at = np.flatnonzero(self.screen[(h >> _U(64 - SCREEN_BITS)).astype(np.int64)])
-        if len(at):
-            k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
-            ok = self.known[k] == h[at]
-            out[at[ok]] = k[ok]
-        return out
-
-    def previous(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        out = np.empty_like(ids)
-        out[1:] = ids[:-1]
-        first = bounds[:-1][np.diff(bounds) > 0]
-        out[first] = len(self.known) + 1
-        return out
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        before, word = (np.concatenate(x) for x in zip(*held))
+        keys, at, n = np.unique(pair(before, word), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array(x.view(np.int64)) for x in (keys, before[at], word[at])], pa.array(n)], ["pair", "before", "word", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, h, before, _ in _words(batch):
+                held.append((before, h))
+                size += len(h)
+                if size >= HELD_WORDS:
+                    yield summed(held)
+                    held, size = [], 0
+        if size:
+            yield summed(held)
+
+    return docs.select("text").mapInArrow(run, "pair long, before long, word long, n long")
+
+
+def losses(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """`(pair, near, wide)`: every bigram's loss under the models of `target` and `docs`, in parts of `UNIT`."""
+    none = F.lit(0).cast("long")
+    both = bigrams(docs).withColumn("good", none).unionAll(bigrams(target).withColumns({"good": F.col("n"), "n": none}))
+    counts = materialize(both.groupBy("pair").agg(
+        F.first("before").alias("before"), F.first("word").alias("word"), F.sum("good").alias("good"), F.sum("n").alias("n")), "lm-bigrams")
+    sums = lambda c, x: counts.groupBy(c).agg(F.sum("good").alias(f"{x}_good"), F.sum("n").alias(f"{x}_n"))
+    words = materialize(sums("word", "word"), "lm-words")
+    total = words.agg(F.count("*").alias("types"), F.coalesce(F.sum("word_good"), none).alias("good"), F.coalesce(F.sum("word_n"), none).alias("n")).first()
+    scale = total.good / max(total.n, 1)
+    size = total.types + 2  # and a word that is not there, and the start of a text
+
+    def loss(x: str, by: float) -> Column:
+        word = (F.col(f"word_{x}") * by + 1) / (getattr(total, x) * by + size)
+        likely = (F.col(x) * by + PRIOR * word) / (F.col(f"before_{x}") * by + PRIOR)
+        return F.round(-F.log(likely) * UNIT).cast("long")
+
+    known = counts.join(words, "word").join(sums("before", "before"), "before")
+    return materialize(known.select("pair", loss("good", 1.0).alias("near"), loss("n", scale).alias("wide")), "lm-losses")
+
+
+def _entries(docs: DataFrame) -> DataFrame:
+    """`(key, pair, k)`: the bigrams of every text by the text's key, at least once for all its copies."""
 
-def bucket(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (mix((before.astype(np.uint64) << _U(32)) + word.astype(np.uint64) + _U(BASE)) >> _U(44)).astype(np.int64) & (BUCKETS - 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for lo, h, before, bounds in _words(batch):
+                pairs, parts = pair(before, h), []
+                for r, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])):
+                    key = int(keys[lo + r])
+                    if a < z and key not in seen:
+                        # Copies in one task are sent once: all sums of a text grow alike.
+                        seen.add(key)
+                        found, k = np.unique(pairs[a:z], return_counts=True)
+                        parts.append((np.full(len(found), key), found.view(np.int64), k))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["key", "pair", "k"])
 
+    return docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(run, "key long, pair long, k long")
 
-def count(docs: DataFrame, known: np.ndarray) -> np.ndarray:
-    """Counts of all words, then of words as contexts, then of bigram buckets."""
-    size = len(known) + 2
-    shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Lookup(shared.value)
-        total = np.zeros(2 * size + BUCKETS, np.int64)
-        for batch in batches:
-            for _, h, bounds in _words(batch):
-                ids = find(h)
-                before = find.previous(ids, bounds)
-                total[:size] += np.bincount(ids, minlength=size)
-                total[size : 2 * size] += np.bincount(before, minlength=size)
-                total[2 * size :] += np.bincount(bucket(before, ids), minlength=BUCKETS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["at", "n"])
-
-    # Sums of a fixed number of cells; a task sends each at most once.
-    sums = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * size + BUCKETS)
-    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    return out
-
-
-@dataclass
-class Model:
-    """Smoothed probabilities from (scaled) counts."""
-
-    unigram: np.ndarray
-    context: np.ndarray
-    bigram: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray, size: int, scale: float = 1.0) -> Model:
-        words = counts[:size] * scale
-        return cls(((words + 1) / (words.sum() + size)).astype(np.float32), (counts[size : 2 * size] * scale).astype(np.float32),
-                   (counts[2 * size :] * scale).astype(np.float32))
-
-    def loss(self, before: np.ndarray, ids: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        # Words that share a bucket can make it fuller than the context.
-        context = self.context[before].astype(np.float64)
-        pair = np.minimum(self.bigram[cells], context)
-        return -np.log((pair + PRIOR * self.unigram[ids]) / (context + PRIOR))
-
-
-def score(docs: DataFrame, target: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
-    """`SCORES` of every row of `docs`, for a model of `target` (rows with `text`) against one of `docs`."""
-    known = vocabulary(docs, vocabulary_size)
-    size = len(known) + 2
-    good, every = count(target, known), count(docs, known)
-    scale = good[:size].sum() / max(every[:size].sum(), 1)
-    shared = docs.sparkSession.sparkContext.broadcast((known, Model.of(good, size), Model.of(every, size, scale)))
+def _sizes(docs: DataFrame) -> DataFrame:
+    """`(doc_id, key, n_words)` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, near, wide = shared.value
-        find = Lookup(known)
         for batch in batches:
-            for lo, h, bounds in _words(batch):
-                ids = find(h)
-                before = find.previous(ids, bounds)
-                cells = bucket(before, ids)
-                n = np.diff(bounds)
-                sums = [np.diff(np.concatenate([[0.0], np.cumsum(m.loss(before, ids, cells))])[bounds]) / np.maximum(n, 1) for m in (near, wide)]
-                a, b = (np.round(s, 6) for s in sums)
+            for chunk in texts(batch):
+                n = np.diff(chunk.per_row(chunk.spans()[0]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, len(n)), pa.array(n), pa.array(a), pa.array(b), pa.array(np.round(b - a, 6))],
-                    ["doc_id", "n_words", "loss_target", "loss_background", "score"])
+                    [*[batch.column(c).slice(chunk.lo, len(n)) for c in ("doc_id", "key")], pa.array(n)], ["doc_id", "key", "n_words"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_words long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORES)
+def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """`(doc_id, n_words, loss_target, loss_background, score)` of every row of `docs`, for a model of `target` (rows with `text`) against one of `docs`."""
+    met = _entries(docs).join(losses(docs, target), "pair")
+    sums = met.groupBy("key").agg(*[F.sum(x).alias(n) for x, n in ((F.col("k"), "k"), (F.col("k") * F.col("near"), "near"), (F.col("k") * F.col("wide"), "wide"))])
+    mean = lambda x: F.coalesce(F.round(F.col(x) / F.col("k") / UNIT, 6), F.lit(0.0))
+    rows = _sizes(docs).join(sums, "key", "left").select("doc_id", "n_words", mean("near").alias("loss_target"), mean("wide").alias("loss_background"))
+    return rows.withColumn("score", F.round(F.col("loss_background") - F.col("loss_target"), 6))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

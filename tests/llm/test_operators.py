@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -274,6 +275,31 @@ def test_scores(spark, awkward, nothing):
     assert lmscore.score(nothing, nothing).count() == 0
 
 
+def test_scores_are_exact(spark):
+    """More words than any fixed vocabulary, and bigrams that share no count."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{i}x{k} " + " ".join(f"c{x}" for x in rng.integers(0, 400, 3)) for k in range(200))) for i in range(400)]
+    rows += [(400, rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_words, r.loss_target, r.loss_background) for r in lmscore.score(docs, docs.where("doc_id % 4 = 0")).collect()}
+    models = []
+    for use in (lambda d: d is not None and d % 4 == 0, lambda d: True):
+        word, context, both = Counter(), Counter(), Counter()
+        for d, t in rows:
+            if use(d):
+                w = words(t)
+                word.update(w), context.update([None, *w[:-1]]), both.update(zip([None, *w[:-1]], w))
+        models.append((word, context, both, sum(word.values())))
+    types, scale = len(models[1][0]) + 2, models[0][3] / models[1][3]
+    assert types > 65_538 and len(got) == len(rows)
+    for d, t in rows[::40] + rows[-2:]:
+        w, means = words(t), []
+        for (word, context, both, n), s in zip(models, (1, scale)):
+            likely = [(both[p] * s + 50 * (word[p[1]] * s + 1) / (n * s + types)) / (context[p[0]] * s + 50) for p in zip([None, *w[:-1]], w)]
+            means.append(-float(np.log(likely).mean()))
+        assert got[d] == (len(w), pytest.approx(means[0], abs=2e-6), pytest.approx(means[1], abs=2e-6))
+
+
 PAGE = '<html><body><nav><a>Menu</a></nav><div id="top">Fixed words</div><div class="c"><p>{}</p><p>{}<ul><li>x<li>y</ul></div><div class="comments">No</div></body></html>'
 
 
