@@ -44,7 +44,7 @@ MAX_BITS = 1 << 17
 BROADCAST_IDS = 2_000_000
 
 _U = np.uint64
-SETS = StructType().add("doc_id", "long").add("n", "integer").add("set_id", "long").add("bits", "binary").add("hashes", "binary")
+SETS = StructType().add("doc_id", "long").add("copy", "long").add("n", "integer").add("set_id", "long").add("bits", "binary").add("hashes", "binary")
 
 
 def pack(h: np.ndarray) -> bytes:
@@ -65,17 +65,17 @@ def bitmap(h: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """`SETS` of every document; bitmap and hashes stand once per batch and set."""
+    """`SETS` of every document; bitmap and hashes stand once per batch and set, on rows that `copy` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = set()
             for chunk in texts(batch):
-                n_out, ids, bits, hashes = [], [], [], []
+                n_out, ids, copies, bits, hashes = [], [], [], [], []
                 starts, ends = chunk.spans()
                 h = Hasher(LOWER[chunk.buf])(starts, ends)
                 bounds, grams = chunk.per_row(starts), windows(h, WORDS)
-                for a, z in zip(bounds[:-1], bounds[1:]):
+                for number, a, z in zip(batch.column("copy").slice(chunk.lo).to_pylist(), bounds[:-1], bounds[1:]):
                     if z == a:
                         found = h[:0]
                     elif z - a < WORDS:
@@ -88,16 +88,18 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     else:
                         ids.append(int(mix(mix(found ^ _U(BASE)).sum(keepdims=True) + _U(len(found))).view(np.int64)[0]))
                     if ids[-1] is None or ids[-1] in known:
+                        copies.append(None)
                         bits.append(None)
                         hashes.append(None)
                     else:
                         known.add(ids[-1])
+                        copies.append(number)
                         bits.append(bitmap(found))
                         hashes.append(pack(found))
                 rows = batch.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo)
-                yield record({"doc_id": rows, "n": n_out, "set_id": ids, "bits": bits, "hashes": hashes}, SETS)
+                yield record({"doc_id": rows, "copy": copies, "n": n_out, "set_id": ids, "bits": bits, "hashes": hashes}, SETS)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
+    return docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("copy"), "text").mapInArrow(run, SETS)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -327,20 +329,27 @@ def _tiles(rest: DataFrame, sets: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame) -> DataFrame:
     """`(doc_id, n_shingles, component_id)` of every row of `docs`."""
     sets = materialize(shingle_sets(docs), "jaccard-sets")
-    one = sets.where("doc_id IS NOT NULL AND hashes IS NOT NULL")
-    classes = materialize(one.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    first = _first_shingles(sets.where("hashes IS NOT NULL"), _frequent(sets.where("hashes IS NOT NULL")))
+    # A set goes by one of its stored copies; its smallest doc_id may stand on a row without one.
+    classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("copy").alias("rep"))
+    classes = materialize(classes.where("least IS NOT NULL"), "jaccard-classes")
+    one = sets.where("copy IS NOT NULL").withColumn("doc_id", F.col("copy"))
+    first = _first_shingles(one, _frequent(one))
     met = _distinct_groups(materialize(_meetings(first), "jaccard-meetings")).join(classes, "set_id")
     met = met.select("h", "n", "w", "rep", F.col("rep").alias("component"))
     rest = materialize(met, "jaccard-met")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    # Sets with the same smallest doc_id are of one document and belong together.
+    same = classes.groupBy("least").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1")
+    links = materialize(classes.join(same, "least").where("rep <> b").select(F.col("rep").alias("a"), "b"), "jaccard-links")
     for turn in range(STARS):
         links = materialize(links.unionAll(_verified(_stars(rest, turn), one)), "jaccard-links")
         rest = _unsettled(rest, links)
     # Pairs that shared a tile under several shingles are tested once.
     more = _verified(_tile_pairs(_tiles(rest, one)).distinct(), one)
     final = components(links.unionAll(more))
-    by_set = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    placed = materialize(placed.select("set_id", "least", F.coalesce("component", "rep").alias("component")), "jaccard-placed")
+    smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_set = placed.join(smallest, "component").select("set_id", "component_id")
     members = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id")
     out = members.join(by_set, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

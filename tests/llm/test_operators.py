@@ -146,6 +146,17 @@ def test_jaccard_awkward(awkward, nothing):
     assert jaccard.near_components(nothing).count() == 0
 
 
+def test_jaccard_row_order(spark):
+    """The smallest doc_id leads, whichever row of a batch comes first; a first row without a doc_id hides no copy."""
+    other = " ".join(f"o{i}" for i in range(60))
+    near = f"{other} x"
+    rows = [(10, PROSE), (5, PROSE), (7, PROSE), (None, other), (30, other), (20, other), (12, near), (40, "alone it stands here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.near_components(docs).collect()}
+    assert got == {10: 5, 5: 5, 7: 5, None: None, 30: 12, 20: 12, 12: 12, 40: 40}
+    assert sorted((r.doc_id or 0) for r in jaccard.keep_first(docs).collect()) == [0, 5, 12, 40]
+
+
 def test_tiles(spark):
     """Many sets under one shingle that no star joins all meet in tiles."""
     shared = " ".join(f"c{i}" for i in range(40))
