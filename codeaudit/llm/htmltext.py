@@ -10,7 +10,8 @@ shortest path holds the others, which nests the classes along their paths.
 
 Valid classes make the template: its text blocks are fixed wording, and its elements bound the
 slots. A slot's text is what varies in it. The main slot of a host is the innermost template
-element under which most varying text stands. Extraction keeps, in page order, the blocks in the
+element under which most varying text stands, other than a single paragraph, heading, list or
+table; if it lies in an article or main element, it is all of that element. Extraction keeps, in page order, the blocks in the
 host's main slot (in all of the page without a template): those of an article or main element
 where there is one, else those that are not fixed wording; never blocks in menus, headers, footers, sidebars, notices, adverts,
 forms or reader comments, as named by elements, roles, classes and ids.
@@ -47,6 +48,8 @@ INLINE = set(
 RAW = set("script style textarea title iframe noembed noframes xmp".split())
 ASIDE = set("head nav footer aside form noscript template button select option dialog menu svg object canvas audio video math".split())
 MAIN = {"article", "main"}
+#: Elements that hold part of an article's text, never the article.
+PARTS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tr td th address details summary span".split())
 #: Words of classes, ids and roles of what is not the article.
 OUTSIDE = set(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer "
@@ -103,7 +106,7 @@ def blocks_of(page: str | None, elements: Counter | None = None) -> list[tuple[s
         for a in _ATTRIBUTE.finditer(m[3]):
             value = (a[2] or a[3] or a[4] or "").lower()
             words |= set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a[2] or a[3] or a[4] or "").lower())) if a[1] else {"hidden"}
-            label += f".{value}" if a[1] and a[1].lower() != "role" else ""
+            label += f".{value.replace('/', '|')}" if a[1] and a[1].lower() != "role" else ""
         if name == "span" and not words & OUTSIDE and "hidden" not in words:
             stack.append((name, stack[-1][1], outside, main))
             continue
@@ -126,9 +129,17 @@ def _hash(text: str) -> int:
     return (zlib.crc32(data) << 31) ^ zlib.crc32(data, 0x5EED)
 
 
+def whole_article(path: str | None) -> str | None:
+    """The outermost article or main element that holds the path, else the path."""
+    labels = (path or "").split("/")
+    at = next((k for k, label in enumerate(labels) if label.split(".")[0] in MAIN), None)
+    return path if at is None else "/".join(labels[: at + 1])
+
+
 def main_text(page: str | None, main: str | None = None, wording: set[int] = frozenset()) -> str:
     """The text of a page under its host's template."""
     found = [b for b in blocks_of(page) if not b[2]]
+    main = whole_article(main)
     slot = [b for b in found if main is None or (b[0] + "/").startswith(main + "/")] or found
     article = [b[1] for b in slot if b[3]] or [b[1] for b in found if b[3]]
     if article:
@@ -175,7 +186,8 @@ def templates(pages: DataFrame) -> DataFrame:
     # Half of the pages hold each member, so members are at most twice as many as a page has tokens.
     member = classes.select("host", F.explode("members").alias("m")).select("host", "m.*")
     wording = member.where("chars IS NOT NULL").groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("wording"))
-    elements = member.where("chars IS NULL").select("host", F.col("path").alias("element"))
+    last = F.split_part(F.element_at(F.split("path", "/"), -1), F.lit("."), F.lit(1))
+    elements = member.where("chars IS NULL").where(~last.isin(*PARTS)).select("host", F.col("path").alias("element"))
     varying = ranked.where(~fixed & F.col("chars").isNotNull()).select("host", "path", (F.col("chars") * F.col("pages")).alias("mass"))
     varying = varying.groupBy("host", "path").agg(F.sum("mass").alias("mass"))
     under = varying.join(elements, "host").where(F.startswith(F.concat("path", F.lit("/")), F.concat("element", F.lit("/"))))

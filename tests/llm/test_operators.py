@@ -328,6 +328,19 @@ def test_html(spark):
     assert htmltext.extract(pages.where("false")).count() == 0
 
 
+def test_html_whole_article(spark):
+    """Headline and lead stand outside the element with most of the text, or every page has as many paragraphs."""
+    text = lambda h, i: [f"Head {h} {i}", f"Lead of {h} {i}", *[f"Body {k} of {h} {i} " + "long " * 9 for k in range(3)]]
+    shapes = {
+        "body": "<article><h1>{}</h1><p>{}</p><div class='body w-1/2'><p>{}</p><p>{}</p><p>{}</p></div></article>",
+        "flat": "<article><h1>{}</h1><h2>{}</h2><p>{}</p><p>{}</p><p>{}</p></article>",
+        "plain": "<div class=post><h1>{}</h1><h2>{}</h2><p>{}</p><p>{}</p><p>{}</p></div>"}
+    rows = [(10 * n + i, f"http://{h}.example/{i}", "<html><body><div id=top>Site</div>" + shape.format(*text(h, i)) + "</body></html>")
+            for n, (h, shape) in enumerate(shapes.items()) for i in range(4)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {10 * n + i: "\n".join(x.strip() for x in text(h, i)) for n, h in enumerate(shapes) for i in range(4)}
+
+
 def test_urls(spark):
     urls = [
         "http://A.Example.org/es/1", "http://example.org/en/17?x", "https://x.org", "https://x.org/", "ftp://b.com/fr/2#f", "http://b.com/de/9", "http://com/de/",
