@@ -4,11 +4,13 @@ A page is a sequence of tokens: its elements by path (names with class and id),
 blocks by path and text. Over the pages of a host each token has an occurrence vector (how often
 it stands in which page); tokens with equal vectors are an equivalence class. The vector is
 summed up as page count, total and an order-free hash of (page, count) pairs, so it grows with
-no group and merges like any sum. A class is valid for the template if it stands in at least
-half of the host's pages (and three), the same number of times in each; the element of its
-shortest path holds the others, which nests the classes along their paths.
+no group and merges like any sum. Pages of a host with identical html count once.
 
-Valid classes make the template: its text blocks are fixed wording, and its elements bound the
+Elements that stand in at least half of a host's pages (and three), the same number of times in
+each, are the frame that bounds the slots. Fixed wording is the text blocks of accepted
+classes: those that cover all of the host's pages, have `LEAST_MEMBERS` tokens or more, and nest
+below the outermost element of the class that stands once in every page. A text that only some pages
+repeat is never wording, so copies of an article under other bylines keep it. The frame bounds
 slots. A slot's text is what varies in it. The main slot of a host is the innermost template
 element under which most varying text stands, other than a single paragraph, heading, list or
 table; if it lies in an article or main element, it is all of that element. Extraction keeps, in page order, the blocks in the
@@ -36,6 +38,7 @@ from codeaudit.llm.urlfilter import host_of
 from codeaudit.storage import materialize
 
 LEAST_PAGES = 3
+LEAST_MEMBERS = 3
 BROADCAST_HOSTS = 100_000
 
 _TOKEN = re.compile(
@@ -172,23 +175,26 @@ def _tokens(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """`(host, main, wording)`: the main slot's path and the hashes of fixed wording, for `pages(url, html)`."""
-    keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("page"), "html")
+    keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html").dropDuplicates(["host", "page"])
     # Vectors are summed up per task before the shuffle, so a host of any size is spread.
     vectors = _tokens(keyed).groupBy("host", "token").agg(
         F.first("path").alias("path"), F.max("chars").alias("chars"), F.count("*").alias("pages"),
         F.min("n").alias("least"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
     vectors = materialize(vectors, "html-vectors")
-    sizes = keyed.groupBy("host").agg(F.count("*").alias("host_pages"))
+    sizes = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
     ranked = vectors.join(sizes, "host").where(F.col("host_pages") >= LEAST_PAGES)
     fixed = (F.col("least") == F.col("most")) & (2 * F.col("pages") >= F.col("host_pages")) & (F.col("pages") >= LEAST_PAGES)
-    classes = ranked.where(fixed).groupBy("host", "pages", "most", "vector").agg(
-        F.collect_list(F.struct("token", "path", "chars")).alias("members"))
-    # Half of the pages hold each member, so members are at most twice as many as a page has tokens.
-    member = classes.select("host", F.explode("members").alias("m")).select("host", "m.*")
-    wording = member.where("chars IS NOT NULL").groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("wording"))
+    whole = ranked.where(fixed & (F.col("pages") == F.col("host_pages")))
+    root = whole.where("chars IS NULL AND most = 1").groupBy("host").agg(F.min_by("path", F.struct(F.length("path"), "path")).alias("root"))
+    nested = whole.join(root, "host").where(F.startswith(F.concat("path", F.lit("/")), F.concat("root", F.lit("/"))))
+    # Every page holds each member, so a class has no more members than a page has tokens.
+    classes = nested.groupBy("host", "most", "vector").agg(F.collect_list(F.struct("token", "chars")).alias("members"))
+    member = classes.where(F.size("members") >= LEAST_MEMBERS).select("host", F.explode("members").alias("m")).select("host", "m.*")
+    words = materialize(member.where("chars IS NOT NULL").select("host", "token"), "html-wording")
+    wording = words.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("wording"))
     last = F.split_part(F.element_at(F.split("path", "/"), -1), F.lit("."), F.lit(1))
-    elements = member.where("chars IS NULL").where(~last.isin(*PARTS)).select("host", F.col("path").alias("element"))
-    varying = ranked.where(~fixed & F.col("chars").isNotNull()).select("host", "path", (F.col("chars") * F.col("pages")).alias("mass"))
+    elements = ranked.where(fixed & F.col("chars").isNull() & ~last.isin(*PARTS)).select("host", F.col("path").alias("element"))
+    varying = ranked.where("chars IS NOT NULL").join(words, ["host", "token"], "left_anti").select("host", "path", (F.col("chars") * F.col("pages")).alias("mass"))
     varying = varying.groupBy("host", "path").agg(F.sum("mass").alias("mass"))
     under = varying.join(elements, "host").where(F.startswith(F.concat("path", F.lit("/")), F.concat("element", F.lit("/"))))
     total = varying.groupBy("host").agg(F.sum("mass").alias("all_mass"))

@@ -341,6 +341,20 @@ def test_html_whole_article(spark):
     assert got == {10 * n + i: "\n".join(x.strip() for x in text(h, i)) for n, h in enumerate(shapes) for i in range(4)}
 
 
+def test_html_repeated_article(spark):
+    """Copies of an article under other bylines, and pages with identical html, make no wording of its text."""
+    page = "<html><body><div id=top>Site name</div><div class=c><p>By {}</p><p>{} one</p><p>{} two</p></div><div id=end>Imprint</div></body></html>"
+    hosts = {"copied": ["shared", "shared", "shared", "own 3", "own 4"], "same": ["twin", "twin", "twin", "twin", "own 4", "own 5", "own 6"]}
+    rows, want = [], {}
+    for h, names in hosts.items():
+        for i, name in enumerate(names):
+            by = "them" if name == "twin" else f"{h} {i}"
+            rows.append((len(rows), f"http://{h}.example/{i}", page.format(by, name, name)))
+            want[rows[-1][0]] = f"By {by}\n{name} one\n{name} two"
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_urls(spark):
     urls = [
         "http://A.Example.org/es/1", "http://example.org/en/17?x", "https://x.org", "https://x.org/", "ftp://b.com/fr/2#f", "http://b.com/de/9", "http://com/de/",
