@@ -9,8 +9,10 @@ whether it moves on, so two windows a few edits apart soon walk in step again an
 becomes Hamming distance of the words read. A table of the LSH is the words read at a few random
 steps, spread over one of the walks. The windows' size follows the item's: the largest power of two up to
 two thirds of it. All starts of an item are embedded, and every `STRIDE`-th start of each
-document, so a passage meets its item at many aligned places, and each has all tables to hit; an
-unaltered passage always does. Hits are verified by edit distance against the whole item.
+document, so a passage meets its item at many aligned places, and each has all tables to hit.
+Items of up to `SHORT` words have too few starts for that. With e allowed edits one of e + 1 runs of
+their words stands unaltered, so their runs of the length of the longest that must stand are keys, met at
+every start of each document; none within the distance is missed. Hits are verified by edit distance against the whole item.
 
 The items come to the driver and go to the tasks in blocks of bounded size; each block is one
 pass over the documents.
@@ -30,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codeaudit.llm.tables import fresh, row_key
-from codeaudit.llm.words import BASE, LOWER, Hasher, mix, texts
+from codeaudit.llm.words import BASE, LOWER, Hasher, mix, texts, windows
 
 RATE = 0.2  # word edits for each word of the item
 STRIDE = 4
+SHORT = 11  # longer items have more starts than STRIDE
 WALKS, TABLES, SYMBOLS = 4, 12, 4
 BLOCK_CHARS = 4_000_000
 SCREEN_BITS = 22
@@ -60,6 +63,12 @@ def word_lists(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int,
         yield chunk.lo, Hasher(_lower(chunk.buf))(starts, ends), chunk.per_row(starts)
 
 
+def run_length(m: int) -> int:
+    """Words of the longest run of an item that any allowed edits leave whole."""
+    e = int(RATE * m)
+    return -(-(m - e) // (e + 1))
+
+
 def size_class(m: int) -> int:
     return 1 << max(2 * m // 3, 1).bit_length() - 1
 
@@ -129,6 +138,7 @@ class Index:
     walks: Walks
     tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # sorted keys, item, start in the item
     screen: np.ndarray
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: sorted keys, item, start in the item
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]]) -> Index:
@@ -136,10 +146,10 @@ class Index:
         words = []
         for _, h, bounds in word_lists(batch):
             words += [h[a:z] for a, z in zip(bounds[:-1], bounds[1:])]
-        classes = sorted({size_class(len(w)) for w in words if len(w)})
+        classes = sorted({size_class(len(w)) for w in words if len(w) > SHORT})
         walks, parts = Walks(classes), {}
         for c, size in enumerate(classes):
-            own = [k for k, w in enumerate(words) if len(w) and size_class(len(w)) == size]
+            own = [k for k, w in enumerate(words) if len(w) > SHORT and size_class(len(w)) == size]
             bounds = np.cumsum([0, *(len(words[k]) for k in own)])
             h, begin = padded(np.concatenate([words[k] for k in own]), bounds)
             starts = [np.arange(len(words[k]) - size + 1) for k in own]
@@ -153,7 +163,14 @@ class Index:
             order = np.argsort(v, kind="stable")
             tables[k] = v[order], item[order], start[order]
             screen[(v >> _U(64 - SCREEN_BITS)).astype(np.int64)] = True
-        return cls([i for i, _ in rows], words, walks, tables, screen)
+        runs = {}
+        for size in sorted({run_length(len(w)) for w in words if 0 < len(w) <= SHORT}):
+            own = [k for k, w in enumerate(words) if 0 < len(w) <= SHORT and run_length(len(w)) == size]
+            v = np.concatenate([windows(words[k], size) for k in own])
+            starts = [np.arange(len(words[k]) - size + 1) for k in own]
+            order = np.argsort(v, kind="stable")
+            runs[size] = v[order], np.repeat(own, [len(x) for x in starts])[order], np.concatenate(starts)[order]
+        return cls([i for i, _ in rows], words, walks, tables, screen, runs)
 
     def hits(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, start, words, distance) of every text and item within the distance."""
@@ -171,6 +188,15 @@ class Index:
             which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             w = np.repeat(at, many)
             found.append(np.stack([row[w], item[which], offset[w] - start[which]]))
+        whole = np.repeat(np.arange(len(n)), n)
+        for size, (known, item, start) in self.runs.items():
+            keys = windows(h, size)
+            at = np.flatnonzero(whole[: len(keys)] == whole[size - 1 :][: len(keys)])
+            lo, hi = np.searchsorted(known, keys[at], "left"), np.searchsorted(known, keys[at], "right")
+            many = hi - lo
+            which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            w = np.repeat(at, many)
+            found.append(np.stack([whole[w], item[which], w - bounds[whole[w]] - start[which]]))
         if not found:
             return
         found = np.unique(np.concatenate(found, axis=1), axis=1)

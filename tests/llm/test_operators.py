@@ -195,6 +195,27 @@ def test_contamination_recall():
     assert hit / total >= 0.9
 
 
+def test_contamination_short_items():
+    """Every item of 1 to 11 words is found at each place, with as many edits of all three kinds as are allowed."""
+    rng = np.random.default_rng(4)
+    draw = lambda k: rng.integers(1, 2**62, k).astype(np.uint64)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(1 + i % 11))) for i in range(44)]
+    index = decontaminate.Index.build(items)
+    for i, w in enumerate(index.words):
+        for lead in range(9):
+            for edits in range(int(0.2 * len(w)) + 1):
+                for kind in range(3):
+                    v = list(w)
+                    for k in sorted(rng.choice(len(v), edits, replace=False), reverse=True):
+                        v[k : k + (kind != 1)] = [] if kind == 2 else draw(1)
+                    text = np.concatenate([draw(lead), np.array(v, np.uint64), draw(12)])
+                    bounds = np.array([0, 5, 5, 5 + len(text)])
+                    got = [x for x in index.hits(np.concatenate([draw(5), text]), bounds)]
+                    assert [(r, x) for r, x, *_ in got] == [(2, i)] and got[0][4] <= edits
+    # A passage does not run from one text into the next.
+    assert not list(index.hits(index.words[2], np.array([0, 2, 3])))
+
+
 def test_pieces(spark, awkward, nothing):
     import sentencepiece
 
