@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, tokencounts, tokenfile, urlfilter
+from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, simhash, tokencounts, tokenfile, urlfilter
 from codeaudit.llm.tables import table
 
 
@@ -60,6 +60,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_components(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -71,4 +76,5 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
 }
