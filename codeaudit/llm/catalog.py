@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, simhash, tokencounts, tokenfile, urlfilter
+from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, simhash, tokencounts, tokenfile, urlfilter, whitening
 from codeaudit.llm.tables import table
 
 
@@ -65,6 +65,11 @@ def op11_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_components(table(spark, folder, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened values of every vector along the four leading components."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -77,4 +82,5 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
