@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, simhash, tokencounts, tokenfile, urlfilter, whitening
+from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, repair, simhash, tokencounts, tokenfile, urlfilter, whitening
 from codeaudit.llm.tables import table
 
 
@@ -70,6 +70,11 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    return repair.repair(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -83,4 +88,5 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
