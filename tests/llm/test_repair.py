@@ -8,6 +8,7 @@ import zlib
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from codeaudit.llm import repair
 from codeaudit.llm.catalog import QUERIES
@@ -175,6 +176,11 @@ def test_one_conversation_over_many_tasks(spark):
     rows = [(1, t, rng.choice(("user", "assistant")), f"text {rng.randrange(500)}{rng.choice(('.', '', '?'))}") for t in range(3000) if t % 97]
     rows += [(2, 1, "user", "a."), (0, 4, "user", "a.")]
     frame = made(spark, rows).repartition(8)
-    spread = repair.first_faults(repair.damage(frame)).repartitionByRange("conv_id", "turn").select("conv_id")
-    assert spread.where("conv_id = 1").rdd.getNumPartitions() > 1
-    assert result(repair.repair(frame)) == expected(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = repair.first_faults(repair.damage(frame)).repartitionByRange("conv_id", "turn", "role", "digest")
+        sizes = ranges.where("conv_id = 1").groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 2
+        assert result(repair.repair(frame)) == expected(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
