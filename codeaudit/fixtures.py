@@ -113,11 +113,13 @@ DELIVERIES_SQL = """
 SELECT event_id, ts, CASE WHEN event_type = 'view' THEN 'push' ELSE 'pull_request' END AS event,
  CASE WHEN event_id % 19 = 0 THEN concat('not json ', event_id)
       WHEN event_id % 23 = 0 THEN concat('{{"action":"opened","number":', event_id, '}}')
+      WHEN event_id % 29 = 0 THEN concat('[{{"action":"opened","number":', event_id, '}}]')
  ELSE concat('{{"action":"',
    CASE event_id % 5 WHEN 0 THEN 'opened' WHEN 1 THEN 'synchronize' WHEN 2 THEN 'reopened'
         WHEN 3 THEN 'closed' ELSE 'labeled' END,
-   '","number":', event_id, ',"repository":{{"full_name":"octo/r', user_id % 20,
-   '"}},"pull_request":{{"head":{{"ref":"b', event_id % 7, '","sha":"s', user_id % 20, '"}}}}}}') END AS body
+   '","number":', CASE WHEN event_id % 41 = 0 THEN concat('"', event_id, '"') ELSE concat('', event_id) END, ',"repository":{{"full_name":"octo/r', user_id % 20,
+   '"}},"pull_request":{{"head":{{"ref":"b', event_id % 7, '","sha":"s', user_id % 20, '"}}}}',
+   CASE WHEN event_id % 31 = 0 THEN ',"number":99}} and more' WHEN event_id % 37 = 0 THEN ',"sender":null,"sender":{{}}}}' ELSE '}}' END) END AS body
 FROM {events}
 """
 
@@ -164,6 +166,16 @@ class Views:
     def paths(self) -> DataFrame:
         return self._sql(PATHS_SQL, "documents")
 
+    def key_rules(self) -> DataFrame:
+        """Secret rules, one for each start of three hexadecimal digits that some order has."""
+        start = F.lower(F.lpad(F.hex(F.col("o_orderkey") % 4096), 3, "0")).alias("start")
+        opening = F.concat(F.lit('= "'), "start")
+        return self.table("orders").select(start).distinct().select(
+            F.concat(F.lit("KEY_"), F.upper("start")).alias("rule"), F.lit(3).alias("severity"),
+            F.concat(F.lit("Key that starts "), "start").alias("title"),
+            F.concat(F.lit('= "('), "start", F.lit('[0-9a-f]{37})"')).alias("pattern"), F.array(opening).alias("keywords"),
+        )
+
     def chunk_queries(self) -> DataFrame:
         return self._sql(QUERIES_SQL, "benchmark")
 
@@ -280,9 +292,13 @@ class Views:
         grouped = indexed.groupBy("review_id", "agent", batch).agg(
             F.to_json(F.concat(items, F.array(unknown))).alias("text")
         )
-        fenced = F.when(
-            F.col("review_id") % 3 == 0, F.concat(F.lit(" ```json\n"), "text", F.lit("\n```\n"))
+        # Items with an index of another kind are ignored; one without an index voids its reply.
+        text = F.when(F.col("review_id") % 13 == 0, F.regexp_replace("text", r"\]$", ',{"i":"0","fix":"z"},{"i":null}]')).when(
+            F.col("review_id") % 19 == 0, F.regexp_replace("text", r"\]$", ',{"fix":"no index"}]')
         ).otherwise(F.col("text"))
+        fenced = F.when(
+            F.col("review_id") % 3 == 0, F.concat(F.lit(" ```json\n"), text, F.lit("\n```\n"))
+        ).otherwise(text)
         reply = F.when(
             F.col("review_id") % 17 == 0, F.substring(fenced, F.lit(1), F.length(fenced) - 6)
         ).otherwise(fenced)

@@ -85,7 +85,8 @@ def triage_prompts(
 def reply_items(replies: DataFrame, schema: str) -> DataFrame:
     """Items of model replies `(…, reply)` as `(…, pos, item)`.
 
-    A reply that does not parse, or has an item without an index, gives no items.
+    A reply that does not parse, or has an item without an index, gives no items. An index that
+    is there but is no whole number names no finding: its item stays, with a NULL `i` by `index_of`.
     """
     rest = [c for c in replies.columns if c != "reply"]
     parsed = replies.select(*rest, strict_json(strip_fence(F.col("reply")), schema).alias("_items"))
@@ -93,6 +94,14 @@ def reply_items(replies: DataFrame, schema: str) -> DataFrame:
     return posexplode_rows(parsed, rest, F.when(complete, F.col("_items")), "pos", "item")
 
 
+def index_of(item: Column) -> Column:
+    """The index of a reply item; NULL unless it is a whole number (a number as text is none)."""
+    kind = F.schema_of_variant(item["i"])
+    number = F.try_variant_get(item["i"], "$", "double")
+    numeric = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE")
+    return F.when(numeric & (number == F.floor(number)), number.try_cast("int"))
+
+
 def merge_triage(indexed: DataFrame, replies: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Findings with `explanation` and `fix_hint` of the matching reply item, else empty.
 
@@ -102,8 +111,8 @@ def merge_triage(indexed: DataFrame, replies: DataFrame, key: Sequence[str] = KE
     on = [*key, "i"]
     latest = (
         reply_items(replies, TRIAGE_REPLY)
-        .select(*key, F.col("item.i").alias("i"), "pos", "item")
-        .groupBy(*on).agg(F.max_by("item", "pos").alias("_item"))
+        .select(*key, index_of(F.col("item")).alias("i"), "pos", F.struct("item.explanation", "item.fix").alias("item"))
+        .filter("i IS NOT NULL").groupBy(*on).agg(F.max_by("item", "pos").alias("_item"))
     )
     merged = indexed.join(latest, on, "left")
     return merged.withColumns({
@@ -125,6 +134,6 @@ def fix_items(replies: DataFrame) -> DataFrame:
     items = strict_json(strip_fence(F.col("reply")), FIX_REPLY)
     rest = [c for c in replies.columns if c != "reply"]
     return posexplode_rows(replies, rest, items, "pos", "item").select(
-        *rest, "pos", "item.i", "item.original", "item.fixed",
+        *rest, "pos", index_of(F.col("item")).alias("i"), "item.original", "item.fixed",
         F.coalesce("item.note", F.lit("")).alias("note"),
     )

@@ -46,12 +46,21 @@ def public_api(facts: DataFrame) -> DataFrame:
     )
 
 
-def untested(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """Every public definition without a mention, in repositories that have tests."""
+def named_in_tests(observed: DataFrame) -> DataFrame:
+    """As `test_identifiers`, of `(repo, names)` that one pass over the contents has found."""
+    return explode_rows(observed, ["repo"], F.col("names"), "name").distinct()
+
+
+def untested(facts: DataFrame, files: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """Every public definition without a mention, in repositories that have tests.
+
+    `named` has the `(repo, name)` of test files; without it their contents are read.
+    """
+    named = test_identifiers(files) if named is None else named
     tested_repos = file_counts(files).filter(F.col("n_tests") > 0).select("repo")
     return (
         public_api(facts)
-        .join(test_identifiers(files), ["repo", "name"], "left_anti")
+        .join(named, ["repo", "name"], "left_anti")
         .join(tested_repos, "repo", "left_semi")
     )
 
@@ -68,9 +77,11 @@ def no_tests(files: DataFrame) -> DataFrame:
     )
 
 
-def gaps(facts: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+def gaps(
+    facts: DataFrame, files: DataFrame, limit: int | None = None, named: DataFrame | None = None
+) -> DataFrame:
     """The gaps of each repository, or its first `limit` in path and definition order."""
-    kept = untested(facts, files)
+    kept = untested(facts, files, named)
     if limit is not None:
         order = [path_order(F.col("path")), F.col("seq")]
         kept = first_rows(kept, ["repo"], order, limit, "_n", SHARES)
@@ -83,8 +94,10 @@ def gaps(facts: DataFrame, files: DataFrame, limit: int | None = None) -> DataFr
     )
 
 
-def test_gap_findings(facts: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
-    return as_findings(no_tests(files).unionByName(gaps(facts, files, limit)), "test-gap")
+def test_gap_findings(
+    facts: DataFrame, files: DataFrame, limit: int | None = None, named: DataFrame | None = None
+) -> DataFrame:
+    return as_findings(no_tests(files).unionByName(gaps(facts, files, limit, named)), "test-gap")
 
 
 # Names of this module start like tests; keep pytest from collecting them.

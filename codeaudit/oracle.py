@@ -353,7 +353,7 @@ judged AS (
  SELECT *, CASE
   WHEN coalesce(signature, '') <> 'sha256=' || {_hmac('body')} THEN 'rejected'
   WHEN event <> 'pull_request' THEN 'skipped event'
-  WHEN NOT json_valid(body) THEN 'malformed'
+  WHEN NOT json_valid(body) OR json_type(body) <> 'OBJECT' THEN 'malformed'
   WHEN body->>'$.action' NOT IN ('opened', 'synchronize', 'reopened') THEN 'skipped action'
   WHEN body->>'$.repository.full_name' IS NULL OR body->>'$.number' IS NULL THEN 'malformed'
   ELSE 'accepted' END AS disposition
@@ -418,6 +418,14 @@ SELECT DISTINCT repo, 'security' AS agent FROM s WHERE suffix IN ('.py', '.js',
 UNION ALL SELECT DISTINCT repo, unnest(['quality', 'test-gap']) FROM s WHERE suffix = '.py'
 UNION ALL SELECT DISTINCT repo, 'documentation' FROM s WHERE suffix IN ('.py', '.md')""",
     "secret_scan": f"WITH {_FILES}, {_secrets('files')} SELECT {_SHOWN} FROM secrets",
+    "secret_scan_rules": f"""WITH {_FILES},
+rules AS (SELECT DISTINCT printf('%03x', o_orderkey % 4096) AS start FROM orders),
+rule_lines AS (
+ SELECT repo, path, unnest({_lines('content')}) AS text, generate_subscripts({_lines('content')}, 1) AS line FROM files WHERE NOT ({_SKIPPED})),
+rule_hits AS (SELECT repo, path, line, unnest(regexp_extract_all(text, '= "([0-9a-f]{{40}})"', 1)) AS value FROM rule_lines)
+SELECT repo, 'KEY_' || upper(start) AS rule, 3 AS severity, 'Key that starts ' || start AS title, path AS file, CAST(line AS INT) AS line,
+ printf('Value of 40 characters starting `%s`; rotate it and load it at run time.', left(value, 4)) AS detail
+FROM rule_hits JOIN rules ON start = left(value, 3)""",
     "sast_ingest": f"WITH {_SAST} SELECT {_SHOWN} FROM sast",
     "py_facts": f"""WITH {_MODULES}
 SELECT repo, path, CASE WHEN NOT broken THEN moddoc = 1 END AS has_doc, CASE WHEN broken THEN 'SyntaxError' END AS error,
@@ -501,8 +509,8 @@ SELECT review_id, agent, CAST(i // 2000 AS INT) AS batch,
 FROM indexed GROUP BY 1, 2, 3""",
     "triage_enrich": f"""WITH {_FINDINGS}, {_INDEXED}
 SELECT review_id, agent, i, rule, title,
- CASE WHEN i % 2 = 0 AND review_id % 17 <> 0 THEN 'why ' || i ELSE '' END AS explanation,
- CASE WHEN i % 2 = 0 AND review_id % 17 <> 0 THEN 'fix ' || title ELSE '' END AS fix_hint
+ CASE WHEN i % 2 = 0 AND review_id % 17 <> 0 AND (review_id % 19 <> 0 OR review_id % 13 = 0) THEN 'why ' || i ELSE '' END AS explanation,
+ CASE WHEN i % 2 = 0 AND review_id % 17 <> 0 AND (review_id % 19 <> 0 OR review_id % 13 = 0) THEN 'fix ' || title ELSE '' END AS fix_hint
 FROM indexed""",
     "fix_snippets": f"""WITH {_FLAT}, {_FILE_FINDINGS}, {_candidates('file_findings')}
 SELECT review_id, i, file, line, array_to_string({_lines('content')}[greatest(1, line - 8):line + 8], {_NL}) AS snippet
@@ -542,10 +550,19 @@ SELECT repo, count(rule) AS total, count(*) FILTER (severity = 4) AS critical, c
  CAST(greatest(0, 100 - coalesce(sum({_PENALTY}), 0)) AS INT) AS health_score
 FROM (SELECT repo FROM prose UNION SELECT repo FROM mods) r LEFT JOIN found USING (repo) GROUP BY repo""",
     "agent_status": f"""{_REVIEW},
+scanned AS (SELECT repo, path, content FROM prose WHERE NOT ({_SKIPPED}) AND {_SUFFIX} IN ('.js', '.ts')),
+raised AS (
+ SELECT repo, 'licences' AS agent, min(path || ': ValueError: table in prose') || CASE WHEN count(*) > 1 THEN printf(' (and %d more)', count(*) - 1) ELSE '' END AS error
+ FROM scanned WHERE content LIKE '%|%' GROUP BY repo),
+status_found AS (
+ SELECT repo, agent, rule FROM found
+ UNION ALL SELECT repo, 'licences', 'LICENCE' FROM (SELECT repo, unnest({_lines('content')}) AS line FROM scanned) l
+ WHERE line LIKE '%Licen%' AND repo NOT IN (SELECT repo FROM raised)),
 routes AS (
  SELECT DISTINCT repo, unnest(['security', 'quality', 'test-gap', 'documentation']) AS agent FROM mods
  UNION ALL SELECT DISTINCT repo, 'security' FROM prose_kept WHERE suffix IN ('.js', '.ts')
+ UNION ALL SELECT DISTINCT repo, 'licences' FROM prose_kept WHERE suffix IN ('.js', '.ts')
  UNION ALL SELECT DISTINCT repo, 'documentation' FROM prose_kept WHERE suffix = '.md')
-SELECT repo, agent, CAST(NULL AS VARCHAR) AS error, count(rule) AS n_findings
-FROM routes LEFT JOIN found USING (repo, agent) GROUP BY repo, agent""",
+SELECT repo, agent, any_value(error) AS error, count(rule) AS n_findings
+FROM routes LEFT JOIN status_found USING (repo, agent) LEFT JOIN raised USING (repo, agent) GROUP BY repo, agent""",
 }

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeaudit.operators.contents import ContentStore
 from codeaudit.operators.report import agent_counts, markdown_report
 from codeaudit.plans.review import Review, run_review
 
@@ -65,10 +66,17 @@ class HeadReviews:
         )
 
 
-def review_heads(accepted: DataFrame, corpus: DataFrame) -> HeadReviews:
-    """Review the heads of accepted deliveries found in `corpus(repo, sha, path, content)`."""
+def review_heads(
+    accepted: DataFrame, corpus: DataFrame, store: ContentStore | None = None, run: str | None = None
+) -> HeadReviews:
+    """Review the heads of accepted deliveries found in `corpus(repo, sha, path, content)`.
+
+    With a `store`, only contents that no earlier head had are parsed; if the corpus has their
+    `digest`, other contents are not even read.
+    """
     heads = accepted.select(*HEAD).distinct()
+    known = ["digest"] if "digest" in corpus.columns else []
     files = corpus.join(heads, list(HEAD), "left_semi").select(
-        _head_id().alias("repo"), "path", "content"
+        _head_id().alias("repo"), "path", "content", *known
     )
-    return HeadReviews(accepted, run_review(files))
+    return HeadReviews(accepted, run_review(files, store=store, run=run))

@@ -29,12 +29,13 @@ SAST_REPORT = (
 )
 
 DELIVERY_BODY = (
-    "action STRING, number BIGINT, repository STRUCT<full_name: STRING>, "
-    "pull_request STRUCT<head: STRUCT<ref: STRING, sha: STRING>>"
+    "STRUCT<action: STRING, number: STRING, repository: STRUCT<full_name: STRING>, "
+    "pull_request: STRUCT<head: STRUCT<ref: STRING, sha: STRING>>>"
 )
 
-TRIAGE_REPLY = "ARRAY<STRUCT<i: INT, explanation: STRING, fix: STRING>>"
-FIX_REPLY = "ARRAY<STRUCT<i: INT, original: STRING, fixed: STRING, note: STRING>>"
+# Indices may be of any kind; `index_of` reads those that are whole numbers.
+TRIAGE_REPLY = "ARRAY<STRUCT<i: VARIANT, explanation: STRING, fix: STRING>>"
+FIX_REPLY = "ARRAY<STRUCT<i: VARIANT, original: STRING, fixed: STRING, note: STRING>>"
 AGENT_COUNTS = "MAP<STRING, BIGINT>"
 
 

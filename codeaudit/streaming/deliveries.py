@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit import fixed
-from codeaudit.functions.text import hmac_sha256
+from codeaudit.functions.text import hmac_sha256, strict_json
 from codeaudit.schemas import DELIVERY_BODY
 
 
@@ -21,17 +21,18 @@ def signature_ok(body: Column, signature: Column, secret: str | None) -> Column:
 def classify_deliveries(deliveries: DataFrame, secret: str | None) -> DataFrame:
     """Disposition of deliveries `(…, event, body, signature)`, with repo, PR and head if accepted.
 
-    Tests come in this order: signature, event, readable body, action, required fields.
+    Tests come in this order: signature, event, body (one JSON object and nothing after it; of a
+    repeated key the last counts), action, required fields.
     Stateless, so it runs unchanged on a stream.
     """
-    parsed = deliveries.withColumn(
-        "_p", F.from_json(F.col("body").cast("string"), DELIVERY_BODY)
-    )
-    complete = F.col("_p.repository.full_name").isNotNull() & F.col("_p.number").isNotNull()
+    parsed = deliveries.withColumn("_p", strict_json(F.col("body").cast("string"), DELIVERY_BODY))
+    # A number may come as text; what is no number leaves the delivery incomplete.
+    number = F.col("_p.number").try_cast("bigint")
+    complete = F.col("_p.repository.full_name").isNotNull() & number.isNotNull()
     disposition = (
         F.when(~signature_ok(F.col("body"), F.col("signature"), secret), "rejected")
         .when(F.coalesce(F.col("event"), F.lit("")) != fixed.PR_EVENT, "skipped event")
-        .when(F.try_parse_json(F.col("body").cast("string")).isNull(), "malformed")
+        .when(F.col("_p").isNull(), "malformed")
         .when(
             ~F.coalesce(F.col("_p.action").isin(*fixed.PR_ACTIONS), F.lit(False)), "skipped action"
         )
@@ -43,7 +44,7 @@ def classify_deliveries(deliveries: DataFrame, secret: str | None) -> DataFrame:
         *deliveries.columns,
         "disposition",
         F.when(accepted, F.col("_p.repository.full_name")).alias("repo"),
-        F.when(accepted, F.col("_p.number")).alias("pr_number"),
+        F.when(accepted, number).alias("pr_number"),
         F.when(accepted, F.col("_p.pull_request.head.ref")).alias("ref"),
         F.when(accepted, F.col("_p.pull_request.head.sha")).alias("sha"),
     )

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from codeaudit.operators.contents import ContentStore
 from codeaudit.operators.history import append_history
+from codeaudit.plans.review import scanners
 from codeaudit.plans.webhook import review_heads
 from codeaudit.storage import materialize
 from codeaudit.streaming.deliveries import accepted_deliveries, classify_deliveries
@@ -40,20 +42,22 @@ def review_batches(
     """A `foreachBatch` function that reviews accepted heads and stores what came of it.
 
     It writes `history`, `comments` and `results` below `tables`, each under the run
-    `<job>-<batch>`, so a batch that is run again replaces its own rows and adds none.
+    `<job>-<batch>`, so a batch that is run again replaces its own rows and adds none. What
+    contents hold is kept in `contents`, so a head costs the parsing of what it changes.
     """
 
-    def store(rows: DataFrame, table: str, run: str) -> None:
+    def put(rows: DataFrame, table: str, run: str) -> None:
         rows.write.mode("overwrite").parquet(f"{tables}/{table}/run={run}")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         run = f"{job}-{batch_id}"
         classified = classify_deliveries(batch, secret)
         accepted = materialize(accepted_deliveries(classified), "accepted")
-        reviews = review_heads(accepted, corpus())
+        store = ContentStore(batch.sparkSession, f"{tables}/contents", scanners=scanners())
+        reviews = review_heads(accepted, corpus(), store, run)
         append_history(reviews.history_rows(), f"{tables}/history", run, ["event_id"])
-        store(reviews.comments(), "comments", run)
-        store(reviews.results(), "results", run)
+        put(reviews.comments(), "comments", run)
+        put(reviews.results(), "results", run)
 
     return process
 

@@ -125,3 +125,21 @@ def test_list_order_puts_reports_first_and_paths_by_component(finding_rows):
 def test_reply_that_is_not_one_array_changes_nothing(spark, reply):
     replies = spark.createDataFrame([("r", "quality", reply)], "review_id string, agent string, reply string")
     assert enrich.reply_items(replies, TRIAGE_REPLY).count() == 0
+
+
+def test_reply_indices(spark):
+    """An index of another kind is ignored; an item without one voids its reply."""
+    found = spark.createDataFrame(
+        [(k, "quality", i, f"R{i}") for k in range(8) for i in range(2)], "review_id int, agent string, i int, rule string")
+    replies = [
+        '[{"i": 0, "explanation": "a"}, {"i": "one"}]', '[{"i": 0, "explanation": "a"}, {"explanation": "b"}]',
+        '[{"i": 0, "explanation": "a"}, {"i": null, "explanation": "b"}]', '[{"i": "0", "explanation": "a"}, {"i": 1, "fix": "f"}]',
+        '[{"i": 1.0, "explanation": "a"}, {"i": 0.5}]', '[{"i": 0, "explanation": "a"}, 5]', '[{"i": 0, "explanation": "a"}] x',
+        '[{"i": true}, {"i": 99999999999, "explanation": "b"}, {"i": 0, "explanation": "a"}, {"i": 0, "explanation": "c"}]',
+    ]
+    replied = spark.createDataFrame([(k, "quality", r) for k, r in enumerate(replies)], "review_id int, agent string, reply string")
+    got = {(r["review_id"], r["i"]): (r["explanation"], r["fix_hint"]) for r in merge_triage(found, replied).collect()}
+    assert len(got) == 16
+    assert {k: v for k, v in got.items() if v != ("", "")} == {
+        (0, 0): ("a", ""), (2, 0): ("a", ""), (3, 1): ("", "f"), (4, 1): ("a", ""), (7, 0): ("c", ""),
+    }

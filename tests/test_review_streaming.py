@@ -153,10 +153,14 @@ def deliveries(spark, rows):
     )
 
 
+GOOD = '{"action": "opened", "number": 7, "repository": {"full_name": "o/r"}, "pull_request": {"head": {"sha": "s"}}}'
 CASES = [
     delivery(1), delivery(2, sign=None), delivery(3, sign="sha256=00"), delivery(4, event="push", sign=None),
     delivery(5, event="push"), delivery(6, action="closed"), delivery(7, body="{nope"), delivery(8, body="{}"),
     delivery(9, body='{"action": "opened", "number": 9}'), delivery(10, action="reopened"), delivery(11, event="push", body="x"),
+    delivery(12, body=GOOD + " and more"), delivery(13, body=f"[{GOOD}]"), delivery(14, body="[1]"),
+    delivery(15, body=GOOD.replace('"number": 7', '"number": 3, "number": "15"')), delivery(16, body=GOOD.replace("7", '"x"')),
+    delivery(17, body=f" \n{GOOD}\n"), delivery(18, body=f"{GOOD},{GOOD}"), delivery(19, body='{"action": {"a": 1}}'),
 ]
 
 
@@ -165,7 +169,11 @@ def test_dispositions(spark):
     assert got == {
         1: "accepted", 2: "rejected", 3: "rejected", 4: "rejected", 5: "skipped event", 6: "skipped action",
         7: "malformed", 8: "skipped action", 9: "malformed", 10: "accepted", 11: "skipped event",
+        12: "malformed", 13: "malformed", 14: "malformed", 15: "accepted", 16: "malformed", 17: "accepted", 18: "malformed",
+        19: "skipped action",
     }
+    numbers = {r["event_id"]: r["pr_number"] for r in classify_deliveries(deliveries(spark, CASES), SECRET).collect()}
+    assert (numbers[1], numbers[15], numbers[16], numbers[17]) == (1, 15, None, 7)
     open_mode = classify_deliveries(deliveries(spark, CASES[:3]), None).collect()
     assert {r["disposition"] for r in open_mode} == {"accepted"}
 
