@@ -22,6 +22,8 @@ STANDARDS = (
     "Never use a mutable default argument or a bare except.\nWrite a test for public functions.\n",
 )
 CHUNK_LINES = 5
+# Limits of the capped twins that cut something at every scale of the tables.
+INDEX_FILES, INDEX_CHUNKS, PART_FIXES = 4, 10, 3
 UNKNOWN_INDEX = 2_000_000_000
 
 FILES_SQL = """
@@ -339,6 +341,17 @@ class Views:
             F.col("embedding").alias("vector"),
         )
 
+    def chunk_vectors(self) -> DataFrame:
+        """Vectors for the first chunks of seven repositories."""
+        n = F.col("vec_id")
+        return self.table("embeddings").select(
+            F.concat(F.lit("src"), n % 7).alias("repo"), F.floor(n / 7).cast("long").alias("ord"), F.col("embedding").alias("vector"))
+
+    def query_vectors(self) -> DataFrame:
+        """A vector for the queries with an even number."""
+        return self.table("embeddings").filter(F.col("vec_id") % 2 == 0).select(
+            F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
 
 def sign(deliveries: DataFrame) -> DataFrame:
     """Add signatures: right ones, but wrong for ids ending in 3 and missing for those in 7."""

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from codeaudit import fixed
 from codeaudit.functions.paths import contained
-from codeaudit.functions.text import occurrences, replace_first, split_lines, unify_newlines
-from codeaudit.operators.ranking import number_rows
+from codeaudit.functions.text import occurrences, split_lines, unify_newlines
+from codeaudit.operators.piecetable import patch_batches
+from codeaudit.operators.ranking import running_totals
 
 FILE = ("repo", "path")
-# Patches of one file that are applied in one pass; more are applied in further passes.
-PASS_PATCHES = 1_000
+# Proposals of one part of a fix report.
+PART_FIXES = 1_000
 
 
 def safe_paths(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -66,34 +67,30 @@ def validate_patches(
     )
 
 
-def apply_patches(
-    files: DataFrame, patches: DataFrame, per_pass: int = PASS_PATCHES
-) -> DataFrame:
+def apply_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
     """Patched files `(repo, path, new_content, n_applied)` for `patches(repo, path, ord, original, fixed)`.
 
     Patches of a file apply in order, each only if its original occurs exactly once in the
     text as patched so far. Inputs stay as they are. Spellings of one path are one file;
-    `refused_patches` has the patches that name none. A file with more than `per_pass` patches
-    goes through several passes, so no row carries more than that many.
+    `refused_patches` has the patches that name none. A file and its patches are sorted next to each other
+    and streamed through a piece table, so no row and no task holds the patches of a file.
     """
     patches = patches.withColumn("path", contained(F.col("path"))).filter("path IS NOT NULL")
-    order = [F.col("ord"), F.col("original"), F.col("fixed")]
-    numbered = number_rows(patches, list(FILE), order, "_n")
-    batches = numbered.groupBy(*FILE, F.floor((F.col("_n") - 1) / per_pass).alias("_pass")).agg(
-        F.array_sort(F.collect_list(F.struct("_n", "original", "fixed"))).alias("_patches")
-    )
-    most = patches.groupBy(*FILE).count().agg(F.max("count")).first()[0] or 0
-    state = files.join(patches.select(*FILE).distinct(), list(FILE), "left_semi").select(
-        *FILE, F.struct(unify_newlines(F.col("content")).alias("text"), F.lit(0).alias("n")).alias("_state")
-    )
-    for at in range(-(-most // per_pass)):
-        batch = batches.filter(F.col("_pass") == at).drop("_pass")
-        state = state.join(batch, list(FILE), "left").select(
-            *FILE, F.coalesce(_applied(), F.col("_state")).alias("_state")
-        )
-    return state.select(
-        *FILE, F.col("_state.text").alias("new_content"), F.col("_state.n").alias("n_applied")
-    )
+    none = F.lit(None).cast("string")
+    texts = files.join(patches.select(*FILE).distinct(), list(FILE), "left_semi").select(
+        *FILE, F.lit(0).alias("_side"), F.lit(None).cast(patches.schema["ord"].dataType).alias("ord"),
+        unify_newlines(F.coalesce("content", F.lit(""))).alias("text"), none.alias("original"), none.alias("fixed"))
+    changes = patches.select(*FILE, F.lit(1).alias("_side"), "ord", none.alias("text"), "original", "fixed")
+    rows = texts.unionByName(changes).repartition(*FILE).sortWithinPartitions(*FILE, "_side", "ord", "original", "fixed")
+    return rows.select(*FILE, "text", "original", "fixed").mapInArrow(
+        patch_batches, "repo string, path string, new_content string, n_applied int")
+
+
+def apply_proposals(files: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Files as validated proposals leave them; a file's proposals apply in the order of review, index and place."""
+    changes = proposals.select(
+        "repo", F.col("file").alias("path"), F.struct("review_id", "i", "pos").alias("ord"), "original", "fixed")
+    return apply_patches(files, changes)
 
 
 def refused_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
@@ -104,34 +101,28 @@ def refused_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
     return inside.join(known, ["repo", "_inside"], "left_anti").select(*patches.columns, reason)
 
 
-def _applied() -> Column:
-    def step(done: Column, patch: Column) -> Column:
-        fits = occurrences(done["text"], patch["original"]) == 1
-        text = replace_first(done["text"], patch["original"], patch["fixed"])
-        return F.when(
-            fits, F.struct(text.alias("text"), (done["n"] + 1).alias("n"))
-        ).otherwise(done)
-
-    return F.aggregate("_patches", F.col("_state"), step)
-
-
 def fix_report(
-    proposals: DataFrame, key: Sequence[str] = ("review_id",), title: str = fixed.FIX_REPORT_TITLE
+    proposals: DataFrame, key: Sequence[str] = ("review_id",), title: str = fixed.FIX_REPORT_TITLE,
+    part_fixes: int = PART_FIXES,
 ) -> DataFrame:
-    """Proposals of each review as JSON and as Markdown with diffs.
+    """Proposals of each review as JSON and as Markdown with diffs, `(key, part, fixes_json, fixes_md)`.
 
-    A review has as many proposals as its one reply holds, for at most ten candidates.
+    A part has `part_fixes` proposals, so no row grows with the review; the title stands in part 0, and
+    the parts in order, joined by a line break, are one document.
     """
     fields = ("file", "line", "rule", "title", "original", "fixed", "note")
-    listed = F.array_sort(F.collect_list(F.struct("pos", *fields)))
-    grouped = proposals.groupBy(*key).agg(listed.alias("_listed"))
+    one = proposals.withColumn("_one", F.lit(1))
+    numbered = running_totals(one, key, [F.col("pos"), *[F.col(f) for f in fields]], "_one", "_at")
+    listed = F.array_sort(F.collect_list(F.struct("_at", *fields)))
+    part = F.floor(F.col("_at") / part_fixes).cast("long").alias("part")
+    grouped = numbered.groupBy(*key, part).agg(listed.alias("_listed"))
 
     def diff(text: Column, mark: str) -> Column:
         return F.transform(split_lines(text), lambda line: F.concat(F.lit(mark), line))
 
-    def section(p: Column, at: Column) -> Column:
+    def section(p: Column) -> Column:
         head = F.format_string(
-            "## %d. %s (`%s:%d`, `%s`)", at + 1, p["title"], p["file"], p["line"], p["rule"]
+            "## %d. %s (`%s:%d`, `%s`)", p["_at"] + 1, p["title"], p["file"], p["line"], p["rule"]
         )
         note = F.when(p["note"] != "", F.concat(p["note"], F.lit("\n"))).otherwise("")
         lines = F.concat(
@@ -141,5 +132,6 @@ def fix_report(
         return F.array_join(lines, "\n")
 
     plain = F.transform("_listed", lambda p: F.struct(*[p[f].alias(f) for f in fields]))
-    body = F.concat_ws("\n", F.lit(f"# {title}\n"), F.transform("_listed", section))
-    return grouped.select(*key, F.to_json(plain).alias("fixes_json"), body.alias("fixes_md"))
+    head = F.when(F.col("part") == 0, f"# {title}\n")
+    body = F.concat_ws("\n", head, F.transform("_listed", section))
+    return grouped.select(*key, "part", F.to_json(plain).alias("fixes_json"), body.alias("fixes_md"))

@@ -90,6 +90,25 @@ def _number_by_range(
     )
 
 
+def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[Column], weight: str, name: str) -> DataFrame:
+    """Add the sum of `weight` over the earlier rows of each group as column `name`.
+
+    Two levels: rows are placed by range over group and order, summed within each piece, and the totals of
+    a group's earlier pieces are added. No task holds a group, however large; at most one
+    group runs on from a piece into the next, so `carried` has at most one row per piece.
+    """
+    placed = df.repartitionByRange(*[F.col(c).asc() for c in by], *order).withColumn("_piece", F.spark_partition_id())
+    stored = materialize(placed, "placed")
+    earlier = lambda keys, at: Window.partitionBy(*keys).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    totals = stored.groupBy("_piece", *by).agg(F.sum(weight).alias("_total"))
+    carried = totals.withColumn("_before", F.sum("_total").over(earlier(by, ["_piece"]))).filter("_before IS NOT NULL").select(
+        F.col("_piece").alias("_carry_piece"), *[F.col(c).alias(f"_carry_{c}") for c in by], "_before")
+    same = [F.col("_piece") == F.col("_carry_piece"), *[F.col(c).eqNullSafe(F.col(f"_carry_{c}")) for c in by]]
+    within = F.coalesce(F.sum(weight).over(earlier(["_piece", *by], order)), F.lit(0))
+    return stored.withColumn("_within", within).join(F.broadcast(carried), same, "left").withColumn(
+        name, F.col("_within") + F.coalesce("_before", F.lit(0))).select(*df.columns, name)
+
+
 def first_rows(
     df: DataFrame,
     by: Sequence[str],

@@ -3,32 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit import fixed
 from codeaudit.functions.paths import in_skipped_dir, path_order, suffix
-from codeaudit.functions.rows import explode_rows, inline_rows
-from codeaudit.functions.text import split_lines, strip, unify_newlines, words
-from codeaudit.operators.ranking import SHARES, first_rows
+from codeaudit.functions.rows import inline_rows
+from codeaudit.functions.text import SPACES, split_lines, strip, unify_newlines
+from codeaudit.operators.nearest import nearest
+from codeaudit.operators.postings import asked_words, build_index, search
+from codeaudit.operators.ranking import SHARES, first_rows, running_totals
+from codeaudit.storage import materialize
 
-# Query rows that share one copy of a repository's vectors in a task.
-QUERY_BLOCK = 4096
 
+def indexed_files(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Indexable files, or those among the first `max_files` of each repository in path order.
 
-def indexed_files(files: DataFrame, max_files: int = fixed.INDEX_FILES) -> DataFrame:
-    """Indexable files among the first `max_files` of each repository in path order.
-
-    The limit is found on paths alone. Only repositories that reach it are joined back,
+    A limit is found on paths alone. Only repositories that reach it are joined back,
     with their last admitted path, so contents are not sorted and this join stays small.
     """
     path = F.col("path")
     eligible = files.filter(
         suffix(path).isin(*fixed.INDEX_SUFFIXES) & ~in_skipped_dir(path, fixed.INDEX_SKIP_DIRS)
     )
+    if max_files is None:
+        return eligible
     place = path_order(path)
     places = eligible.select("repo", place.alias("_place"))
     head = first_rows(places, ["repo"], [F.col("_place")], max_files, "_n", SHARES)
@@ -51,19 +52,22 @@ def chunk_lines(files: DataFrame, size: int = fixed.CHUNK_LINES) -> DataFrame:
         ),
     )
     kept = F.filter(chunks, lambda c: c["text"] != "")
-    return inline_rows(lines, [c for c in files.columns if c != "content"], kept, "text")
+    placed = F.transform(kept, lambda c, n: F.struct(n.alias("nth"), c["first_line"].alias("first_line"), c["text"].alias("text")))
+    return inline_rows(lines, [c for c in files.columns if c != "content"], placed, "text")
 
 
 def chunk_index(
     files: DataFrame,
     standards: tuple[str, str] | None = None,
     chunk_size: int = fixed.CHUNK_LINES,
-    max_files: int = fixed.INDEX_FILES,
-    max_chunks: int = fixed.INDEX_CHUNKS,
+    max_files: int | None = None,
+    max_chunks: int | None = None,
 ) -> DataFrame:
     """Chunks `(repo, ord, source, text)` of each repository, `ord` from 0.
 
-    `standards` is a `(name, text)` document that every repository gets after its files.
+    `standards` is a `(name, text)` document that every repository gets after its files. The limits
+    cut a repository's files and chunks. A chunk's number is the number of chunks in earlier
+    files, by sums of counts, and its place in its own file: texts are never sorted.
     """
     chosen = indexed_files(files, max_files).select("repo", F.lit(0).alias("_last"), "path", "content")
     if standards is not None:
@@ -72,101 +76,71 @@ def chunk_index(
             "repo", F.lit(1).alias("_last"), F.lit(name).alias("path"), F.lit(text).alias("content")
         )
         chosen = chosen.unionByName(everywhere)
-    order = [F.col("_last"), path_order(F.col("path")), F.col("first_line")]
-    kept = first_rows(chunk_lines(chosen, chunk_size), ["repo"], order, max_chunks, "_n")
-    return kept.select(
+    rows = materialize(chunk_lines(chosen, chunk_size), "chunks")
+    key = ["repo", "_last", "path"]
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    offsets = running_totals(counts, ["repo"], [F.col("_last"), path_order(F.col("path"))], "_n", "_before")
+    placed = rows.join(offsets.drop("_n"), key).select(
         "repo",
-        (F.col("_n") - 1).alias("ord"),
+        (F.col("_before") + F.col("nth")).alias("ord"),
         F.concat_ws(":", "path", F.col("first_line").cast("string")).alias("source"),
         "text",
     )
+    return placed if max_chunks is None else placed.filter(F.col("ord") < max_chunks)
 
 
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
-    """Best `k` chunks for each query `(query_id, repo, query)` by keyword score.
+    """Best `k` chunks for each query `(query_id, repo, query)` by keyword score, see `postings`.
 
-    Score: occurrences of query words over the square root of the chunk's word count. An
-    index is capped per repository, so a query meets a bounded number of chunks. Word
-    counts are taken before the join, and only words that the repository's queries use are joined.
+    The index has the words of these queries only; to keep one for many, use `build_index` and `search`.
     """
-    asked = explode_rows(
-        queries, ["query_id", "repo"], F.array_distinct(words(F.col("query"))), "word"
-    )
-    worded = chunks.select("repo", "ord", "source", words(F.col("text")).alias("_words"))
-    counted = (
-        explode_rows(
-            worded, ["repo", "ord", "source", F.size("_words").alias("n_words")], F.col("_words"), "word"
-        )
-        .groupBy("repo", "ord", "source", "n_words", "word").agg(F.count("*").alias("_times"))
-    )
-    scored = (
-        asked.join(counted, ["repo", "word"])
-        .groupBy("query_id", "repo", "ord", "source", "n_words")
-        .agg(F.sum("_times").alias("_hits"))
-        .withColumn("score", F.col("_hits") / F.sqrt("n_words"))
-    )
-    best = first_rows(scored, ["query_id"], [F.desc("score"), F.col("ord")], k, "rank")
-    return best.select("query_id", "repo", "rank", "ord", "source", "score")
+    index = materialize(build_index(chunks, asked_words(queries)), "postings")
+    found = search(index, queries, k)
+    return found.join(chunks.select("repo", "ord", "source"), ["repo", "ord"]).select(
+        "query_id", "repo", "rank", "ord", "source", "score")
 
 
 def vector_topk(index: DataFrame, queries: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
-    """Nearest `k` vectors by squared Euclidean distance, ties by `ord`.
-
-    `index` is `(repo, ord, vector)`, capped per repository like the chunk index; `queries`
-    is `(query_id, repo, vector)`. Queries of a repository are spread over as many blocks as
-    their number needs and each block meets one copy of the index, so a task holds at most a block
-    and an index, and no pair of query and vector becomes a row.
-    """
-    sizes = queries.groupBy("repo").agg(F.count("*").alias("_n"))
-    blocks = sizes.select(
-        "repo", F.ceil(F.col("_n") / QUERY_BLOCK).cast("int").alias("_blocks")
-    )
-    spread = queries.join(blocks, "repo").withColumn(
-        "_block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int")
-    )
-    copies = index.join(blocks, "repo").withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    )
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, repo string, rank int, ord bigint, distance double"
-
-    def nearest(asked: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or vectors.empty:
-            return pd.DataFrame(columns=["query_id", "repo", "rank", "ord", "distance"])
-        vectors = vectors.sort_values("ord")
-        found = np.stack(vectors["vector"].to_numpy()).astype("float64")
-        wanted = np.stack(asked["vector"].to_numpy()).astype("float64")
-        distance = np.empty((len(wanted), len(found)))
-        for at, query in enumerate(wanted):
-            distance[at] = np.square(found - query).sum(axis=1)
-        distance = distance.round(6)
-        n = min(k, len(found))
-        best = np.argsort(distance, axis=1, kind="stable")[:, :n]
-        return pd.DataFrame({
-            "query_id": np.repeat(asked["query_id"].to_numpy(), n),
-            "repo": np.repeat(asked["repo"].to_numpy(), n),
-            "rank": np.tile(np.arange(1, n + 1), len(wanted)),
-            "ord": vectors["ord"].to_numpy()[best].ravel(),
-            "distance": np.take_along_axis(distance, best, axis=1).ravel(),
-        })
-
-    # New names keep the sides apart when index and queries come from one table.
-    index_side = copies.select(
-        F.col("repo").alias("_repo"), F.col("_block").alias("_copy"),
-        F.col("ord").alias("ord"), F.col("vector").alias("vector"),
-    )
-    return (
-        spread.select("repo", "_block", "query_id", "vector").groupBy("repo", "_block")
-        .cogroup(index_side.groupBy("_repo", "_copy")).applyInPandas(nearest, schema)
-    )
+    """Nearest `k` vectors of `(repo, ord, vector)` for each `(query_id, repo, vector)`, see `nearest`."""
+    return nearest(index, queries, k)
 
 
-def vector_index(vectors: DataFrame, order: Sequence[str], max_chunks: int = fixed.INDEX_CHUNKS) -> DataFrame:
-    """The first vectors `(repo, …, vector)` of each repository, as many as an index holds."""
-    kept = first_rows(vectors, ["repo"], [F.col(c) for c in order], max_chunks, "_n", SHARES)
+def vector_index(vectors: DataFrame, order: Sequence[str], max_chunks: int | None = None) -> DataFrame:
+    """Vectors `(repo, …, vector)` with their number in the repository, or the first `max_chunks` of each."""
+    place = [F.col(c) for c in order]
+    if max_chunks is None:
+        return running_totals(vectors.withColumn("_one", F.lit(1)), ["repo"], place, "_one", "ord").drop("_one")
+    kept = first_rows(vectors, ["repo"], place, max_chunks, "_n", SHARES)
     return kept.withColumn("ord", (F.col("_n") - 1).cast("long")).drop("_n")
 
 
+def retrieve(
+    chunks: DataFrame,
+    queries: DataFrame,
+    vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None,
+    k: int = fixed.TOP_K,
+) -> DataFrame:
+    """Context of each query `(query_id, repo, query)`: `(query_id, repo, rank, ord, source, text, backend)`.
+
+    By vectors where the query's repository has some, of its chunks `(repo, ord, vector)`, and the query has
+    one, `(query_id, vector)`; else, and where that finds nothing, by keywords. A blank query has no context.
+    """
+    asked = queries.filter(F.btrim("query", F.lit(SPACES)) != "")
+    parts, rest = [], asked
+    if vectors is not None and query_vectors is not None:
+        held = vectors.join(chunks.select("repo", "ord"), ["repo", "ord"], "left_semi")
+        near = asked.join(query_vectors, "query_id").filter("vector IS NOT NULL").select("query_id", "repo", "vector")
+        by_vector = materialize(vector_topk(held, near, k), "retrieved")
+        parts.append(by_vector.select("query_id", "repo", "rank", "ord", F.lit("vector").alias("backend")))
+        rest = asked.join(by_vector.select("query_id").distinct(), "query_id", "left_anti")
+    by_word = keyword_topk(chunks, rest, k)
+    parts.append(by_word.select("query_id", "repo", "rank", "ord", F.lit("keyword").alias("backend")))
+    best = reduce(DataFrame.unionByName, parts)
+    return best.join(chunks.select("repo", "ord", "source", "text"), ["repo", "ord"]).select(
+        "query_id", "repo", "rank", "ord", "source", "text", "backend")
+
+
 def context_blocks(best: DataFrame, chunks: DataFrame) -> DataFrame:
     """Retrieved chunks of each query as one text, best first."""
     texts = best.join(chunks.select("repo", "ord", "text"), ["repo", "ord"])
@@ -177,16 +151,19 @@ def context_blocks(best: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def retrieval_queries(findings: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Query text of each review: distinct `rule title` strings in list order, cut to length.
+def retrieval_queries(
+    findings: DataFrame, key: Sequence[str], order: Sequence[str], chars: int | None = None
+) -> DataFrame:
+    """Query text of each review: distinct `rule title` strings in list order, cut to `chars` if given.
 
-    Each string takes at least two characters with its separator, so only the first
-    `QUERY_CHARS` of them can show.
+    Each string takes at least two characters with its separator, so only the first `chars` of
+    them can show. Without a cut the text is as long as the review has different strings.
     """
     text = F.concat_ws(" ", "rule", "title")
     first = findings.groupBy(*key, text.alias("_text")).agg(F.min(F.struct(*order)).alias("_at"))
-    kept = first_rows(first, list(key), [F.col("_at"), F.col("_text")], fixed.QUERY_CHARS, "_n")
+    if chars is not None:
+        first = first_rows(first, list(key), [F.col("_at"), F.col("_text")], chars, "_n")
     joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", "_text"))), lambda t: t["_text"]), " "
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda t: t["_text"]), " "
     )
-    return kept.groupBy(*key).agg(F.substring(joined, 1, fixed.QUERY_CHARS).alias("query"))
+    return first.groupBy(*key).agg((joined if chars is None else F.substring(joined, 1, chars)).alias("query"))

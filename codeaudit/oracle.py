@@ -257,13 +257,14 @@ documents_md AS (
  FROM wide w LEFT JOIN summaries USING (review_id) LEFT JOIN bodies USING (review_id))"""
 
 
-_CHUNKS = f"""
+def _chunks(where: str = "", less: str = "") -> str:
+    return f"""
 eligible AS (
  SELECT repo, path, content, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS file_no
  FROM files WHERE {_SUFFIX} IN ('.py', '.md', '.rst', '.txt')
   AND len(list_filter(string_split(path, '/'), lambda p: p IN ('data', '.codeaudit', '{"', '".join(fixed.SKIP_DIRS)}'))) = 0),
 chosen AS (
- SELECT repo, 0 AS last, path, content FROM eligible WHERE file_no <= 200
+ SELECT repo, 0 AS last, path, content FROM eligible {where}
  UNION ALL
  SELECT DISTINCT repo, 1, '{fixtures.STANDARDS[0]}', '{fixtures.STANDARDS[1].replace(chr(10), "' || chr(10) || '")}' FROM files),
 lined AS (SELECT *, {_lines('content')} AS ls FROM chosen),
@@ -275,7 +276,10 @@ numbered AS (
  SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY last, {_ORDER}, first_line) - 1 AS ord,
   path || ':' || first_line AS source, body AS text
  FROM bodies WHERE body <> ''),
-chunks AS (SELECT repo, CAST(ord AS INT) AS ord, source, text FROM numbered WHERE ord < 800)"""
+chunks AS (SELECT repo, ord, source, text FROM numbered {less})"""
+
+
+_CHUNKS = _chunks()
 
 _TOPK = f"""
 chunk_words AS (
@@ -291,6 +295,26 @@ best AS (
  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank FROM scored) s
  WHERE rank <= 4 AND score > 0)"""
 
+def _distance(a: str, b: str) -> str:
+    return f"round(list_sum(list_transform(list_zip({a}, {b}), lambda p: power(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))), 6)"
+
+
+def _nearest(limit: str) -> str:
+    return f"""WITH v AS (
+ SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS ord FROM embeddings),
+d AS (
+ SELECT q.vec_id AS query_id, x.vec_id, {_distance('q.embedding', 'x.embedding')} AS distance
+ FROM v q JOIN v x ON q.label = x.label {limit})
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance
+FROM d QUALIFY rank <= 4"""
+
+
+def _retrieval_query(text: str) -> str:
+    return f"""WITH {_FINDINGS}, t AS (
+ SELECT repo, rule || ' ' || title AS s, min(struct_pack(a := file, b := line, c := rule)) AS place FROM findings GROUP BY 1, 2)
+SELECT repo, {text.format("string_agg(s, ' ' ORDER BY place, s)")} AS query FROM t GROUP BY repo"""
+
+
 _LIST_ORDER = (
     "CASE WHEN agent = 'security' THEN seq ELSE 0 END, replace(file, '/', chr(1)), seq, line, rule, severity, title, detail"
 )
@@ -299,7 +323,7 @@ indexed AS (
  SELECT *, CAST(row_number() OVER (PARTITION BY review_id, agent ORDER BY {_LIST_ORDER}) - 1 AS INT) AS i FROM findings)"""
 
 
-def _candidates(table: str, limit: str = "QUALIFY i < 10") -> str:
+def _candidates(table: str, limit: str = "") -> str:
     return f"""
 candidates AS (
  SELECT *, CAST(row_number() OVER (PARTITION BY review_id ORDER BY {_RANK_ORDER}) - 1 AS INT) AS i
@@ -307,7 +331,8 @@ candidates AS (
  {limit})"""
 
 
-_PROPOSALS = f"""{_candidates('file_findings')},
+def _proposals(limit: str = "") -> str:
+    return f"""{_candidates('file_findings', limit)},
 replied AS (
  SELECT c.*, content, CASE WHEN c.seq % 4 <= 1 THEN left(content, 40) WHEN c.seq % 4 = 2 THEN 'e' ELSE 'ZZZZ-absent' END AS original,
   CASE WHEN c.seq % 3 = 0 THEN 'note ' || c.seq ELSE '' END AS note
@@ -319,6 +344,23 @@ proposals AS (
  WHERE (length(content) - length(replace(content, original, ''))) / length(original) = 1)"""
 
 
+_TEN = "QUALIFY i < 10"
+
+
+def _fix_report(limit: str, per_part: int) -> str:
+    return f"""WITH {_FLAT}, {_FILE_FINDINGS}, {_proposals(limit)},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY i) AS n FROM proposals)
+SELECT review_id, (n - 1) // {per_part} AS part,
+ '[' || string_agg('{{"file":"' || file || '","line":' || line || ',"rule":"' || rule || '","title":"' || title || '","original":'
+  || CAST(to_json(original) AS VARCHAR) || ',"fixed":' || CAST(to_json(fixed) AS VARCHAR) || ',"note":"' || note || '"}}', ',' ORDER BY n) || ']' AS fixes_json,
+ CASE WHEN (n - 1) // {per_part} = 0 THEN '# Proposed fixes' || {_NL} || {_NL} ELSE '' END || string_agg(
+  '## ' || n || '. ' || title || ' (`' || file || ':' || line || '`, `' || rule || '`)' || {_NL}
+  || CASE WHEN note <> '' THEN note || {_NL} ELSE '' END || {_NL} || '```diff' || {_NL}
+  || array_to_string(list_transform({_lines('original')}, lambda l: '- ' || l), {_NL}) || {_NL}
+  || array_to_string(list_transform({_lines('fixed')}, lambda l: '+ ' || l), {_NL}) || {_NL} || '```' || {_NL}, {_NL} ORDER BY n) AS fixes_md
+FROM numbered GROUP BY review_id, part"""
+
+
 def _count(text: str, part: str) -> str:
     return f"((length({text}) - length(replace({text}, {part}, ''))) // length({part}))"
 
@@ -464,9 +506,9 @@ SELECT review_id, total, critical, high, medium, low, info, health_score FROM wi
 SELECT review_id, {_SUMMARY} AS summary
 FROM (SELECT review_id, severity, count(*) AS n FROM findings GROUP BY ALL) s GROUP BY review_id""",
     "agent_counts": f"WITH {_FINDINGS}, {_AGENTS} SELECT review_id, agents_json FROM agents",
-    "fix_candidates": f"""WITH {_FINDINGS}, {_candidates('findings')}
+    "fix_candidates": f"""WITH {_FINDINGS}, {_candidates('findings', _TEN)}
 SELECT review_id, i, severity, file, line, rule, title, detail FROM candidates""",
-    "fix_candidates_all": f"""WITH {_FINDINGS}, {_candidates('findings', '')}
+    "fix_candidates_all": f"""WITH {_FINDINGS}, {_candidates('findings')}
 SELECT review_id, i, severity, file, line, rule, title, detail FROM candidates""",
     "markdown_report": f"""WITH {_FINDINGS}, {_REVIEWS}, {_FAILURES}, {_wide()}, {_markdown(True)}
 SELECT review_id, part, body FROM documents_md""",
@@ -487,21 +529,28 @@ LEFT JOIN (SELECT * FROM findings WHERE review_id IN (SELECT o_orderkey FROM ord
     "totals_by_agent": f"""WITH {_FINDINGS}
 SELECT agent, count(*) AS n FROM findings WHERE review_id IN (SELECT o_orderkey FROM orders) GROUP BY agent""",
     "chunk_index": f"WITH {_FILES}, {_CHUNKS} SELECT repo, ord, source, text FROM chunks",
+    "chunk_index_capped": f"WITH {_FILES}, {_chunks(f'WHERE file_no <= {fixtures.INDEX_FILES}', f'WHERE ord < {fixtures.INDEX_CHUNKS}')} SELECT repo, ord, source, text FROM chunks",
     "keyword_topk": f"WITH {_FILES}, {_CHUNKS}, {_CHUNK_QUERIES}, {_TOPK} SELECT query_id, repo, rank, ord, source, score FROM best",
-    "vector_topk": """WITH v AS (
- SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS ord FROM embeddings),
-d AS (
- SELECT q.vec_id AS query_id, x.vec_id,
-  round(list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda p: power(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))), 6) AS distance
- FROM v q JOIN v x ON q.label = x.label AND x.ord <= 800)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance
-FROM d QUALIFY rank <= 4""",
+    "vector_topk": _nearest(""),
+    "vector_topk_capped": _nearest(f"AND x.ord <= {fixtures.INDEX_CHUNKS}"),
+    "retrieve": f"""WITH {_FILES}, {_CHUNKS}, {_CHUNK_QUERIES}, {_TOPK},
+held AS (
+ SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON c.repo = 'src' || (e.vec_id % 7) AND c.ord = e.vec_id // 7),
+near AS (
+ SELECT query_id, h.repo, h.ord, source, text, {_distance('q.embedding', 'h.embedding')} AS distance
+ FROM asked a JOIN embeddings q ON q.vec_id = a.query_id JOIN held h ON h.repo = a.repo WHERE a.query_id % 2 = 0 AND trim(a.query) <> ''),
+by_vector AS (
+ SELECT query_id, repo, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, ord) AS INT) AS rank, ord, source, text, 'vector' AS backend
+ FROM near QUALIFY rank <= 4)
+SELECT * FROM by_vector
+UNION ALL
+SELECT query_id, b.repo, rank, b.ord, b.source, c.text, 'keyword' FROM best b JOIN chunks c ON b.repo = c.repo AND b.ord = c.ord
+WHERE query_id NOT IN (SELECT query_id FROM by_vector)""",
     "context_block": f"""WITH {_FILES}, {_CHUNKS}, {_CHUNK_QUERIES}, {_TOPK}
 SELECT query_id, string_agg('[' || b.source || ']' || {_NL} || text, {_NL} || {_NL} ORDER BY rank) AS context
 FROM best b JOIN chunks c ON b.repo = c.repo AND b.ord = c.ord GROUP BY query_id""",
-    "retrieval_query": f"""WITH {_FINDINGS}, t AS (
- SELECT repo, rule || ' ' || title AS s, min(struct_pack(a := file, b := line, c := rule)) AS place FROM findings GROUP BY 1, 2)
-SELECT repo, left(string_agg(s, ' ' ORDER BY place, s), 600) AS query FROM t GROUP BY repo""",
+    "retrieval_query": _retrieval_query("{}"),
+    "retrieval_query_capped": _retrieval_query("left({}, 600)"),
     "triage_prompt": f"""WITH {_FINDINGS}, {_INDEXED}
 SELECT review_id, agent, CAST(i // 2000 AS INT) AS batch,
  '[' || string_agg(printf('{{"i":%d,"rule":"%s","title":"%s","file":"%s","line":%d,"severity":"%s"}}', i, rule, title, file, line, {_LABEL}),
@@ -515,19 +564,14 @@ FROM indexed""",
     "fix_snippets": f"""WITH {_FLAT}, {_FILE_FINDINGS}, {_candidates('file_findings')}
 SELECT review_id, i, file, line, array_to_string({_lines('content')}[greatest(1, line - 8):line + 8], {_NL}) AS snippet
 FROM candidates c JOIN flat f ON c.repo = f.repo AND c.file = f.path""",
-    "patch_validate": f"""WITH {_FLAT}, {_FILE_FINDINGS}, {_PROPOSALS}
+    "patch_validate": f"""WITH {_FLAT}, {_FILE_FINDINGS}, {_proposals()}
 SELECT review_id, i, file, line, rule, title, original, fixed, note FROM proposals""",
-    "fix_report": f"""WITH {_FLAT}, {_FILE_FINDINGS}, {_PROPOSALS},
-numbered AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY file, line) AS n FROM proposals)
-SELECT review_id,
- '[' || string_agg('{{"file":"' || file || '","line":' || line || ',"rule":"' || rule || '","title":"' || title || '","original":'
-  || CAST(to_json(original) AS VARCHAR) || ',"fixed":' || CAST(to_json(fixed) AS VARCHAR) || ',"note":"' || note || '"}}', ',' ORDER BY n) || ']' AS fixes_json,
- '# Proposed fixes' || {_NL} || {_NL} || string_agg(
-  '## ' || n || '. ' || title || ' (`' || file || ':' || line || '`, `' || rule || '`)' || {_NL}
-  || CASE WHEN note <> '' THEN note || {_NL} ELSE '' END || {_NL} || '```diff' || {_NL}
-  || array_to_string(list_transform({_lines('original')}, lambda l: '- ' || l), {_NL}) || {_NL}
-  || array_to_string(list_transform({_lines('fixed')}, lambda l: '+ ' || l), {_NL}) || {_NL} || '```' || {_NL}, {_NL} ORDER BY n) AS fixes_md
-FROM numbered GROUP BY review_id""",
+    "fix_report": _fix_report("", fixtures.PART_FIXES),
+    "fix_report_capped": _fix_report(_TEN, 1000),
+    "autofix": f"""WITH {_FLAT}, {_FILE_FINDINGS}, {_proposals()}
+SELECT f.repo, f.path, md5(left(f.content, strpos(f.content, original) - 1) || fixed || substr(f.content, strpos(f.content, original) + length(original))) AS digest,
+ CAST(1 AS INT) AS n_applied
+FROM proposals p JOIN flat f ON p.review_id = f.repo AND p.file = f.path""",
     "patch_apply": f"""WITH {_FLAT}, {_PATCHED}
 SELECT repo, path, CASE WHEN a3 THEN left(t2, p3 - 1) || 'E' || substr(t2, p3 + 1) ELSE t2 END AS new_content,
  a1::INT + a2::INT + a3::INT AS n_applied FROM step6""",

@@ -331,8 +331,8 @@ def _totals_by_agent(v):
 # Retrieval and enrichment
 
 
-def _chunks(v):
-    return retrieval.chunk_index(v.files(), fixtures.STANDARDS, fixtures.CHUNK_LINES)
+def _chunks(v, **limits):
+    return retrieval.chunk_index(v.files(), fixtures.STANDARDS, fixtures.CHUNK_LINES, **limits)
 
 
 @_query("chunk_index")
@@ -340,32 +340,58 @@ def _chunk_index(v):
     return _chunks(v)
 
 
+@_query("chunk_index_capped")
+def _chunk_index_capped(v):
+    return _chunks(v, max_files=fixtures.INDEX_FILES, max_chunks=fixtures.INDEX_CHUNKS)
+
+
+def _best(v):
+    chunks = materialize(_chunks(v), "chunks")
+    return retrieval.keyword_topk(chunks, v.chunk_queries()), chunks
+
+
 @_query("keyword_topk")
 def _keyword_topk(v):
-    best = retrieval.keyword_topk(_chunks(v), v.chunk_queries())
-    return best.withColumn("score", F.round("score", 6))
+    return _best(v)[0].withColumn("score", F.round("score", 6))
 
 
 @_query("vector_topk")
-def _vector_topk(v):
+def _vector_topk(v, limit=None):
     vectors = v.vectors()
-    index = retrieval.vector_index(vectors, ["vec_id"])
+    index = materialize(retrieval.vector_index(vectors, ["vec_id"], limit), "vector-index")
     queries = vectors.withColumnRenamed("vec_id", "query_id")
     best = retrieval.vector_topk(index, queries)
     named = best.join(index.select("repo", "ord", "vec_id"), ["repo", "ord"])
     return named.select("query_id", "rank", "vec_id", "distance")
 
 
+@_query("vector_topk_capped")
+def _vector_topk_capped(v):
+    return _vector_topk(v, fixtures.INDEX_CHUNKS)
+
+
 @_query("context_block")
 def _context_block(v):
+    return retrieval.context_blocks(*_best(v)).select("query_id", "context")
+
+
+@_query("retrieve")
+def _retrieve(v):
+    """By vectors in the repositories that have some, else by keywords."""
     chunks = materialize(_chunks(v), "chunks")
-    best = retrieval.keyword_topk(chunks, v.chunk_queries())
-    return retrieval.context_blocks(best, chunks).select("query_id", "context")
+    vectors, asked = v.chunk_vectors(), v.query_vectors()
+    found = retrieval.retrieve(chunks, v.chunk_queries(), vectors, asked)
+    return found.select("query_id", "repo", "rank", "ord", "source", "text", "backend")
 
 
 @_query("retrieval_query")
-def _retrieval_query(v):
-    return retrieval.retrieval_queries(v.findings(), ["repo"], ["file", "line", "rule"])
+def _retrieval_query(v, chars=None):
+    return retrieval.retrieval_queries(v.findings(), ["repo"], ["file", "line", "rule"], chars)
+
+
+@_query("retrieval_query_capped")
+def _retrieval_query_capped(v):
+    return _retrieval_query(v, fixed.QUERY_CHARS)
 
 
 @_query("triage_prompt")
@@ -384,14 +410,17 @@ def _triage_enrich(v):
 # Patches
 
 
+def _fixable(v, limit=None):
+    return report.fix_candidates(v.file_findings(), limit=limit)
+
+
 @_query("fix_snippets")
 def _fix_snippets(v):
-    candidates = report.fix_candidates(v.file_findings(), limit=fixed.FIX_CANDIDATES)
-    return patch.fix_snippets(candidates, v.flat_files()).select("review_id", "i", "file", "line", "snippet")
+    return patch.fix_snippets(_fixable(v), v.flat_files()).select("review_id", "i", "file", "line", "snippet")
 
 
-def _proposals(v):
-    candidates = materialize(report.fix_candidates(v.file_findings(), limit=fixed.FIX_CANDIDATES), "candidates")
+def _proposals(v, limit=None):
+    candidates = materialize(_fixable(v, limit), "candidates")
     items = enrich.fix_items(v.fix_replies(candidates))
     return patch.validate_patches(items, candidates, v.flat_files())
 
@@ -403,7 +432,19 @@ def _patch_validate(v):
 
 @_query("fix_report")
 def _fix_report(v):
-    return patch.fix_report(_proposals(v))
+    return patch.fix_report(_proposals(v).withColumn("pos", F.col("i")), part_fixes=fixtures.PART_FIXES)
+
+
+@_query("fix_report_capped")
+def _fix_report_capped(v):
+    return patch.fix_report(_proposals(v, fixed.FIX_CANDIDATES).withColumn("pos", F.col("i")))
+
+
+@_query("autofix")
+def _autofix(v):
+    """Findings, snippets, replies, proposals and the files as the proposals leave them."""
+    proposals = materialize(_proposals(v), "proposals")
+    return patch.apply_proposals(v.flat_files(), proposals).select("repo", "path", F.md5("new_content").alias("digest"), "n_applied")
 
 
 @_query("patch_apply")

@@ -2,11 +2,12 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from codeaudit.operators import enrich, patch
+from codeaudit.operators import enrich, patch, piecetable
 
 
 def test_safe_paths(spark, tree):
@@ -45,16 +46,43 @@ def test_apply(spark, tree):
     assert apply(spark, tree, "ab", [("a", "aa"), ("aa", "c"), ("zz", "y"), ("", "q")]) == ("cb", 2)
 
 
-@pytest.mark.parametrize("per_pass", [1, 3, 1000])
-def test_apply_in_passes_equals_one_after_the_other(spark, tree, per_pass):
-    rng = random.Random(11)
-    text = "".join(rng.choice("abc") for _ in range(30))
-    pairs = [("".join(rng.choices("abcd", k=2)), "".join(rng.choices("abcd", k=3))) for _ in range(8)]
-    expected, n = text, 0
+def one_after_the_other(text, pairs):
+    n = 0
     for old, new in pairs:
-        if expected.count(old) == 1:
-            expected, n = expected.replace(old, new, 1), n + 1
-    assert apply(spark, tree, text, pairs, per_pass=per_pass) == (expected, n)
+        if old and new is not None and text.count(old) == 1:
+            text, n = text.replace(old, new, 1), n + 1
+    return text, n
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 4096])
+def test_pieces_equal_one_after_the_other(size):
+    rng = random.Random(11)
+    for _ in range(400):
+        text = "".join(rng.choice("abü") for _ in range(rng.randrange(40)))
+        some = lambda n: "".join(rng.choices("abcü", k=rng.randrange(n)))
+        pairs = [(some(5), some(6) if rng.random() < 0.9 else None) for _ in range(12)]
+        pieces = piecetable.PieceText(text, size)
+        pieces.apply(pairs[:7])
+        pieces.apply(pairs[7:])
+        assert (pieces.text(), pieces.applied) == one_after_the_other(text, pairs)
+
+
+def test_apply_equals_one_after_the_other(spark, tree):
+    rng = random.Random(12)
+    text = "".join(rng.choice("abc") for _ in range(60))
+    pairs = [("".join(rng.choices("abcd", k=3)), "".join(rng.choices("abcd", k=3))) for _ in range(40)]
+    assert apply(spark, tree, text, pairs) == one_after_the_other(text, pairs)
+
+
+def test_many_patches_on_one_file(spark, tree):
+    lines = [f"value_{n} = {n}" for n in range(12_000)]
+    pairs = [(f"value_{n} = {n}\n", f"value_{n} = {n} + 1\n") for n in range(0, 10_000)]
+    pairs += [(f" = {n} + 1", f" = {n} + 2") for n in range(9_000, 9_500)] + [("value_1", "x"), ("absent", "y")]
+    text = "\n".join(lines)
+    start = time.perf_counter()
+    got = apply(spark, tree, text, pairs)
+    assert time.perf_counter() - start < 60
+    assert got == one_after_the_other(text, pairs) and got[1] == 10_500
 
 
 def test_spellings_of_a_path_are_one_file_and_refused_patches_show(spark, tree):
@@ -92,5 +120,7 @@ def test_validate_and_report(spark, tree, finding_rows):
         "# Proposed fixes\n\n## 1. title 0 (`m.py:1`, `R2`)\nbetter\n\n```diff\n- one\n+ 1\n```\n\n"
         "## 2. title 2 (`n.py:1`, `R2`)\n\n```diff\n- solo\n+ x\n```\n"
     )
+    parts = patch.fix_report(proposals, part_fixes=1).orderBy("part").collect()
+    assert "\n".join(p["fixes_md"] for p in parts) == made["fixes_md"] and [p["part"] for p in parts] == [0, 1]
     prompts = enrich.fix_prompts(patch.fix_snippets(candidates, files)).first()
     assert [p["snippet"] for p in json.loads(prompts["payload"])] == ["one\ntwo\ntwo\nlast", "solo"]

@@ -2,13 +2,14 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codeaudit import fixed
-from codeaudit.operators import enrich, retrieval
+from codeaudit.operators import enrich, nearest, postings, retrieval
 from codeaudit.schemas import TRIAGE_REPLY
 
 
@@ -46,27 +47,113 @@ def test_keyword_search(spark, tree):
     assert context == "[pay.py:1]\ndef charge_card(card): refund refund\n\n[mail.py:1]\nsend the mail"
 
 
-def test_nearest_vectors_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 16)
+@pytest.mark.parametrize("rows, cell, limit", [(16, 10, 60), (4096, 256, None), (7, 3, None)])
+def test_nearest_vectors_against_brute_force(spark, monkeypatch, rows, cell, limit):
+    monkeypatch.setattr(nearest, "ROWS", rows)
+    monkeypatch.setattr(nearest.pivots, "__defaults__", (256, cell))
     rng = np.random.default_rng(3)
     vectors = [(f"r{n % 3 if n % 2 else 0}", n, rng.normal(size=8).round(2).tolist()) for n in range(200)]
     frame = spark.createDataFrame(vectors, "repo string, vec_id long, vector array<float>")
-    index = retrieval.vector_index(frame, ["vec_id"], max_chunks=60)
+    index = retrieval.vector_index(frame, ["vec_id"], max_chunks=limit)
     queries = frame.withColumnRenamed("vec_id", "query_id")
     got = {}
     for row in retrieval.vector_topk(index, queries, k=5).orderBy("query_id", "rank").collect():
         got.setdefault(row["query_id"], []).append(row["ord"])
     for repo, number, vector in vectors:
-        held = [np.float32(v) for r, _, v in vectors if r == repo][:60]
+        held = [np.float32(v) for r, _, v in vectors if r == repo][:limit]
         distance = [round(float(np.square(v.astype("f8") - np.float32(vector).astype("f8")).sum()), 6) for v in held]
         assert got[number] == sorted(range(len(held)), key=lambda i: (distance[i], i))[:5]
 
 
+def test_pivots_rule_cells_out(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 8)) * 50
+    vectors = [("hot", n, (centres[n % 20] + rng.normal(size=8)).tolist()) for n in range(2000)]
+    frame = spark.createDataFrame(vectors, "repo string, ord long, vector array<double>")
+    chosen = nearest.pivots(frame, cell=25)
+    placed = nearest.assign(frame, chosen)
+    known = nearest.cells(placed, chosen)
+    queries = frame.filter("ord < 100").withColumnRenamed("ord", "query_id").withColumn("limit", F.lit(20.0))
+    asked = [nearest.cells_to_search(queries, known, 4, first).count() for first in (True, False)]
+    assert known.count() == 80 and asked[0] < 200 and sum(asked) < 0.25 * 100 * 80
+    # A repository of all rows is dealt to blocks of a bounded number of rows.
+    spread = nearest._blocks(frame, ["repo"], "ord", 100)
+    assert spread.groupBy("_block").count().agg(F.max("count")).first()[0] < 200
+
+
+def plain_best(chunks, queries, k):
+    out = {}
+    for query, repo, text in queries:
+        wanted = {w.lower() for w in re.findall("[A-Za-z]{3,}", text)}
+        scored = []
+        for r, at, body in chunks:
+            found = [w.lower() for w in re.findall("[A-Za-z]{3,}", body)]
+            hits = sum(w in wanted for w in found)
+            if r == repo and hits:
+                scored.append((-hits / len(found) ** 0.5, at))
+        out[query] = [(at, round(-s, 9)) for s, at in sorted(scored)[:k]]
+    return {q: best for q, best in out.items() if best}
+
+
+@pytest.mark.parametrize("shard, block", [(4096, 128), (50, 4), (7, 1)])
+def test_blocks_give_the_best_of_all_chunks(spark, shard, block):
+    rng = random.Random(21)
+    word = lambda: f"w{'abcdefgh'[min(7, int(rng.expovariate(0.5)))]}{'xyz'[rng.randrange(3)]}"
+    chunks = [(rng.choice(("hot", "hot", "r")), n, " ".join(word() for _ in range(rng.randrange(1, 25)))) for n in range(600)]
+    queries = [(n, rng.choice(("hot", "r", "none")), " ".join(word() for _ in range(rng.randrange(4)))) for n in range(30)]
+    frame = spark.createDataFrame(chunks, "repo string, ord long, text string")
+    asked = spark.createDataFrame(queries, "query_id int, repo string, query string")
+    index = postings.build_index(frame, shard=shard, block=block)
+    got = {}
+    for r in postings.search(index, asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["ord"], round(r["score"], 9)))
+    assert got == plain_best(chunks, queries, 5)
+
+
+def test_blocks_below_the_bound_are_skipped(spark):
+    chunks = [("r", n, "common " * (40 if n < 6 else 1) + f"filler{'abcdefghij'[n % 10]} " * 10) for n in range(3000)]
+    frame = spark.createDataFrame(chunks, "repo string, ord long, text string")
+    asked = spark.createDataFrame([(1, "r", "common")], "query_id int, repo string, query string")
+    index = postings.build_index(frame, block=32)
+    read = postings.needed_blocks(index, postings.asked_words(asked), 4).count()
+    assert read == 1 and index.filter("word = 'common'").count() > 90
+
+
+def test_retrieve_falls_back_to_keywords(spark):
+    chunks = spark.createDataFrame([("v", 0, "a:1", "alpha word"), ("v", 1, "a:2", "beta word"), ("k", 0, "b:1", "alpha word")], "repo string, ord long, source string, text string")
+    queries = spark.createDataFrame([(1, "v", "alpha"), (2, "k", "alpha"), (3, "v", "beta"), (4, "v", " \t"), (5, "none", "alpha")], "query_id int, repo string, query string")
+    vectors = spark.createDataFrame([("v", 0, [0.0, 1.0]), ("v", 1, [1.0, 0.0]), ("v", 9, [1.0, 0.0])], "repo string, ord long, vector array<double>")
+    wanted = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 0.0])], "query_id int, vector array<double>")
+    got = retrieval.retrieve(chunks, queries, vectors, wanted, k=2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["ord"], r["backend"]) for r in got] == [
+        (1, 1, "vector"), (1, 0, "vector"), (2, 0, "keyword"), (3, 1, "keyword"),
+    ]
+    assert {r["backend"] for r in retrieval.retrieve(chunks, queries).collect()} == {"keyword"}
+
+
+def test_chunk_numbers_need_no_sort_of_texts(spark, tree):
+    files = tree(hot={f"d{n % 7}/f{n:03}.md": "\n".join(f"line {i}" for i in range(n % 9)) for n in range(200)}, one={"a.md": "x"})
+    index = retrieval.chunk_index(files, ("rules.md", "rule"), chunk_size=2)
+    plain = retrieval.chunk_lines(retrieval.indexed_files(files), 2).collect()
+    order = sorted((r["repo"], r["path"].split("/"), r["first_line"], r["path"]) for r in plain)
+    expected = [(repo, f"{path}:{line}") for repo, _, line, path in order]
+    got = [(r["repo"], r["source"]) for r in index.orderBy("repo", "ord").collect() if not r["source"].startswith("rules")]
+    assert got == expected
+    for repo, n in (("hot", None), ("one", None)):
+        numbers = [r["ord"] for r in index.filter(F.col("repo") == repo).orderBy("ord").collect()]
+        assert numbers == list(range(len(numbers)))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange" in line or "Sort " in line]
+    assert not any("text" in line for line in moved)
+
+
 def test_retrieval_query_is_cut_and_distinct(spark, finding_rows):
     rows = [("r", "quality", 1, f"f{n:04}", 1) for n in range(900)]
     found = finding_rows(rows).withColumn("title", F.concat(F.lit("t"), (F.col("seq") / 2).cast("int")))
-    text = retrieval.retrieval_queries(found, ["review_id"], ["seq"]).first()["query"]
-    assert text == " ".join(dict.fromkeys(f"R1 t{n // 2}" for n in range(900)))[:600]
+    full = " ".join(dict.fromkeys(f"R1 t{n // 2}" for n in range(900)))
+    for chars in (600, None):
+        text = retrieval.retrieval_queries(found, ["review_id"], ["seq"], chars).first()["query"]
+        assert text == full[:chars]
 
 
 def replies(spark, *texts):
@@ -138,7 +225,7 @@ def test_reply_indices(spark):
         '[{"i": true}, {"i": 99999999999, "explanation": "b"}, {"i": 0, "explanation": "a"}, {"i": 0, "explanation": "c"}]',
     ]
     replied = spark.createDataFrame([(k, "quality", r) for k, r in enumerate(replies)], "review_id int, agent string, reply string")
-    got = {(r["review_id"], r["i"]): (r["explanation"], r["fix_hint"]) for r in merge_triage(found, replied).collect()}
+    got = {(r["review_id"], r["i"]): (r["explanation"], r["fix_hint"]) for r in enrich.merge_triage(found, replied).collect()}
     assert len(got) == 16
     assert {k: v for k, v in got.items() if v != ("", "")} == {
         (0, 0): ("a", ""), (2, 0): ("a", ""), (3, 1): ("", "f"), (4, 1): ("a", ""), (7, 0): ("c", ""),
