@@ -9,7 +9,9 @@ on; here shingles in few documents come first. Sets that share such a shingle me
    copies fall together at a cost that is linear in their number;
 2. what still is in different components meets in tiles: at most `TILE` sets of one shingle,
    ordered by size, against a tile whose sizes are within the ratio. A set's parity bitmap
-   (about two bits an element) bounds every overlap from above before the exact intersection.
+   bounds every overlap from above; the sets that it leaves open come to their tile with their hashes, where
+   pairs are intersected exactly until one component holds them. Rows go in and links come out, at
+   most one link for a row of a tile: no pair ever becomes a row.
 
 The result is exact up to hash equality: no bucket is cut and no pair that can reach the
 similarity is left out unless a chain of links joins its sets already.
@@ -36,12 +38,13 @@ WORDS = 5
 NUM, DEN = 3, 4  # similarity of 3/4
 BYTES = 5  # of each hash that are stored; two sets of 1,000 have one false match in a million such pairs
 TILE = 512
+TILE_BYTES = 8 << 20  # of hashes on one side of a tile; longer sets make tiles of fewer
 HOT_SETS = 100  # a shingle of so many sets is looked at last; this orders shingles and decides nothing
 HOT_LIST = 65_536  # the most frequent of these that are sent to the tasks (8 bytes each)
 STARS = 3
 PAIR_BYTES = 8 << 20  # of bitmaps that are compared in one step
 MAX_BITS = 1 << 17
-BROADCAST_IDS = 2_000_000
+SMALL = 512  # elements up to which bitmaps have four bits or more for each, as chance weighs more there
 
 _U = np.uint64
 SETS = StructType().add("doc_id", "long").add("copy", "long").add("n", "integer").add("set_id", "long").add("bits", "binary").add("hashes", "binary")
@@ -60,7 +63,8 @@ def unpack(data: bytes) -> np.ndarray:
 
 def bitmap(h: np.ndarray) -> bytes:
     """Parities of the elements that fall on each of a power of two of bits."""
-    size = min(max(64, 1 << int(2 * len(h) - 1).bit_length()), MAX_BITS)
+    wanted = (4 if len(h) <= SMALL else 2) * len(h)
+    size = min(max(64, 1 << int(wanted - 1).bit_length()), MAX_BITS)
     return np.packbits(np.bincount((h & _U(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -241,78 +245,111 @@ def _tested(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[byte
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs `(a, b)` whose sets reach the similarity: bitmaps first, then only the sets that these leave."""
     pairs = materialize(_tested(pairs, sets, "bits", open_pair), "jaccard-pairs")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    some = materialize(sets.select("doc_id", "n", "hashes").join(ids, "doc_id", "left_semi"), "jaccard-some")
-    return _tested(pairs, some, "hashes", linked)
+    return _tested(pairs, sets, "hashes", linked)
 
 
-def _tile_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different components that no bitmap rules out.
+def _whole_tiles(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`compare` of whole tiles `(h, c, d)`, which come sorted; an unfinished one waits for the next batch."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        key = [t.column(x).to_numpy() for x in ("h", "c", "d")]
+        last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield compare(t.slice(0, cut))
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield compare(rest)
+
+
+def _open_pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different components that no bitmap rules out.
+
+    `t(h, c, d, side, n, component, bits)` is sorted by tile and size.
+    """
+    h, c, d, side, n, comp = (t.column(x).to_numpy() for x in ("h", "c", "d", "side", "n", "component"))
+    bits = t.column("bits").to_pylist()
+    new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
+    tile = np.cumsum(new)
+    place = tile * (1 << 32) + n
+    upto = np.searchsorted(place, tile * (1 << 32) + n * DEN // NUM, "right")
+    width = np.array([len(b) for b in bits])
+    matrix = {w: np.stack([np.frombuffer(bits[k], np.uint8) for k in at]) for w in np.unique(width) for at in [np.flatnonzero(width == w)]}
+    row = np.zeros(len(n), np.int64)
+    for w in matrix:
+        row[width == w] = np.arange((width == w).sum())
+    counts = upto - np.arange(len(n)) - 1
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(counts[lo:]), 200_000, "right")) + lo)
+        i = np.repeat(np.arange(lo, hi), counts[lo:hi])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(counts[lo:hi]) - counts[lo:hi], counts[lo:hi]) + i + 1
+        use = (comp[i] != comp[j]) & ((side[i] != side[j]) | (c[i] == d[i]))
+        i, j = i[use], j[use]
+        for wi, wj in set(zip(width[i].tolist(), width[j].tolist())):
+            at = np.flatnonzero((width[i] == wi) & (width[j] == wj))
+            x, y, size = i[at], j[at], min(wi, wj)
+            step = max(1, PAIR_BYTES // (wi + wj))
+            for k in range(0, len(at), step):
+                p, q = x[k : k + step], y[k : k + step]
+                left = np.bitwise_xor.reduce(matrix[wi][row[p]].reshape(len(p), -1, size), axis=1)
+                right = np.bitwise_xor.reduce(matrix[wj][row[q]].reshape(len(p), -1, size), axis=1)
+                differ = np.bitwise_count((left ^ right).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                can = possible(n[p].astype(np.int64), n[q].astype(np.int64), differ)
+                yield p[can], q[can]
+        lo = hi
+
+
+def _open_rows(rows: DataFrame) -> DataFrame:
+    """The rows of tiles that have an open pair there."""
+    names = ["h", "c", "d", "side", "n", "rep", "component"]
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        keep = np.zeros(t.num_rows, bool)
+        for p, q in _open_pairs(t):
+            keep[p] = keep[q] = True
+        left = t.select(names).filter(pa.array(keep)).combine_chunks()
+        return pa.RecordBatch.from_arrays([left.column(x).combine_chunks() if left.num_rows else pa.array([], left.schema.field(x).type) for x in names], names)
+
+    return rows.mapInArrow(lambda batches: _whole_tiles(batches, compare), "h long, c int, d int, side int, n int, rep long, component long")
+
 
-    `rows(h, c, d, side, n, rep, component, bits)` come sorted by tile and size; whole tiles
-    are compared together, an unfinished one waits for the next batch. A tile has at most
-    two times `TILE` rows.
+def _tile_links(rows: DataFrame) -> DataFrame:
+    """Links `(a, b)` of sets that reach the similarity, enough to join all that do in a tile.
+
+    `rows` also have `hashes`. Pairs that one component already holds are not looked at, so a
+    tile gives fewer links than it has rows.
     """
 
     def compare(t: pa.Table) -> pa.RecordBatch:
-        h, c, d, side, n, rep, comp = (t.column(x).to_numpy() for x in ("h", "c", "d", "side", "n", "rep", "component"))
-        bits = t.column("bits").to_pylist()
-        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
-        tile = np.cumsum(new)
-        place = tile * (1 << 32) + n
-        upto = np.searchsorted(place, tile * (1 << 32) + n * DEN // NUM, "right")
-        width = np.array([len(b) for b in bits])
-        matrix = {w: np.stack([np.frombuffer(bits[k], np.uint8) for k in at]) for w in np.unique(width) for at in [np.flatnonzero(width == w)]}
-        row = np.zeros(len(n), np.int64)
-        for w in matrix:
-            row[width == w] = np.arange((width == w).sum())
-        found = []
-        counts = upto - np.arange(len(n)) - 1
-        lo = 0
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(np.cumsum(counts[lo:]), 200_000, "right")) + lo)
-            i = np.repeat(np.arange(lo, hi), counts[lo:hi])
-            j = np.arange(len(i)) - np.repeat(np.cumsum(counts[lo:hi]) - counts[lo:hi], counts[lo:hi]) + i + 1
-            use = (comp[i] != comp[j]) & ((side[i] != side[j]) | (c[i] == d[i]))
-            i, j = i[use], j[use]
-            for wi, wj in set(zip(width[i].tolist(), width[j].tolist())):
-                at = np.flatnonzero((width[i] == wi) & (width[j] == wj))
-                x, y, size = i[at], j[at], min(wi, wj)
-                for k in range(0, len(at), 20_000):
-                    p, q = x[k : k + 20_000], y[k : k + 20_000]
-                    left = np.bitwise_xor.reduce(matrix[wi][row[p]].reshape(len(p), -1, size), axis=1)
-                    right = np.bitwise_xor.reduce(matrix[wj][row[q]].reshape(len(p), -1, size), axis=1)
-                    differ = np.bitwise_count((left ^ right).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                    can = possible(n[p].astype(np.int64), n[q].astype(np.int64), differ)
-                    found.append(np.stack([rep[p[can]], rep[q[can]]]))
-            lo = hi
-        ends = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        ends = np.unique(np.sort(ends, axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+        rep, comp, n = (t.column(x).to_numpy() for x in ("rep", "component", "n"))
+        sets, group, found = t.column("hashes"), {}, []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            key = [t.column(x).to_numpy() for x in ("h", "c", "d")]
-            last = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield compare(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield compare(rest)
+        def root(x: int) -> int:
+            while (up := group.get(x, x)) != x:
+                group[x] = x = group.get(up, up)
+            return x
 
-    return rows.mapInArrow(run, "a long, b long")
+        for p, q in _open_pairs(t):
+            for x, y in zip(p.tolist(), q.tolist()):
+                a, b = root(int(comp[x])), root(int(comp[y]))
+                if a != b and linked(sets[x].as_py(), sets[y].as_py(), int(n[x]), int(n[y])):
+                    group[max(a, b)] = min(a, b)
+                    found.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(lambda batches: _whole_tiles(batches, compare), "a long, b long")
 
 
 def _tiles(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows of every tile: `rest(h, rep, n, component)` cut by size, with the tiles within the ratio."""
-    order = Window.partitionBy("h").orderBy("n", "rep")
-    cut = materialize(rest.drop("w").withColumn("chunk", F.floor((F.row_number().over(order) - 1) / TILE).cast("int")), "jaccard-cut")
+    order = Window.partitionBy("h").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1)
+    # A tile is full at `TILE` sets or at `TILE_BYTES` of hashes.
+    share = F.greatest(F.lit(TILE_BYTES // TILE), F.col("n") * BYTES)
+    place = F.floor(F.coalesce(F.sum(share).over(order), F.lit(0)) / TILE_BYTES)
+    cut = materialize(rest.drop("w").withColumn("chunk", place.cast("int")), "jaccard-cut")
     span = cut.groupBy("h", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = span.alias("x"), span.alias("y")
     pairs = x.join(y, F.expr(f"x.h = y.h AND x.chunk <= y.chunk AND {DEN} * x.hi >= {NUM} * y.lo")).select(
@@ -320,10 +357,16 @@ def _tiles(rest: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "jaccard-tiles")
     placed = pairs.withColumns({"chunk": F.col("c"), "side": F.lit(0)}).unionAll(
         pairs.where("c < d").withColumns({"chunk": F.col("d"), "side": F.lit(1)}))
-    rows = cut.join(placed, ["h", "chunk"]).join(sets.select(F.col("doc_id").alias("rep"), "bits"), "rep")
+    return _with_sets(cut.join(placed, ["h", "chunk"]), sets, "bits")
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Rows of tiles with columns of their sets, in the order of tiles and sizes."""
+    tile = ["h", "c", "d"]
     return (
-        rows.select("h", "c", "d", "side", "n", "rep", "component", "bits")
-        .repartition("h", "c", "d").sortWithinPartitions("h", "c", "d", "n", "rep"))
+        rows.join(sets.select(F.col("doc_id").alias("rep"), *columns), "rep")
+        .select(*tile, "side", "n", "rep", "component", *columns)
+        .repartition(*tile).sortWithinPartitions(*tile, "n", "rep"))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -343,8 +386,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     for turn in range(STARS):
         links = materialize(links.unionAll(_verified(_stars(rest, turn), one)), "jaccard-links")
         rest = _unsettled(rest, links)
-    # Pairs that shared a tile under several shingles are tested once.
-    more = _verified(_tile_pairs(_tiles(rest, one)).distinct(), one)
+    left = materialize(_open_rows(_tiles(rest, one)), "jaccard-open")
+    more = materialize(_tile_links(_with_sets(left, one, "bits", "hashes")), "jaccard-links")
     final = components(links.unionAll(more))
     placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     placed = materialize(placed.select("set_id", "least", F.coalesce("component", "rep").alias("component")), "jaccard-placed")

@@ -12,7 +12,7 @@ import pytest
 from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, tokencounts, tokenfile, urlfilter
 from codeaudit.llm.catalog import QUERIES
 from codeaudit.llm.oracle import ORACLE
-from codeaudit.storage import scratch_path
+from codeaudit.storage import materialize, scratch_path
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_key string, dropped string, component_id string, n_words string"
@@ -166,6 +166,48 @@ def test_tiles(spark):
     assert got == {i: i % 1000 for i in got}
 
 
+def test_tiles_hold_no_pairs(spark, monkeypatch):
+    """Sets that share two thirds, or nearly three quarters, of a passage never link; rows stay in proportion to sets."""
+    made = {}
+    for each, own in ((64, 32), (64, 24)):
+        for n in (100, 400):
+            shared = " ".join(f"c{i}" for i in range(each + 4))
+            rows = [(i, f"{shared} " + " ".join(f"u{i}x{k}" for k in range(own))) for i in range(n)]
+            rows += [(10_000 + i, f"{rows[i][1]} tail") for i in range(0, n, 10)]
+            kept = {}
+
+            def spy(df, label):
+                out = materialize(df, label)
+                kept[label] = kept.get(label, 0) + out.count()
+                return out
+
+            monkeypatch.setattr(jaccard, "materialize", spy)
+            got = {r.doc_id: r.component_id for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got == {i: i % 10_000 for i in got}
+            made[each, own, n] = max(v for k, v in kept.items() if k != "jaccard-sets")
+    for each, own in ((64, 32), (64, 24)):
+        assert made[each, own, 400] <= 5 * made[each, own, 100] and made[each, own, 400] < 4000
+
+
+def test_tile_links_against_pairs(spark, monkeypatch):
+    """Small tiles by number and by bytes find the links that all pairs have."""
+    rng = np.random.default_rng(6)
+    words_ = [[f"w{i}" for i in rng.integers(0, 40, 30)] for _ in range(4)]
+    rows = []
+    for i in range(150):
+        w = list(words_[i % 4])
+        for k in rng.integers(0, 30, rng.integers(0, 4)):
+            w[k] = f"z{rng.integers(0, 30)}"
+        rows.append((i, " ".join(w) + " end" * int(rng.integers(0, 3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, jaccard.near_components(docs).collect()))
+    monkeypatch.setattr(jaccard, "STARS", 0)
+    for tile, size in ((512, 8 << 20), (7, 8 << 20), (512, 512 * 8)):
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        monkeypatch.setattr(jaccard, "TILE_BYTES", size)
+        assert sorted(map(tuple, jaccard.near_components(docs).collect())) == whole
+
+
 def test_contamination(spark, awkward, nothing):
     docs, items = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.passages(docs, items).collect()}
