@@ -9,9 +9,11 @@ on; here shingles in few documents come first. Sets that share such a shingle me
    copies fall together at a cost that is linear in their number;
 2. what still is in different components meets in tiles: at most `TILE` sets of one shingle,
    ordered by size, against a tile whose sizes are within the ratio. A set's parity bitmap
-   bounds every overlap from above; the sets that it leaves open come to their tile with their hashes, where
-   pairs are intersected exactly until one component holds them. Rows go in and links come out, at
-   most one link for a row of a tile: no pair ever becomes a row.
+   bounds every overlap from above;
+3. sets that open pairs join meet once more, now with their hashes, in tiles of their group: pairs are
+   intersected exactly until one component holds them.
+
+Rows go into tiles and links come out, at most one for a set in a batch: no pair ever becomes a row.
 
 The result is exact up to hash equality: no bucket is cut and no pair that can reach the
 similarity is left out unless a chain of links joins its sets already.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from codeaudit.llm.tables import components, record
+from codeaudit.llm.tables import components, forest, record
 from codeaudit.llm.words import BASE, LOWER, Hasher, mix, texts, windows
 from codeaudit.storage import materialize
 
@@ -302,18 +304,17 @@ def _open_pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo = hi
 
 
-def _open_rows(rows: DataFrame) -> DataFrame:
-    """The rows of tiles that have an open pair there."""
-    names = ["h", "c", "d", "side", "n", "rep", "component"]
+def _open_links(rows: DataFrame) -> DataFrame:
+    """`(a, b)` of sets that an open pair joins, or a chain of them: for a batch at most one for each set."""
 
     def compare(t: pa.Table) -> pa.RecordBatch:
-        keep = np.zeros(t.num_rows, bool)
+        rep = t.column("rep").to_numpy()
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for p, q in _open_pairs(t):
-            keep[p] = keep[q] = True
-        left = t.select(names).filter(pa.array(keep)).combine_chunks()
-        return pa.RecordBatch.from_arrays([left.column(x).combine_chunks() if left.num_rows else pa.array([], left.schema.field(x).type) for x in names], names)
+            a, b = forest(np.concatenate([a, rep[p]]), np.concatenate([b, rep[q]]))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.mapInArrow(lambda batches: _whole_tiles(batches, compare), "h long, c int, d int, side int, n int, rep long, component long")
+    return rows.mapInArrow(lambda batches: _whole_tiles(batches, compare), "a long, b long")
 
 
 def _tile_links(rows: DataFrame) -> DataFrame:
@@ -343,13 +344,14 @@ def _tile_links(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: _whole_tiles(batches, compare), "a long, b long")
 
 
-def _tiles(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of every tile: `rest(h, rep, n, component)` cut by size, with the tiles within the ratio."""
+def _tiles(rest: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Rows of every tile, with columns of their sets: `rest(h, rep, n, component)` cut by size, with the
+    tiles within the ratio, in the order of tiles and sizes."""
     order = Window.partitionBy("h").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1)
     # A tile is full at `TILE` sets or at `TILE_BYTES` of hashes.
     share = F.greatest(F.lit(TILE_BYTES // TILE), F.col("n") * BYTES)
     place = F.floor(F.coalesce(F.sum(share).over(order), F.lit(0)) / TILE_BYTES)
-    cut = materialize(rest.drop("w").withColumn("chunk", place.cast("int")), "jaccard-cut")
+    cut = materialize(rest.withColumn("chunk", place.cast("int")), "jaccard-cut")
     span = cut.groupBy("h", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = span.alias("x"), span.alias("y")
     pairs = x.join(y, F.expr(f"x.h = y.h AND x.chunk <= y.chunk AND {DEN} * x.hi >= {NUM} * y.lo")).select(
@@ -357,15 +359,10 @@ def _tiles(rest: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "jaccard-tiles")
     placed = pairs.withColumns({"chunk": F.col("c"), "side": F.lit(0)}).unionAll(
         pairs.where("c < d").withColumns({"chunk": F.col("d"), "side": F.lit(1)}))
-    return _with_sets(cut.join(placed, ["h", "chunk"]), sets, "bits")
-
-
-def _with_sets(rows: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """Rows of tiles with columns of their sets, in the order of tiles and sizes."""
     tile = ["h", "c", "d"]
+    rows = cut.join(placed, ["h", "chunk"]).join(sets.select(F.col("doc_id").alias("rep"), *columns), "rep")
     return (
-        rows.join(sets.select(F.col("doc_id").alias("rep"), *columns), "rep")
-        .select(*tile, "side", "n", "rep", "component", *columns)
+        rows.select(*tile, "side", "n", "rep", "component", *columns)
         .repartition(*tile).sortWithinPartitions(*tile, "n", "rep"))
 
 
@@ -386,8 +383,10 @@ def near_components(docs: DataFrame) -> DataFrame:
     for turn in range(STARS):
         links = materialize(links.unionAll(_verified(_stars(rest, turn), one)), "jaccard-links")
         rest = _unsettled(rest, links)
-    left = materialize(_open_rows(_tiles(rest, one)), "jaccard-open")
-    more = materialize(_tile_links(_with_sets(left, one, "bits", "hashes")), "jaccard-links")
+    rest = rest.select("h", "rep", "n", "component")
+    groups = components(_open_links(_tiles(rest, one, "bits"))).select(F.col("id").alias("rep"), F.col("component").alias("h"))
+    again = rest.select("rep", "n", "component").distinct().join(groups, "rep").select("h", "rep", "n", "component")
+    more = materialize(_tile_links(_tiles(again, one, "bits", "hashes")), "jaccard-links")
     final = components(links.unionAll(more))
     placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     placed = materialize(placed.select("set_id", "least", F.coalesce("component", "rep").alias("component")), "jaccard-placed")

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeaudit.llm.tables import components
+from codeaudit.llm.tables import components, forest
 from codeaudit.llm.words import LOWER, SPACE, Chunk, texts
 from codeaudit.storage import materialize
 
@@ -181,23 +181,6 @@ def _slots(print_: Column, distance: int, segments: tuple[int, ...]) -> tuple[li
     return stored, asked
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what `a - b` join: each node with the smallest of its component."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        x, y = label[u], label[v]
-        apart = x != y
-        if not apart.any():
-            break
-        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-        while not np.array_equal(label, shorter := label[label]):
-            label = shorter
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def _meet(distance: int):
     """Links between entries and questions of each tile, from rows sorted by tile, entries first."""
 

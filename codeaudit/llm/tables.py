@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -42,6 +43,23 @@ def record(columns: dict, schema: StructType) -> pa.RecordBatch:
         [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in target], schema=target)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what `a - b` join: each node with the smallest of its component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[u], label[v]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(label, shorter := label[label]):
+            label = shorter
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """`(id, component)` for every end of `links(a, b)`: the smallest id reachable.
 
