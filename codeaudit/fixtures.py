@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit.functions.text import hmac_sha256
-from codeaudit.operators.enrich import PROMPT_FINDINGS
 from codeaudit.sources.corpus import read_table, spread
 
 SECRET = "fixture-secret"
@@ -24,6 +23,8 @@ STANDARDS = (
 CHUNK_LINES = 5
 # Limits of the capped twins that cut something at every scale of the tables.
 INDEX_FILES, INDEX_CHUNKS, PART_FIXES = 4, 10, 3
+# Findings of a prompt: few, so that some detectors need several.
+PROMPT_FINDINGS = 2
 UNKNOWN_INDEX = 2_000_000_000
 
 FILES_SQL = """
@@ -282,6 +283,12 @@ class Views:
             "path", "content",
         )
 
+    def contexts(self) -> DataFrame:
+        """Context of some prompts; an empty one counts as none."""
+        return self.table("orders").filter(F.col("o_orderkey") % 3 < 2).select(
+            F.col("o_orderkey").alias("review_id"), F.lit("quality").alias("agent"),
+            F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("[notes.md:1]\nnote "), "o_orderkey")).otherwise("").alias("context"))
+
     def triage_replies(self, indexed: DataFrame) -> DataFrame:
         """A reply per prompt (a bounded batch of indices): items for even `i` and an unknown one."""
         items = F.array_sort(F.collect_list(F.when(F.col("i") % 2 == 0, F.struct(

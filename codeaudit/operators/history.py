@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from codeaudit import fixed
-from codeaudit.operators.ranking import number_rows
+from codeaudit.operators.ranking import running_totals
 from codeaudit.operators.report import KEY, agent_counts, severity_pivot
 from codeaudit.schemas import AGENT_COUNTS
-from codeaudit.storage import any_path
+from codeaudit.storage import any_path, delete_path
 
 
 def review_rows(
@@ -32,38 +32,73 @@ def review_rows(
 
 
 def assign_ids(rows: DataFrame, last_id: int = 0, key: Sequence[str] = KEY) -> DataFrame:
-    """Give rows the ids after `last_id` in the order of their time and key."""
-    numbered = number_rows(rows, [], [F.col("created_at"), *[F.col(k) for k in key]], "_n")
-    return numbered.select((F.col("_n") + last_id).alias("id"), *rows.columns)
+    """Give rows the ids after `last_id` in the order of their time and key, by ranges: no task sorts all rows."""
+    order = [F.col("created_at"), *[F.col(k) for k in key]]
+    numbered = running_totals(rows.withColumn("_one", F.lit(1)), [], order, "_one", "_before")
+    return numbered.select((F.col("_before") + 1 + last_id).alias("id"), *rows.columns)
+
+
+def _runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """`(run, first_id, n)` of the committed runs."""
+    if not any_path(spark, f"{path}/commits/run=*"):
+        return None
+    return spark.read.schema("first_id bigint, n bigint, run string").parquet(f"{path}/commits")
 
 
 def append_history(rows: DataFrame, path: str, run: str, key: Sequence[str] = KEY) -> None:
-    """Append rows to the history table at `path` as run `run`; a run already there is skipped.
+    """Append rows to the history at `path` as run `run`; a run already there is skipped.
 
-    One writer at a time. The run is a partition, so a retried run is recognised from
-    the file listing and its files are replaced rather than added to.
+    The history is a log: a run's rows are written first, then its commit with the first id and the number
+    of rows. Rows without a commit are not read, and the run's next attempt replaces them. The next id follows
+    from the commits, one small row for each run. One writer at a time.
     """
     spark = rows.sparkSession
-    last = 0
-    known = read_history(spark, path)
+    known, last = _runs(spark, path), 0
     if known is not None:
         if not known.filter(F.col("run") == run).isEmpty():
             return
-        last = known.agg(F.max("id")).first()[0] or 0
-    numbered = assign_ids(rows, last, key).withColumn("run", F.lit(run))
-    (
-        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run").parquet(path)
-    )
+        last = known.agg(F.max(F.col("first_id") + F.col("n") - 1)).first()[0] or 0
+    target = f"{path}/rows/run={run}"
+    assign_ids(rows, last, key).write.mode("overwrite").parquet(target)
+    commit = spark.read.parquet(target).agg(F.lit(last + 1).cast("long").alias("first_id"), F.count("*").alias("n"))
+    commit.write.mode("overwrite").parquet(f"{path}/commits/run={run}")
+
+
+def append_or_keep(rows: DataFrame, path: str, run: str, key: Sequence[str] = KEY) -> bool:
+    """Append, but let no failure of it reach the caller: the rows are kept for `retry_appends` then.
+
+    False if they were kept. `rows` should be a written table.
+    """
+    try:
+        append_history(rows, path, run, key)
+    except Exception:  # whatever the store raises; the rows are not lost
+        rows.write.mode("overwrite").parquet(f"{path}/retry/run={run}")
+        return False
+    return True
+
+
+def retry_appends(spark: SparkSession, path: str, key: Sequence[str] = KEY) -> int:
+    """Append the kept rows of failed runs, in the order of their names; how many runs there were."""
+    if not any_path(spark, f"{path}/retry/run=*"):
+        return 0
+    kept = spark.read.option("basePath", f"{path}/retry").schema("run string").parquet(f"{path}/retry")
+    runs = sorted(r["run"] for r in kept.select("run").distinct().collect())
+    for run in runs:
+        folder = f"{path}/retry/run={run}"
+        append_history(spark.read.parquet(folder), path, run, key)
+        delete_path(spark, folder)
+    return len(runs)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame | None:
-    """The history table, or None when nothing was written yet. Runs are text, as they were given."""
-    if not any_path(spark, f"{path}/run=*"):
+    """The committed rows, or None when there is no run yet. Runs are text, as they were given."""
+    runs = _runs(spark, path)
+    if runs is None:
         return None
-    found = spark.read.parquet(path).schema
+    found = spark.read.parquet(f"{path}/rows").schema
     typed = [StructField("run", StringType()) if f.name == "run" else f for f in found]
-    return spark.read.schema(StructType(typed)).parquet(path)
+    rows = spark.read.schema(StructType(typed)).parquet(f"{path}/rows")
+    return rows.join(runs.select("run"), "run", "left_semi").select(*found.names)
 
 
 def history_recent(history: DataFrame, limit: int = fixed.HISTORY_LIMIT) -> DataFrame:

@@ -97,7 +97,8 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[Column], we
     a group's earlier pieces are added. No task holds a group, however large; at most one
     group runs on from a piece into the next, so `carried` has at most one row per piece.
     """
-    placed = df.repartitionByRange(*[F.col(c).asc() for c in by], *order).withColumn("_piece", F.spark_partition_id())
+    ranges = [*[F.col(c).asc() for c in by], *order]
+    placed = df.repartitionByRange(*ranges).withColumn("_piece", F.spark_partition_id())
     stored = materialize(placed, "placed")
     earlier = lambda keys, at: Window.partitionBy(*keys).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
     totals = stored.groupBy("_piece", *by).agg(F.sum(weight).alias("_total"))

@@ -15,7 +15,7 @@ from codeaudit.operators.ranking import first_rows, number_rows
 from codeaudit.schemas import severity_value
 
 KEY = ("review_id",)
-# Reports of up to this many findings are one row; larger ones come in parts of this size.
+# Findings of one part of a report.
 PART_ROWS = 10_000
 
 
@@ -220,60 +220,28 @@ def markdown_report(
     title: str = fixed.REPORT_TITLE,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Markdown reports `(key, part, body)`, one row per review of up to `part_rows` findings.
+    """Markdown reports `(key, part, body)`; the parts of a review in order, joined by a line break, are its document.
 
-    Such a review is put together from one sorted array. A larger one comes in several parts of
-    that size, cut from `report_lines`; its parts in order, joined by a line break, are its document.
+    A part holds at most `part_rows` findings, so no row grows with the review: one part of table rows and
+    one of details for each piece of that size, or a single part for a review of one piece.
     """
     key = list(key)
     heads = report_heads(reviews, findings, status, key, title)
-    large = (
-        findings.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > part_rows)
-    )
-    if large.isEmpty():
-        return _whole_reports(heads, findings, key)
-    large = large.select(*key, F.ceil(F.col("_n") / part_rows).cast("long").alias("_parts"))
-    is_large = large.select(*key)
-    small = _whole_reports(
-        heads.join(is_large, key, "left_anti"), findings.join(is_large, key, "left_anti"), key
-    )
-    giant = _report_parts(
-        heads.join(is_large, key, "left_semi"), findings.join(is_large, key, "left_semi"),
-        large, key, part_rows,
-    )
-    return small.unionByName(giant)
-
-
-def _whole_reports(heads: DataFrame, findings: DataFrame, key: list[str]) -> DataFrame:
-    """Lines are written after findings are placed by review, so only their fields are moved."""
-    row = F.struct(
-        (-F.col("severity")).alias("worst"), "file", "line", "agent_ord", "seq", "rule", "title",
-        "detail", _table_row().alias("row"), _details().alias("details"),
-    )
-    placed = _with_prose(findings).repartition(*key).select(*key, row.alias("_line"))
-    lists = placed.groupBy(*key).agg(F.array_sort(F.collect_list("_line")).alias("_found"))
-    body = F.when(
-        F.col("total") > 0,
-        F.concat_ws(
-            "\n", "head", F.array_join("_found.row", "\n"), F.lit(_DETAILS_OPEN),
-            F.array_join("_found.details", "\n"), F.lit(_DETAILS_CLOSE),
-        ),
-    ).otherwise(F.col("head"))
-    joined = heads.join(lists, key, "left")
-    return joined.select(*key, F.lit(0).cast("long").alias("part"), body.alias("body"))
-
-
-def _report_parts(
-    heads: DataFrame, findings: DataFrame, parts: DataFrame, key: list[str], part_rows: int
-) -> DataFrame:
-    lines = report_lines(heads, findings, key).join(parts, key)
-    chunk = F.floor(F.greatest(F.col("pos") - 1, F.lit(0)) / part_rows).cast("long")
-    part = (
-        F.when(F.col("block") <= 1, chunk)
-        .when(F.col("block") <= 3, F.col("_parts") + chunk)
-        .otherwise(2 * F.col("_parts") - 1)
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("block", "pos", "text")))
-    return lines.groupBy(*key, part.alias("part")).agg(
-        F.array_join(F.transform(ordered, lambda b: b["text"]), "\n").alias("body")
-    )
+    ranked = ranked_findings(_with_prose(findings), key)
+    piece = F.floor((F.col("rank") - 1) / part_rows).cast("long").alias("_piece")
+    # Lines are written after findings are placed, so only their fields are moved.
+    line = F.struct("rank", _table_row().alias("row"), _details().alias("details"))
+    pieces = ranked.groupBy(*key, piece).agg(F.array_sort(F.collect_list(line)).alias("_found"))
+    placed = heads.join(pieces, key, "left")
+
+    many = F.ceil(F.col("total") / part_rows).cast("long")
+    first, last = F.col("_piece") == 0, F.col("_piece") == many - 1
+    rows = F.concat_ws("\n", F.when(first, F.col("head")), F.array_join("_found.row", "\n"))
+    details = F.concat_ws(
+        "\n", F.when(first, F.lit(_DETAILS_OPEN)), F.array_join("_found.details", "\n"), F.when(last, F.lit(_DETAILS_CLOSE)))
+    part = lambda n, body: F.struct(n.cast("long").alias("part"), body.alias("body"))
+    parts = (
+        F.when(F.col("_piece").isNull(), F.array(part(F.lit(0), F.col("head"))))
+        .when(many == 1, F.array(part(F.lit(0), F.concat_ws("\n", rows, details))))
+        .otherwise(F.array(part(F.col("_piece"), rows), part(many + F.col("_piece"), details))))
+    return placed.select(*key, F.inline(parts))

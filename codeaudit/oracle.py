@@ -7,6 +7,7 @@ from source text, so the parser side is checked against arithmetic.
 from __future__ import annotations
 
 from codeaudit import fixed, fixtures
+from codeaudit.operators import enrich
 
 _TABLES = {t: t for t in ("documents", "lineitem", "orders", "benchmark", "events")}
 
@@ -218,8 +219,8 @@ agents AS (
 
 _HISTORY = (
     f"WITH {_FINDINGS}, {_REVIEWS}, {_wide()}, {_AGENTS}, "
-    "history AS (SELECT w.review_id AS id, w.*, coalesce(agents_json, '{}') AS agents_json "
-    "FROM wide w LEFT JOIN agents USING (review_id))"
+    "history AS (SELECT row_number() OVER (ORDER BY w.review_id % 2, w.created_at, w.review_id) AS id, w.*, "
+    "coalesce(agents_json, '{}') AS agents_json FROM wide w LEFT JOIN agents USING (review_id))"
 )
 _HISTORY_COLUMNS = (
     "review_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at, source, repo, "
@@ -228,7 +229,12 @@ _HISTORY_COLUMNS = (
 _SUMMARY = f"""string_agg({_EMOJI} || ' ' || n || ' ' || {_LABEL}, ' · ' ORDER BY severity DESC)"""
 
 
-def _markdown(failures: bool) -> str:
+# Lines of the details that replies add, over findings with their index.
+_REPLIED = "i % 2 = 0 AND review_id % 17 <> 0 AND (review_id % 19 <> 0 OR review_id % 13 = 0)"
+_EXPLAINED = f"CASE WHEN {_REPLIED} THEN {_NL} || '- _Risk:_ why ' || i || {_NL} || '- _Fix:_ fix ' || title ELSE '' END"
+
+
+def _markdown(failures: bool, more: str = "''") -> str:
     place = "'`' || file || CASE WHEN line <> 0 THEN ':' || line ELSE '' END || '`'"
     failed = (
         "(SELECT string_agg(printf('> ⚠️ `%s` agent failed: %s', agent, error) || chr(10), chr(10) "
@@ -244,8 +250,8 @@ bodies AS (
   string_agg('| ' || {_EMOJI} || ' ' || {_LABEL} || ' | ' || title || ' | ' || {place} || ' | `' || rule || '` |',
    {_NL} ORDER BY {_RANK_ORDER}) AS table_rows,
   string_agg({_NL} || '**' || {_EMOJI} || ' ' || title || '** (`' || file || ':' || line || '`, `' || rule || '`)'
-   || {_NL} || '- ' || detail, {_NL} ORDER BY {_RANK_ORDER}) AS details
- FROM findings GROUP BY review_id),
+   || {_NL} || '- ' || detail || {more}, {_NL} ORDER BY {_RANK_ORDER}) AS details
+ FROM {'findings' if more == "''" else 'indexed'} GROUP BY review_id),
 documents_md AS (
  SELECT w.review_id, CAST(0 AS BIGINT) AS part,
   concat_ws({_NL}, '## {fixed.REPORT_TITLE}' || {_NL},
@@ -515,8 +521,7 @@ SELECT review_id, part, body FROM documents_md""",
     "comment_outbox": f"""WITH {_FINDINGS}, {_REVIEWS}, {_wide()}, {_markdown(False)}
 SELECT repo, pr_number AS pr, review_id, part, body, false AS posted
 FROM reviews JOIN documents_md USING (review_id) WHERE pr_number IS NOT NULL""",
-    "history_rows": f"""{_HISTORY}
-SELECT row_number() OVER (ORDER BY h.created_at, review_id) AS id, {_HISTORY_COLUMNS} FROM history h""",
+    "history_rows": f"{_HISTORY} SELECT id, {_HISTORY_COLUMNS} FROM history h",
     "history_recent": f"{_HISTORY} SELECT id, {_HISTORY_COLUMNS} FROM history h ORDER BY id DESC LIMIT 100",
     "history_summary": f"""{_HISTORY}
 SELECT count(*) AS reviews, CAST(coalesce(sum(total), 0) AS BIGINT) AS findings, max_by(health_score, id) AS latest_health FROM history""",
@@ -551,11 +556,29 @@ SELECT query_id, string_agg('[' || b.source || ']' || {_NL} || text, {_NL} || {_
 FROM best b JOIN chunks c ON b.repo = c.repo AND b.ord = c.ord GROUP BY query_id""",
     "retrieval_query": _retrieval_query("{}"),
     "retrieval_query_capped": _retrieval_query("left({}, 600)"),
-    "triage_prompt": f"""WITH {_FINDINGS}, {_INDEXED}
-SELECT review_id, agent, CAST(i // 2000 AS INT) AS batch,
- '[' || string_agg(printf('{{"i":%d,"rule":"%s","title":"%s","file":"%s","line":%d,"severity":"%s"}}', i, rule, title, file, line, {_LABEL}),
-  ',' ORDER BY i) || ']' AS payload
-FROM indexed GROUP BY 1, 2, 3""",
+    "triage_prompt": f"""WITH {_FINDINGS}, {_INDEXED},
+payloads AS (
+ SELECT review_id, agent, CAST(i // {fixtures.PROMPT_FINDINGS} AS INT) AS batch,
+  '[' || string_agg(printf('{{"i":%d,"rule":"%s","title":"%s","file":"%s","line":%d,"severity":"%s"}}', i, rule, title, file, line, {_LABEL}),
+   ',' ORDER BY i) || ']' AS payload
+ FROM indexed GROUP BY 1, 2, 3)
+SELECT review_id, agent, batch, payload,
+ 'As a ' || CASE agent {' '.join(f"WHEN '{a}' THEN '{r}'" for a, r in fixed.AGENT_ROLES.items())} ELSE 'code reviewer' END || ', {enrich.TRIAGE_TASK}' || {_NL} || {_NL}
+ || CASE WHEN agent = 'quality' AND review_id % 3 = 0 AND review_id IN (SELECT o_orderkey FROM orders)
+    THEN 'From the same repository:' || {_NL} || '[notes.md:1]' || {_NL} || 'note ' || review_id || {_NL} || {_NL} ELSE '' END
+ || 'Findings:' || {_NL} || payload AS prompt
+FROM payloads""",
+    "explained_report": f"""WITH {_FINDINGS}, {_INDEXED}, {_REVIEWS}, {_FAILURES}, {_wide()}, {_markdown(True, _EXPLAINED)}
+SELECT review_id, part, body FROM documents_md""",
+    "fix_prompts": f"""WITH {_FLAT}, {_FILE_FINDINGS}, {_candidates('file_findings', _TEN)},
+snippets AS (
+ SELECT review_id, i, rule, title, file, line, array_to_string({_lines('content')}[greatest(1, line - 8):line + 8], {_NL}) AS snippet
+ FROM candidates c JOIN flat f ON c.repo = f.repo AND c.file = f.path),
+payloads AS (
+ SELECT review_id, '[' || string_agg(printf('{{"i":%d,"rule":"%s","title":"%s","file":"%s","line":%d,"snippet":', i, rule, title, file, line)
+  || CAST(to_json(snippet) AS VARCHAR) || '}}', ',' ORDER BY i) || ']' AS payload
+ FROM snippets GROUP BY review_id)
+SELECT review_id, payload, '{enrich.FIX_TASK}' || {_NL} || {_NL} || 'Findings with snippets:' || {_NL} || payload AS prompt FROM payloads""",
     "triage_enrich": f"""WITH {_FINDINGS}, {_INDEXED}
 SELECT review_id, agent, i, rule, title,
  CASE WHEN i % 2 = 0 AND review_id % 17 <> 0 AND (review_id % 19 <> 0 OR review_id % 13 = 0) THEN 'why ' || i ELSE '' END AS explanation,

@@ -285,8 +285,12 @@ def _comment_outbox(v):
 
 
 def _history(v):
-    rows = history.review_rows(v.reviews(), v.findings().drop("repo"))
-    return rows.withColumn("id", F.col("review_id"))
+    """A written history of two runs: reviews with even numbers, then the others."""
+    path = scratch_path(v.spark, "history")
+    rows = materialize(history.review_rows(v.reviews(), v.findings().drop("repo")), "reviews")
+    for at, run in enumerate(("even", "odd")):
+        history.append_history(rows.filter(F.col("review_id") % 2 == at), path, run)
+    return history.read_history(v.spark, path).drop("run")
 
 
 def _history_view(rows):
@@ -298,8 +302,7 @@ def _history_view(rows):
 
 @_query("history_rows")
 def _history_rows(v):
-    rows = history.review_rows(v.reviews(), v.findings().drop("repo"))
-    return _history_view(history.assign_ids(materialize(rows, "reviews")))
+    return _history_view(_history(v))
 
 
 @_query("history_recent")
@@ -396,8 +399,10 @@ def _retrieval_query_capped(v):
 
 @_query("triage_prompt")
 def _triage_prompt(v):
+    """Whole prompts, with the role of the detector and context where there is some."""
     indexed = enrich.indexed_findings(v.findings())
-    return enrich.triage_prompts(indexed).select("review_id", "agent", "batch", "payload")
+    return enrich.triage_prompts(indexed, v.contexts(), per_prompt=fixtures.PROMPT_FINDINGS).select(
+        "review_id", "agent", "batch", "payload", "prompt")
 
 
 @_query("triage_enrich")
@@ -407,6 +412,14 @@ def _triage_enrich(v):
     return merged.select("review_id", "agent", "i", "rule", "title", "explanation", "fix_hint")
 
 
+@_query("explained_report")
+def _explained_report(v):
+    """Findings, prompts, replies and the report with the risk and the fix that the replies name."""
+    indexed = materialize(enrich.indexed_findings(v.findings()), "indexed")
+    explained = enrich.merge_triage(indexed, v.triage_replies(indexed))
+    return report.markdown_report(v.reviews(), explained, v.failures())
+
+
 # Patches
 
 
@@ -414,6 +427,12 @@ def _fixable(v, limit=None):
     return report.fix_candidates(v.file_findings(), limit=limit)
 
 
+@_query("fix_prompts")
+def _fix_prompts(v):
+    snippets = patch.fix_snippets(_fixable(v, fixed.FIX_CANDIDATES), v.flat_files())
+    return enrich.fix_prompts(snippets).select("review_id", "payload", "prompt")
+
+
 @_query("fix_snippets")
 def _fix_snippets(v):
     return patch.fix_snippets(_fixable(v), v.flat_files()).select("review_id", "i", "file", "line", "snippet")

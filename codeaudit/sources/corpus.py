@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("content", unify_newlines(F.col("content")))
 
 
+def write_bucketed(files: DataFrame, table: str, buckets: int, key: Sequence[str] = ("repo", "path")) -> None:
+    """Write a corpus as a table in buckets of its key, with the digest of each text.
+
+    Joins on the key then move the other side only: snippets, patches and checks of proposals
+    leave the contents where they are, and reviews with a `ContentStore` read only unknown ones.
+    """
+    known = files if "digest" in files.columns else files.withColumn("digest", F.sha2(F.coalesce("content", F.lit("")), 256))
+    known.repartition(buckets, *key).write.bucketBy(buckets, *key).mode("overwrite").saveAsTable(table)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Share a scan with fewer splits than cores out over all cores; leave others alone.
 

@@ -1,99 +1,81 @@
 """Directory trees as a corpus.
 
-`binaryFile` leaves out names that start with `_` or `.`, such as `__init__.py`, so trees
-are listed by a Python data source instead. Listing is split by folder; contents are read
-in a second step that is spread evenly over all files, whatever folder they lie in.
+`binaryFile` leaves out names that start with `_` or `.`, such as `__init__.py`, so trees are listed by
+Spark jobs that open folders, round by round. Contents are read in a second step that is spread
+evenly over all files, whatever folder they lie in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codeaudit.functions.paths import contained
 from codeaudit.functions.text import decode
+from codeaudit.storage import materialize
 
-# Folders the driver opens to find units of work; it never lists the files below them.
-MAX_UNITS = 1_000
+# Folders that a task opens in one round; what it meets beyond them is dealt out anew.
+ROUND_FOLDERS = 256
 BATCH_FILES = 1_000
 BATCH_BYTES = 32 << 20
+_LISTED = "path string, size bigint, is_folder boolean"
 
 
-class Folder(InputPartition):
-    def __init__(self, path: str, recursive: bool):
-        super().__init__(path)
-        self.recursive = recursive
+def _entries(fs: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
+    return fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+
+
+def _listing(rows: list[tuple[str, int | None, bool]]) -> pa.RecordBatch:
+    kinds = (("path", pa.string()), ("size", pa.int64()), ("is_folder", pa.bool_()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
 
 
-class TreeDataSource(DataSource):
-    """`spark.read.format("source_tree").load(root)` gives `(path, size)` of regular files.
+def _wide(spark: SparkSession) -> int:
+    """Tasks of a step that is heavy although its input is small in bytes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    `root` is a path or URI of a file or folder all executors see; a missing one has no rows.
+
+def list_tree(spark: SparkSession, root: str, round_folders: int = ROUND_FOLDERS) -> DataFrame:
+    """`(path, size)` of the regular files below `root`, a path or URI that all executors see.
+
+    A file is listed under its own name; a missing root has no rows. In each round the known folders are
+    dealt out by hash; a task opens its folders and those below them, up to its number, and hands the
+    rest to the next round. So a deep chain takes few rounds and one wide folder's children spread.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
-
-    def schema(self) -> str:
-        return "path string, size bigint"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options["path"])
-
-
-class _TreeReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
-
-    def partitions(self) -> list[Folder]:
-        """Open folders level by level until there are enough of them to share out."""
-        fs, root = pafs.FileSystem.from_uri(self.root)
-        if fs.get_file_info(root).type != pafs.FileType.Directory:
-            return [Folder(root, False)]
-        opened, frontier = [], [root]
-        while frontier and len(opened) + len(frontier) < MAX_UNITS:
-            folder = frontier.pop(0)
-            opened.append(folder)
-            frontier += [e.path for e in _entries(fs, folder) if e.type == pafs.FileType.Directory]
-        return [Folder(f, False) for f in opened] + [Folder(f, True) for f in frontier]
-
-    def read(self, unit: Folder) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(self.root)
-        base = fs.get_file_info(root)
-        if base.type == pafs.FileType.File:
-            yield _listing([(root.rsplit("/", 1)[-1], base.size)])
-            return
-        if base.type != pafs.FileType.Directory:
-            return
-        rows, folders = [], [unit.value]
-        while folders:
-            for entry in _entries(fs, folders.pop()):
+    def open_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        waiting = [path for batch in batches for path in batch.column(0).to_pylist()]
+        rows, opened = [], 0
+        while waiting and opened < round_folders:
+            folder = waiting.pop()
+            opened += 1
+            if not folder and (own := fs.get_file_info(base)).type == pafs.FileType.File:
+                rows.append((base.rsplit("/", 1)[-1], own.size, False))
+                continue
+            for entry in _entries(fs, f"{base}/{folder}" if folder else base):
+                path = entry.path[len(base):].lstrip("/")
                 if entry.type == pafs.FileType.File:
-                    rows.append((entry.path[len(root):].lstrip("/"), entry.size))
-                elif entry.type == pafs.FileType.Directory and unit.recursive:
-                    folders.append(entry.path)
+                    rows.append((path, entry.size, False))
+                elif entry.type == pafs.FileType.Directory:
+                    waiting.append(path)
                 if len(rows) >= BATCH_FILES:
                     yield _listing(rows)
                     rows = []
-        if rows:
-            yield _listing(rows)
+        yield _listing([*rows, *((path, None, True) for path in waiting)])
 
-
-def _entries(fs: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
-    return fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
-
-
-def _listing(rows: list[tuple[str, int]]) -> pa.RecordBatch:
-    paths, sizes = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "size"]
-    )
+    folders, rounds = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        listed = materialize(folders.repartition(_wide(spark), "path").mapInArrow(open_folders, _LISTED), "tree")
+        rounds.append(listed.filter("NOT is_folder").select("path", "size"))
+        folders = listed.filter("is_folder").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionAll, rounds)
 
 
 def scan_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
@@ -101,11 +83,7 @@ def scan_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
 
     Without `repo`, the first component of each path names its repository.
     """
-    spark.dataSource.register(TreeDataSource)
-    listed = spark.read.format("source_tree").load(root)
-    # An explicit number keeps the reading step wide although a listing is small in bytes.
-    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = listed.select("path").repartition(wide, "path")
+    spread = list_tree(spark, root).select("path").repartition(_wide(spark), "path")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)

@@ -3,7 +3,7 @@
 A result that several branches of a job read, or whose row placement must not be
 computed twice, is written once to the shared folder named by `spark.checkpoint.dir`
 and read back. The table survives lost executors and is pruned by column like any
-other Parquet table.
+other Parquet table. Tables of a finished piece of work go with its `scratch_scope`.
 """
 
 from __future__ import annotations
@@ -11,9 +11,15 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths of the innermost scope that is open, if any.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
 
 @functools.cache
 def _local_folder() -> str:
@@ -30,20 +36,49 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_folder()
 
 
+def _file_system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below a folder of this application, which goes when the application ends."""
     folder = f"{scratch_root(spark)}/codeaudit-{spark.conf.get('spark.app.id')}"
-    jvm = getattr(spark, "_jvm", None)
-    if jvm is not None:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
-    return f"{folder}/{label}-{uuid.uuid4().hex}"
+    if getattr(spark, "_jvm", None) is not None:
+        fs, path = _file_system(spark, folder)
+        fs.deleteOnExit(path)
+    made = f"{folder}/{label}-{uuid.uuid4().hex}"
+    if (scope := _scope.get()) is not None:
+        scope.append(made)
+    return made
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables written within when the work ends, whether it fails or not.
+
+    Nothing that is read later may come from them: write results elsewhere before the end.
+    """
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for name in made:
+            delete_path(spark, name)
+
+
+def delete_path(spark: SparkSession, name: str) -> None:
+    """Delete a folder that this application wrote, if it is there."""
+    fs, path = _file_system(spark, name)
+    fs.delete(path, True)
 
 
 def any_path(spark: SparkSession, pattern: str) -> bool:
     """Whether some file or folder matches the pattern, in whatever store it names."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    fs, path = _file_system(spark, pattern)
+    found = fs.globStatus(path)
     return found is not None and len(found) > 0
 
 

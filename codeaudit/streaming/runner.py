@@ -9,10 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from codeaudit.operators.contents import ContentStore
-from codeaudit.operators.history import append_history
+from codeaudit.operators.history import append_or_keep, retry_appends
 from codeaudit.plans.review import scanners
 from codeaudit.plans.webhook import review_heads
-from codeaudit.storage import materialize
+from codeaudit.storage import materialize, scratch_scope
 from codeaudit.streaming.deliveries import accepted_deliveries, classify_deliveries
 
 
@@ -43,21 +43,25 @@ def review_batches(
 
     It writes `history`, `comments` and `results` below `tables`, each under the run
     `<job>-<batch>`, so a batch that is run again replaces its own rows and adds none. What
-    contents hold is kept in `contents`, so a head costs the parsing of what it changes.
+    contents hold is kept in `contents`, so a head costs the parsing of what it changes. Scratch tables
+    of a batch go when it ends.
     """
 
     def put(rows: DataFrame, table: str, run: str) -> None:
         rows.write.mode("overwrite").parquet(f"{tables}/{table}/run={run}")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        run = f"{job}-{batch_id}"
-        classified = classify_deliveries(batch, secret)
-        accepted = materialize(accepted_deliveries(classified), "accepted")
-        store = ContentStore(batch.sparkSession, f"{tables}/contents", scanners=scanners())
-        reviews = review_heads(accepted, corpus(), store, run)
-        append_history(reviews.history_rows(), f"{tables}/history", run, ["event_id"])
-        put(reviews.comments(), "comments", run)
-        put(reviews.results(), "results", run)
+        run, spark = f"{job}-{batch_id}", batch.sparkSession
+        with scratch_scope(spark):
+            accepted = materialize(accepted_deliveries(classify_deliveries(batch, secret)), "accepted")
+            store = ContentStore(spark, f"{tables}/contents", scanners=scanners())
+            reviews = review_heads(accepted, corpus(), store, run)
+            put(reviews.comments(), "comments", run)
+            put(reviews.results(), "results", run)
+            # A history that cannot be written breaks no review; its rows wait for a later batch.
+            history = f"{tables}/history"
+            if append_or_keep(materialize(reviews.history_rows(), "history"), history, run, ["event_id"]):
+                retry_appends(spark, history, ["event_id"])
 
     return process
 

@@ -55,3 +55,36 @@ def test_append_twice_adds_once(spark, finding_rows, tmp_path):
     assert [tuple(r) for r in history.totals_by_agent(stored).collect()] == [("quality", 2)]
     trend = history.health_trend(stored).collect()
     assert [(r["repo"], r["reviews"], r["lowest_score"]) for r in trend] == [("r", 6, 96)]
+
+
+def test_rows_without_a_commit_are_not_read(spark, finding_rows, tmp_path):
+    path = str(tmp_path / "history")
+    rows = history.review_rows(review_table(spark, 3), finding_rows([("v1", "quality", 2, "a", 1)]).drop("repo"))
+    history.append_history(rows, path, "one")
+    history.assign_ids(rows, 50).write.parquet(f"{path}/rows/run=broken")
+    assert history.read_history(spark, path).count() == 3
+    history.append_history(rows, path, "broken")
+    assert sorted(r["id"] for r in history.read_history(spark, path).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_a_failed_append_is_kept(spark, finding_rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+    rows = history.review_rows(review_table(spark, 2), finding_rows([("v1", "quality", 2, "a", 1)]).drop("repo"))
+    with monkeypatch.context() as broken:
+        broken.setattr(history, "assign_ids", lambda *a: (_ for _ in ()).throw(OSError("disk full")))
+        assert not history.append_or_keep(rows, path, "one") and not history.append_or_keep(rows, path, "two")
+    assert history.read_history(spark, path) is None
+    assert history.append_or_keep(rows, path, "three") and history.retry_appends(spark, path) == 2
+    assert history.retry_appends(spark, path) == 0
+    stored = history.read_history(spark, path)
+    assert sorted((r["id"], r["run"]) for r in stored.collect()) == [(1, "three"), (2, "three"), (3, "one"), (4, "one"), (5, "two"), (6, "two")]
+
+
+def test_ids_follow_ranges(spark, finding_rows):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = review_table(spark, 500).repartition(7)
+        got = history.assign_ids(rows, 10, ["review_id"]).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r["id"], r["review_id"]) for r in got] == [(n + 11, f"v{n}") for n in range(500)]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeaudit.operators import enrich, patch, piecetable
+from codeaudit.sources.corpus import write_bucketed
 
 
 def test_safe_paths(spark, tree):
@@ -124,3 +125,24 @@ def test_validate_and_report(spark, tree, finding_rows):
     assert "\n".join(p["fixes_md"] for p in parts) == made["fixes_md"] and [p["part"] for p in parts] == [0, 1]
     prompts = enrich.fix_prompts(patch.fix_snippets(candidates, files)).first()
     assert [p["snippet"] for p in json.loads(prompts["payload"])] == ["one\ntwo\ntwo\nlast", "solo"]
+
+
+def test_bucketed_corpora_keep_contents_in_place(spark, tree, finding_rows):
+    files = tree(r={f"f{n}.py": f"line {n}\n" for n in range(50)})
+    write_bucketed(files, "bucketed_corpus", 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        corpus = spark.table("bucketed_corpus")
+        candidates = finding_rows([("r", "quality", 2, f"f{n}.py", 1) for n in range(50)]).withColumn("i", F.col("seq").cast("int"))
+        items = candidates.select("review_id", F.col("seq").alias("pos"), "i", F.lit("line").alias("original"), F.lit("row").alias("fixed"), F.lit("").alias("note"))
+        for found in (patch.fix_snippets(candidates, corpus), patch.validate_patches(items, candidates, corpus)):
+            plan = found._jdf.queryExecution().executedPlan()
+            text = plan.toString()
+            assert "Bucketed: true" in text and "Exchange" in text
+            scans = [part for part in text.split("Exchange")[1:] if "content" in part.split("Scan")[0]]
+            assert not scans
+            assert found.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE bucketed_corpus")

@@ -3,17 +3,21 @@
 import hashlib
 import hmac
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from codeaudit.fixtures import Views
+from codeaudit.operators import history
 from codeaudit.operators.history import read_history
 from codeaudit.plans import review
 from codeaudit.schemas import severity_dim
+from codeaudit.sources import tree as source
 from codeaudit.sources.corpus import read_corpus
 from codeaudit.sources.reports import read_sast_reports
 from codeaudit.sources.tree import scan_tree, write_tree
+from codeaudit.storage import scratch_root
 from codeaudit.streaming.deliveries import classify_deliveries
 from codeaudit.streaming.runner import read_delivery_files, review_deliveries, write_classified
 
@@ -106,17 +110,21 @@ def test_tree_source(spark, tmp_path):
     assert scan_tree(spark, str(tmp_path / "missing"), repo="z").count() == 0
 
 
-def test_tree_units_cover_every_file_once(spark, tmp_path, monkeypatch):
-    from codeaudit.sources import tree as source
-    for n in range(30):
+def test_tree_is_listed_by_several_tasks(spark, tmp_path):
+    for n in range(60):
         folder = tmp_path / f"d{n % 4}" / f"e{n % 3}"
         folder.mkdir(parents=True, exist_ok=True)
-        (folder / f"f{n}").write_text("x")
-    for units in (1, 3, 1000):
-        monkeypatch.setattr(source, "MAX_UNITS", units)
-        reader = source._TreeReader(str(tmp_path))
-        found = [p for unit in reader.partitions() for b in reader.read(unit) for p in b.column(0).to_pylist()]
-        assert len(found) == len(set(found)) == 30
+        (folder / f"f{n}").write_text("x" * n)
+    deep = tmp_path / "/".join(["deep", *"abcdefghijklmnop"])
+    deep.mkdir(parents=True)
+    (deep / "end.py").write_text("y")
+    expected = sorted([(f"d{n % 4}/e{n % 3}/f{n}", n) for n in range(60)] + [("/".join(["deep", *"abcdefghijklmnop", "end.py"]), 1)])
+    for folders in (1, 3, 256):
+        assert sorted(map(tuple, source.list_tree(spark, str(tmp_path), folders).collect())) == expected
+    # With one folder a round and task, the twelve inner folders are opened by several tasks.
+    plan = source.list_tree(spark, str(tmp_path), 1)
+    assert plan.select(F.input_file_name().alias("f")).distinct().count() > 8
+    assert source.list_tree(spark, str(tmp_path / "missing")).count() == 0
 
 
 def test_write_tree_refuses_escapes(spark, tree, tmp_path):
@@ -189,7 +197,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.select(streamed.columns).collect()))
 
 
-def test_reviews_on_a_stream(spark, tree, tmp_path):
+def scratch_tables(spark):
+    return sorted(p.name for p in Path(scratch_root(spark)).glob("codeaudit-*/*"))
+
+
+def test_reviews_on_a_stream(spark, tree, tmp_path, monkeypatch):
     corpus = tree(x={"app.py": PLANTED}, y={"README.md": "# ok"}).select(
         F.lit("o/r").alias("repo"), F.when(F.col("repo") == "x", "s1").otherwise("s2").alias("sha"), "path", "content"
     )
@@ -210,6 +222,18 @@ def test_reviews_on_a_stream(spark, tree, tmp_path):
     assert [(r["id"], r["event_id"], r["health_score"], r["source"]) for r in rows] == [
         (1, 1, 81, "webhook"), (2, 2, 100, "webhook"), (3, 4, 81, "webhook"),
     ]
+    # A fourth batch cannot write its history: results are there, and the next batch makes up for it.
+    root = scratch_root(spark)
+    before = scratch_tables(spark)
+    with monkeypatch.context() as broken:
+        broken.setattr(history, "assign_ids", lambda *a: (_ for _ in ()).throw(OSError("disk full")))
+        arrive([delivery(7), delivery(8, sha="s2")])
+    assert spark.read.parquet(f"{tables}/results").count() == 6 and read_history(spark, f"{tables}/history").count() == 3
+    arrive([delivery(9)])
+    rows = read_history(spark, f"{tables}/history").orderBy("id").collect()
+    assert sorted(r["event_id"] for r in rows) == [1, 2, 4, 7, 8, 9] and [r["id"] for r in rows] == [1, 2, 3, 4, 5, 6]
+    # Scratch tables of finished batches are gone.
+    assert scratch_tables(spark) == before and root
     comments = spark.read.parquet(f"{tables}/comments").collect()
-    assert {r["event_id"] for r in comments} == {1, 2, 4}
+    assert {r["event_id"] for r in comments} == {1, 2, 4, 7, 8, 9}
     assert all(r["body"].startswith("## Code Review\n") and not r["posted"] for r in comments)
