@@ -1,8 +1,8 @@
 """Line dedup: segment-partition edit join over the words of lines.
 
-A line is its sequence of words (`MIN_WORDS` or more; shorter ones are left alone). Two lines
-link when their edit distance in words is at most the tolerance of the longer one: 0 below 10
-words, 1 below 20, else 2. Every line that links to an earlier line, in the order of doc_id and
+A line is its sequence of words; lines without a word are left alone. Two lines link when their
+edit distance in words is at most the tolerance of the longer one: 0 below 10 words, then one more
+from each bound of `TIERS` on. Every line that links to an earlier line, in the order of doc_id and
 line number, is dropped, as is every later copy of a line.
 
 A line of the tolerance t is split into t + 1 even segments; with at most t edits one of them
@@ -28,8 +28,7 @@ from codeaudit.llm.tables import fresh, row_key
 from codeaudit.llm.words import Chunk, Hasher, list_array, mix, texts
 from codeaudit.storage import materialize
 
-MIN_WORDS = 5
-TIERS = (10, 20)  # words from which one and two edits are allowed
+TIERS = (10, 20, 40)  # words from which one, two and three edits are allowed
 TILE = 256
 BROADCAST_LINES = 2_000_000
 
@@ -41,7 +40,7 @@ def tolerance(words: np.ndarray) -> np.ndarray:
 
 
 def _lines(chunk: Chunk) -> tuple[np.ndarray, ...]:
-    """Word hashes, and of every long enough line: row, number, first and last word, hash; also lines per row."""
+    """Word hashes, and of every line with a word: row, number, first and last word, hash; also lines per row."""
     buf, offsets = chunk.buf, chunk.offsets
     starts, ends = chunk.spans()
     h = Hasher(buf)(starts, ends)
@@ -53,8 +52,6 @@ def _lines(chunk: Chunk) -> tuple[np.ndarray, ...]:
     new[1:] = (line_of[1:] != line_of[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts))
-    use = last - first >= MIN_WORDS
-    first, last = first[use], last[use]
     row = row[first]
     return h, row, line_of[first] - before[row], first, last, Hasher(h)(first, last), np.diff(before) + 1
 

@@ -11,11 +11,13 @@ The public vocabulary holds merge ranks, not probabilities, so a piece of rank r
 the merges give. Any ids decode to the same text by the library.
 
 Defined cases: null and empty texts have no ids; a literal U+2581 decodes to a space; ids keep
-the order of the text; a very long unit is segmented whole; an empty table gives no row.
+the order of the text; a very long unit is segmented whole, in time in
+proportion to its length; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -28,6 +30,8 @@ from codeaudit.llm.words import Hasher, list_array, mix, texts
 
 SPACE = 0x2581
 SCREEN_BITS = 22
+LONG = 512  # characters from which a unit is segmented by itself
+KEPT_UNITS, KEPT_IDS = 1 << 20, 1 << 23  # of the units that a worker keeps segmented
 _U = np.uint64
 
 
@@ -129,8 +133,74 @@ def segment(v: Vocabulary, span: Hasher, starts: np.ndarray, length: int) -> tup
     return back.T[used], used.sum(axis=1)
 
 
-def encode_texts(v: Vocabulary, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in order, and the count of each; text r is data[offsets[r]:offsets[r + 1]]."""
+def segment_long(v: Vocabulary, span: Hasher, start: int, length: int) -> np.ndarray:
+    """As `segment`, of one long unit: all pieces that occur are found at once, then joined from left to right."""
+    ends, widths, pieces = [], [], []
+    for w in range(min(v.longest, length), 0, -1):
+        begin = np.arange(start, start + length - w + 1)
+        h = span(begin, begin + w)
+        at = np.flatnonzero(v.screen[(h >> _U(64 - SCREEN_BITS)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(v.keys, h[at]), len(v.keys) - 1)
+        ok = v.keys[k] == h[at]
+        ends.append(at[ok] + w)
+        widths.append(np.full(int(ok.sum()), w))
+        pieces.append(k[ok])
+    end, width, piece = (np.concatenate(x) for x in (ends, widths, pieces))
+    order = np.argsort(end, kind="stable")  # at each end the longest first
+    bounds = np.searchsorted(end[order], np.arange(length + 2)).tolist()
+    width, piece, logp = width[order].tolist(), piece[order].tolist(), v.logp[piece[order]].tolist()
+    unknown = float(v.logp.min() - 10)
+    score, back = [0.0] * (length + 1), [-1] * (length + 1)
+    for e in range(1, length + 1):
+        best, chosen = -np.inf, -1
+        for m in range(bounds[e], bounds[e + 1]):
+            new = score[e - width[m]] + logp[m]
+            if new > best:
+                best, chosen = new, m
+        plain = score[e - 1] + unknown
+        score[e], back[e] = (best, chosen) if best > plain else (plain, -1)
+    out, e = [], length
+    while e > 0:
+        m = back[e]
+        out.append(piece[m] if m >= 0 else -1)
+        e -= width[m] if m >= 0 else 1
+    return np.array(out[::-1], np.int64)
+
+
+class Solved:
+    """Units that a worker has segmented: sorted hashes with the place and number of their ids."""
+
+    def __init__(self):
+        self.keys, self.place, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def full(self) -> bool:
+        return len(self.keys) > KEPT_UNITS or len(self.ids) > KEPT_IDS
+
+    def missing(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        return self.keys[at] != h if len(self.keys) else np.ones(len(h), bool)
+
+    def add(self, h: np.ndarray, counts: np.ndarray, place: np.ndarray, ids: np.ndarray) -> None:
+        keys = np.concatenate([self.keys, h])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.place = np.concatenate([self.place, place + len(self.ids)])[order]
+        self.count = np.concatenate([self.count, counts])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+
+@cache
+def _solved(path: str) -> Solved:
+    return Solved()
+
+
+def encode_texts(v: Vocabulary, data: bytes, offsets: np.ndarray, solved: Solved | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in order, and the count of each; text r is data[offsets[r]:offsets[r + 1]].
+
+    `solved` keeps segmented units from one call to the next.
+    """
+    solved = Solved() if solved is None else solved
     buf = np.frombuffer(data, np.uint8)
     chars_before = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[offsets]
     plain = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -153,18 +223,39 @@ def encode_texts(v: Vocabulary, data: bytes, offsets: np.ndarray) -> tuple[np.nd
     ends = np.append(starts[1:], len(codes))
     span = Hasher(_values(codes))
     h, at, which = np.unique(span(starts, ends), return_index=True, return_inverse=True)
-    lengths = (ends - starts)[at]
-    counts, parts, place = np.zeros(len(h), np.int64), [], np.zeros(len(h), np.int64)
-    total = 0
+    new = solved.missing(h)
+    if new.any():
+        if solved.full():  # start anew; what is met again is segmented again
+            solved.__init__()
+            new[:] = True
+        solved.add(h[new], *_segment_units(v, span, codes, starts[at[new]], (ends - starts)[at[new]]))
+    unit = np.searchsorted(solved.keys, h)[which]
+    counts = solved.count[unit]
+    out = solved.ids[ragged(solved.place[unit], counts)]
+    per_unit = np.concatenate([[0], np.cumsum(counts)])
+    text_start = np.searchsorted(starts, np.append(first, len(codes)))
+    return out, np.diff(per_unit[text_start])
+
+
+def _segment_units(
+    v: Vocabulary, span: Hasher, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each unit the number of its ids and their place in the array of all."""
+    counts, place, parts, total = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), [], 0
     order = np.argsort(lengths, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+        length = int(lengths[group[0]])
         # Lanes of a group are cut so that the tables stay small.
-        size = max(1, 4_000_000 // int(lengths[group[0]] + 1))
+        size = 1 if length >= LONG else max(1, 4_000_000 // (length + 1))
         for part in (group[k : k + size] for k in range(0, len(group), size)):
-            pieces, used = segment(v, span, starts[at[part]], int(lengths[part[0]]))
+            if length >= LONG:
+                pieces = segment_long(v, span, int(starts[part[0]]), length)
+                used = np.array([len(pieces)])
+            else:
+                pieces, used = segment(v, span, starts[part], length)
             if (pieces < 0).any():  # single characters without a piece, as their bytes
                 ids = [[v.ids[k]] if k >= 0 else v.byte_id[list(chr(c).encode("utf-8", "surrogatepass"))]
-                       for c, k in zip(codes[starts[at[part]]].tolist(), pieces.tolist())]
+                       for c, k in zip(codes[starts[part]].tolist(), pieces.tolist())]
                 pieces, used = np.concatenate(ids), np.array([len(x) for x in ids])
             else:
                 pieces = v.ids[pieces]
@@ -172,11 +263,7 @@ def encode_texts(v: Vocabulary, data: bytes, offsets: np.ndarray) -> tuple[np.nd
             counts[part] = used
             place[part] = total + np.cumsum(used) - used
             total += len(pieces)
-    flat = np.concatenate(parts).astype(np.int32)
-    out = flat[ragged(place[which], counts[which])]
-    per_unit = np.concatenate([[0], np.cumsum(counts[which])])
-    text_start = np.searchsorted(starts, np.append(first, len(codes)))
-    return out, np.diff(per_unit[text_start])
+    return counts, place, np.concatenate(parts).astype(np.int32)
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +286,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         v = Vocabulary.load(path)
         for batch in batches:
             for chunk in texts(batch):
-                ids, counts = encode_texts(v, chunk.buf.tobytes(), chunk.offsets)
+                ids, counts = encode_texts(v, chunk.buf.tobytes(), chunk.offsets, _solved(path))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo), pa.array(counts), list_array(ids, counts, pa.int32())],
                     ["doc_id", "n_pieces", "ids"])
@@ -229,6 +316,25 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """`(doc_id, n_pieces, ids, n_chars, text_crc32)`: each text's ids, and length and crc of what they decode to."""
-    back = decode(encode(docs, path), path)
-    return back.select("doc_id", "n_pieces", "ids", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    """`(doc_id, n_pieces, ids, n_chars, text_crc32)`: each text's ids, and length and crc of what they decode to.
+
+    Ids are decoded where they are made, so only they leave the task.
+    """
+    path = path or default_path()
+    names = ["doc_id", "n_pieces", "ids", "n_chars", "text_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary.load(path)
+        for batch in batches:
+            for chunk in texts(batch):
+                ids, counts = encode_texts(v, chunk.buf.tobytes(), chunk.offsets, _solved(path))
+                data, at = decode_ids(v, ids.astype(np.int64), counts)
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+                raw = memoryview(data.tobytes())
+                crc = [zlib.crc32(raw[a:z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo), pa.array(counts), list_array(ids, counts, pa.int32()),
+                    pa.array(np.diff(chars)), pa.array(crc, pa.int64())], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, n_pieces long, ids array<int>, n_chars long, text_crc32 long")

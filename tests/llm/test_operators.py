@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, tokencounts, tokenfile, urlfilter
 from codeaudit.llm.catalog import QUERIES
@@ -77,29 +78,29 @@ def test_banded_automaton():
     rng = np.random.default_rng(5)
     pairs = []
     for _ in range(400):
-        x = list(rng.integers(1, 5 if rng.random() < 0.5 else 50, rng.integers(5, 30)))
+        x = list(rng.integers(1, 5 if rng.random() < 0.5 else 50, rng.integers(5, 60)))
         y = list(x)
-        for _ in range(rng.integers(0, 4)):
+        for _ in range(rng.integers(0, 5)):
             k = int(rng.integers(len(y)))
             y[k : k + int(rng.integers(2))] = list(rng.integers(1, 50, int(rng.integers(2))))
         pairs.append(sorted((x, y), key=len))
     got = linededup.within([np.array(x, np.uint64) for x, _ in pairs], [np.array(y, np.uint64) for _, y in pairs])
-    tier = lambda n: 0 if n < 10 else 1 if n < 20 else 2
+    tier = lambda n: 0 if n < 10 else 1 if n < 20 else 2 if n < 40 else 3
     assert got.tolist() == [edit_distance(x, y) <= tier(len(y)) for x, y in pairs]
 
 
 def test_lines(spark):
     got = {r.doc_id: (r.n_lines, r.dropped) for r in QUERIES["op1_line_dedup"](spark, FOLDER).collect()}
-    seen, tier = {}, lambda n: 0 if n < 10 else 1 if n < 20 else 2
+    seen, tier = {}, lambda n: 0 if n < 10 else 1 if n < 20 else 2 if n < 40 else 3
     for doc, text in texts():
         gone = []
         for k, line in enumerate(text.split("\n")):
             w = tuple(words(line))
-            if len(w) < 5:
+            if not w:
                 continue
             near = w in seen or any(
-                len(set(w) & set(v)) > len(set(v)) - 4 and edit_distance(w, v) <= tier(max(len(w), len(v)))
-                for n in range(len(w) - 2, len(w) + 3) for v in seen.get(n, ()))
+                len(set(w) & set(v)) > len(set(v)) - 5 and edit_distance(w, v) <= tier(max(len(w), len(v)))
+                for n in range(len(w) - 3, len(w) + 4) for v in seen.get(n, ()))
             if near:
                 gone.append(k)
             seen.setdefault(len(w), []).append(w)
@@ -107,6 +108,22 @@ def test_lines(spark):
         assert got[doc] == (len(text.split("\n")), gone)
 
 
+def test_lines_planted(spark):
+    """Short exact copies go; long lines with up to three edits go, with four they stay."""
+    line = lambda k, n: [f"l{k}w{i}" for i in range(n)]
+    rows, gone = [(0, "All rights reserved\n" + "\n".join(" ".join(line(k, 60)) for k in range(8)))], {}
+    for k in range(8):
+        w = line(k, 60)
+        for at in range(k):
+            w[7 * at + 2 : 7 * at + 2 + (at % 3 < 2)] = ([], ["new"], ["more"])[at % 3]
+        rows.append((k + 1, " ".join(w) + "\nown words here " + str(k)))
+        gone[k + 1] = [0] if k <= 3 else []
+    rows.append((20, "something else\nAll rights reserved"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("a")})
+    got = {r.doc_id: r.dropped for r in linededup.drops(docs).collect()}
+    assert got == {0: [], 20: [1], **gone}
+
+
 def test_lines_awkward(awkward, nothing):
     kept = linededup.drop_lines(awkward)
     assert kept.columns == awkward.columns and linededup.drop_lines(nothing).count() == 0
@@ -271,6 +288,40 @@ def test_pieces(spark, awkward, nothing):
     assert pieces.round_trip(nothing).count() == 0
 
 
+def test_units_that_are_kept_and_long_units(monkeypatch):
+    """Ids do not depend on what a worker has kept, nor on the way that long units are segmented."""
+    v = pieces.Vocabulary.load(pieces.default_path())
+    rng = np.random.default_rng(9)
+    some = ["the", "strasse", "naïve", "x" * 700, "abc" * 300, "日本語", "a\tb", "", "q\u2581z", "".join(chr(rng.integers(97, 123)) for _ in range(3000))]
+    kept = pieces.Solved()
+    for k in range(12):
+        if k == 6:
+            monkeypatch.setattr(pieces, "KEPT_UNITS", 5)
+        docs = [" ".join(some[i] for i in rng.integers(0, len(some), 6)).encode() for _ in range(4)]
+        at = np.cumsum([0, *map(len, docs)])
+        with monkeypatch.context() as short:
+            short.setattr(pieces, "LONG", 1 << 30)
+            plain = pieces.encode_texts(v, b"".join(docs), at)
+        for got in (pieces.encode_texts(v, b"".join(docs), at, kept), pieces.encode_texts(v, b"".join(docs), at)):
+            assert all(np.array_equal(x, y) for x, y in zip(got, plain))
+
+
+def test_a_word_of_a_megabyte(spark):
+    import time
+
+    word = "".join(chr(c) for c in np.random.default_rng(2).integers(97, 123, 1_000_000))
+    start = time.perf_counter()
+    row = pieces.round_trip(spark.createDataFrame([(1, word)], "doc_id long, text string")).first()
+    assert (row.n_chars, row.text_crc32) == (len(word), zlib.crc32(word.encode())) and time.perf_counter() - start < 60
+
+
+def test_pieces_awkward(spark, awkward):
+    got = pieces.round_trip(awkward).collect()
+    expected = [(r.doc_id, len(r.text or ""), zlib.crc32((r.text or "").encode())) for r in awkward.collect()]
+    assert sorted(((r.doc_id, r.n_chars, r.text_crc32) for r in got), key=str) == sorted(expected, key=str)
+    assert all(r.n_pieces == len(r.ids) for r in got)
+
+
 def test_viterbi_is_best():
     v = pieces.Vocabulary.load(pieces.default_path())
     import sentencepiece
