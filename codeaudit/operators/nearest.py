@@ -160,15 +160,16 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = fixed.TOP_K) -> DataF
     chosen = materialize(pivots(index), "pivots")
     placed = materialize(_blocks(assign(index, chosen), ["repo", "cell"], "ord", ROWS), "cells")
     known = materialize(cells(placed, chosen), "cell-sizes")
-    asked = materialize(queries.select("query_id", "repo", F.col("vector").cast("array<double>")), "vector-queries")
+    asked = queries.select("query_id", "repo", F.col("vector").cast("array<double>"))
 
     def found(wanted: DataFrame) -> DataFrame:
         return _search(asked.join(wanted, ["query_id", "repo"]), placed, k)
 
     early = materialize(found(cells_to_search(asked, known, k, True)), "nearest-early")
     limits = early.groupBy("query_id", "repo").agg(F.max("distance").alias("limit"), F.count("*").alias("_n"))
-    # With fewer than k vectors all cells were searched.
-    open_ = asked.join(limits.filter(F.col("_n") == k).drop("_n"), ["query_id", "repo"])
+    # With fewer than k vectors, or one cell, all was searched.
+    several = known.groupBy("repo").count().filter("count > 1").select("repo")
+    open_ = asked.join(several, "repo", "left_semi").join(limits.filter(F.col("_n") == k).drop("_n"), ["query_id", "repo"])
     late = found(cells_to_search(open_, known, k, False))
     best = first_rows(early.unionByName(late), ["query_id", "repo"], [F.col("distance"), F.col("ord")], k, "rank")
     return best.select("query_id", "repo", "rank", "ord", "distance")

@@ -126,7 +126,7 @@ def fix_candidates(
         kept = number_rows(fixable, list(key), rank_order(), "_n")
     else:
         kept = first_rows(fixable, list(key), rank_order(), limit, "_n")
-    return kept.withColumn("i", F.col("_n") - 1).drop("_n")
+    return kept.withColumn("i", (F.col("_n") - 1).cast("int")).drop("_n")
 
 
 def _table_row() -> Column:
