@@ -77,33 +77,33 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def _keys(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(lines, keys, side): side 0 indexes a line's segments, side 1 probes other lines' segments."""
+    """(lines, keys, side): side 0 indexes a line's segments, side 1 probes other lines' segments.
+
+    A segment of a line of some length can be shifted by the edits before it, and by those that make the
+    difference in length; within these bounds it never leaves the probing line.
+    """
     span = Hasher(h)
     size = last - first
-    most = len(TIERS)
-
-    def key(at: np.ndarray, start: np.ndarray, long: np.ndarray, t: int, length: np.ndarray, i: int) -> np.ndarray:
-        begin = first[at] + start
-        return mix(span(begin, begin + long) + mix(_U(t * 8 + i) + (length.astype(np.uint64) << _U(8))))
+    lengths = np.arange(int(size.max(initial=0)) + 1, dtype=np.uint64) << _U(8)
 
-    def segment(length: np.ndarray, t: int, i: int) -> tuple[np.ndarray, np.ndarray]:
-        base, extra = length // (t + 1), length % (t + 1)
-        longer = i - (t + 1 - extra)  # the last `extra` segments have one word more
-        return i * base + np.maximum(longer, 0), base + (longer >= 0)
+    def segments(length: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Start, words and salt of each of the t + 1 segments."""
+        base, extra = np.divmod(length, t + 1)
+        for i in range(t + 1):
+            longer = i - (t + 1 - extra)  # the last `extra` segments have one word more
+            yield i * base + np.maximum(longer, 0), base + (longer >= 0), mix(_U(t * 8 + i) + lengths)[length]
 
-    for t in range(1, most + 1):
+    for t in range(1, len(TIERS) + 1):
         index = np.flatnonzero(np.any([tolerance(size + d) == t for d in range(t + 1)], axis=0))
-        for i in range(t + 1):
-            start, long = segment(size[index], t, i)
-            yield index, key(index, start, long, t, size[index], i), 0
+        for start, long, salt in segments(size[index], t):
+            begin = first[index] + start
+            yield index, mix(span(begin, begin + long) + salt), 0
         probe = np.flatnonzero(tolerance(size) == t)
         for d in range(t + 1):
-            length = size[probe] - d
-            for i in range(t + 1):
-                start, long = segment(length, t, i)
+            for i, (start, long, salt) in enumerate(segments(size[probe] - d, t)):
                 for shift in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
-                    ok = (start + shift >= 0) & (start + shift + long <= size[probe])
-                    yield probe[ok], key(probe[ok], (start + shift)[ok], long[ok], t, length[ok], i), 1
+                    begin = first[probe] + (start + shift)
+                    yield probe, mix(span(begin, begin + long) + salt), 1
 
 
 def _key_table(docs: DataFrame) -> DataFrame:
@@ -118,10 +118,10 @@ def _key_table(docs: DataFrame) -> DataFrame:
                 new = ~np.isin(lh, known)
                 known = np.concatenate([known, lh[new]])
                 lh, at = lh[new], at[new]
-                for lines, keys, side in _keys(h, first[at], last[at]):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(keys.view(np.int64)), pa.array(lh[lines].view(np.int64)),
-                        pa.array(np.full(len(lines), side, np.int8))], ["key", "line", "side"])
+                rows = [(keys, lh[lines], np.full(len(lines), side, np.int8)) for lines, keys, side in _keys(h, first[at], last[at])]
+                keys, lines, sides = (np.concatenate(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(lines.view(np.int64)), pa.array(sides)], ["key", "line", "side"])
 
     return docs.select("text").mapInArrow(run, "key long, line long, side byte")
 
