@@ -16,7 +16,7 @@ element under which most varying text stands, other than a single paragraph, hea
 table; if it lies in an article or main element, it is all of that element. Extraction keeps, in page order, the blocks in the
 host's main slot (in all of the page without a template): those of an article or main element
 where there is one, else those that are not fixed wording; never blocks in menus, headers, footers, sidebars, notices, adverts,
-forms or reader comments, as named by elements, roles, classes and ids.
+forms or reader comments, as named by elements, roles, classes and ids (`Page` says when names do not count).
 
 Defined cases: null and empty html give the empty text; markup that ends within a tag ends
 before it; hosts with fewer than three pages have no template; repeated rows have equal texts; an
@@ -53,6 +53,10 @@ ASIDE = set("head nav footer aside form noscript template button select option d
 MAIN = {"article", "main"}
 #: Elements that hold part of an article's text, never the article.
 PARTS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tr td th address details summary span".split())
+DEPTH, LABEL = 64, 80  # levels of a path, and characters of a level, that are spelled out
+#: A name that starts or ends so is about an element's neighbours or state.
+WITH = set("with without has no is show hide".split())
+STATES = set("enabled disabled active inactive open closed visible".split())
 #: Words of classes, ids and roles of what is not the article.
 OUTSIDE = set(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer "
@@ -60,71 +64,130 @@ OUTSIDE = set(
     "related remarks replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split())
 
 
-def blocks_of(page: str | None, elements: Counter | None = None) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, whether outside, whether in an article) of every text block, in page order.
+class Page:
+    """The text blocks of a page in order: (path, text, whether outside, number of its article or 0).
 
-    `elements` counts the block elements by path.
+    Some elements are outside whatever they hold (`ASIDE`, headers, hidden ones). Names and forms only say so
+    until the page says otherwise: if every first heading of the page stands below such elements, those that
+    hold one and a paragraph are not outside, nor are those that hold a main element; and if nothing
+    else is left, none is.
     """
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, outside, in an article
-    held: list[str] = []
-
-    def end_block() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
-        if text:
-            out.append((stack[-1][1], text, stack[-1][2], stack[-1][3]))
-
-    page, at = page or "", 0
-    while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        if m[4] is not None:
-            held.append(m[4])
-            continue
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if name in INLINE and not (name == "span" and m[3]):
-            if name == "br":
-                held.append(" ")
-            continue
-        if m[1]:
-            if any(e[0] == name for e in stack):
-                end_block()
-                while stack.pop()[0] != name:
-                    pass
-            elif name not in INLINE:
+
+    def __init__(self, page: str | None, elements: Counter | None = None):
+        self.blocks: list[tuple[str, str, bool, int]] = []
+        self.articles, self.free_heading = 0, False
+        self._found: list[tuple[str, str, bool, int, tuple[int, ...]]] = []
+        self._holds: list[set[str]] = []  # of each element that its name puts outside
+        self._read(page or "", elements)
+        headed = self.free_heading or any(not f[2] and not f[4] and f[0].rsplit("/", 1)[-1].split(".")[0] == "h1" for f in self._found)
+        spared = {k for k, holds in enumerate(self._holds) if "main" in holds or (not headed and {"h1", "p"} <= holds)}
+        named = lambda f: any(k not in spared for k in f[4])
+        bare = all(f[2] or named(f) for f in self._found)
+        self.blocks = [(path, text, hard or (not bare and named((path, text, hard, at, by))), at) for path, text, hard, at, by in self._found]
+
+    def _read(self, page: str, elements: Counter | None) -> None:
+        # Name, path, outside, number of the article, names that say outside, and the depth.
+        stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = [("", "", False, 0, ())]
+        held: list[str] = []
+
+        def end_block() -> None:
+            text = " ".join(html.unescape("".join(held)).split())
+            held.clear()
+            if text:
+                self._found.append((stack[-1][1], text, *stack[-1][2:]))
+
+        at = 0
+        while at < len(page):
+            m = _TOKEN.match(page, at)
+            at = m.end()
+            if m[4] is not None:
+                held.append(m[4])
+                continue
+            if m[2] is None:
+                continue
+            name = m[2].lower()
+            if name in INLINE and not (name == "span" and m[3]):
+                if name == "br":
+                    held.append(" ")
+                continue
+            if m[1]:
+                if any(e[0] == name for e in reversed(stack)):
+                    end_block()
+                    while stack.pop()[0] != name:
+                        pass
+                elif name not in INLINE:
+                    end_block()
+                continue
+            if name != "span":
                 end_block()
-            continue
-        if name != "span":
+            if name in RAW:
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
+                at = close.end() if close else len(page)
+                continue
+            if name in VOID or m[3].endswith("/"):
+                continue
+            label, named, hidden = name, False, False
+            inner = name in PARTS and stack[-1][3] > 0
+            for a in _ATTRIBUTE.finditer(m[3]):
+                value = a[2] or a[3] or a[4] or ""
+                if not a[1]:
+                    hidden = True
+                    continue
+                named = named or names_outside(value, inner)
+                hidden = hidden or "hidden" in value.lower().split()
+                label += f".{value.lower().replace('/', '|')}" if a[1].lower() != "role" else ""
+            if name == "span" and not named and not hidden:
+                stack.append((name, *stack[-1][1:]))
+                continue
             end_block()
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if name in VOID or m[3].endswith("/"):
-            continue
-        label, words, outside, main = name, set(), stack[-1][2], stack[-1][3]
-        for a in _ATTRIBUTE.finditer(m[3]):
-            value = (a[2] or a[3] or a[4] or "").lower()
-            words |= set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a[2] or a[3] or a[4] or "").lower())) if a[1] else {"hidden"}
-            label += f".{value.replace('/', '|')}" if a[1] and a[1].lower() != "role" else ""
-        if name == "span" and not words & OUTSIDE and "hidden" not in words:
-            stack.append((name, stack[-1][1], outside, main))
-            continue
+            # An open paragraph or item ends where a block or the next item starts.
+            while stack[-1][0] in ("p", "span") or name == stack[-1][0] == "li":
+                stack.pop()
+            _, above, hard, article, by = stack[-1]
+            hard = hard or hidden or (name in ASIDE and name != "form") or (name == "header" and not article)
+            if name in ("h1", "p", "main"):
+                for k in by:
+                    self._holds[k].add(name)
+                self.free_heading = self.free_heading or (name == "h1" and not by and not hard and not article)
+            if name == "form" or (named and name not in ("html", "body") and name not in MAIN):
+                by = (*by, len(self._holds)) if len(by) < DEPTH else by
+                self._holds.append({name})
+            if name in MAIN and not hard and not by and not article:
+                self.articles += 1
+                article = self.articles
+            stack.append((name, below(above, label), hard, article, by))
+            if elements is not None:
+                elements[stack[-1][1]] += 1
         end_block()
-        # An open paragraph or item ends where a block or the next item starts.
-        while stack[-1][0] in ("p", "span") or name == stack[-1][0] == "li":
-            stack.pop()
-        outside, main = stack[-1][2], stack[-1][3]
-        if name in ASIDE or (name == "header" and not main) or "hidden" in words or (name not in ("html", "body") and name not in MAIN and words & OUTSIDE):
-            outside = True
-        stack.append((name, f"{stack[-1][1]}/{label}", outside, main or (name in MAIN and not outside)))
-        if elements is not None:
-            elements[stack[-1][1]] += 1
-    end_block()
-    return out
+
+
+def names_outside(value: str, whole: bool) -> bool:
+    """Whether a class, id or role is of what is not the article; of parts of an article only by a `whole` name."""
+    for name in value.split():
+        if name.lower() in OUTSIDE:
+            return True
+        words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+        if not whole and OUTSIDE.intersection(words) and words[0] not in WITH and words[-1] not in STATES:
+            return True
+    return False
+
+
+def below(path: str, label: str) -> str:
+    """The path of an element. From `DEPTH` levels on, and for long names, a hash stands for what would make it long:
+    such elements are told apart, as children of their ancestor at that level."""
+    if len(label) > LABEL:
+        label = f"{label.split('.')[0]}.{_hash(label):x}"
+    if path.count("/") < DEPTH:
+        return f"{path}/{label}"
+    return f"{path.rsplit('/', 1)[0]}/{label.split('.')[0]}.{_hash(f'{path}/{label}'):x}"
+
+
+def blocks_of(page: str | None, elements: Counter | None = None) -> list[tuple[str, str, bool, int]]:
+    """(path, text, whether outside, number of its article or 0) of every text block, in page order.
+
+    `elements` counts the block elements by path.
+    """
+    return Page(page, elements).blocks
 
 
 def _hash(text: str) -> int:
@@ -141,12 +204,17 @@ def whole_article(path: str | None) -> str | None:
 
 def main_text(page: str | None, main: str | None = None, wording: set[int] = frozenset()) -> str:
     """The text of a page under its host's template."""
-    found = [b for b in blocks_of(page) if not b[2]]
+    read = Page(page)
+    found = [b for b in read.blocks if not b[2]]
     main = whole_article(main)
     slot = [b for b in found if main is None or (b[0] + "/").startswith(main + "/")] or found
-    article = [b[1] for b in slot if b[3]] or [b[1] for b in found if b[3]]
-    if article:
-        return "\n".join(article)
+    if read.free_heading and read.articles > 1:
+        # The story has the first heading and stands beside the articles, which are teasers of others.
+        slot = [b for b in found if not b[3]]
+    else:
+        article = [b[1] for b in slot if b[3]] or [b[1] for b in found if b[3]]
+        if article:
+            return "\n".join(article)
     free = [b[1] for b in slot if _hash(f"{b[0]}\n{b[1]}") not in wording]
     return "\n".join(free or [b[1] for b in slot])
 

@@ -481,3 +481,31 @@ def test_urls(spark):
     assert [g[2] for g in got[4:]] == ["com/fr/", "com/de/", "com/de/", None, None, None, None, None, "com/fr/"]
     assert [g[:2] for g in got[7:10]] == [("", "")] * 3 and got[11][:2] == ("", "") and all(g[3] in ("allow", "block") for g in got)
     assert urlfilter.judge(pages.where("false")).count() == 0
+
+
+def test_html_names_that_do_not_count():
+    """Wrappers whose names speak of neighbours, pages in a form, parts of an article, teasers beside a story."""
+    story = "<h1>Head</h1><p>First words.</p><p>More words.</p>"
+    for wrapper in ('div class="content with-sidebar"', 'div class="share-enabled"', 'section id="research-search"', "form", 'div class="widget"'):
+        page = f'<html><body><div class="banner">Site</div><{wrapper}>{story}</{wrapper.split()[0]}><div class="sidebar"><p>Else</p></div></body></html>'
+        assert htmltext.main_text(page) == "Head\nFirst words.\nMore words.", wrapper
+    inside = '<article><h1>H</h1><p class="notice-of-intent">Intent.</p><p class="notice">Cookies.</p></article>'
+    assert htmltext.main_text(inside) == "H\nIntent."
+    teasers = "".join(f"<article><h2>T{k}</h2><p>teaser {k}</p></article>" for k in range(3))
+    assert htmltext.main_text(f'<body><div id="story">{story}</div>{teasers}</body>') == "Head\nFirst words.\nMore words."
+    comments = '<article><h1>A</h1><p>b</p></article><div class="comments"><article><p>c1</p></article><article><p>c2</p></article></div>'
+    assert htmltext.main_text(comments) == "A\nb"
+    assert htmltext.main_text('<div class="comments"><p>only these</p></div>') == "only these"
+
+
+def test_html_of_open_tags():
+    """Unclosed tags cost memory in proportion to their number."""
+    import tracemalloc
+
+    page = '<div class="level">' * 50_000 + "<p>deep</p>" + "x" * 10
+    tracemalloc.start()
+    elements = Counter()
+    blocks = htmltext.blocks_of(page, elements)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b[1] for b in blocks] == ["deep", "x" * 10] and peak < 200 << 20 and sum(elements.values()) == 50_001
