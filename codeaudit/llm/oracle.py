@@ -41,10 +41,13 @@ def _token_counts() -> str:
     """Totals of kept documents, counted over the distinct lines of their text."""
     each = " UNION ALL ".join(
         f"SELECT source, lang, '{v}' AS tokenizer, len(regexp_extract_all(once, '{pattern}')) AS n FROM kept" for v, pattern in TOKENIZERS.items())
-    return f"""WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+    plain = " UNION ALL ".join(
+        f"SELECT source, lang, '{v}' AS tokenizer, coalesce(len(regexp_extract_all(text, '{pattern}')), 0) AS n FROM documents WHERE doc_id IS NULL OR text IS NULL"
+        for v, pattern in TOKENIZERS.items())
+    return f"""WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL)),
 once AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS once FROM (SELECT doc_id, line, min(i) AS i FROM lines GROUP BY doc_id, line) GROUP BY doc_id),
 kept AS (SELECT source, lang, once FROM documents JOIN once USING (doc_id) QUALIFY doc_id = min(doc_id) OVER (PARTITION BY text))
-SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM ({each}) GROUP BY ALL"""
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM ({each} UNION ALL {plain}) GROUP BY ALL"""
 
 
 ORACLE = {

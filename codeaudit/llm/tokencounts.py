@@ -9,14 +9,15 @@ Under a root folder: `changes/batch=B`, `deltas/batch=B` and, written last, `com
 Readers take only batches with a commit, so a batch that broke off leaves nothing and is
 written anew under its name; a committed batch that comes again is skipped.
 
-Defined cases: a null doc_id is a document of its own; of several rows for one document and
+Defined cases: every row with a null doc_id is a document of its own, which no later batch can revise or
+delete; of several rows for one document and
 version in a batch the largest count holds (a delete only if there is no count); null source and
 language are groups; deleting what is not there changes nothing; an empty batch commits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codeaudit.llm.tables import table
 from codeaudit.storage import materialize, scratch_path
@@ -57,8 +58,13 @@ def commit(spark: SparkSession, root: str, batch: str, changes: DataFrame) -> bo
     done = commits(spark, root).collect()
     if any(r.batch == batch for r in done):
         return False
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    new = changes.select(key.alias("doc_key"), "source", "lang", "tokenizer", F.col("n_tokens").cast("long").alias("n_tokens"))
+    # Rows without an id cannot be told apart, so equal ones are numbered; no later batch speaks of them.
+    own = ["tokenizer", "source", "lang", "n_tokens"]
+    nth = F.row_number().over(Window.partitionBy("doc_id", *own).orderBy(F.lit(1)))
+    nameless = changes.where("doc_id IS NULL AND n_tokens IS NOT NULL").withColumn(
+        "doc_key", F.concat_ws(":", F.lit("none"), F.lit(batch), F.xxhash64(*own), nth))
+    named = changes.where("doc_id IS NOT NULL").withColumn("doc_key", F.col("doc_id").cast("string"))
+    new = named.unionByName(nameless).select("doc_key", "source", "lang", "tokenizer", F.col("n_tokens").cast("long").alias("n_tokens"))
     # Deletes sort below counts.
     best = F.max_by(F.struct("source", "lang", "n_tokens"), F.struct(F.coalesce("n_tokens", F.lit(-1)), "source", "lang"))
     new = new.groupBy("doc_key", "tokenizer").agg(best.alias("c")).select("doc_key", "c.source", "c.lang", "tokenizer", "c.n_tokens")
@@ -86,7 +92,9 @@ def totals(spark: SparkSession, root: str) -> DataFrame:
 
 def corpus_history(docs: DataFrame, root: str) -> None:
     """Three batches over a corpus, the later two sent twice: all counts under both versions; deletes
-    of documents whose text an earlier one has; counts revised for repeated lines in a text."""
+    of documents whose text an earlier one has; counts revised for repeated lines in a text.
+
+    Documents without an id or a text are loaded and stay as they are."""
     spark = docs.sparkSession
     once = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
     counts = materialize(docs.select(

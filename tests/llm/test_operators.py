@@ -509,3 +509,22 @@ def test_html_of_open_tags():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert [b[1] for b in blocks] == ["deep", "x" * 10] and peak < 200 << 20 and sum(elements.values()) == 50_001
+
+
+def test_counts_without_ids_or_texts(spark, tmp_path):
+    """Rows without an id are documents of their own, as in the SQL, also when they are equal."""
+    rows = [(None, "a b"), (None, "c d e"), (None, "a b"), (5, None), (6, None), (7, "x y\nx y"), (8, "x y\nx y"), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s" if i != 9 else None) for i, t in rows], "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = duck.execute(ORACLE["op2_token_counts"])
+    columns = [c[0] for c in expected.description]
+    got = tokencounts.rollup(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(expected.fetchall(), key=str)
+    assert {(r.source, r.n_docs, r.n_tokens) for r in got if r.tokenizer == "words-1"} == {("s", 6, 9), (None, 1, 0)}
+    root = scratch_path(spark, "ledger")
+    change = spark.createDataFrame([(None, "s", "en", "v", 3), (None, "s", "en", "v", 3), (1, "s", "en", "v", 5)], "doc_id long, source string, lang string, tokenizer string, n_tokens long")
+    for batch in ("a", "a", "b"):
+        tokencounts.commit(spark, root, batch, change)
+    assert [tuple(r) for r in tokencounts.totals(spark, root).select("n_docs", "n_tokens").collect()] == [(5, 17)]
