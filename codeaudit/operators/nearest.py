@@ -116,7 +116,7 @@ def cells_to_search(queries: DataFrame, cells: DataFrame, k: int, first: bool) -
     return spread.groupBy("repo", "_block").cogroup(copies.groupBy("_of_repo", "_of__block")).applyInPandas(choose, schema)
 
 
-def _search(asked: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+def _search(asked: DataFrame, placed: DataFrame, known: DataFrame, k: int) -> DataFrame:
     """`(query_id, repo, ord, distance)`: the best `k` of each query in each block of the cells it asks."""
     kind = asked.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, repo string, ord bigint, distance double"
@@ -136,21 +136,23 @@ def _search(asked: DataFrame, placed: DataFrame, k: int) -> DataFrame:
                 "ord": numbers[best].ravel(), "distance": np.take_along_axis(distance, best, axis=1).ravel()}))
         return pd.concat(parts)
 
-    by = ["repo", "cell"]
-    # Blocks of a cell times blocks of the queries that ask it.
-    spread = _blocks(asked, by, "query_id", ROWS).withColumnRenamed("_block", "_asked")
-    pairs = spread.select(*by, "_asked").distinct().join(placed.select(*by, "_block").distinct(), by)
-    left = spread.join(pairs, [*by, "_asked"])
-    right = placed.select(*by, "_block", "ord", "vector").join(pairs, [*by, "_block"])
-    group = [*by, "_asked", "_block"]
+    by, group = ["repo", "cell"], ["repo", "cell", "_asked", "_block"]
+    # Blocks of the queries that ask a cell times blocks of the cell.
+    asks = asked.groupBy(*by).agg(F.ceil(F.count("*") / ROWS).cast("int").alias("_asks"))
+    left = asked.join(asks, by).join(known.select(*by, "blocks"), by).select(
+        *by, F.pmod(F.xxhash64("query_id"), F.col("_asks")).cast("int").alias("_asked"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_block"), "query_id", "vector")
+    right = placed.join(asks, by).select(
+        *by, F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)).alias("_asked"), "_block", "ord", "vector")
     right = _aside(right, group)
     found = left.groupBy(*group).cogroup(right.groupBy(*[f"_of_{c}" for c in group])).applyInPandas(nearest, schema)
     return first_rows(found, ["query_id", "repo"], [F.col("distance"), F.col("ord")], k, "rank").select("query_id", "repo", "ord", "distance")
 
 
 def cells(placed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """`(repo, cell, pivot, n, radius)` of the cells that hold vectors."""
-    sizes = placed.groupBy("repo", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    """`(repo, cell, pivot, n, radius, blocks)` of the cells that hold vectors."""
+    sizes = placed.groupBy("repo", "cell").agg(
+        F.count("*").alias("n"), F.max("far").alias("radius"), (F.max("_block") + 1).alias("blocks"))
     return sizes.join(chosen, ["repo", "cell"])
 
 
@@ -163,13 +165,25 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = fixed.TOP_K) -> DataF
     asked = queries.select("query_id", "repo", F.col("vector").cast("array<double>"))
 
     def found(wanted: DataFrame) -> DataFrame:
-        return _search(asked.join(wanted, ["query_id", "repo"]), placed, k)
-
-    early = materialize(found(cells_to_search(asked, known, k, True)), "nearest-early")
+        return _search(asked.join(wanted, ["query_id", "repo"]), placed, known, k)
+
+    # A repository of one cell is searched as it is; only others have cells to choose from.
+    count = known.groupBy("repo").count()
+    lone = known.join(count.filter("count = 1"), "repo", "left_semi").select("repo", "cell")
+    wanted = asked.join(lone, "repo").select("query_id", "repo", "cell")
+    several = count.filter("count > 1").select("repo")
+    if several.isEmpty():
+        return _ranked(found(wanted), k)
+    among, centres = (t.join(several, "repo", "left_semi") for t in (asked, known))
+    first = materialize(wanted.unionByName(cells_to_search(among, centres, k, True)), "nearest-first")
+    early = materialize(found(first), "nearest-early")
     limits = early.groupBy("query_id", "repo").agg(F.max("distance").alias("limit"), F.count("*").alias("_n"))
-    # With fewer than k vectors, or one cell, all was searched.
-    several = known.groupBy("repo").count().filter("count > 1").select("repo")
-    open_ = asked.join(several, "repo", "left_semi").join(limits.filter(F.col("_n") == k).drop("_n"), ["query_id", "repo"])
-    late = found(cells_to_search(open_, known, k, False))
-    best = first_rows(early.unionByName(late), ["query_id", "repo"], [F.col("distance"), F.col("ord")], k, "rank")
+    # With fewer than k vectors all cells were searched.
+    open_ = among.join(limits.filter(F.col("_n") == k).drop("_n"), ["query_id", "repo"])
+    late = found(materialize(cells_to_search(open_, centres, k, False), "nearest-more"))
+    return _ranked(early.unionByName(late), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = first_rows(found, ["query_id", "repo"], [F.col("distance"), F.col("ord")], k, "rank")
     return best.select("query_id", "repo", "rank", "ord", "distance")

@@ -71,7 +71,7 @@ def test_pivots_rule_cells_out(spark):
     vectors = [("hot", n, (centres[n % 20] + rng.normal(size=8)).tolist()) for n in range(2000)]
     frame = spark.createDataFrame(vectors, "repo string, ord long, vector array<double>")
     chosen = nearest.pivots(frame, cell=25)
-    placed = nearest.assign(frame, chosen)
+    placed = nearest._blocks(nearest.assign(frame, chosen), ["repo", "cell"], "ord", nearest.ROWS)
     known = nearest.cells(placed, chosen)
     queries = frame.filter("ord < 100").withColumnRenamed("ord", "query_id").withColumn("limit", F.lit(20.0))
     asked = [nearest.cells_to_search(queries, known, 4, first).count() for first in (True, False)]
