@@ -30,13 +30,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from codeaudit.llm.words import list_array
+from codeaudit.llm.pieces import Solved, ragged
+from codeaudit.llm.words import Chunk, Hasher, list_array, texts
 from codeaudit.storage import materialize, scratch_path
 
 LIMIT = 20
 LANE = 256
 BLOCK = 1 << 20
-CACHE = 600_000  # distinct words and parts whose ids a worker keeps
+CACHE = 300_000  # distinct heads and tails of words whose ids a worker keeps, besides those of words
+BREAKS = np.zeros(256, bool)  # what ends a word here
+BREAKS[[0x20, 0x0A]] = True
 TAIL = "".join(set(string.punctuation) - {"'"})  # an apostrophe may begin a contraction
 END_ID = 1
 RAW = "part int, seq int, doc_ids array<long>, counts array<long>, ids binary"
@@ -74,8 +77,8 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}  # heads and tails
+        self.met = Solved()  # words
 
     def _learn(self, words: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -90,27 +93,38 @@ class WordEncoder:
         data, ends = ids.tobytes(), ends.tolist()
         self.known.update((word, data[a:z]) for word, a, z in zip(words, [0, *ends], ends))
 
-    def _recall(self, words: set[str]) -> set[str]:
-        """The words that are not known; those known before the last change are taken over."""
-        missing = words - self.known.keys()
-        again = missing & self.older.keys()
-        self.known.update([(word, self.older[word]) for word in again])
-        return missing - again
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE // 2:  # what is not met again goes with the next change
-            self.older, self.known = self.known, {"": b""}
-        new = [(word, *split_tail(word)) for word in self._recall(set().union(*lists))]
-        parts = self._recall({part for _, *both in new for part in both})
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        if len(self.known) > CACHE:
+            self.known = {"": b""}
+        split = [split_tail(word) for word in words]
+        parts = {part for both in split for part in both} - self.known.keys()
         letters = [part for part in parts if part.isalpha()]
         if letters:
             self._learn_letters(letters)
         self._learn([part for part in parts if not part.isalpha()])
-        get = self.known.__getitem__
-        self.known.update([(word, get(head) + get(tail)) for word, head, tail in new])
-        return [b"".join(map(get, words)) for words in lists]
+        return [self.known[head] + self.known[tail] for head, tail in split]
+
+    def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a chunk in order, and where each text's start (one more at the end).
+
+        Words are told apart by the hashes of their bytes; only those that the worker has not met become strings.
+        """
+        starts, ends = chunk.spans(BREAKS)
+        h, at, which = np.unique(Hasher(chunk.buf)(starts, ends), return_index=True, return_inverse=True)
+        new = self.met.missing(h)
+        if new.any():
+            if self.met.full():  # start anew; what is met again is encoded again
+                self.met = Solved()
+                new[:] = True
+            raw = chunk.buf.tobytes()
+            found = self._ids_of([raw[a:z].decode("utf-8", "surrogatepass") for a, z in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            counts = np.array([len(x) // 4 for x in found], np.int64)
+            self.met.add(h[new], counts, np.cumsum(counts) - counts, np.frombuffer(b"".join(found), "<u4").astype(np.int32))
+        word = np.searchsorted(self.met.keys, h)[which]
+        counts = self.met.count[word]
+        ids = self.met.ids[ragged(self.met.place[word], counts)].astype("<u4")
+        return ids, np.concatenate([[0], np.cumsum(counts)])[chunk.per_row(starts)]
 
 
 def split_tail(word: str) -> tuple[str, str]:
@@ -138,10 +152,10 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ["part", "seq", "doc_ids", "counts", "ids"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                piece = batch.slice(lo, 200)
-                found = encoder.encode([t or "" for t in piece.column("text").to_pylist()])
-                for doc, x in zip(piece.column("doc_id").to_pylist(), found):
+            for chunk in texts(batch):
+                found, bounds = encoder.encode(chunk)
+                rows = batch.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo).to_pylist()
+                for doc, x in zip(rows, (found[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:]))):
                     if held and held + len(x) // 4 + 1 > BLOCK:
                         yield block()
                         seq, ids, doc_ids, counts, held = seq + 1, [], [], [], 0

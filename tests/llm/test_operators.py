@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, tokencounts, tokenfile, urlfilter
 from codeaudit.llm.catalog import QUERIES
 from codeaudit.llm.oracle import ORACLE
+from codeaudit.llm.words import texts as chunks
 from codeaudit.storage import materialize, scratch_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -364,7 +366,13 @@ def test_word_encoder():
     odd = ["a.<|endoftext|>b", "<|ENDOFTEXT|>", "İstanbul. x", "don't. can't's. a'.b. 'S 'Tx.", "H\u0331. KK, \u0338= é.", "٢a. ²a²..", "", " \n"]
     odd += ["".join(draw.choice(list("aB'.<|> \nİé\u0301sS9\xa0,\t!"), 40)) for _ in range(1000)]
     want = encoder.tokenizer.encode_batch(odd, add_special_tokens=False)
-    assert encoder.encode(odd) == [np.array(x.ids, "<u4").tobytes() for x in want]
+    for k in range(2):  # the second time words are known
+        got = []
+        for chunk in chunks(pa.RecordBatch.from_pydict({"text": odd})):
+            ids, bounds = encoder.encode(chunk)
+            got += [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])]
+        assert got == [x.ids for x in want]
+        encoder.known = {"": b""}
 
 
 def test_code_lengths():
