@@ -91,19 +91,23 @@ class WordEncoder:
         if len(ends) != len(words):  # a letter that lower-cases to more than letters
             return self._learn(words)
         data, ends = ids.tobytes(), ends.tolist()
-        self.known.update((word, data[a:z]) for word, a, z in zip(words, [0, *ends], ends))
+        self.known.update(zip(words, [data[a:z] for a, z in zip([0, *ends], ends)]))
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of different words."""
         if len(self.known) > CACHE:
             self.known = {"": b""}
-        split = [split_tail(word) for word in words]
-        parts = {part for both in split for part in both} - self.known.keys()
+        split = [(word.lower(), "") if word.isascii() and word.isalpha() else split_tail(word) for word in words]
+        parts = {head for head, _ in split}
+        parts.update({tail for _, tail in split})
+        parts -= self.known.keys()
         letters = [part for part in parts if part.isalpha()]
         if letters:
             self._learn_letters(letters)
-        self._learn([part for part in parts if not part.isalpha()])
-        return [self.known[head] + self.known[tail] for head, tail in split]
+        if len(letters) < len(parts):
+            self._learn([part for part in parts if not part.isalpha()])
+        get = self.known.__getitem__
+        return [get(head) + get(tail) if tail else get(head) for head, tail in split]
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk in order, and where each text's start (one more at the end).
