@@ -37,7 +37,8 @@ from codeaudit.storage import materialize, scratch_path
 LIMIT = 20
 LANE = 256
 BLOCK = 1 << 20
-CACHE = 300_000  # distinct heads and tails of words whose ids a worker keeps, besides those of words
+CACHE = 60_000  # distinct heads and tails of words whose ids a worker keeps
+KEPT_WORDS = 400_000  # distinct words whose ids it keeps, in arrays
 BREAKS = np.zeros(256, bool)  # what ends a word here
 BREAKS[[0x20, 0x0A]] = True
 TAIL = "".join(set(string.punctuation) - {"'"})  # an apostrophe may begin a contraction
@@ -118,7 +119,7 @@ class WordEncoder:
         h, at, which = np.unique(Hasher(chunk.buf)(starts, ends), return_index=True, return_inverse=True)
         new = self.met.missing(h)
         if new.any():
-            if self.met.full():  # start anew; what is met again is encoded again
+            if len(self.met.keys) > KEPT_WORDS:  # start anew; what is met again is encoded again
                 self.met = Solved()
                 new[:] = True
             raw = chunk.buf.tobytes()
