@@ -37,8 +37,8 @@ from codeaudit.storage import materialize, scratch_path
 LIMIT = 20
 LANE = 256
 BLOCK = 1 << 20
-CACHE = 60_000  # distinct heads and tails of words whose ids a worker keeps
-KEPT_WORDS = 400_000  # distinct words whose ids it keeps, in arrays
+CACHE = 100_000  # distinct heads and tails of words whose ids a worker keeps
+KEPT_WORDS = 700_000  # distinct words whose ids it keeps, in arrays
 BREAKS = np.zeros(256, bool)  # what ends a word here
 BREAKS[[0x20, 0x0A]] = True
 TAIL = "".join(set(string.punctuation) - {"'"})  # an apostrophe may begin a contraction
