@@ -5,18 +5,21 @@ is left out or shares a count. The background is counted over all documents, the
 those that `labels` calls good. The background's counts are scaled to the target's total, so both
 are smoothed alike: unigrams by one count each, bigrams by `PRIOR` counts of the unigram estimate.
 
-Bigrams are summed up in the tasks and then by hash. Words and contexts are sums of bigrams, and
-joining them back gives each bigram's two losses as whole billionths of a nat, in a written
-table. A text's bigrams, each once with its count, are joined to it and summed up by text, so sums
-have no order. Everything grows with the corpus in tables only; results are exact up to equality
-of 64-bit hashes.
+Documents go into units of about `HELD_WORDS` words, one row each of a written table, with the
+unit's words as ranks by frequency. Each unit counts its keys (bigrams, words, contexts: 64-bit
+hashes, their last bit telling words from the rest) and sends them to buckets of the key space as
+sorted, delta-coded blocks, about six bytes a key. A bucket adds its blocks up and answers each with the
+totals of its keys, in the same order and without the keys. The unit joins its answers and scores its
+documents. So no row is made for a bigram, a hot word or bigram stands once in a unit, and everything
+grows with the corpus in tables only; results are exact up to equality of hashes. A bigram's two losses
+are whole billionths of a nat, so sums have no order.
 
 A document's score is the mean over its words of background loss minus target loss (nats):
 the higher, the more it is like the target.
 
 Defined cases: null and wordless texts have 0 words and score 0; A-Z count as lower case; without
 good labels the target is the smoothed uniform model; labels of unknown documents count nothing;
-repeated rows count as often as they stand and score alike.
+repeated rows count as often as they stand and score alike; a text longer than a unit is a unit of its own.
 """
 
 from __future__ import annotations
@@ -25,120 +28,189 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from codeaudit.llm.words import BASE, LOWER, Hasher, mix, texts
 from codeaudit.storage import materialize
 
 PRIOR = 50.0
 UNIT = 1e9  # losses are stored in whole parts of a nat
-HELD_WORDS = 2_000_000  # words whose bigrams a task sums up before it sends them
+HELD_WORDS = 2_000_000  # words of a unit
+HELD_ROWS = 200_000  # rows of a unit at most
+BUCKET_KEYS = 2_000_000  # keys of a bucket, counted in every unit that has them
 
 _U = np.uint64
 START = _U(0x5EED)  # stands before a text's first word
+UNITS = "unit long, good boolean, doc_ids array<long>, counts array<long>, n_types int, n_words long, n_keys long, words binary, ranks binary"
+BLOCKS = "bucket int, unit long, good boolean, size int, keys binary, n binary"
+ANSWERS = "unit long, bucket int, size int, n binary, good binary, types long"
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, hashes of the words before them, word bounds of rows) of each chunk."""
-    for chunk in texts(batch):
-        starts, ends = chunk.spans()
-        h, bounds = Hasher(LOWER[chunk.buf])(starts, ends), chunk.per_row(starts)
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[bounds[:-1][np.diff(bounds) > 0]] = START
-        yield chunk.lo, h, before, bounds
+def pack(values: np.ndarray) -> bytes:
+    """64-bit values by byte planes, compressed: planes of small values vanish."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def unpack(data: pa.Buffer, size: int) -> np.ndarray:
+    if not size:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=8 * size), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).view("<u8").reshape(-1)
 
 
 def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(before * _U(BASE) + word)
 
 
-def bigrams(docs: DataFrame) -> DataFrame:
-    """`(pair, before, word, n)`, summed up by task only."""
+class Keys:
+    """The keys of a unit, sorted, with their counts, and where each word's own ones stand."""
 
-    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        before, word = (np.concatenate(x) for x in zip(*held))
-        keys, at, n = np.unique(pair(before, word), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [*[pa.array(x.view(np.int64)) for x in (keys, before[at], word[at])], pa.array(n)], ["pair", "before", "word", "n"])
+    def __init__(self, words: np.ndarray, ranks: np.ndarray, bounds: np.ndarray):
+        h = words[ranks]
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[bounds[:-1][np.diff(bounds) > 0]] = START
+        pairs, at, n = np.unique(pair(before, h) & ~_U(1), return_inverse=True, return_counts=True)
+        singles = np.bincount(ranks, minlength=len(words))
+        # A text's last word is no context, and its first one has the start as context.
+        last = np.bincount(ranks[bounds[1:][np.diff(bounds) > 0] - 1], minlength=len(words)) if len(ranks) else singles
+        contexts = np.append(singles - last, last.sum())
+        marks = np.append(mix(words ^ _U(0xC0)), mix(START[None] ^ _U(0xC0))) & ~_U(1)
+        every = np.concatenate([pairs, mix(words) | _U(1), marks])
+        # Keys that are equal by chance are one key.
+        self.keys, place = np.unique(every, return_inverse=True)
+        self.n = np.bincount(place, np.concatenate([n, singles, contexts]), len(self.keys)).astype(np.int64)
+        self._pair = place[: len(pairs)][at]
+        self._word, self._context = place[len(pairs) : len(pairs) + len(words)], place[len(pairs) + len(words) :]
+        self._ranks = ranks
+        self._before = np.empty_like(ranks)
+        self._before[1:] = ranks[:-1]
+        self._before[bounds[:-1][np.diff(bounds) > 0]] = len(words)
+
+    def losses(self, n: np.ndarray, by: float, total: int, size: int) -> np.ndarray:
+        """Of every word in order, in parts of `UNIT`, under a model with the counts `n` of the keys times `by`."""
+        word = (n[self._word] * by + 1) / (total * by + size)
+        likely = (n[self._pair] * by + PRIOR * word[self._ranks]) / (n[self._context] * by + PRIOR)[self._before]
+        return np.rint(-np.log(likely) * UNIT).astype(np.int64)
+
+
+def units(docs: DataFrame, good: bool, unit_words: int = HELD_WORDS) -> DataFrame:
+    """The documents in units, as `UNITS`."""
+    schema = pa.schema([("unit", pa.int64()), ("good", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+                        ("n_types", pa.int32()), ("n_words", pa.int64()), ("n_keys", pa.int64()), ("words", pa.binary()), ("ranks", pa.binary())])
+
+    def unit(k: int, doc_ids: list[pa.Array], counts: list[np.ndarray], held: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = np.concatenate(counts)
+        words, ranks, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, ranks = words[order], rank[ranks]
+        keys = Keys(words, ranks, np.concatenate([[0], np.cumsum(lengths)]))
+        row = (2 * (TaskContext.get().partitionId() << 31 | k) + good, good, pa.concat_arrays(doc_ids), lengths, len(words), len(ranks), len(keys.keys), pack(words), pack(ranks))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        k, size, rows = 0, 0, 0
+        doc_ids, counts, held = [], [], []
         for batch in batches:
-            for _, h, before, _ in _words(batch):
-                held.append((before, h))
-                size += len(h)
-                if size >= HELD_WORDS:
-                    yield summed(held)
-                    held, size = [], 0
-        if size:
-            yield summed(held)
-
-    return docs.select("text").mapInArrow(run, "pair long, before long, word long, n long")
-
-
-def losses(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """`(pair, near, wide)`: every bigram's loss under the models of `target` and `docs`, in parts of `UNIT`."""
-    none = F.lit(0).cast("long")
-    both = bigrams(docs).withColumn("good", none).unionAll(bigrams(target).withColumns({"good": F.col("n"), "n": none}))
-    counts = materialize(both.groupBy("pair").agg(
-        F.first("before").alias("before"), F.first("word").alias("word"), F.sum("good").alias("good"), F.sum("n").alias("n")), "lm-bigrams")
-    sums = lambda c, x: counts.groupBy(c).agg(F.sum("good").alias(f"{x}_good"), F.sum("n").alias(f"{x}_n"))
-    words = materialize(sums("word", "word"), "lm-words")
-    total = words.agg(F.count("*").alias("types"), F.coalesce(F.sum("word_good"), none).alias("good"), F.coalesce(F.sum("word_n"), none).alias("n")).first()
-    scale = total.good / max(total.n, 1)
-    size = total.types + 2  # and a word that is not there, and the start of a text
-
-    def loss(x: str, by: float) -> Column:
-        word = (F.col(f"word_{x}") * by + 1) / (getattr(total, x) * by + size)
-        likely = (F.col(x) * by + PRIOR * word) / (F.col(f"before_{x}") * by + PRIOR)
-        return F.round(-F.log(likely) * UNIT).cast("long")
-
-    known = counts.join(words, "word").join(sums("before", "before"), "before")
-    return materialize(known.select("pair", loss("good", 1.0).alias("near"), loss("n", scale).alias("wide")), "lm-losses")
-
-
-def _entries(docs: DataFrame) -> DataFrame:
-    """`(key, pair, k)`: the bigrams of every text by the text's key, at least once for all its copies."""
+            for chunk in texts(batch):
+                starts, ends = chunk.spans()
+                held.append(Hasher(LOWER[chunk.buf])(starts, ends))
+                counts.append(np.diff(chunk.per_row(starts)))
+                doc_ids.append(batch.column("doc_id").slice(chunk.lo, len(counts[-1])))
+                size, rows = size + len(starts), rows + len(counts[-1])
+                if size >= unit_words or rows >= HELD_ROWS:
+                    yield unit(k, doc_ids, counts, held)
+                    k, size, rows = k + 1, 0, 0
+                    doc_ids, counts, held = [], [], []
+        if rows:
+            yield unit(k, doc_ids, counts, held)
+
+    ids = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    return docs.select(ids.alias("doc_id"), "text").mapInArrow(run, UNITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            for lo, h, before, bounds in _words(batch):
-                pairs, parts = pair(before, h), []
-                for r, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    key = int(keys[lo + r])
-                    if a < z and key not in seen:
-                        # Copies in one task are sent once: all sums of a text grow alike.
-                        seen.add(key)
-                        found, k = np.unique(pairs[a:z], return_counts=True)
-                        parts.append((np.full(len(found), key), found.view(np.int64), k))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["key", "pair", "k"])
 
-    return docs.select(F.xxhash64("text").alias("key"), "text").mapInArrow(run, "key long, pair long, k long")
+def _keys(row: dict) -> Keys:
+    bounds = np.concatenate([[0], np.cumsum(row["counts"].values.to_numpy())]).astype(np.int64)
+    return Keys(unpack(row["words"].as_buffer(), row["n_types"].as_py()), unpack(row["ranks"].as_buffer(), row["n_words"].as_py()).astype(np.int64), bounds)
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
-    """`(doc_id, key, n_words)` of every row."""
+def _blocks(held: DataFrame, buckets: int) -> DataFrame:
+    """The keys and counts of every unit, as `BLOCKS`."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in texts(batch):
-                n = np.diff(chunk.per_row(chunk.spans()[0]))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(chunk.lo, len(n)) for c in ("doc_id", "key")], pa.array(n)], ["doc_id", "key", "n_words"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_words long")
-
-
-def score(docs: DataFrame, target: DataFrame) -> DataFrame:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r] for name in batch.schema.names}
+                found = _keys(row)
+                cuts = [0, *np.searchsorted(found.keys, edges).tolist(), len(found.keys)]
+                spans = [(b, a, z) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if a < z]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([b for b, _, _ in spans], pa.int32()), pa.array([row["unit"].as_py()] * len(spans), pa.int64()),
+                    pa.array([row["good"].as_py()] * len(spans), pa.bool_()), pa.array([z - a for _, a, z in spans], pa.int32()),
+                    pa.array([pack(np.diff(found.keys[a:z], prepend=_U(0))) for _, a, z in spans], pa.binary()),
+                    pa.array([pack(found.n[a:z]) for _, a, z in spans], pa.binary())],
+                    ["bucket", "unit", "good", "size", "keys", "n"])
+
+    return held.select("unit", "good", "counts", "n_types", "n_words", "words", "ranks").mapInArrow(run, BLOCKS)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The totals of a bucket's keys for each of its blocks, and its number of words."""
+    table = table.combine_chunks()
+    sizes, good = table.column("size").to_pylist(), table.column("good").to_pylist()
+    binary = lambda name: [unpack(x.as_buffer(), n) for x, n in zip(table.column(name), sizes)]
+    keys, at = np.unique(np.concatenate([np.cumsum(x) for x in binary("keys")]), return_inverse=True)
+    n, of_target = np.concatenate(binary("n")), np.repeat(good, sizes)
+    totals = [np.bincount(at, np.where(of_target == x, n, 0), len(keys)).astype(np.int64) for x in (False, True)]
+    ends = np.cumsum(sizes)
+    spans = [(k, at[z - size : z]) for k, (size, z) in enumerate(zip(sizes, ends)) if not good[k]]
+    places = [k for k, _ in spans]
+    types = int((keys & _U(1)).sum())
+    return pa.Table.from_arrays([
+        pa.array([*(table.column("unit")[k].as_py() for k in places), None], pa.int64()),
+        pa.array([table.column("bucket")[0].as_py()] * (len(places) + 1), pa.int32()),
+        pa.array([*(sizes[k] for k in places), 0], pa.int32()),
+        *[pa.array([*(pack(total[x]) for _, x in spans), b""], pa.binary()) for total in totals],
+        pa.array([*[0] * len(places), types], pa.int64())], ["unit", "bucket", "size", "n", "good", "types"])
+
+
+def score(docs: DataFrame, target: DataFrame, unit_words: int = HELD_WORDS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """`(doc_id, n_words, loss_target, loss_background, score)` of every row of `docs`, for a model of `target` (rows with `text`) against one of `docs`."""
-    met = _entries(docs).join(losses(docs, target), "pair")
-    sums = met.groupBy("key").agg(*[F.sum(x).alias(n) for x, n in ((F.col("k"), "k"), (F.col("k") * F.col("near"), "near"), (F.col("k") * F.col("wide"), "wide"))])
-    mean = lambda x: F.coalesce(F.round(F.col(x) / F.col("k") / UNIT, 6), F.lit(0.0))
-    rows = _sizes(docs).join(sums, "key", "left").select("doc_id", "n_words", mean("near").alias("loss_target"), mean("wide").alias("loss_background"))
+    held = materialize(units(docs, False, unit_words).unionAll(units(target, True, unit_words)), "lm-units")
+    total = held.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in (
+        ("n", F.when(~F.col("good"), F.col("n_words"))), ("good", F.when(F.col("good"), F.col("n_words"))), ("keys", F.col("n_keys")))]).first()
+    n_all, n_good = int(total.n), int(total.good)
+    blocks = _blocks(held, max(1, -(-int(total["keys"]) // bucket_keys)))
+    answers = materialize(blocks.groupBy("bucket").applyInArrow(_answer, ANSWERS), "lm-answers")
+    size = int(answers.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first().types) + 2  # and a word that is not there, and the start of a text
+    scale = n_good / max(n_all, 1)
+
+    def scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = {name: left.column(name)[0] for name in left.column_names}
+        right = right.sort_by("bucket")
+        n, good = (np.concatenate([np.zeros(0, np.uint64), *(unpack(x.as_buffer(), k) for x, k in zip(right.column(name), right.column("size").to_pylist()))]).astype(np.int64)
+                   for name in ("n", "good"))
+        found, counts = _keys(row), row["counts"].values.to_numpy()
+        ends = np.cumsum(counts)
+        sums = []
+        if len(n):
+            for x, by, words in ((good, 1.0, n_good), (n, scale, n_all)):
+                upto = np.concatenate([[0], np.cumsum(found.losses(x, by, words, size))])
+                sums.append(upto[ends] - upto[ends - counts])
+        else:
+            sums = [np.zeros(len(counts), np.int64)] * 2
+        return pa.Table.from_arrays([row["doc_ids"].values, pa.array(counts), *map(pa.array, sums)], ["doc_id", "n_words", "near", "wide"])
+
+    own = held.where("not good").select("unit", "doc_ids", "counts", "n_types", "n_words", "words", "ranks")
+    met = own.groupBy("unit").cogroup(answers.where("unit is not null").drop("types").groupBy("unit"))
+    rows = met.applyInArrow(scores, "doc_id long, n_words long, near long, wide long")
+    mean = lambda x: F.coalesce(F.round(F.col(x) / F.nullif(F.col("n_words"), F.lit(0)) / UNIT, 6), F.lit(0.0))
+    rows = rows.select("doc_id", "n_words", mean("near").alias("loss_target"), mean("wide").alias("loss_background"))
     return rows.withColumn("score", F.round(F.col("loss_background") - F.col("loss_target"), 6))
 
 

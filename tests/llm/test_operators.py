@@ -415,7 +415,7 @@ def test_scores_are_exact(spark):
     rows = [(i, " ".join(f"w{i}x{k} " + " ".join(f"c{x}" for x in rng.integers(0, 400, 3)) for k in range(200))) for i in range(400)]
     rows += [(400, rows[0][1]), (None, rows[1][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_words, r.loss_target, r.loss_background) for r in lmscore.score(docs, docs.where("doc_id % 4 = 0")).collect()}
+    got = {r.doc_id: (r.n_words, r.loss_target, r.loss_background) for r in lmscore.score(docs, docs.where("doc_id % 4 = 0"), unit_words=20_000, bucket_keys=30_000).collect()}
     models = []
     for use in (lambda d: d is not None and d % 4 == 0, lambda d: True):
         word, context, both = Counter(), Counter(), Counter()
