@@ -51,8 +51,7 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Losses of every document under both models, and their difference."""
-    docs = table(spark, folder, "documents")
-    return lmscore.score(docs, lmscore.good_documents(docs, table(spark, folder, "labels")))
+    return lmscore.score(table(spark, folder, "documents"), lmscore.good_documents(table(spark, folder, "labels")))
 
 
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:

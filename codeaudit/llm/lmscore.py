@@ -40,10 +40,12 @@ HELD_WORDS = 2_000_000  # words of a unit
 HELD_ROWS = 200_000  # rows of a unit at most
 BUCKET_KEYS = 2_000_000  # keys of a bucket, counted in every unit that has them
 
+SENT_IDS = 2_000_000  # ids of the target's documents that are broadcast at most (16 MB)
+
 _U = np.uint64
 START = _U(0x5EED)  # stands before a text's first word
-UNITS = "unit long, good boolean, doc_ids array<long>, counts array<long>, n_types int, n_words long, n_keys long, words binary, ranks binary"
-BLOCKS = "bucket int, unit long, good boolean, size int, keys binary, n binary"
+UNITS = "unit long, doc_ids array<long>, counts array<long>, good array<boolean>, n_types int, n_words long, n_good long, words binary, ranks binary"
+BLOCKS = "bucket int, unit long, size int, keys binary, n binary, good binary"
 ANSWERS = "unit long, bucket int, size int, n binary, good binary, types long"
 
 
@@ -65,29 +67,33 @@ def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Keys:
-    """The keys of a unit, sorted, with their counts, and where each word's own ones stand."""
-
-    def __init__(self, words: np.ndarray, ranks: np.ndarray, bounds: np.ndarray):
-        h = words[ranks]
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[bounds[:-1][np.diff(bounds) > 0]] = START
-        pairs, at, n = np.unique(pair(before, h) & ~_U(1), return_inverse=True, return_counts=True)
-        singles = np.bincount(ranks, minlength=len(words))
-        # A text's last word is no context, and its first one has the start as context.
-        last = np.bincount(ranks[bounds[1:][np.diff(bounds) > 0] - 1], minlength=len(words)) if len(ranks) else singles
-        contexts = np.append(singles - last, last.sum())
-        marks = np.append(mix(words ^ _U(0xC0)), mix(START[None] ^ _U(0xC0))) & ~_U(1)
-        every = np.concatenate([pairs, mix(words) | _U(1), marks])
-        # Keys that are equal by chance are one key.
-        self.keys, place = np.unique(every, return_inverse=True)
-        self.n = np.bincount(place, np.concatenate([n, singles, contexts]), len(self.keys)).astype(np.int64)
-        self._pair = place[: len(pairs)][at]
-        self._word, self._context = place[len(pairs) : len(pairs) + len(words)], place[len(pairs) + len(words) :]
-        self._ranks = ranks
+    """The keys of a unit, sorted, and which of them each word has."""
+
+    def __init__(self, words: np.ndarray, ranks: np.ndarray, lengths: np.ndarray):
+        self._ranks, self._lengths = ranks, lengths
+        ends = np.cumsum(lengths)
+        some = lengths > 0
+        first, self._last = (ends - lengths)[some], ends[some] - 1
+        # The start of a text stands behind the words.
         self._before = np.empty_like(ranks)
         self._before[1:] = ranks[:-1]
-        self._before[bounds[:-1][np.diff(bounds) > 0]] = len(words)
+        self._before[first] = len(words)
+        h = np.append(words, START)
+        pairs, at = np.unique(pair(h[self._before], words[ranks]) & ~_U(1), return_inverse=True)
+        # Keys that are equal by chance are one key.
+        self.keys, place = np.unique(np.concatenate([pairs, mix(words) | _U(1), mix(h ^ _U(0xC0)) & ~_U(1)]), return_inverse=True)
+        self._place, self._at = place, at
+        self._pair, self._word, self._context = place[: len(pairs)][at], place[len(pairs) : len(pairs) + len(words)], place[len(pairs) + len(words) :]
+
+    def count(self, rows: np.ndarray) -> np.ndarray:
+        """How often each key stands in the rows that are marked."""
+        marked = np.repeat(rows, self._lengths)
+        types = len(self._word)
+        singles = np.bincount(self._ranks, marked, types)
+        # A text's last word is no context, and its first one has the start as context.
+        last = np.bincount(self._ranks[self._last], rows[self._lengths > 0], types)
+        n = [np.bincount(self._at, marked, len(self._place) - 2 * types - 1), singles, singles - last, [last.sum()]]
+        return np.bincount(self._place, np.concatenate(n), len(self.keys)).astype(np.int64)
 
     def losses(self, n: np.ndarray, by: float, total: int, size: int) -> np.ndarray:
         """Of every word in order, in parts of `UNIT`, under a model with the counts `n` of the keys times `by`."""
@@ -96,46 +102,44 @@ class Keys:
         return np.rint(-np.log(likely) * UNIT).astype(np.int64)
 
 
-def units(docs: DataFrame, good: bool, unit_words: int = HELD_WORDS) -> DataFrame:
-    """The documents in units, as `UNITS`."""
-    schema = pa.schema([("unit", pa.int64()), ("good", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
-                        ("n_types", pa.int32()), ("n_words", pa.int64()), ("n_keys", pa.int64()), ("words", pa.binary()), ("ranks", pa.binary())])
+def units(docs: DataFrame, unit_words: int = HELD_WORDS) -> DataFrame:
+    """The documents `(doc_id, text, good)` in units, as `UNITS`."""
+    schema = pa.schema([("unit", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("good", pa.list_(pa.bool_())),
+                        ("n_types", pa.int32()), ("n_words", pa.int64()), ("n_good", pa.int64()), ("words", pa.binary()), ("ranks", pa.binary())])
 
-    def unit(k: int, doc_ids: list[pa.Array], counts: list[np.ndarray], held: list[np.ndarray]) -> pa.RecordBatch:
-        lengths = np.concatenate(counts)
+    def unit(k: int, doc_ids: list[pa.Array], good: list[pa.Array], counts: list[np.ndarray], held: list[np.ndarray]) -> pa.RecordBatch:
+        lengths, good = np.concatenate(counts), pa.concat_arrays(good)
         words, ranks, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")
+        # Ranks go by powers of two of the counts; words of one power stay in order, so their differences are small.
+        order = np.argsort(-np.frexp(n)[1], kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        words, ranks = words[order], rank[ranks]
-        keys = Keys(words, ranks, np.concatenate([[0], np.cumsum(lengths)]))
-        row = (2 * (TaskContext.get().partitionId() << 31 | k) + good, good, pa.concat_arrays(doc_ids), lengths, len(words), len(ranks), len(keys.keys), pack(words), pack(ranks))
+        n_good = int(lengths[good.to_numpy(zero_copy_only=False)].sum())
+        row = (TaskContext.get().partitionId() << 32 | k, pa.concat_arrays(doc_ids), lengths, good, len(words), len(ranks), n_good,
+               pack(np.diff(words[order], prepend=_U(0))), pack(rank[ranks]))
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, size, rows = 0, 0, 0
-        doc_ids, counts, held = [], [], []
+        k, size, rows, parts = 0, 0, 0, []
         for batch in batches:
             for chunk in texts(batch):
                 starts, ends = chunk.spans()
-                held.append(Hasher(LOWER[chunk.buf])(starts, ends))
-                counts.append(np.diff(chunk.per_row(starts)))
-                doc_ids.append(batch.column("doc_id").slice(chunk.lo, len(counts[-1])))
-                size, rows = size + len(starts), rows + len(counts[-1])
+                counts = np.diff(chunk.per_row(starts))
+                own = (batch.column(c).slice(chunk.lo, len(counts)) for c in ("doc_id", "good"))
+                parts.append((*own, counts, Hasher(LOWER[chunk.buf])(starts, ends)))
+                size, rows = size + len(starts), rows + len(counts)
                 if size >= unit_words or rows >= HELD_ROWS:
-                    yield unit(k, doc_ids, counts, held)
-                    k, size, rows = k + 1, 0, 0
-                    doc_ids, counts, held = [], [], []
+                    yield unit(k, *map(list, zip(*parts)))
+                    k, size, rows, parts = k + 1, 0, 0, []
         if rows:
-            yield unit(k, doc_ids, counts, held)
+            yield unit(k, *map(list, zip(*parts)))
 
-    ids = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
-    return docs.select(ids.alias("doc_id"), "text").mapInArrow(run, UNITS)
+    return docs.select(F.col("doc_id").cast("long"), "text", "good").mapInArrow(run, UNITS)
 
 
 def _keys(row: dict) -> Keys:
-    bounds = np.concatenate([[0], np.cumsum(row["counts"].values.to_numpy())]).astype(np.int64)
-    return Keys(unpack(row["words"].as_buffer(), row["n_types"].as_py()), unpack(row["ranks"].as_buffer(), row["n_words"].as_py()).astype(np.int64), bounds)
+    words, ranks = (unpack(row[x].as_buffer(), row[n].as_py()) for x, n in (("words", "n_types"), ("ranks", "n_words")))
+    return Keys(np.cumsum(words, dtype=np.uint64), ranks.astype(np.int64), row["counts"].values.to_numpy())
 
 
 def _blocks(held: DataFrame, buckets: int) -> DataFrame:
@@ -147,45 +151,49 @@ def _blocks(held: DataFrame, buckets: int) -> DataFrame:
             for r in range(batch.num_rows):
                 row = {name: batch.column(name)[r] for name in batch.schema.names}
                 found = _keys(row)
+                good = row["good"].values.to_numpy(zero_copy_only=False)
+                n, of_target = found.count(np.ones_like(good)), found.count(good)
                 cuts = [0, *np.searchsorted(found.keys, edges).tolist(), len(found.keys)]
-                spans = [(b, a, z) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if a < z]
+                spans = [(b, slice(a, z)) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if a < z]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([b for b, _, _ in spans], pa.int32()), pa.array([row["unit"].as_py()] * len(spans), pa.int64()),
-                    pa.array([row["good"].as_py()] * len(spans), pa.bool_()), pa.array([z - a for _, a, z in spans], pa.int32()),
-                    pa.array([pack(np.diff(found.keys[a:z], prepend=_U(0))) for _, a, z in spans], pa.binary()),
-                    pa.array([pack(found.n[a:z]) for _, a, z in spans], pa.binary())],
-                    ["bucket", "unit", "good", "size", "keys", "n"])
+                    pa.array([b for b, _ in spans], pa.int32()), pa.array([row["unit"].as_py()] * len(spans), pa.int64()),
+                    pa.array([x.stop - x.start for _, x in spans], pa.int32()),
+                    pa.array([pack(np.diff(found.keys[x], prepend=_U(0))) for _, x in spans], pa.binary()),
+                    *[pa.array([pack(counts[x]) for _, x in spans], pa.binary()) for counts in (n, of_target)]],
+                    ["bucket", "unit", "size", "keys", "n", "good"])
 
-    return held.select("unit", "good", "counts", "n_types", "n_words", "words", "ranks").mapInArrow(run, BLOCKS)
+    return held.select("unit", "counts", "good", "n_types", "n_words", "words", "ranks").mapInArrow(run, BLOCKS)
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """The totals of a bucket's keys for each of its blocks, and its number of words."""
+    """For each block of a bucket, what other units add to its counts; and the bucket's number of words."""
     table = table.combine_chunks()
-    sizes, good = table.column("size").to_pylist(), table.column("good").to_pylist()
+    sizes = table.column("size").to_pylist()
     binary = lambda name: [unpack(x.as_buffer(), n) for x, n in zip(table.column(name), sizes)]
-    keys, at = np.unique(np.concatenate([np.cumsum(x) for x in binary("keys")]), return_inverse=True)
-    n, of_target = np.concatenate(binary("n")), np.repeat(good, sizes)
-    totals = [np.bincount(at, np.where(of_target == x, n, 0), len(keys)).astype(np.int64) for x in (False, True)]
-    ends = np.cumsum(sizes)
-    spans = [(k, at[z - size : z]) for k, (size, z) in enumerate(zip(sizes, ends)) if not good[k]]
-    places = [k for k, _ in spans]
-    types = int((keys & _U(1)).sum())
+    keys, at = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in binary("keys")]), return_inverse=True)
+    spans = [slice(z - size, z) for size, z in zip(sizes, np.cumsum(sizes).tolist())]
+    more = []
+    for name in ("n", "good"):
+        own = np.concatenate(binary(name)).astype(np.int64)
+        others = np.bincount(at, own, len(keys)).astype(np.int64)[at] - own
+        more.append(pa.array([*(pack(others[x]) for x in spans), b""], pa.binary()))
+    rest = len(sizes)
     return pa.Table.from_arrays([
-        pa.array([*(table.column("unit")[k].as_py() for k in places), None], pa.int64()),
-        pa.array([table.column("bucket")[0].as_py()] * (len(places) + 1), pa.int32()),
-        pa.array([*(sizes[k] for k in places), 0], pa.int32()),
-        *[pa.array([*(pack(total[x]) for _, x in spans), b""], pa.binary()) for total in totals],
-        pa.array([*[0] * len(places), types], pa.int64())], ["unit", "bucket", "size", "n", "good", "types"])
+        pa.array([*table.column("unit").to_pylist(), None], pa.int64()), pa.array([table.column("bucket")[0].as_py()] * (rest + 1), pa.int32()),
+        pa.array([*sizes, 0], pa.int32()), *more, pa.array([*[0] * rest, int((keys & _U(1)).sum())], pa.int64())],
+        ["unit", "bucket", "size", "n", "good", "types"])
 
 
 def score(docs: DataFrame, target: DataFrame, unit_words: int = HELD_WORDS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """`(doc_id, n_words, loss_target, loss_background, score)` of every row of `docs`, for a model of `target` (rows with `text`) against one of `docs`."""
-    held = materialize(units(docs, False, unit_words).unionAll(units(target, True, unit_words)), "lm-units")
+    """`(doc_id, n_words, loss_target, loss_background, score)` of every row of `docs`, for a model of the documents whose ids `target` holds against one of all `docs`."""
+    ids = materialize(target.select("doc_id").where("doc_id is not null").distinct(), "lm-target").withColumn("good", F.lit(True))
+    # Counted ids go to the texts; more of them meet the texts by a shuffle.
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left")
+    held = materialize(units(marked.withColumn("good", F.coalesce("good", F.lit(False))), unit_words), "lm-units")
     total = held.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in (
-        ("n", F.when(~F.col("good"), F.col("n_words"))), ("good", F.when(F.col("good"), F.col("n_words"))), ("keys", F.col("n_keys")))]).first()
+        ("n", F.col("n_words")), ("good", F.col("n_good")), ("most", F.col("n_words") + 2 * F.col("n_types") + 1))]).first()
     n_all, n_good = int(total.n), int(total.good)
-    blocks = _blocks(held, max(1, -(-int(total["keys"]) // bucket_keys)))
+    blocks = _blocks(held, max(1, -(-int(total.most) // bucket_keys)))
     answers = materialize(blocks.groupBy("bucket").applyInArrow(_answer, ANSWERS), "lm-answers")
     size = int(answers.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first().types) + 2  # and a word that is not there, and the start of a text
     scale = n_good / max(n_all, 1)
@@ -193,20 +201,17 @@ def score(docs: DataFrame, target: DataFrame, unit_words: int = HELD_WORDS, buck
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         row = {name: left.column(name)[0] for name in left.column_names}
         right = right.sort_by("bucket")
-        n, good = (np.concatenate([np.zeros(0, np.uint64), *(unpack(x.as_buffer(), k) for x, k in zip(right.column(name), right.column("size").to_pylist()))]).astype(np.int64)
-                   for name in ("n", "good"))
-        found, counts = _keys(row), row["counts"].values.to_numpy()
+        more = [np.concatenate([np.zeros(0, np.uint64), *(unpack(x.as_buffer(), k) for x, k in zip(right.column(name), right.column("size").to_pylist()))]).astype(np.int64)
+                for name in ("good", "n")]
+        found, counts, marks = _keys(row), row["counts"].values.to_numpy(), row["good"].values.to_numpy(zero_copy_only=False)
         ends = np.cumsum(counts)
         sums = []
-        if len(n):
-            for x, by, words in ((good, 1.0, n_good), (n, scale, n_all)):
-                upto = np.concatenate([[0], np.cumsum(found.losses(x, by, words, size))])
-                sums.append(upto[ends] - upto[ends - counts])
-        else:
-            sums = [np.zeros(len(counts), np.int64)] * 2
-        return pa.Table.from_arrays([row["doc_ids"].values, pa.array(counts), *map(pa.array, sums)], ["doc_id", "n_words", "near", "wide"])
-
-    own = held.where("not good").select("unit", "doc_ids", "counts", "n_types", "n_words", "words", "ranks")
+        for other, rows, by, words in zip(more, (marks, np.ones_like(marks)), (1.0, scale), (n_good, n_all)):
+            upto = np.concatenate([[0], np.cumsum(found.losses(found.count(rows) + other, by, words, size))])
+            sums.append(pa.array(upto[ends] - upto[ends - counts]))
+        return pa.Table.from_arrays([row["doc_ids"].values, pa.array(counts), *sums], ["doc_id", "n_words", "near", "wide"])
+
+    own = held.select("unit", "doc_ids", "counts", "good", "n_types", "n_words", "words", "ranks")
     met = own.groupBy("unit").cogroup(answers.where("unit is not null").drop("types").groupBy("unit"))
     rows = met.applyInArrow(scores, "doc_id long, n_words long, near long, wide long")
     mean = lambda x: F.coalesce(F.round(F.col(x) / F.nullif(F.col("n_words"), F.lit(0)) / UNIT, 6), F.lit(0.0))
@@ -214,7 +219,6 @@ def score(docs: DataFrame, target: DataFrame, unit_words: int = HELD_WORDS, buck
     return rows.withColumn("score", F.round(F.col("loss_background") - F.col("loss_target"), 6))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of the documents that a label calls good."""
-    good = labels.where("quality = 1").select(F.col("doc_id")).distinct()
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+def good_documents(labels: DataFrame) -> DataFrame:
+    """Ids of the documents that a label calls good."""
+    return labels.where("quality = 1").select("doc_id")

@@ -399,7 +399,7 @@ def test_ledger(spark):
 
 def test_scores(spark, awkward, nothing):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    trained = lmscore.good_documents(docs, labels.where("doc_id % 2 = 0"))
+    trained = lmscore.good_documents(labels.where("doc_id % 2 = 0"))
     score = {r.doc_id: r.score for r in lmscore.score(docs, trained).collect()}
     held = labels.where("doc_id % 2 = 1").collect()
     good, bad = ([score[r.doc_id] for r in held if r.quality == q] for q in (1, 0))
