@@ -36,11 +36,11 @@ from codeaudit.storage import materialize
 
 PRIOR = 50.0
 UNIT = 1e9  # losses are stored in whole parts of a nat
-HELD_WORDS = 2_000_000  # words of a unit
+HELD_WORDS = 1_500_000  # words of a unit
 HELD_ROWS = 200_000  # rows of a unit at most
-BUCKET_KEYS = 2_000_000  # keys of a bucket, counted in every unit that has them
+BUCKET_KEYS = 1_500_000  # keys of a bucket, counted in every unit that has them
 
-SENT_IDS = 2_000_000  # ids of the target's documents that are broadcast at most (16 MB)
+SENT_IDS = 2_000_000  # ids of the target that are broadcast at most (about 140 MB as a hash table)
 
 _U = np.uint64
 START = _U(0x5EED)  # stands before a text's first word
