@@ -35,9 +35,9 @@ from codeaudit.llm.tables import fresh, row_key
 from codeaudit.llm.words import BASE, LOWER, Hasher, mix, texts, windows
 
 RATE = 0.2  # word edits for each word of the item
-STRIDE = 4
+STRIDE = 3
 SHORT = 11  # longer items have more starts than STRIDE
-WALKS, TABLES, SYMBOLS = 4, 12, 4
+WALKS, TABLES, SYMBOLS = 6, 18, 4
 BLOCK_CHARS = 4_000_000
 SCREEN_BITS = 22
 HITS = "doc_id long, item_id long, start long, n_words long, distance long"
@@ -153,8 +153,8 @@ class Index:
             bounds = np.cumsum([0, *(len(words[k]) for k in own)])
             h, begin = padded(np.concatenate([words[k] for k in own]), bounds)
             starts = [np.arange(len(words[k]) - size + 1) for k in own]
-            item = np.repeat(own, [len(s) for s in starts])
-            start = np.concatenate(starts)
+            item = np.repeat(np.array(own, np.int32), [len(s) for s in starts])
+            start = np.concatenate(starts).astype(np.int32)
             at = start + np.repeat(begin, [len(s) for s in starts])
             parts |= {k: (v, item, start) for k, v in walks.keys(h, at).items() if k[0] == c}
         screen = np.zeros(1 << SCREEN_BITS, bool)

@@ -241,20 +241,28 @@ def test_contamination(spark, awkward, nothing):
     assert decontaminate.passages(nothing, own).count() == 0 and decontaminate.passages(awkward, own.where("false")).count() == 0
 
 
-def test_contamination_recall():
-    """Items with up to a fifth of their words edited, in random surroundings."""
-    rng = np.random.default_rng(1)
-    items = [(i, " ".join(f"i{i}w{k}" for k in range(int(rng.integers(15, 70))))) for i in range(60)]
+@pytest.mark.parametrize("kind", ["changed", "added", "left out", "mixed"])
+@pytest.mark.parametrize("shortest, longest", [(12, 15), (16, 30), (31, 70)])
+def test_contamination_recall(kind, shortest, longest):
+    """Items with a fifth of their words edited, by kind of edit and length, in random surroundings."""
+    rng = np.random.default_rng(shortest)
+    draw = lambda k: rng.integers(1, 2**62, k).astype(np.uint64)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(int(rng.integers(shortest, longest + 1))))) for i in range(150)]
     index = decontaminate.Index.build(items)
-    hit = total = 0
+    edits = {"changed": (1, 1), "added": (0, 1), "left out": (1, 0)}
+    hit = whole = 0
     for i, w in enumerate(index.words):
-        for rate in (0, 0.1, 0.2):
-            v = w.copy()
-            at = rng.choice(len(w), int(rate * len(w)), replace=False)
-            v[at] = rng.integers(1, 2**62, len(at)).astype(np.uint64)
-            text = np.concatenate([rng.integers(1, 2**62, int(rng.integers(50))).astype(np.uint64), v])
-            total, hit = total + 1, hit + any(x[1] == i for x in index.hits(text, np.array([0, len(text)])))
-    assert hit / total >= 0.9
+        v = list(w)
+        for k in sorted(rng.choice(len(w), int(0.2 * len(w)), replace=False).tolist(), reverse=True):
+            gone, new = edits[kind] if kind in edits else list(edits.values())[int(rng.integers(3))]
+            v[k : k + gone] = draw(new)
+        around = draw(int(rng.integers(50))), draw(int(rng.integers(50)))
+        for n, part in enumerate((w, np.array(v, np.uint64))):
+            text = np.concatenate([around[0], part, around[1]])
+            found = any(x[1] == i for x in index.hits(text, np.array([0, len(text)])))
+            whole, hit = whole + (n == 0 and found), hit + (n == 1 and found)
+    print(f"recall, {kind}, {shortest} to {longest} words: {hit / len(items):.3f}")
+    assert whole == len(items) and hit / len(items) >= 0.9
 
 
 def test_contamination_short_items():
