@@ -81,6 +81,41 @@ def test_pivots_rule_cells_out(spark):
     assert spread.groupBy("_block").count().agg(F.max("count")).first()[0] < 200
 
 
+def test_a_vector_moves_once_for_a_tile(spark, monkeypatch):
+    """A row for each query and cell grew with the square of the table."""
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([("hot", n, rng.normal(size=8).tolist()) for n in range(600)], "repo string, ord long, vector array<double>")
+    chosen = nearest.pivots(frame, cell=20)
+    monkeypatch.setattr(nearest, "TILE", 200)
+    placed = nearest._blocks(nearest.assign(frame, chosen), ["repo", "cell"], "ord", nearest.ROWS)
+    known = nearest.cells(placed, chosen)
+    queries = frame.withColumnRenamed("ord", "query_id").withColumn("limit", F.lit(1e6))
+    rows = nearest.cells_to_search(queries, known, 4, False)
+    tiles = {tile for row in known.collect() for tile in row["tiles"]}
+    assert known.count() == 30 and len(tiles) in (3, 4) and rows.count() <= 600 * len(tiles)
+    first = nearest.cells_to_search(queries, known, 4, True)
+    asked = sum(f.select(F.sum(F.size("cells"))).first()[0] for f in (first, rows))
+    assert asked == sum(600 * len(row["tiles"]) for row in known.collect())
+
+
+def test_best_by_products_are_the_best_by_differences():
+    rng = np.random.default_rng(6)
+    held = np.repeat(rng.normal(size=(150, 6)) + 1000, 2, axis=0)
+    cell, number = np.sort(rng.integers(0, 7, 300)), rng.permutation(300)
+    number = np.concatenate([np.sort(number[cell == c]) for c in range(7)])
+    asked = held[::3] + rng.normal(size=(100, 6)) * 1e-4
+    cells = np.array([np.sort(rng.choice(7, rng.integers(1, 8), replace=False)) for _ in asked] + [None], object)[:-1]
+    for limit in (np.inf, 5.0):
+        row, distance, at = nearest._best(asked, cells, np.full(100, limit), held, cell, number, 4)
+        for n in range(100):
+            inside = np.isin(cell, cells[n])
+            apart = np.square(asked[n] - held[inside]).sum(axis=1).round(6)
+            wanted = sorted((d, i) for d, i in zip(apart, number[inside]))[:4]
+            got = list(zip(distance[row == n], at[row == n]))
+            near = [pair for pair in wanted if pair[0] <= limit]
+            assert got[: len(near)] == near and (limit < np.inf or len(got) == len(wanted))
+
+
 def plain_best(chunks, queries, k):
     out = {}
     for query, repo, text in queries:
