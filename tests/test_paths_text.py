@@ -108,3 +108,28 @@ def test_hmac(spark, key):
     bodies = [b"", b"{}", "ü".encode() * 100]
     expected = [hmac.new(key, b, hashlib.sha256).hexdigest() for b in bodies]
     assert values(spark, bodies, lambda c: text.hmac_sha256(c, key)) == expected
+
+
+def test_strict_json_evaluates_its_text_and_parse_once(spark):
+    """A parse that is named in a condition and in its branch was run for both, a cut-off fence as well."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(value):
+        read.add(1)
+        return value
+
+    given = ["[1]", " [2, 3]", "[4] x", "{}", "", None, "\u2003[5]", "[6", "7"]
+    frame = spark.createDataFrame([(v,) for v in given], "t string")
+    got = [r[0] for r in frame.select(text.strict_json(told("t"), "ARRAY<INT>")).collect()]
+    assert got[:2] == [[1], [2, 3]] and got[2:6] == [None] * 4 and got[7:] == [None, None]
+    assert read.value == len(given)
+    plan = frame.select(F.posexplode_outer(text.strict_json(F.col("t"), "ARRAY<INT>")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_paths_without_a_regular_expression(spark):
+    given = ["./a.py", "././b.py", "././/c", ".", "", "./", "..//d", ".\\e.py", None, "./tests/x.py", "attest/contest.py", "test_", "x/tests"]
+    assert values(spark, given, paths.relative_to) == [
+        None if g is None else re.sub(r"^(\./)+", "", g.replace("\\", "/")) for g in given]
+    assert values(spark, given, paths.is_test_file)[-4:] == [True, False, True, True]
