@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeaudit import fixed
 from codeaudit.functions.paths import path_order
 from codeaudit.functions.rows import posexplode_rows
-from codeaudit.functions.text import strict_json, strip_fence
+from codeaudit.functions.text import once, strict_json, strip_fence
 from codeaudit.operators.ranking import number_rows
 from codeaudit.schemas import FIX_REPLY, TRIAGE_REPLY, severity_value
 
@@ -96,10 +96,9 @@ def reply_items(replies: DataFrame, schema: str) -> DataFrame:
 
 def index_of(item: Column) -> Column:
     """The index of a reply item; NULL unless it is a whole number (a number as text is none)."""
-    kind = F.schema_of_variant(item["i"])
-    number = F.try_variant_get(item["i"], "$", "double")
-    numeric = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE")
-    return F.when(numeric & (number == F.floor(number)), number.try_cast("int"))
+    numeric = F.schema_of_variant(item["i"]).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    whole = once(F.try_variant_get(item["i"], "$", "double"), lambda number: F.when(number == F.floor(number), number.try_cast("int")))
+    return F.when(numeric, whole)
 
 
 def merge_triage(indexed: DataFrame, replies: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

@@ -265,3 +265,15 @@ def test_reply_indices(spark):
     assert {k: v for k, v in got.items() if v != ("", "")} == {
         (0, 0): ("a", ""), (2, 0): ("a", ""), (3, 1): ("", "f"), (4, 1): ("a", ""), (7, 0): ("c", ""),
     }
+
+
+def test_an_index_is_read_once(spark):
+    """Kind and number of each index were read up to three times."""
+    replies = spark.createDataFrame(
+        [(1, ' ```json\n[{"i":1},{"i":2.5},{"i":"3"},{"i":4.0},{"i":null},{"i":1e300},{"i":true}]\n``` '), (2, '[{"i":5}]'), (3, '[{"i":6},{"fix":"x"}]')],
+        "review_id int, reply string")
+    items = enrich.reply_items(replies.withColumn("agent", F.lit("a")), "ARRAY<STRUCT<i: VARIANT, fix: STRING>>")
+    read = items.select("review_id", enrich.index_of(F.col("item")).alias("i"))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_of_variant") <= 2 and plan.count("from_json") == 1
+    assert sorted((r[0], r[1]) for r in read.filter("i IS NOT NULL").collect()) == [(1, 1), (1, 4), (2, 5)]
