@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from codeaudit import fixed
 from codeaudit.functions.paths import in_skipped_dir, is_test_file, suffix
-from codeaudit.operators.facts import FACTS, file_facts
+from codeaudit.operators.facts import FACTS, file_facts, no_cycles
 from codeaudit.operators.secrets import DEFAULT_RULES, HITS, RuleSet, SecretRule
 from codeaudit.storage import any_path, materialize
 
@@ -75,7 +75,9 @@ def observe(
             for start in range(0, batch.num_rows, OUTPUT_ROWS):
                 part = batch.slice(start, OUTPUT_ROWS)
                 kinds = zip(*(part.column(c).to_pylist() for c in (*KIND, "content")))
-                rows = pa.RecordBatch.from_pylist([_observed(known, scanners, *kind) for kind in kinds], OBSERVED)
+                with no_cycles():
+                    found = [_observed(known, scanners, *kind) for kind in kinds]
+                rows = pa.RecordBatch.from_pylist(found, OBSERVED)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).cast(target.field(c).type) for c in keep), *rows.columns], schema=target)
 

@@ -1,5 +1,6 @@
 """One pass over contents, the store of what they hold, many rules, and plug-ins that raise."""
 
+import gc
 import random
 import re
 import time
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeaudit.fixtures import Views
-from codeaudit.operators import contents, secrets
+from codeaudit.operators import contents, facts, secrets
 from codeaudit.operators.contents import ContentStore
 from codeaudit.operators.secrets import DEFAULT_RULES, RuleSet, SecretRule
 from codeaudit.plans import review
@@ -140,3 +141,17 @@ def test_rule_tables_have_a_bound(spark):
     assert len(rules) == len({r.rule for r in rules}) > 1000 and all(r.keywords for r in rules)
     with pytest.raises(ValueError):
         secrets.rules_of(table, 10)
+
+
+def test_texts_are_parsed_without_a_search_for_cycles(spark, tree):
+    """The collector walked the trees of a file over and over; it runs again after each batch."""
+
+    def scan(text):
+        yield "COLLECTS", 0, str(gc.isenabled()), 1, ""
+
+    files = contents.reviewed(tree(r={"a.py": "def f():\n    return 1\n", "b.py": "x = 1\n"}))
+    seen = contents.observe(files, ["repo", "path"], (), [contents.Scanner("gc", (".py",), scan)])
+    assert {r["title"] for r in seen.select(F.inline("found")).collect()} == {"False"}
+    with facts.no_cycles():
+        assert not gc.isenabled()
+    assert gc.isenabled()
