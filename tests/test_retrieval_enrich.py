@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -98,6 +99,16 @@ def test_a_vector_moves_once_for_a_tile(spark, monkeypatch):
     assert asked == sum(600 * len(row["tiles"]) for row in known.collect())
 
 
+def test_distances_take_bounded_memory():
+    """Differences of a block and its pivots were held by pairs, whatever the length of a vector."""
+    a, b = np.ones((4096, 64)), np.zeros((256, 64))
+    tracemalloc.start()
+    apart = nearest._squares(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (apart == 64).all() and peak < 40e6
+
+
 def test_best_by_products_are_the_best_by_differences():
     rng = np.random.default_rng(6)
     held = np.repeat(rng.normal(size=(150, 6)) + 1000, 2, axis=0)
