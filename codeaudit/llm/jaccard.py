@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 
 from codeaudit.llm.tables import components, forest, record
 from codeaudit.llm.words import BASE, LOWER, Hasher, mix, texts, windows
-from codeaudit.storage import materialize
+from codeaudit.storage import materialize, shuffles_dropped
 
 WORDS = 5
 NUM, DEN = 3, 4  # similarity of 3/4
@@ -46,6 +46,7 @@ HOT_LIST = 65_536  # the most frequent of these that are sent to the tasks (8 by
 STARS = 3
 PAIR_BYTES = 8 << 20  # of bitmaps that are compared in one step
 MAX_BITS = 1 << 17
+SENT_IDS = 2_000_000  # ids of sets that are broadcast at most, so that only these sets are shuffled
 SMALL = 512  # elements up to which bitmaps have four bits or more for each, as chance weighs more there
 
 _U = np.uint64
@@ -230,6 +231,13 @@ def open_pair(a: bytes, b: bytes, na: int, nb: int) -> bool:
     return bool(possible(na, nb, int(np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum())))
 
 
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets whose `doc_id` is in `ids(doc_id)`, before any shuffle; all of them if these are too many to send."""
+    ids = ids.distinct()
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return sets.join(F.broadcast(ids), "doc_id", "left_semi") if few else sets
+
+
 def _tested(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[bytes, bytes, int, int], bool]) -> DataFrame:
     """The pairs whose `column` values and sizes pass `test`."""
     side = lambda x: sets.select(*[F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in ("doc_id", "n", column)])
@@ -247,7 +255,8 @@ def _tested(pairs: DataFrame, sets: DataFrame, column: str, test: Callable[[byte
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs `(a, b)` whose sets reach the similarity: bitmaps first, then only the sets that these leave."""
     pairs = materialize(_tested(pairs, sets, "bits", open_pair), "jaccard-pairs")
-    return _tested(pairs, sets, "hashes", linked)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    return _tested(pairs, _only(sets, ids), "hashes", linked)
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,6 +369,7 @@ def _tiles(rest: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     placed = pairs.withColumns({"chunk": F.col("c"), "side": F.lit(0)}).unionAll(
         pairs.where("c < d").withColumns({"chunk": F.col("d"), "side": F.lit(1)}))
     tile = ["h", "c", "d"]
+    sets = _only(sets, cut.select(F.col("rep").alias("doc_id")))
     rows = cut.join(placed, ["h", "chunk"]).join(sets.select(F.col("doc_id").alias("rep"), *columns), "rep")
     return (
         rows.select(*tile, "side", "n", "rep", "component", *columns)
@@ -368,28 +378,29 @@ def _tiles(rest: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 
 def near_components(docs: DataFrame) -> DataFrame:
     """`(doc_id, n_shingles, component_id)` of every row of `docs`."""
-    sets = materialize(shingle_sets(docs), "jaccard-sets")
-    # A set goes by one of its stored copies; its smallest doc_id may stand on a row without one.
-    classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("copy").alias("rep"))
-    classes = materialize(classes.where("least IS NOT NULL"), "jaccard-classes")
-    one = sets.where("copy IS NOT NULL").withColumn("doc_id", F.col("copy"))
-    first = _first_shingles(one, _frequent(one))
-    met = _distinct_groups(materialize(_meetings(first), "jaccard-meetings")).join(classes, "set_id")
-    met = met.select("h", "n", "w", "rep", F.col("rep").alias("component"))
-    rest = materialize(met, "jaccard-met")
-    # Sets with the same smallest doc_id are of one document and belong together.
-    same = classes.groupBy("least").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1")
-    links = materialize(classes.join(same, "least").where("rep <> b").select(F.col("rep").alias("a"), "b"), "jaccard-links")
-    for turn in range(STARS):
-        links = materialize(links.unionAll(_verified(_stars(rest, turn), one)), "jaccard-links")
-        rest = _unsettled(rest, links)
-    rest = rest.select("h", "rep", "n", "component")
-    groups = components(_open_links(_tiles(rest, one, "bits"))).select(F.col("id").alias("rep"), F.col("component").alias("h"))
-    again = rest.select("rep", "n", "component").distinct().join(groups, "rep").select("h", "rep", "n", "component")
-    more = materialize(_tile_links(_tiles(again, one, "bits", "hashes")), "jaccard-links")
-    final = components(links.unionAll(more))
-    placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    placed = materialize(placed.select("set_id", "least", F.coalesce("component", "rep").alias("component")), "jaccard-placed")
+    with shuffles_dropped(docs.sparkSession):
+        sets = materialize(shingle_sets(docs), "jaccard-sets")
+        # A set goes by one of its stored copies; its smallest doc_id may stand on a row without one.
+        classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("copy").alias("rep"))
+        classes = materialize(classes.where("least IS NOT NULL"), "jaccard-classes")
+        one = sets.where("copy IS NOT NULL").withColumn("doc_id", F.col("copy"))
+        first = _first_shingles(one, _frequent(one))
+        met = _distinct_groups(materialize(_meetings(first), "jaccard-meetings")).join(classes, "set_id")
+        met = met.select("h", "n", "w", "rep", F.col("rep").alias("component"))
+        rest = materialize(met, "jaccard-met")
+        # Sets with the same smallest doc_id are of one document and belong together.
+        same = classes.groupBy("least").agg(F.min("rep").alias("b"), F.count("*").alias("k")).where("k > 1")
+        links = materialize(classes.join(same, "least").where("rep <> b").select(F.col("rep").alias("a"), "b"), "jaccard-links")
+        for turn in range(STARS):
+            links = materialize(links.unionAll(_verified(_stars(rest, turn), one)), "jaccard-links")
+            rest = _unsettled(rest, links)
+        rest = rest.select("h", "rep", "n", "component")
+        groups = components(_open_links(_tiles(rest, one, "bits"))).select(F.col("id").alias("rep"), F.col("component").alias("h"))
+        again = rest.select("rep", "n", "component").distinct().join(groups, "rep").select("h", "rep", "n", "component")
+        more = materialize(_tile_links(_tiles(again, one, "bits", "hashes")), "jaccard-links")
+        final = components(links.unionAll(more))
+        placed = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left")
+        placed = materialize(placed.select("set_id", "least", F.coalesce("component", "rep").alias("component")), "jaccard-placed")
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = placed.join(smallest, "component").select("set_id", "component_id")
     members = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id")

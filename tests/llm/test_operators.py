@@ -1,6 +1,8 @@
 """Operators against plain versions, and on awkward rows."""
 
+import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,7 +17,7 @@ from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore,
 from codeaudit.llm.catalog import QUERIES
 from codeaudit.llm.oracle import ORACLE
 from codeaudit.llm.words import texts as chunks
-from codeaudit.storage import materialize, scratch_path
+from codeaudit.storage import DROP_SHUFFLES, materialize, scratch_path
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_key string, dropped string, component_id string, n_words string"
@@ -209,6 +211,32 @@ def test_tiles_hold_no_pairs(spark, monkeypatch):
         assert made[each, own, 400] <= 5 * made[each, own, 100] and made[each, own, 400] < 4000
 
 
+def test_jaccard_leaves_no_shuffles(spark, monkeypatch):
+    """Shuffle files go with their step, only sets in question are shuffled, and the session's settings come back."""
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(60 + i % 2))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for d in manager.localDirs() for _, _, names in os.walk(d.getPath()) for name in names if name.startswith("shuffle_")}
+
+    before = shuffles()
+    result = jaccard.near_components(docs)
+    deadline = time.time() + 10
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(DROP_SHUFFLES, None) is None
+    whole = sorted(map(tuple, result.collect()))
+    assert {r[0]: r[2] for r in whole} == {i: i // 2 * 2 for i in range(200)}
+    some = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, n string")
+    ids = spark.createDataFrame([(2,), (2,)], "doc_id long")
+    assert [tuple(r) for r in jaccard._only(some, ids).collect()] == [(2, "b")]
+    monkeypatch.setattr(jaccard, "SENT_IDS", 0)
+    assert jaccard._only(some, ids).count() == 2
+    assert sorted(map(tuple, jaccard.near_components(docs).collect())) == whole
+
+
 def test_tile_links_against_pairs(spark, monkeypatch):
     """Small tiles by number and by bytes find the links that all pairs have."""
     rng = np.random.default_rng(6)
