@@ -31,17 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codeaudit.llm.pieces import Solved, ragged
-from codeaudit.llm.words import Chunk, Hasher, list_array, texts
+from codeaudit.llm.words import LOWER, Chunk, Hasher, list_array, texts
 from codeaudit.storage import materialize, scratch_path
 
 LIMIT = 20
 LANE = 256
 BLOCK = 1 << 20
-CACHE = 100_000  # distinct heads and tails of words whose ids a worker keeps
-KEPT_WORDS = 700_000  # distinct words whose ids it keeps, in arrays
+KEPT_WORDS = 700_000  # distinct words, or heads and tails of words, whose ids a worker keeps, in arrays
 BREAKS = np.zeros(256, bool)  # what ends a word here
 BREAKS[[0x20, 0x0A]] = True
-TAIL = "".join(set(string.punctuation) - {"'"})  # an apostrophe may begin a contraction
+TAILS = np.zeros(256, bool)  # what is cut off the end of a word
+TAILS[[ord(c) for c in string.punctuation if c != "'"]] = True  # an apostrophe may begin a contraction
 END_ID = 1
 RAW = "part int, seq int, doc_ids array<long>, counts array<long>, ids binary"
 BLOCKS = "part int, seq int, first_token long, doc_ids array<long>, counts array<long>, payload binary, checkpoints array<long>"
@@ -60,8 +60,8 @@ class WordEncoder:
 
     It never looks across a space or a line break, lower-cases, splits runs of letters from
     punctuation and marks the last piece of a run. So a word is its head and a tail of
-    punctuation, and the heads that are all letters are encoded in one call and told apart
-    by their marks. A worker process keeps one encoder for all its tasks.
+    punctuation, case does not tell heads apart, and the heads that are all letters are encoded
+    in one call and told apart by their marks. A worker process keeps one encoder for all its tasks.
     """
 
     @classmethod
@@ -75,69 +75,95 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The normalizer changes nothing in lower-case letters and single spaces.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}  # heads and tails
-        self.met = Solved()  # words
-
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update((word, np.array(x.ids, "<u4").tobytes()) for word, x in zip(words, found))
-
-    def _learn_letters(self, words: list[str]) -> None:
-        """As `_learn`, for words of letters alone."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = 4 * np.flatnonzero(self.last[ids]) + 4
-        if len(ends) != len(words):  # a letter that lower-cases to more than letters
-            return self._learn(words)
-        data, ends = ids.tobytes(), ends.tolist()
-        self.known.update(zip(words, [data[a:z] for a, z in zip([0, *ends], ends)]))
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of different words."""
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        split = [(word.lower(), "") if word.isascii() and word.isalpha() else split_tail(word) for word in words]
-        parts = {head for head, _ in split}
-        parts.update({tail for _, tail in split})
-        parts -= self.known.keys()
-        letters = [part for part in parts if part.isalpha()]
-        if letters:
-            self._learn_letters(letters)
-        if len(letters) < len(parts):
-            self._learn([part for part in parts if not part.isalpha()])
-        get = self.known.__getitem__
-        return [get(head) + get(tail) if tail else get(head) for head, tail in split]
+        self.met = Solved()  # heads, tails and words
+
+    def _learn(self, h: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode the words at these places; `h` are their hashes."""
+        raw = buf.tobytes()
+        found = self.tokenizer.encode_batch_fast([raw[a:z].decode("utf-8", "surrogatepass") for a, z in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
+        ids = [x.ids for x in found]
+        counts = np.array([len(x) for x in ids], np.int64)
+        self.met.add(h, counts, np.cumsum(counts) - counts, np.array([i for x in ids for i in x], np.int32))
+
+    def _learn_letters(self, h: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """As `_learn`, for words of lower-case letters alone."""
+        size = ends - starts + 1
+        joined = buf[np.minimum(ragged(starts, size), len(buf) - 1)]
+        joined[np.cumsum(size) - 1] = 0x20
+        ids = np.array(self.plain.encode_batch_fast([joined.tobytes().decode()], add_special_tokens=False)[0].ids, np.int32)
+        upto = np.flatnonzero(self.last[ids]) + 1
+        if len(upto) != len(h):
+            return self._learn(h, buf, starts, ends)
+        counts = np.diff(upto, prepend=0)
+        self.met.add(h, counts, upto - counts, ids)
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk in order, and where each text's start (one more at the end).
 
-        Words are told apart by the hashes of their bytes; only those that the worker has not met become strings.
+        Words are told apart by the hashes of their bytes; only those that the worker has not met go to the tokenizer.
         """
-        starts, ends = chunk.spans(BREAKS)
-        h, at, which = np.unique(Hasher(chunk.buf)(starts, ends), return_index=True, return_inverse=True)
+        buf, starts, ends, letters = parts(chunk)
+        h, at, which = np.unique(Hasher(buf)(starts, ends), return_index=True, return_inverse=True)
         new = self.met.missing(h)
         if new.any():
             if len(self.met.keys) > KEPT_WORDS:  # start anew; what is met again is encoded again
                 self.met = Solved()
                 new[:] = True
-            raw = chunk.buf.tobytes()
-            found = self._ids_of([raw[a:z].decode("utf-8", "surrogatepass") for a, z in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-            counts = np.array([len(x) // 4 for x in found], np.int64)
-            self.met.add(h[new], counts, np.cumsum(counts) - counts, np.frombuffer(b"".join(found), "<u4").astype(np.int32))
+            for learn, some in ((self._learn_letters, new & letters[at]), (self._learn, new & ~letters[at])):
+                if some.any():
+                    learn(h[some], buf, starts[at[some]], ends[at[some]])
         word = np.searchsorted(self.met.keys, h)[which]
         counts = self.met.count[word]
         ids = self.met.ids[ragged(self.met.place[word], counts)].astype("<u4")
         return ids, np.concatenate([[0], np.cumsum(counts)])[chunk.per_row(starts)]
 
 
-def split_tail(word: str) -> tuple[str, str]:
-    """Head and tail, whose ids together are those of the word."""
-    head = word.rstrip(TAIL)
-    if "<|" in word or not head[-1:].lower().isalpha():  # special tokens; punctuation that the tail would join
-        return word, ""
-    return head.lower() if head.isascii() else head, word[len(head) :]
+def _before(flags: np.ndarray) -> np.ndarray:
+    """How many are set before each place (one more at the end)."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
+def parts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Heads, tails and undivided words of a chunk: bytes, starts, ends, and which are lower-case letters alone.
+
+    The ids of a text are those of its parts in order. Letters are ASCII's and those of U+00C0 to U+00FF,
+    which no normal form joins; other words are encoded as they stand, in lower case if ASCII.
+    """
+    starts, ends = chunk.spans(BREAKS)
+    if not len(starts):
+        return chunk.buf, starts, ends, np.zeros(0, bool)
+    buf = LOWER[chunk.buf]
+    second = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    second = second[(buf[second] != 0x97) & (buf[second] != 0xB7)]  # signs of multiplication and division
+    buf[second] |= np.where(buf[second] < 0x9F, 0x20, 0).astype(np.uint8)
+    letter = (buf >= 0x61) & (buf <= 0x7A)
+    letter[second] = letter[second - 1] = True
+    n_letters, n_wide = _before(letter), _before(chunk.buf >= 0x80)
+    special = np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C))  # "<|"
+    whole = np.zeros(len(starts), bool)
+    whole[np.searchsorted(starts, special, "right") - 1] = True
+
+    inside = np.maximum.accumulate(np.where(TAILS[chunk.buf], 0, np.arange(1, len(buf) + 1, dtype=np.int32)))[ends - 1]
+    split = (inside > starts) & (inside < ends) & letter[inside - 1] & ~whole
+    first = np.arange(len(starts)) + np.cumsum(split) - split  # place of each word's first part
+    n = len(starts) + int(split.sum())
+    lo, hi, kept = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
+    lo[first], hi[first], kept[first] = starts, np.where(split, inside, ends), whole
+    lo[first[split] + 1], hi[first[split] + 1] = inside[split], ends[split]
+
+    letters = (n_letters[hi] - n_letters[lo] == hi - lo) & ~kept
+    raw = np.flatnonzero(~letters & (kept | (n_wide[hi] > n_wide[lo])))
+    places = ragged(lo[raw], hi[raw] - lo[raw])
+    buf[places] = chunk.buf[places]
+    return buf, lo, hi, letters
 
 
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -411,6 +411,18 @@ def test_word_encoder():
         encoder.known = {"": b""}
 
 
+def test_token_words_share_heads():
+    """Case and closing punctuation make no new words; letters outside ASCII are encoded with the others."""
+    text = "house HOUSE House, house. (house house!? Été été, ÉTÉ. ×é. don't DON'T, a<|b. ét, Straße,"
+    encoder = tokenfile.WordEncoder(tokenfile.default_path())
+    for chunk in chunks(pa.RecordBatch.from_pydict({"text": [text, None, "house."]})):
+        ids, bounds = encoder.encode(chunk)
+        want = encoder.tokenizer.encode_batch([text, "", "house."], add_special_tokens=False)
+        assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [x.ids for x in want]
+        # house , . (house !? été ×é don't a<|b. ét straße
+        assert len(encoder.met.keys) == 11
+
+
 def test_code_lengths():
     rng = np.random.default_rng(2)
     counts = (rng.pareto(0.6, 500) * 10 + 1).astype(np.int64)
