@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codeaudit.llm.tables import fresh, row_key
-from codeaudit.llm.words import Chunk, Hasher, list_array, mix, texts
+from codeaudit.llm.words import Chunk, Hasher, list_array, mix, span_hashes, texts
 from codeaudit.storage import materialize
 
 TIERS = (10, 20, 40)  # words from which one, two and three edits are allowed
+assert len(TIERS) <= 3, "with more edits, lines of the same length need shifts down as well, see `_keys`"
 TILE = 256
 BROADCAST_LINES = 2_000_000
 
@@ -43,17 +44,15 @@ def _lines(chunk: Chunk) -> tuple[np.ndarray, ...]:
     """Word hashes, and of every line with a word: row, number, first and last word, hash; also lines per row."""
     buf, offsets = chunk.buf, chunk.offsets
     starts, ends = chunk.spans()
-    h = Hasher(buf)(starts, ends)
+    h = span_hashes(buf, starts, ends)
     breaks = np.flatnonzero(buf == 10)
     before = np.searchsorted(breaks, offsets)  # line breaks before each text
-    line_of = np.searchsorted(breaks, starts)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    new = np.ones(len(starts), bool)
-    new[1:] = (line_of[1:] != line_of[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
+    # The first word of a line is the first one after a break or the start of a text.
+    first = np.unique(np.searchsorted(starts, np.concatenate([breaks, offsets])))
+    first = first[first < len(starts)]
     last = np.append(first[1:], len(starts))
-    row = row[first]
-    return h, row, line_of[first] - before[row], first, last, Hasher(h)(first, last), np.diff(before) + 1
+    row = np.searchsorted(offsets, starts[first], "right") - 1
+    return h, row, np.searchsorted(breaks, starts[first]) - before[row], first, last, Hasher(h)(first, last), np.diff(before) + 1
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -76,11 +75,13 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row_key long, doc_id long, n_lines long, numbers array<int>, hashes array<long>")
 
 
-def _keys(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(lines, keys, side): side 0 indexes a line's segments, side 1 probes other lines' segments.
+def _keys(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | int]]:
+    """(lines, keys, side): side 0 indexes a line's segments, side 1 probes other lines' segments, side 2 does both.
 
     A segment of a line of some length can be shifted by the edits before it, and by those that make the
-    difference in length; within these bounds it never leaves the probing line.
+    difference in length; within these bounds it never leaves the probing line. The segments where they stand
+    probe for lines of the same length. Up to three edits of such a line hold at most one word added and one
+    left out, so seen from one of the two lines nothing between them is shifted down: shifts up are enough.
     """
     span = Hasher(h)
     size = last - first
@@ -97,11 +98,11 @@ def _keys(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[
         index = np.flatnonzero(np.any([tolerance(size + d) == t for d in range(t + 1)], axis=0))
         for start, long, salt in segments(size[index], t):
             begin = first[index] + start
-            yield index, mix(span(begin, begin + long) + salt), 0
+            yield index, mix(span(begin, begin + long) + salt), np.where(tolerance(size[index]) == t, 2, 0)
         probe = np.flatnonzero(tolerance(size) == t)
         for d in range(t + 1):
             for i, (start, long, salt) in enumerate(segments(size[probe] - d, t)):
-                for shift in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
+                for shift in range(max(-i, d - (t - i)) if d else 1, min(i, d + (t - i)) + 1):
                     begin = first[probe] + (start + shift)
                     yield probe, mix(span(begin, begin + long) + salt), 1
 
@@ -118,7 +119,7 @@ def _key_table(docs: DataFrame) -> DataFrame:
                 new = ~np.isin(lh, known)
                 known = np.concatenate([known, lh[new]])
                 lh, at = lh[new], at[new]
-                rows = [(keys, lh[lines], np.full(len(lines), side, np.int8)) for lines, keys, side in _keys(h, first[at], last[at])]
+                rows = [(keys, lh[lines], np.broadcast_to(np.asarray(side, np.int8), len(lines))) for lines, keys, side in _keys(h, first[at], last[at])]
                 keys, lines, sides = (np.concatenate(x) for x in zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), pa.array(lines.view(np.int64)), pa.array(sides)], ["key", "line", "side"])
@@ -126,20 +127,50 @@ def _key_table(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, line long, side byte")
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """`keys` without most of those that one line has, or that no line probes or none indexes.
+
+    Rows come sorted by key. A batch's first and last key can go on in another batch, so they stay:
+    what is left still has to be tested, but no group is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, line, side = (np.asarray(batch.column(c)) for c in ("key", "line", "side"))
+            keep = (key == key[:1]) | (key == key[-1:])
+            new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+            rows = np.flatnonzero(~(new & np.append(new[1:], True)))  # of keys with several rows
+            if len(rows):
+                key, line, side = key[rows], line[rows], side[rows]
+                start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                lo, hi = np.minimum.reduceat(side, start), np.maximum.reduceat(side, start)
+                good = (np.minimum.reduceat(line, start) != np.maximum.reduceat(line, start)) & ((lo != hi) | (hi == 2))
+                keep[rows] |= np.repeat(good, np.diff(np.append(start, len(rows))))
+            yield batch.filter(pa.array(keep))
+
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, keys.schema)
+
+
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """`(line, words)`: word hashes of the wanted lines."""
+    few = wanted.count() <= BROADCAST_LINES
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("line").to_numpy().view(np.uint64))) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = sent.value if few else None
         for batch in batches:
             for chunk in texts(batch):
                 h, _, _, first, last, lh, _ = _lines(chunk)
                 lh, at = np.unique(lh, return_index=True)
+                if few:
+                    use = ids[np.searchsorted(ids[:-1], lh)] == lh if len(ids) else np.zeros(len(lh), bool)
+                    lh, at = lh[use], at[use]
                 words = [h[a:z].tobytes() for a, z in zip(first[at], last[at])]
                 yield pa.RecordBatch.from_arrays([pa.array(lh.view(np.int64)), pa.array(words, pa.binary())], ["line", "words"])
 
-    if wanted.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    found = docs.select("text").mapInArrow(run, "line long, words binary").join(wanted, "line", "left_semi")
+    found = docs.select("text").mapInArrow(run, "line long, words binary")
+    if not few:
+        found = found.join(wanted, "line", "left_semi")
     # One copy of each: copies of a line in other batches have the same words.
     return materialize(found.groupBy("line").agg(F.first("words").alias("words")), "lines-words")
 
@@ -267,9 +298,10 @@ def _tile_test(rows: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     """`line` hashes that link to an earlier line; `first(line, place)` has each line's first place."""
     group = Window.partitionBy("key")
-    met = _key_table(docs).withColumns({
-        "lo": F.min("line").over(group), "hi": F.max("line").over(group), "sides": F.min("side").over(group) != F.max("side").over(group)})
-    met = met.where("lo <> hi AND sides").select("key", "line", "side").distinct()
+    met = _shared(_key_table(docs)).withColumns({
+        "lo": F.min("line").over(group), "hi": F.max("line").over(group), "from": F.min("side").over(group), "to": F.max("side").over(group)})
+    both = F.when(F.col("side") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array("side")).cast("array<tinyint>")
+    met = met.where("lo <> hi AND (`from` <> `to` OR `to` = 2)").select("key", "line", F.explode(both).alias("side")).distinct()
     met = materialize(materialize(met, "lines-met").join(first, "line"), "lines-placed")
     words = _words_of(docs, materialize(met.select("line").distinct(), "lines-wanted"))
 

@@ -22,6 +22,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the first n of eight bytes
 _power = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
@@ -63,6 +64,22 @@ class Hasher:
         return mix((self._prefix[ends] - self._prefix[starts]) * self._inverse[starts])
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes that do not overlap: their length, then eight bytes at a time."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray(len(buf) + 1, np.uint64, padded, strides=(1,))  # the eight bytes from each place on
+    left = ends - starts
+    out = mix(left.astype(np.uint64) * _U(BASE))
+    some, at = slice(None), starts
+    while len(left):
+        out[some] = mix(out[some] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        some = np.flatnonzero(more) if isinstance(some, slice) else some[more]
+        at, left = at[more] + 8, left[more] - 8
+    return out
+
+
 @dataclass
 class Chunk:
     """Rows lo..hi of a batch; text r is buf[offsets[r]:offsets[r + 1]]."""
@@ -74,7 +91,8 @@ class Chunk:
 
     def spans(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of all runs of bytes that are not `space`, in order."""
-        word = ~space[self.buf]
+        # Compared, not looked up, for the usual set.
+        word = (self.buf != 32) & (self.buf - np.uint8(9) > 4) if space is SPACE else ~space[self.buf]
         start, end = word.copy(), word.copy()
         start[1:] &= ~word[:-1]
         end[:-1] &= ~word[1:]

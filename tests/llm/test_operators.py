@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codeaudit.llm import decontaminate, htmltext, jaccard, linededup, lmscore, pieces, quality, tokencounts, tokenfile, urlfilter
 from codeaudit.llm.catalog import QUERIES
 from codeaudit.llm.oracle import ORACLE
-from codeaudit.llm.words import texts as chunks
+from codeaudit.llm.words import span_hashes, texts as chunks
 from codeaudit.storage import DROP_SHUFFLES, materialize, scratch_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -93,6 +93,52 @@ def test_banded_automaton():
     assert got.tolist() == [edit_distance(x, y) <= tier(len(y)) for x, y in pairs]
 
 
+def test_line_keys():
+    """Lines within their tolerance meet under a key that one indexes and the other probes; a line of 60 words has 24 keys, not 30."""
+    rng = np.random.default_rng(7)
+
+    def keys(w):
+        sides = [set(), set()]
+        for _, found, side in linededup._keys(np.array(w, np.uint64), np.array([0]), np.array([len(w)])):
+            for key, s in zip(found.tolist(), np.broadcast_to(side, len(found)).tolist()):
+                for one in {0: [0], 1: [1], 2: [0, 1]}[s]:
+                    sides[one].add(key)
+        return sides
+
+    for n in [*range(8, 24), *range(36, 44), 60] * 12:
+        x = rng.integers(1, 2**40, n).tolist()
+        y = list(x)
+        for _ in range(int(linededup.tolerance(np.array([n]))[0])):
+            k = int(rng.integers(len(y)))
+            y[k : k + int(rng.integers(2))] = rng.integers(1, 2**40, int(rng.integers(2))).tolist()
+        if x != y and linededup.within(*([np.array(v, np.uint64)] for v in sorted((x, y), key=len)))[0]:
+            (ix, px), (iy, py) = keys(x), keys(y)
+            assert ix & py or iy & px
+    assert sum(len(k) for _, k, _ in linededup._keys(np.arange(60, dtype=np.uint64) + np.uint64(1), np.array([0]), np.array([60]))) == 24
+
+
+def test_line_keys_shared(spark):
+    """Keys of one line or one side go, in whatever batch they come; others stay whole."""
+    rows = [(k, 10 * k + n, side) for k in range(40) for n, side in enumerate(((2, 2), (0, 0), (0, 1, 1), (2,), (1, 1), (0, 2))[k % 6])]
+    rows += [(50, 7, side) for side in (0, 1, 2)]
+    keys = spark.createDataFrame(rows, "key long, line long, side byte").repartition(3)
+    got = {tuple(r) for r in linededup._shared(keys).coalesce(1).collect()}
+    good = {r for r in rows if r[0] % 6 in (0, 2, 5) and r[0] < 50}
+    assert good <= got and len(got - good) < len(set(rows) - good)
+    assert linededup._shared(keys.where("false")).count() == 0
+    docs = spark.createDataFrame([(1, PROSE)], "doc_id long, text string")
+    assert linededup._words_of(docs, keys.select("line").where("false")).count() == 0
+
+
+def test_span_hashes():
+    """Spans of one length and content have one hash, all others have another."""
+    parts = [b"a", b"a\0", b"12345678", b"12345678\0", b"123456781234567812345678", b"1234567812345678", b"a", b"12345678", "\u00e9\u4e16".encode()]
+    buf, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+    got = span_hashes(buf, ends - [len(p) for p in parts], ends)
+    assert all((x == y) == (p == q) for x, p in zip(got, parts) for y, q in zip(got, parts))
+    assert len(span_hashes(buf[:0], ends[:0], ends[:0])) == 0
+
+
 def test_lines(spark):
     got = {r.doc_id: (r.n_lines, r.dropped) for r in QUERIES["op1_line_dedup"](spark, FOLDER).collect()}
     seen, tier = {}, lambda n: 0 if n < 10 else 1 if n < 20 else 2 if n < 40 else 3
