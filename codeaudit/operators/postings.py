@@ -24,27 +24,36 @@ from codeaudit.operators.ranking import first_rows
 
 SHARD = 4096
 BLOCK = 128
+COUNTED = 1 << 16  # words of chunks that are counted before they leave the task
 # Bounds and scores are summed in different orders; scores that differ by less are not told apart by bounds.
 SLACK = 1e-9
 LIST = ("repo", "shard", "word")
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """`(repo, ord, word, times, n_words)` of chunks `(repo, ord, text)`. Narrow: no shuffle."""
+def word_counts(chunks: DataFrame, most: int = COUNTED) -> DataFrame:
+    """`(repo, ord, word, times, n_words)` of chunks `(repo, ord, text)`. Narrow: no shuffle.
+
+    A task holds a batch of texts, and the counts of one text more than `most`.
+    """
+    kinds = {"repo": pa.string(), "ord": pa.int64(), "word": pa.string(), "times": pa.int32(), "n_words": pa.int32()}
+
+    def made(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values())], [*kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                columns = [[], [], [], [], []]
-                for repo, at, text in zip(*(part.column(c).to_pylist() for c in ("repo", "ord", "text"))):
-                    found = Counter(map(str.lower, re.findall(fixed.WORD, text or "")))
-                    n = sum(found.values())
-                    for column, values in zip(columns, ([repo] * len(found), [at] * len(found), found.keys(), found.values(), [n] * len(found))):
-                        column.extend(values)
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(columns, kinds)], ["repo", "ord", "word", "times", "n_words"])
+            columns = [[] for _ in kinds]
+            # Text by text; a list of all would hold a batch of long texts twice.
+            for row in zip(*(batch.column(c) for c in ("repo", "ord", "text"))):
+                repo, at, text = (value.as_py() for value in row)
+                found = Counter(map(str.lower, re.findall(fixed.WORD, text or "")))
+                n = sum(found.values())
+                for column, values in zip(columns, ([repo] * len(found), [at] * len(found), found.keys(), found.values(), [n] * len(found))):
+                    column.extend(values)
+                if len(columns[0]) >= most:
+                    yield made(columns)
+                    columns = [[] for _ in kinds]
+            yield made(columns)
 
     source = chunks.select("repo", F.col("ord").cast("long"), "text")
     return source.mapInArrow(run, "repo string, ord long, word string, times int, n_words int")

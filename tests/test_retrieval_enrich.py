@@ -1,11 +1,13 @@
 """Chunk index, retrieval, prompts and replies."""
 
+import itertools
 import json
 import random
 import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,25 @@ def test_blocks_give_the_best_of_all_chunks(spark, shard, block):
     assert got == plain_best(chunks, queries, 5)
 
 
+def test_counted_words_leave_in_bounded_parts(spark):
+    """The words of 512 texts were held together, whatever their length."""
+
+    class Chunks:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    text = " ".join(map("".join, itertools.islice(itertools.product("abcdefgh", repeat=4), 3000)))
+    batch = pa.RecordBatch.from_pydict({"repo": ["r"] * 50, "ord": [*range(50)], "text": [text] * 48 + [None, "One one"]})
+    parts = [*postings.word_counts(Chunks())(iter([batch]))]
+    assert max(part.num_rows for part in parts) < postings.COUNTED + 3000
+    rows = [row for part in parts for row in part.to_pylist()]
+    assert len(rows) == 48 * 3000 + 1 and {(row["times"], row["n_words"]) for row in rows[:-1]} == {(1, 3000)}
+    assert rows[-1] == {"repo": "r", "ord": 49, "word": "one", "times": 2, "n_words": 2}
+
+
 def test_blocks_below_the_bound_are_skipped(spark):
     chunks = [("r", n, "common " * (40 if n < 6 else 1) + f"filler{'abcdefghij'[n % 10]} " * 10) for n in range(3000)]
     frame = spark.createDataFrame(chunks, "repo string, ord long, text string")
