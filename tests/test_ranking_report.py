@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeaudit.operators import report
+from codeaudit.operators import ranking, report
 from codeaudit.operators.ranking import first_rows, number_rows
+from codeaudit.storage import DROP_SHUFFLES, materialize
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +37,46 @@ def test_number_rows_over_everything(skewed, limit):
     assert got.count() == 6000
 
 
+def test_large_groups_are_shuffled_once_and_in_rounds(spark, skewed, monkeypatch):
+    """They went through three shuffles, all at once, and the files of each stayed."""
+    placed = []
+
+    def seen(df, label):
+        written = materialize(df, label)
+        if label == "ranked":
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            placed.append((written.count(), plan.count("rangepartitioning"), plan.count("hashpartitioning"), spark.conf.get(DROP_SHUFFLES, None)))
+        return written
+
+    monkeypatch.setattr(ranking, "materialize", seen)
+    monkeypatch.setattr(ranking, "ROUND_TASKS", 4)
+    got = number_rows(skewed, ["g"], [F.desc("v"), F.asc("n")], "at", one_task_rows=70)
+    assert {x[1:] for x in placed} == {(1, 0, "true")}
+    sizes = sorted(r["count"] for r in skewed.groupBy("g").count().collect())
+    assert sum(x[0] for x in placed) == sum(n for n in sizes if n > 70)
+    # Of a round, all groups but the last are in an eighth of the rows.
+    assert 3 < len(placed) <= ranking.ROUNDS and max(x[0] for x in placed) < 6000 // ranking.ROUNDS + sizes[-1]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(g") <= 1 + 2 * len(placed)  # small groups; counts of pieces
+    assert spark.conf.get(DROP_SHUFFLES, None) != "true"
+
+
+@pytest.mark.parametrize("limit", [20, 100])
+def test_large_groups_by_two_columns_with_nulls(spark, limit):
+    rng = random.Random(9)
+    some = lambda *values: rng.choice([None, *values])
+    rows = [(some("a", "b"), some(1, 2), some(0, 1, 2, 3), some("x", "xy", ""), n // 2) for n in range(1200)]
+    df = spark.createDataFrame(rows, "g string, h int, v int, t string, n int").repartition(5).cache()
+    order = [F.desc("v"), F.asc("t"), F.asc("n")]
+    first = lambda x: (x is not None, x if x is not None else 0)
+    groups = {}
+    for g, h, v, t, n in rows:
+        groups.setdefault((g, h), []).append(((v is None, -(v or 0)), (t is not None, t or ""), first(n), (v, t, n)))
+    expected = sorted(((*k, at, x[3]) for k, xs in groups.items() for at, x in enumerate(sorted(xs), 1)), key=str)
+    got = number_rows(df, ["g", "h"], order, "at", one_task_rows=limit).collect()
+    assert sorted(((r["g"], r["h"], r["at"], (r["v"], r["t"], r["n"])) for r in got), key=str) == expected
+
+
 def test_first_rows_limits_before_the_shuffle(skewed):
     kept = first_rows(skewed, ["g"], [F.asc("n")], 3, "at")
     assert kept.groupBy("g").count().filter("count > 3").count() == 0
